@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from voxloom.llm import quality
+from voxloom.llm import bpe, mixing, quality, secrets
 
 QUERIES = {
+    "op3_secret_scans": secrets.op3_secret_scans,
     "op7_quality_rules": quality.op7_quality_rules,
+    "op9_bpe": bpe.op9_bpe,
+    "op10_mixing": mixing.op10_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_mixing": mixing.ORACLE_SQL,
+}
