@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from voxloom.llm import bpe, mixing, quality, secrets
+from voxloom.llm import bpe, mixing, near_dup, quality, secrets
 
 QUERIES = {
     "op3_secret_scans": secrets.op3_secret_scans,
     "op7_quality_rules": quality.op7_quality_rules,
+    "op8_near_dedup": near_dup.op8_near_dedup,
     "op9_bpe": bpe.op9_bpe,
     "op10_mixing": mixing.op10_mixing,
 }
