@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from voxloom.llm import bpe, mixing, near_dup, quality, secrets
+from voxloom.llm import bpe, fingerprint, mixing, near_dup, quality, secrets
 
 QUERIES = {
+    "op1_fingerprints": fingerprint.op1_fingerprints,
     "op3_secret_scans": secrets.op3_secret_scans,
     "op7_quality_rules": quality.op7_quality_rules,
     "op8_near_dedup": near_dup.op8_near_dedup,
