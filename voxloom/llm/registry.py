@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from voxloom.llm import bpe, fingerprint, mixing, near_dup, quality, secrets
+from voxloom.llm import bpe, fingerprint, mixing, near_dup, quality, secrets, toxicity
 
 QUERIES = {
     "op1_fingerprints": fingerprint.op1_fingerprints,
     "op3_secret_scans": secrets.op3_secret_scans,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op7_quality_rules": quality.op7_quality_rules,
     "op8_near_dedup": near_dup.op8_near_dedup,
     "op9_bpe": bpe.op9_bpe,
