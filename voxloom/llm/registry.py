@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from voxloom.llm import bpe, fingerprint, mixing, near_dup, quality, secrets, toxicity
+from voxloom.llm import bpe, fingerprint, mixing, near_dup, quality, secrets, substring_dedup, toxicity
 
 QUERIES = {
     "op1_fingerprints": fingerprint.op1_fingerprints,
+    "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op3_secret_scans": secrets.op3_secret_scans,
     "op5_toxicity": toxicity.op5_toxicity,
     "op7_quality_rules": quality.op7_quality_rules,
