@@ -1,7 +1,7 @@
 """Exact byte-pair encoding and decoding with a given vocabulary.
 
-Encoding a word: an Aho-Corasick automaton gives the tokens that start at each position. From the left, the longest one
-is taken that may stand next to the token before; where none may, the last token is taken back and its next shorter
+Encoding a word: an Aho-Corasick automaton gives the longest tokens from left to right, and if these may not stand next to
+each other, all tokens that start at each position. Then, from the left, the longest one is taken that may stand next to the token before; where none may, the last token is taken back and its next shorter
 alternative tried. Positions at which no continuation exists are remembered, so the work is linear in the word. Two
 tokens may stand next to each other if merging their joined text would give just these two; that needs only the merges
 along the facing edges of both tokens and is kept in a table as pairs come up. Decoding cuts tokens out of one string of
@@ -15,9 +15,8 @@ from __future__ import annotations
 
 import json
 import unicodedata
-from collections.abc import Iterator
 from hashlib import sha256
-from itertools import chain
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +27,6 @@ from voxloom.llm import common
 
 #: Words whose tokens a task remembers; the table is emptied when full.
 MOST_WORDS = 300_000
-SPACES = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 END = "\n"  # stands for the end of a word within the automaton; byte symbols never are line breaks
 
 
@@ -52,7 +50,6 @@ class Tokenizer:
         self.suffix = model["end_of_word_suffix"]
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.pieces = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
-        self.spaces = regex.compile(SPACES)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.to_symbols = dict(enumerate(byte_symbols()))
         vocab: dict[str, int] = model["vocab"]
@@ -69,20 +66,24 @@ class Tokenizer:
             if as_key != END:
                 self.automaton.add_word(as_key, (len(as_key), i))
         self.automaton.make_automaton()
+        self.edges: dict[int, dict[int, list[tuple[int, float]]]] = {1: {}, 2: {}}
         self.compatible: dict[tuple[int, int], bool] = {}
         names = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
         stored = [(names.get(i, "") + " ").encode() for i in range(max(names) + 1)]
-        self.offsets = np.concatenate([[0], np.cumsum([len(x) for x in stored])]).astype(np.int64)
-        self.stored = np.frombuffer(b"".join(stored), np.uint8)
+        self.offsets = [0, *accumulate(map(len, stored))]
+        self.stored = b"".join(stored)
 
     def edge(self, token: int, side: int) -> list[tuple[int, float]]:
         """The tokens at one edge (1: left, 2: right) as the token grows, each with the rank of the merge that uses it up."""
-        found, until = [(token, float("inf"))], self.parts.get(token)
-        while until:
-            token = until[side]
-            found.append((token, until[0]))
-            until = self.parts.get(token)
-        return found
+        known = self.edges[side]
+        if token not in known:
+            found, at, until = [(token, float("inf"))], token, self.parts.get(token)
+            while until:
+                at = until[side]
+                found.append((at, until[0]))
+                until = self.parts.get(at)
+            known[token] = found
+        return known[token]
 
     def may_meet(self, left: int, right: int) -> bool:
         """Whether no merge across the seam would come before the ones that make the two tokens.
@@ -103,7 +104,12 @@ class Tokenizer:
 
     def encode_word(self, word: str) -> list[int]:
         text = word.encode().decode("latin-1").translate(self.to_symbols) + END
-        n = len(text)
+        n, met = len(text), self.compatible
+        longest = [x for _, x in self.automaton.iter_long(text)]
+        if sum([length for length, _ in longest]) == n:  # these are right unless two of them may not meet
+            greedy = [token for _, token in longest]
+            if all([met[p] if p in met else self.may_meet(*p) for p in zip(greedy, greedy[1:])]):
+                return greedy
         starting: list[list[tuple[int, int]]] = [[] for _ in range(n)]
         for end, (length, token) in self.automaton.iter(text):
             starting[end - length + 1].append((length, token))  # shorter ones come first
@@ -130,49 +136,49 @@ class Tokenizer:
                 at = start
         return [token for token, _ in taken]
 
-    def words(self, text: str) -> Iterator[str | int]:
-        """The words to encode, normalised, and the ids of special tokens that the text spells out."""
+    def words(self, text: str) -> list[str | int]:
+        """The words to encode, normalised, and the ids of special tokens that the text spells out.
+
+        White space is in no word, so it makes no difference that the normaliser joins runs of it."""
+        found: list[str | int] = []
         for part in self.cut.split(text) if self.cut else [text]:
             if part in self.special:
-                yield self.special[part]
+                found.append(self.special[part])
             elif part:
-                part = self.spaces.sub(" ", unicodedata.normalize("NFC", part)).lower() if "Σ" not in part else "".join(
-                    c.lower() for c in self.spaces.sub(" ", unicodedata.normalize("NFC", part))
-                )
-                yield from self.pieces.findall(part)
+                if not part.isascii():
+                    part = unicodedata.normalize("NFC", part)
+                found += self.pieces.findall(part.lower() if "\u03a3" not in part else "".join(c.lower() for c in part))
+        return found
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        """The tokens' strings, joined by a space, in UTF-8."""
-        if not len(ids):
-            return b""
-        start, length = self.offsets[ids], self.offsets[ids + 1] - self.offsets[ids]
-        ends = np.cumsum(length)
-        return self.stored[np.arange(ends[-1]) + np.repeat(start - ends + length, length)][:-1].tobytes()
+    def decode(self, ids: list[int]) -> str:
+        """The tokens' strings, joined by a space."""
+        at, stored = self.offsets, self.stored
+        return b"".join([stored[at[i] : at[i + 1]] for i in ids])[:-1].decode()
 
 
-class Encoder:
-    """Encodes texts through a table of words already seen."""
+class Words(dict):
+    """What is known of a word, found out when it is first asked for: number of ids, the ids in decimal, what they decode to.
+
+    Decoding joins tokens by a space, so a text decodes to its words' parts, joined likewise."""
 
     def __init__(self, tokenizer: Tokenizer):
+        super().__init__()
         self.tokenizer = tokenizer
-        self.clear()
-
-    def clear(self) -> None:
-        self.known: dict[str | int, tuple[list[int], str]] = {}
 
-    def of(self, word: str | int) -> tuple[list[int], str]:
-        got = self.known.get(word)
-        if got is None:
-            if len(self.known) >= MOST_WORDS:
-                self.clear()
-            ids = [word] if isinstance(word, int) else self.tokenizer.encode_word(word)
-            got = self.known[word] = ids, " ".join(map(str, ids))
+    def __missing__(self, word: str | int) -> tuple[int, str, str]:
+        if len(self) >= MOST_WORDS:
+            self.clear()
+        ids = [word] if isinstance(word, int) else self.tokenizer.encode_word(word)
+        got = self[word] = len(ids), " ".join(map(str, ids)), self.tokenizer.decode(ids)
         return got
 
-    def encode(self, text: str) -> tuple[np.ndarray, str]:
-        """The ids, and the same in decimal joined by a space."""
-        found = list(map(self.of, self.tokenizer.words(text)))
-        return np.fromiter(chain.from_iterable(x for x, _ in found), np.int64), " ".join([x for _, x in found])
+    def encode(self, text: str) -> tuple[int, str, str]:
+        """The number of ids, the ids in decimal, and the decoded text."""
+        found = list(map(self.__getitem__, self.tokenizer.words(text)))
+        if not found:
+            return 0, "", ""
+        n, ids, decoded = zip(*found, strict=True)
+        return sum(n), " ".join(ids), " ".join(decoded)
 
 
 def encode_and_decode(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
@@ -184,17 +190,17 @@ def encode_and_decode(docs: DataFrame, path: str, with_ids: bool = False) -> Dat
     name = path.rsplit("/", 1)[-1]
 
     def run(batches):
-        encoder = Encoder(Tokenizer(SparkFiles.get(name)))
+        words = Words(Tokenizer(SparkFiles.get(name)))
         for batch in batches:
             texts = batch.column("text").to_pylist()
             ids_of, n, ids_sha, decoded_sha = [], [], [], []
             for text in texts:
-                ids, spelled = encoder.encode(text or "")
-                n.append(len(ids))
+                count, spelled, decoded = words.encode(text or "")
+                n.append(count)
                 ids_sha.append(sha256(spelled.encode()).hexdigest())
-                decoded_sha.append(sha256(encoder.tokenizer.decode(ids)).hexdigest())
+                decoded_sha.append(sha256(decoded.encode()).hexdigest())
                 if with_ids:
-                    ids_of.append(ids.astype(np.int32))
+                    ids_of.append(np.array(spelled.split(), np.int32))
             columns = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
