@@ -3,21 +3,52 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from voxloom.llm import common, quality
+from voxloom.llm import bpe, common, mixing, near_dup, quality, secrets
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the likelihood ratio reject go."""
-    judged = quality.judge(docs, common.labels(spark, sf_dir))
+    judged = quality.judge(docs.select(*COLUMNS), common.labels(spark, sf_dir))
     return judged.where("kept").select(*COLUMNS)
 
 
-STAGES = [("quality rules", quality_rules)]
+def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays, that of the smallest id; rows that repeat an id are one."""
+    gone = near_dup.near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
+    known = docs.select(*COLUMNS).where("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti")
+    return known.dropDuplicates(["doc_id"]).unionByName(docs.select(*COLUMNS).where("doc_id IS NULL"))
 
-#: Hashes of n-grams and trained weights have no counterpart in SQL; the stages are tested against brute force.
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by a mark of their kind; n_chars follows."""
+    return secrets.redacted(docs.select(*COLUMNS), secrets.vocabulary())
+
+
+def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document comes as often as the mix takes it, to the nearest whole number of times."""
+    mixed = mixing.mix(docs).where("taken > 0 AND doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    times = mixed.select("doc_id", F.round(F.col("taken") / F.col("size")).cast("int").alias("_times")).where("_times > 0")
+    return docs.select(*COLUMNS).join(times, "doc_id").withColumn("_turn", F.explode(F.sequence(F.lit(1), "_times"))).select(*COLUMNS)
+
+
+def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token ids of every document, with digests of them and of the decoded text."""
+    return bpe.encode_and_decode(docs, bpe.vocabulary(), with_ids=True)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("MinHash near-dedup", minhash_near_dedup),
+    ("secret scans", secret_scans),
+    ("mixing sources", mixing_sources),
+    ("BPE encoding", bpe_encoding),
+]
+
+#: Hashes of n-grams, sketches and token vocabularies have no counterpart in SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from voxloom.llm import bpe, fingerprint, mixing, near_dup, quality, secrets, substring_dedup, toxicity
+from voxloom.llm import bpe, fingerprint, licenses, mixing, near_dup, quality, secrets, sharding, substring_dedup, toxicity
 
 QUERIES = {
     "op1_fingerprints": fingerprint.op1_fingerprints,
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op3_secret_scans": secrets.op3_secret_scans,
+    "op4_sharding": sharding.op4_sharding,
     "op5_toxicity": toxicity.op5_toxicity,
+    "op6_license_scans": licenses.op6_license_scans,
     "op7_quality_rules": quality.op7_quality_rules,
     "op8_near_dedup": near_dup.op8_near_dedup,
     "op9_bpe": bpe.op9_bpe,
