@@ -11,9 +11,11 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or the likelihood ratio reject go."""
+    """Documents that the base rules or the likelihood ratio reject go.
+
+    The verdicts are written first: a filter on them would be pushed below and repeat all of their expressions."""
     judged = quality.judge(docs.select(*COLUMNS), common.labels(spark, sf_dir))
-    return judged.where("kept").select(*COLUMNS)
+    return common.written(judged.select(*COLUMNS, "kept"), "judged").where("kept").select(*COLUMNS)
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

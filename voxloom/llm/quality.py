@@ -2,10 +2,11 @@
 
 Everything runs in DataFrame operations. Hashed features of all documents are counted into a fixed number of buckets
 twice, for the raw corpus and for the trusted documents; a text's score is the mean, over its features, of the log ratio
-of the two smoothed multinomials. A document is kept if it passes the base rules and its score reaches the threshold.
+of the two multinomials, the target's smoothed towards the corpus. A document is kept if it passes the base rules and its
+score reaches the threshold.
 
 Null and empty texts have no words, score 0 and fail the base rules. Repeated rows are scored alike, each by itself.
-With no trusted documents both multinomials are uniform: every score is 0 and only the base rules decide.
+With no trusted documents both multinomials are the same: every score is 0 and only the base rules decide.
 """
 
 from __future__ import annotations
@@ -20,8 +21,10 @@ from voxloom.llm import common
 BUCKETS = 65_536
 #: The trusted target is fitted on so many labelled documents at most, those of the smallest hashed ids.
 TRUSTED = 20_000
-SMOOTHING = 1.0
-THRESHOLD = -0.1
+#: Words and pairs of the raw corpus, for each bucket on average, that are added to the target. Documents that the target
+#: doesn't hold are then not punished for pairs that it happens to lack.
+SMOOTHING = 10.0
+THRESHOLD = -0.06
 SYMBOLS = "#*$%&|<>"
 LEAST_WORDS, REPEAT_SHARE, WINDOW = 10, 20, 5
 
@@ -130,10 +133,9 @@ def weights(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, trusted:
     raw, target = np.zeros(buckets), np.zeros(buckets)
     for b, r, t in counted.toLocalIterator():
         raw[b], target[b] = r, t
-    if not target.sum():
-        return np.zeros(buckets)
-    p, q = target + smoothing, raw + smoothing
-    return np.log(p / p.sum()) - np.log(q / q.sum())
+    prior = raw / max(raw.sum(), 1)
+    mixed = (target + smoothing * buckets * prior) / (target.sum() + smoothing * buckets)
+    return np.log(np.divide(mixed, prior, out=np.ones(buckets), where=prior > 0))
 
 
 def with_score(docs: DataFrame, weight: np.ndarray, words: str = "_words") -> DataFrame:
