@@ -10,8 +10,8 @@ their roots are equal, else twice the number of distinct pieces they share by th
 differ, differing_paragraphs() follows the branches that differ down to the edited paragraphs.
 
 Everything is a DataFrame expression. Null counts as the empty text, which has no pieces. Each row is worked on by
-itself, except for the next document, which is found among the 256 neighbouring ids, or among the first rows of later
-groups; only those rows are looked at again.
+itself, except for the next document, which is found among the 256 neighbouring ids, or is the first row of a later
+group of them. Repeated ids are ordered by text; rows without a doc_id are left out. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -134,35 +134,33 @@ def next_ids(ids: DataFrame) -> DataFrame:
     return found.select(F.col("first").alias("doc_id"), "next_id")
 
 
-def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """Add next_<column>, the value in the next row by doc_id and text, the first row's after the last.
+def with_next(docs: DataFrame, with_columns, columns: list[str]) -> DataFrame:
+    """with_columns(docs), and next_<column> of each column: its value in the next row by doc_id and text, or in the
+    first row after the last.
 
-    Rows are shuffled once, to groups of neighbouring ids; the first row of each group is found again by its id alone."""
+    Rows are shuffled once, to groups of neighbouring ids. The first rows of the groups are taken from the documents
+    before any column is added, one from each partition and group, and get their columns again. Rows without a doc_id
+    have no place in the order and are left out."""
     group = F.shiftright("doc_id", NEAR_BITS)
+    known = docs.where("doc_id IS NOT NULL").withColumn("_g", group)
     order = W.partitionBy("_g").orderBy("doc_id", "text")
-    led = docs.withColumn("_g", group).withColumn("_next", F.lead(F.struct(*columns)).over(order))
-    heads = docs.select("doc_id").groupBy(group.alias("_g")).agg(F.min("doc_id").alias("doc_id"))
-    after = next_ids(heads.select("doc_id")).select(F.shiftright("doc_id", NEAR_BITS).alias("_g"), "next_id")
-    first = (
-        docs.join(after.select(F.col("next_id").alias("doc_id")), "doc_id", "left_semi")
-        .groupBy("doc_id")
-        .agg(F.min(F.struct("text", *[c for c in columns if c != "text"])).alias("_f"))
-        .select(F.col("doc_id").alias("next_id"), F.struct(*[F.col("_f")[c].alias(c) for c in columns]).alias("_first"))
-    )
-    joined = led.join(after.join(first, "next_id").select("_g", "_first"), "_g", "left")
-    got = F.coalesce("_next", "_first")
-    return joined.withColumn("_got", got).select(*docs.columns, *[F.col("_got")[c].alias(f"next_{c}") for c in columns])
+    led = with_columns(known).withColumn("_next", F.lead(F.struct(*columns)).over(order))
+    heads = docs.where("doc_id IS NOT NULL").select("doc_id").groupBy(group.alias("_g")).agg(F.min("doc_id").alias("doc_id"))
+    after = next_ids(heads.select("doc_id")).select(F.shiftright("doc_id", NEAR_BITS).alias("_g"), F.shiftright("next_id", NEAR_BITS).alias("_to"))
+    first = with_columns(known.withColumn("_row", F.row_number().over(order)).where("_row = 1").drop("_row"))
+    first = first.select(F.col("_g").alias("_to"), F.struct(*columns).alias("_first"))
+    found = led.join(after.join(first, "_to").select("_g", "_first"), "_g", "left").withColumn("_got", F.coalesce("_next", "_first"))
+    kept = [c for c in led.columns if c not in ("_g", "_next")]
+    return found.select(*kept, *[F.col("_got")[c].alias(f"next_{c}") for c in columns])
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir).select("doc_id", common.text_or_empty().alias("text"))
-    printed = with_tree(docs, "text", "_tree").select("doc_id", "text", fingerprint("_tree").alias("fingerprint"))
-    paired = with_next(printed, ["text", "fingerprint"])
+    printed = lambda rows: with_tree(rows, "text", "_tree").withColumn("fingerprint", fingerprint("_tree")).drop("_tree")
+    paired = with_next(docs, printed, ["text", "fingerprint"])
     n = F.char_length("text")
     replaced = F.floor(n / 4).cast("int")
-    edited = paired.withColumn("n_chars", n.cast("long")).withColumn(
-        "_edited", F.concat(F.left("text", n - replaced), F.left("next_text", replaced))
-    )
+    edited = paired.withColumn("n_chars", n.cast("long")).withColumn("_edited", F.concat(F.left("text", n - replaced), F.left("next_text", replaced)))
     edited = edited.withColumn("edited_sha256", F.sha2(F.col("_edited").cast("binary"), 256))
     edited = with_tree(edited, "_edited", "_tree").withColumn("edited_fingerprint", fingerprint("_tree"))
     likened = with_likeness(with_likeness(edited, "fingerprint", "edited_fingerprint", "near_edited"), "fingerprint", "next_fingerprint", "near_next")
