@@ -1,14 +1,17 @@
 """Near duplicates: HyperMinHash sketches, banded for candidates, with exact confirmation and connected components.
 
-A text's set is its distinct word shingles. All shingles are hashed once; the top bits choose one of 128 buckets, which
-keeps the smallest remainder as a leading-zero count and ten mantissa bits. Four registers make a band of 64 bits; texts
-that agree in a band are candidates, except where all four are empty. At the threshold of 0.8 a pair shares none of 32
-bands with probability 5e-8. Candidates whose collision-corrected estimate lies within six standard errors of the
-threshold, or above, are confirmed on their full sets.
+A text's set is its distinct word shingles. Each of 128 registers keeps the smallest of one hash of them, as a
+leading-zero count and ten mantissa bits. Four registers make a band of 64 bits, and texts that agree in a band are
+candidates: at the threshold of 0.8 a pair shares none of the 32 bands with probability 5e-8. Candidates whose
+collision-corrected estimate lies within four standard errors of the threshold, or above, are confirmed on full sets.
+
+One permutation dealt over the registers would be cheaper, but leaves most registers of a short text empty; bands of one
+full register then gather all texts with a common shingle. So every register has a hash of its own.
 
 Equal sets are one class from the start. Within a band's group nobody is compared with everybody: all are compared with
-one pivot, linked, and then only members of different components are compared further, first with other pivots, in the
-end every pair of different components that is left. That finds the same components as all pairs would.
+a pivot, linked, and then only members of different components are compared further, with other pivots as long as that
+leaves much less to compare, in the end every pair of different components that is left: small ones each pair in the
+first band that the two share, large ones by blocks of texts. That finds the same components as all pairs would.
 
 Null and empty texts have the empty set and are linked with nothing. A null doc_id is linked with nothing and has no
 component. doc_id identifies a document; rows that repeat one are in the same component. An empty table gives no rows.
@@ -23,10 +26,13 @@ from pyspark.sql import functions as F
 
 from voxloom.llm import common, graph
 
-BUCKET_BITS, MANTISSA_BITS, BAND = 7, 10, 4
-BUCKETS = 1 << BUCKET_BITS
-#: After this many rounds with pivots, or once fewer pairs than members are left, all pairs left are compared.
-PIVOT_ROUNDS, FEW_PAIRS = 6, 4
+REGISTERS, MANTISSA_BITS = 128, 10
+#: Pivots are tried until the pairs left are this many for each member left, or fall by less than this share in a round.
+FEW_PAIRS, LEAST_GAIN = 2, 0.3
+#: A component of so many members or more in open groups is compared by blocks of so many texts, and so many shingles.
+LARGE, BLOCK, MOST_COLUMNS = 64, 64, 200_000
+#: Standard errors that an estimate may lie below the threshold.
+MARGIN = 4
 
 
 def shingles(text: str | None, k: int) -> np.ndarray:
@@ -49,31 +55,41 @@ def shingles(text: str | None, k: int) -> np.ndarray:
     return np.unique(out)
 
 
-def registers(sets: list[np.ndarray]) -> np.ndarray:
-    """One row of 16-bit registers for each set; 0 where the bucket is empty.
+def multipliers() -> np.ndarray:
+    return np.random.default_rng(20).integers(0, 1 << 63, (2, REGISTERS), np.uint64) * np.uint64(2) + np.uint64(1)
 
-    Sets are sorted, so the first hash of each bucket has the smallest remainder."""
-    out = np.zeros((len(sets), BUCKETS), np.uint16)
-    if not any(map(len, sets)):
+
+def registers(sets: list[np.ndarray]) -> np.ndarray:
+    """One row of 16-bit registers for each set; 0 for an empty set."""
+    out = np.zeros((len(sets), REGISTERS), np.uint16)
+    full = np.flatnonzero([len(x) > 0 for x in sets])
+    if not len(full):
         return out
-    h = np.concatenate(sets)
-    at = np.repeat(np.arange(len(sets)), [len(x) for x in sets]) * BUCKETS + (h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
-    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    part, exponent = np.frexp(((h[first] << np.uint64(BUCKET_BITS)) >> np.uint64(12)).astype(np.float64))
+    h = np.concatenate([sets[i] for i in full])
+    starts = np.concatenate([[0], np.cumsum([len(sets[i]) for i in full])[:-1]])
+    least = np.empty((len(full), REGISTERS), np.uint64)
+    for i, (times, plus) in enumerate(multipliers().T):
+        x = h * times
+        x ^= plus
+        least[:, i] = np.minimum.reduceat(x, starts)
+    part, exponent = np.frexp((least >> np.uint64(12)).astype(np.float64))
     mantissa = np.where(part > 0, (part * 2 - 1) * (1 << MANTISSA_BITS), 0).astype(np.int64)
-    out.reshape(-1)[at[first]] = ((53 - exponent) << MANTISSA_BITS) | mantissa
+    out[full] = ((53 - exponent) << MANTISSA_BITS) | mantissa
     return out
 
 
-def estimate(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Jaccard estimates from two arrays of registers, and the registers that count for each.
+def estimate(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Jaccard estimates from two arrays of registers of sets with n and m members.
 
     Registers of unrelated sets agree by chance: cells at x are about 0.72 * x / 2^mantissa wide, and the two minima
     fall into one cell with probability 0.72 / 2^mantissa * n * m / (n + m)^2."""
-    used = ((x > 0) | (y > 0)).sum(1)
-    same = ((x == y) & (x > 0)).sum(1) / np.maximum(used, 1)
+    same = (x == y).mean(1)
     chance = 0.7213 / (1 << MANTISSA_BITS) * n * m / np.maximum(n + m, 1) ** 2
-    return np.clip((same - chance) / (1 - chance), 0, 1), used
+    return np.clip((same - chance) / (1 - chance), 0, 1)
+
+
+def least_estimate(threshold: float) -> float:
+    return threshold - MARGIN * (threshold * (1 - threshold) / REGISTERS) ** 0.5
 
 
 def sketches(docs: DataFrame, k: int) -> DataFrame:
@@ -110,11 +126,9 @@ def likely(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y = (np.asarray(batch.column(f"bands_{c}").flatten()).view(np.uint16).reshape(-1, BUCKETS) for c in "ab")
+            x, y = (np.asarray(batch.column(f"bands_{c}").flatten()).view(np.uint16).reshape(-1, REGISTERS) for c in "ab")
             n, m = (np.asarray(batch.column(f"n_{c}")).astype(float) for c in "ab")
-            got, used = estimate(x, y, n, m)
-            keep = (used < 24) | (got >= threshold - 6 * np.sqrt(threshold * (1 - threshold) / np.maximum(used, 1)))
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
+            yield batch.select(["a", "b"]).filter(pa.array(estimate(x, y, n, m) >= least_estimate(threshold)))
 
     return pairs.join(side("b"), "b").join(side("a"), "a").where(sizes).select("a", "b", "bands_a", "bands_b", "n_a", "n_b").mapInArrow(run, "a long, b long")
 
@@ -139,9 +153,11 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
 
 
 def with_pivot(members: DataFrame, turn: int) -> DataFrame:
-    """Pairs of each group's pivot with the members of other components; the pivot changes with the turn."""
-    order = F.struct(F.xxhash64("id", F.lit(turn)) if turn else F.lit(0), F.col("id"))
-    pivots = members.groupBy("band", "key").agg(F.min(F.struct(order.alias("o"), "component")).alias("p"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    """Pairs of each group's pivot with the members of other components.
+
+    First it is the smallest id, the same in most groups of a text; later each group has another pivot in each turn."""
+    order = F.struct(F.xxhash64("id", "band", F.lit(turn)) if turn else F.lit(0), F.col("id"))
+    pivots = members.groupBy("band", "key").agg(F.min(F.struct(order.alias("o"), "component")).alias("p"))
     pivots = pivots.select("band", "key", F.col("p.o.id").alias("pivot"), F.col("p.component").alias("of"))
     return (
         members.join(pivots, ["band", "key"])
@@ -151,8 +167,84 @@ def with_pivot(members: DataFrame, turn: int) -> DataFrame:
     )
 
 
+def still_open(members: DataFrame, linked: DataFrame) -> DataFrame:
+    """The members of groups that still hold several components, with their components as they now are."""
+    now = members.drop("component").join(linked, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    several = now.groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    return now.join(several.select("band", "key"), ["band", "key"])
+
+
+def pairs_left(members: DataFrame) -> int:
+    """How many pairs of different components the groups hold, counted for each group they meet in."""
+    by_component = members.groupBy("band", "key", "component").agg(F.count(F.lit(1)).alias("c"))
+    by_group = by_component.groupBy("band", "key").agg(((F.pow(F.sum("c"), 2) - F.sum(F.pow("c", F.lit(2)))) / 2).alias("p"))
+    return int(by_group.agg(F.sum("p")).first()[0] or 0)
+
+
+def all_pairs(members: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """The pairs of different components in the same group, once, that size and estimate don't rule out."""
+    m = members.join(classes.select("id", "n", "bands"), "id")
+    x, y = m.alias("x"), m.alias("y")
+    masks = (0xFFFF, 0xFFFF << 16, 0xFFFF << 32, -(1 << 48))  # of the four registers in a band
+    same = F.zip_with("x.bands", "y.bands", lambda p, q: sum((p.bitwiseXOR(q).bitwiseAND(F.lit(m).cast("long")) == 0).cast("int") for m in masks))
+    first = F.array_position(same, 4) - 1 == F.col("x.band")
+    likely = F.aggregate(same, F.lit(0), lambda a, n: a + n) >= int(least_estimate(threshold) * REGISTERS)
+    sizes = (F.col("x.n") >= threshold * F.col("y.n")) & (F.col("y.n") >= threshold * F.col("x.n"))
+    met = (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component"))
+    return x.join(y, met & sizes & first & likely).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+
+
+def with_large(members: DataFrame, large: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) between large components (component, size) and the members of smaller ones in their groups.
+
+    Blocks of texts meet blocks of the component's texts; the pairs within two blocks are counted at once, by a product
+    of their shingle matrices, and only links come out, one for each member and block."""
+    in_group = members.join(large, "component").select("band", "key", F.col("component").alias("of"), F.col("size").alias("of_size")).distinct()
+    sized = members.join(large, "component", "left").withColumn("size", F.coalesce("size", F.lit(0)))
+    smaller = F.struct("size", "component") < F.struct("of_size", "of")
+    met = sized.join(in_group, ["band", "key"]).where((F.col("component") != F.col("of")) & smaller).select("id", "of").distinct()
+    own = members.join(large, "component").select("id", F.col("component").alias("of")).distinct()
+
+    def blocks(rows: DataFrame, name: str) -> DataFrame:
+        counted = rows.groupBy("of").agg(F.count(F.lit(1)).alias("c"))
+        placed = rows.join(counted, "of").withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("c") / BLOCK).cast("long")))
+        held = placed.join(texts.select(F.col("doc_id").alias("id"), "text"), "id")
+        return held.groupBy("of", "block").agg(F.collect_list(F.struct("id", "text")).alias(name)).drop("block")
+
+    def compare(batches):
+        for batch in batches:
+            a, b = [], []
+            for one, other in zip(batch.column("one").to_pylist(), batch.column("other").to_pylist(), strict=True):
+                sides = [[shingles(r["text"], k) for r in rows] for rows in (one, other)]
+                n, m = (np.array([len(x) for x in side]) for side in sides)
+                both = shared(*sides)
+                hit = 100 * both >= percent * (n[:, None] + m[None] - both)
+                for i in np.flatnonzero(hit.any(1)).tolist():
+                    x, y = one[i]["id"], other[int(hit[i].argmax())]["id"]
+                    a.append(min(x, y))
+                    b.append(max(x, y))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return blocks(met, "one").join(blocks(own, "other"), "of").select("one", "other").mapInArrow(compare, "a long, b long")
+
+
+def shared(one: list[np.ndarray], other: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of one list with all of another, some columns of the matrices at a time."""
+    flat = np.concatenate([*one, *other])
+    names, column = np.unique(flat, return_inverse=True)
+    row = np.repeat(np.arange(len(one) + len(other)), [len(x) for x in [*one, *other]])
+    total = np.zeros((len(one), len(other)))
+    for low in range(0, len(names), MOST_COLUMNS):
+        here = (column >= low) & (column < low + MOST_COLUMNS)
+        matrix = np.zeros((len(one) + len(other), min(MOST_COLUMNS, len(names) - low)), np.float32)
+        matrix[row[here], column[here] - low] = 1
+        total += matrix[: len(one)] @ matrix[len(one) :].T
+    return total
+
+
 def linked_components(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, set_key, ...) of all documents and (id, component) of the classes that are linked with others."""
+    """(doc_id, n, set_key, ...) of all documents and (set_key, component) of all classes."""
+    threshold = percent / 100
     found = common.written(sketches(docs, k), "sketches")
     classes = common.written(
         found.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
@@ -161,40 +253,33 @@ def linked_components(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame,
         .select("set_key", F.col("x.doc_id").alias("id"), "x.n", "x.bands"),
         "classes",
     )
-    placed = classes.select("id", F.posexplode("bands").alias("band", "key")).where("key <> 0")
+    placed = classes.select("id", F.posexplode("bands").alias("band", "key"))
     shared = placed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
     members = common.written(placed.join(shared, ["band", "key"]).withColumn("component", F.col("id")), "members")
-    texts = common.written(docs.select(F.col("doc_id").cast("long"), "text").join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id").dropDuplicates(["doc_id"]), "candidates")
-    edges = tested = None
-    for turn in range(PIVOT_ROUNDS + 1):
-        if turn and (turn == PIVOT_ROUNDS or pairs_left(members) <= FEW_PAIRS * members.count()):
-            x, y = members.alias("x"), members.alias("y")
-            pairs = x.join(y, ["band", "key"]).where("x.id < y.id AND x.component <> y.component").select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-            turn = PIVOT_ROUNDS
+    in_groups = members.select(F.col("id").alias("doc_id")).distinct()
+    texts = common.written(docs.select(F.col("doc_id").cast("long"), "text").join(in_groups, "doc_id").dropDuplicates(["doc_id"]), "candidates")
+    linked, turn, left, was = None, 0, None, None
+    while True:
+        last = left is not None and (left <= FEW_PAIRS * members.count() or (was is not None and left > (1 - LEAST_GAIN) * was))
+        if last:
+            size = members.select("id", "component").distinct().groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+            large = common.written(size.where(F.col("size") >= LARGE), "large")
+            small = members.join(large.select("component"), "component", "left_anti")
+            links = confirmed(all_pairs(small, classes, threshold), texts, k, percent).unionByName(with_large(members, large, texts, k, percent))
         else:
-            pairs = with_pivot(members, turn)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = common.written(likely(pairs, classes, percent / 100), "pairs")
-        links = common.written(confirmed(pairs, texts, k, percent), "links")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        edges = links if edges is None else edges.unionByName(links)
-        linked = graph.components(edges)
-        if turn == PIVOT_ROUNDS:
+            links = confirmed(likely(with_pivot(members, turn), classes, threshold), texts, k, percent)
+        if linked is not None:
+            links = links.unionByName(linked.select(F.col("component").alias("a"), F.col("id").alias("b")))
+        linked = graph.components(links)
+        if last:
+            break
+        members, was, turn = common.written(still_open(members, linked), "members"), left, turn + 1
+        left = pairs_left(members)
+        if not left:
             break
-        members = common.written(
-            members.drop("component").join(linked, "id", "left").withColumn("component", F.coalesce("component", "id")), "members"
-        )
     return found, classes.join(linked, "id", "left").select("set_key", F.coalesce("component", "id").alias("component"))
 
 
-def pairs_left(members: DataFrame) -> int:
-    """How many pairs of different components the groups hold, counted for each group they meet in."""
-    by_component = members.groupBy("band", "key", "component").agg(F.count(F.lit(1)).alias("c"))
-    by_group = by_component.groupBy("band", "key").agg(((F.pow(F.sum("c"), 2) - F.sum(F.pow("c", F.lit(2)))) / 2).alias("p"))
-    return int(by_group.agg(F.sum("p")).first()[0] or 0)
-
-
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of docs."""
     found, component = linked_components(docs, k, percent)
