@@ -133,7 +133,9 @@ def weights(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, trusted:
     raw, target = np.zeros(buckets), np.zeros(buckets)
     for b, r, t in counted.toLocalIterator():
         raw[b], target[b] = r, t
-    prior = raw / max(raw.sum(), 1)
+    if not target.sum():
+        return np.zeros(buckets)
+    prior = raw / raw.sum()
     mixed = (target + smoothing * buckets * prior) / (target.sum() + smoothing * buckets)
     return np.log(np.divide(mixed, prior, out=np.ones(buckets), where=prior > 0))
 

@@ -9,8 +9,8 @@ the longest matches leftwards and reports the windows with two occurrences or mo
 An anchor with very many different runs would fill a shard. Its runs are cut into single windows, each filed under its
 own hash and counted first, which spreads them over all shards and still compares all of them.
 
-Null and empty texts have no words. doc_id identifies a document; rows without one are compared with the others but keep
-all their words. Repeated rows are occurrences like any other. An empty table gives no rows.
+Null and empty texts have no words. doc_id identifies a document; rows without one are told apart by a hash of their text
+and treated like the others. Repeated rows are occurrences like any other. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -189,7 +189,9 @@ def matched(pieces: DataFrame, window: int) -> DataFrame:
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(doc_id, spans): for every document with repeated windows, structs (start, n) of n windows from word start on."""
+    """(doc_id, spans): for every document with repeated windows, structs (start, n) of n windows from word start on.
+
+    Every row needs a doc_id."""
     found = common.written(runs(docs, window, gram), "runs")
     shared = found.groupBy("anchor").agg(F.sum("w").alias("w")).where("w > 1").select("anchor")
     again = common.written(found.join(shared, "anchor").drop("w"), "repeated-runs")
@@ -207,12 +209,14 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     of_single = pieces.where("anchor <> route").select("anchor", "run", "at", "route").join(hits.where("route = piece").select("route").distinct(), "route")
     spans = spans.unionByName(of_single.select("anchor", "run", F.col("at").alias("start"), F.lit(1).cast("int").alias("n")))
     in_docs = again.select("anchor", "run", "doc_id", F.col("start").alias("_from")).join(spans, ["anchor", "run"])
-    return in_docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.collect_list(F.struct((F.col("_from") + F.col("start")).alias("start"), "n")).alias("spans"))
+    return in_docs.groupBy("doc_id").agg(F.collect_list(F.struct((F.col("_from") + F.col("start")).alias("start"), "n")).alias("spans"))
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """doc_id, n_words, n_removed and kept, the kept words joined by a space, for every row."""
-    spans = repeated_windows(docs, window, gram)
+    own = F.col("doc_id").cast("long")
+    keyed = docs.select(own.alias("own_id"), F.coalesce(own, F.xxhash64("text")).alias("doc_id"), "text")
+    spans = repeated_windows(keyed, window, gram)
 
     def drop(batches):
         for batch in batches:
@@ -228,10 +232,10 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
                 n_removed.append(int(gone.sum()))
                 kept.append(b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g]).decode())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"]
+                [batch.column("own_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"]
             )
 
-    joined = docs.select(F.col("doc_id").cast("long"), "text").join(spans, "doc_id", "left").select("doc_id", "text", "spans")
+    joined = keyed.join(spans, "doc_id", "left").select("own_id", "text", "spans")
     return joined.mapInArrow(drop, "doc_id long, n_words long, n_removed long, kept string")
 
 
