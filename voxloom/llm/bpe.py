@@ -14,6 +14,7 @@ a fixed size) and one piece of text.
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from hashlib import sha256
 from itertools import accumulate
@@ -37,6 +38,15 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
 
 
+#: Everything below is assigned.
+BEYOND = re.compile("[\u0378-\U0010ffff]")
+
+
+def is_newer(text: str) -> bool:
+    """Whether a text has characters that Python's Unicode tables don't know."""
+    return BEYOND.search(text) is not None and any(unicodedata.category(c) == "Cn" for c in set(text))
+
+
 class Tokenizer:
     """Reads a tokenizers JSON file whose model is BPE with an end-of-word suffix over byte symbols."""
 
@@ -52,6 +62,7 @@ class Tokenizer:
         self.pieces = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.to_symbols = dict(enumerate(byte_symbols()))
+        self.path = path
         vocab: dict[str, int] = model["vocab"]
         self.rank: dict[tuple[int, int], int] = {}
         self.parts: dict[int, tuple[int, int, int]] = {}  # token: the rank of the merge that makes it, left, right
@@ -146,10 +157,24 @@ class Tokenizer:
                 found.append(self.special[part])
             elif part:
                 if not part.isascii():
+                    if is_newer(part):
+                        found += self.newer_words(part)
+                        continue
                     part = unicodedata.normalize("NFC", part)
                 found += self.pieces.findall(part.lower() if "\u03a3" not in part else "".join(c.lower() for c in part))
         return found
 
+    def newer_words(self, text: str) -> list[str]:
+        """The words of a text with characters that Python's Unicode tables lack: cut by the library that reads the same
+        file, whose tables decide what is a letter. Its pieces come as byte symbols."""
+        from tokenizers import Tokenizer as Reader
+
+        if not hasattr(self, "reader"):
+            self.reader = Reader.from_file(self.path)
+        byte = {c: b for b, c in self.to_symbols.items()}
+        pieces = self.reader.pre_tokenizer.pre_tokenize_str(self.reader.normalizer.normalize_str(text))
+        return [bytes(byte[c] for c in piece).decode() for piece, _ in pieces]
+
     def decode(self, ids: list[int]) -> str:
         """The tokens' strings, joined by a space."""
         at, stored = self.offsets, self.stored
