@@ -1,4 +1,6 @@
-"""Class algebra: distributions, weights, examples, splits, balancing and sampling. Rows carry no voxels."""
+"""Class algebra: distributions, weights, examples, splits, balancing and sampling. Rows carry no voxels.
+
+A class may hold most of the rows, so rows are numbered by buckets within their class."""
 
 from __future__ import annotations
 
@@ -6,13 +8,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from voxloom.functions import rng
+from voxloom.functions import number, rng
 
 def by_class():
     return W.partitionBy("molecule_id")
 
 
 
+def by_id(samples: DataFrame, name: str) -> DataFrame:
+    """Number the rows of each class in order of sample_id, from 1."""
+    return number.numbered(samples, ["molecule_id"], number.of_ids("sample_id"), ["sample_id"], name)
+
+
+def at_random(samples: DataFrame, seed: str, name: str) -> DataFrame:
+    """Number the rows of each class in a random order, from 1."""
+    keyed = samples.withColumn("_key", rng.shuffle_key(seed, "sample_id"))
+    return number.numbered(keyed, ["molecule_id"], number.of_text(F.col("_key")), ["_key", "sample_id"], name).drop("_key")
+
+
 def class_name(molecule_id: str | Column = "molecule_id") -> Column:
     m = F.col(molecule_id) if isinstance(molecule_id, str) else molecule_id
     return F.when(m == -1, "background").otherwise(F.concat(F.lit("class_"), m.cast("string")))
@@ -48,7 +61,7 @@ def draw(samples: DataFrame, n: int, seed: str = "draw") -> DataFrame:
     """n draws with replacement, every class equally likely: a class first, then a row of it, both by equi-join."""
     per_class = counts(samples)
     numbered = per_class.withColumn("k", F.row_number().over(W.orderBy("molecule_id")) - 1)
-    rows = samples.select("sample_id", "molecule_id", (F.row_number().over(by_class().orderBy("sample_id")) - 1).alias("row"))
+    rows = by_id(samples.select("sample_id", "molecule_id"), "row").withColumn("row", F.col("row") - 1)
     drawn = samples.sparkSession.range(n).select(F.col("id").alias("draw"))
     of_class = drawn.withColumn("k", rng.integer(f"{seed}-class", per_class.count(), "draw"))
     row = of_class.join(numbered, "k").withColumn("row", rng.integer(f"{seed}-row", F.col("n"), "draw"))
@@ -69,8 +82,7 @@ def split(samples: DataFrame, train: float = 0.6, val: float = 0.2, test: float
     """A stratified split: in each class int(n * train) rows, int(n * val), and the rest."""
     if abs(train + val + test - 1) > 1e-8:
         raise ValueError("the ratios must sum to 1")
-    at = F.row_number().over(by_class().orderBy(rng.shuffle_key(seed, "sample_id"), "sample_id"))
-    placed = samples.join(counts(samples), "molecule_id").withColumn("at", at)
+    placed = at_random(samples.select("sample_id", "molecule_id"), seed, "at").join(counts(samples), "molecule_id")
     first, second = F.floor(F.col("n") * F.lit(train)), F.floor(F.col("n") * F.lit(val))
     return placed.select("sample_id", "molecule_id", F.when(F.col("at") <= first, "train").when(F.col("at") <= first + second, "val").otherwise("test").alias("part"))
 
@@ -80,8 +92,7 @@ def undersample(samples: DataFrame, ratio: float = 1.0, seed: str = "under") ->
     if not 0 < ratio <= 1:
         raise ValueError("the ratio must be in (0, 1]")
     goal = counts(samples).withColumn("goal", F.col("n") - F.floor((F.col("n") - F.min("n").over(W.partitionBy())) * F.lit(ratio)))
-    at = F.row_number().over(by_class().orderBy(rng.shuffle_key(seed, "sample_id"), "sample_id"))
-    return samples.withColumn("at", at).join(goal, "molecule_id").where("at <= goal").select("sample_id", "molecule_id")
+    return at_random(samples.select("sample_id", "molecule_id"), seed, "at").join(goal, "molecule_id").where("at <= goal").select("sample_id", "molecule_id")
 
 
 def oversample(samples: DataFrame, ratio: float = 1.0, seed: str = "over") -> DataFrame:
@@ -90,7 +101,7 @@ def oversample(samples: DataFrame, ratio: float = 1.0, seed: str = "over") -> Da
         raise ValueError("the ratio must be in (0, 1]")
     more = counts(samples).withColumn("more", F.floor((F.max("n").over(W.partitionBy()) - F.col("n")) * F.lit(ratio)).cast("int")).where("more > 0")
     drawn = more.withColumn("copy", F.explode(F.sequence(F.lit(1), "more"))).withColumn("row", rng.integer(seed, F.col("n"), "molecule_id", "copy"))
-    rows = samples.select("sample_id", "molecule_id", (F.row_number().over(by_class().orderBy("sample_id")) - 1).alias("row"))
+    rows = by_id(samples.select("sample_id", "molecule_id"), "row").withColumn("row", F.col("row") - 1)
     copies = drawn.join(rows, ["molecule_id", "row"]).select("sample_id", "molecule_id", "copy")
     return samples.select("sample_id", "molecule_id", F.lit(0).alias("copy")).unionByName(copies)
 

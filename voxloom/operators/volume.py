@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from voxloom.functions import rng
+from voxloom.functions import number, rng
 from voxloom.functions.let import let
 
 AXES = {"z": 0, "y": 1, "x": 2}
@@ -90,10 +90,10 @@ def gates(samples: DataFrame, probabilities: dict[str, float], seed: str = "gate
 
 def mixup_partners(samples: DataFrame, seed: str = "mixup") -> DataFrame:
     """sample_id, partner_id, lam: another sample for each, never itself; none if there is only one."""
-    numbered = samples.select("sample_id", (F.row_number().over(W.orderBy("sample_id")) - 1).alias("idx"))
-    n = numbered.count()
+    n = samples.select("sample_id").count()
     if n < 2:
         return samples.sparkSession.createDataFrame([], "sample_id long, partner_id long, lam double")
+    numbered = number.numbered(samples.select("sample_id"), [], number.of_ids("sample_id"), ["sample_id"], "idx").withColumn("idx", F.col("idx") - 1)
     at = (F.col("idx") + 1 + rng.integer(seed, n - 1, "sample_id")) % n
     chosen = numbered.withColumn("at", at).withColumn("lam", rng.uniform(f"{seed}-lambda", "sample_id"))
     return chosen.join(numbered.select(F.col("sample_id").alias("partner_id"), F.col("idx").alias("at")), "at").select("sample_id", "partner_id", "lam")
