@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from voxloom.llm import common
@@ -130,14 +131,15 @@ def weights(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, trusted:
         .groupBy("b")
         .agg(F.count(F.lit(1)).alias("raw"), F.sum("t").alias("target"))
     )
-    raw, target = np.zeros(buckets), np.zeros(buckets)
-    for b, r, t in counted.toLocalIterator():
-        raw[b], target[b] = r, t
-    if not target.sum():
-        return np.zeros(buckets)
-    prior = raw / raw.sum()
-    mixed = (target + smoothing * buckets * prior) / (target.sum() + smoothing * buckets)
-    return np.log(np.divide(mixed, prior, out=np.ones(buckets), where=prior > 0))
+    everything = W.partitionBy()  # at most as many rows as there are buckets
+    prior = F.col("raw") / F.sum("raw").over(everything)
+    pseudo, trusted_size = smoothing * buckets, F.sum("target").over(everything)
+    mixed = (F.col("target") + pseudo * prior) / (trusted_size + pseudo)
+    weighed = counted.select("b", F.when(trusted_size == 0, 0.0).otherwise(F.log(mixed / prior)).alias("w"))
+    table = np.zeros(buckets)  # what a literal array is made from
+    for b, w in weighed.toLocalIterator():
+        table[b] = w
+    return table
 
 
 def with_score(docs: DataFrame, weight: np.ndarray, words: str = "_words") -> DataFrame:
