@@ -142,3 +142,26 @@ def test_strings(spark):
     with pytest.raises(Exception, match="malformed"):
         one(text.tomogram_uri(F.lit("no spacing")))
     assert 0 <= one(rng.uniform("s", F.lit(1))) < 1
+
+
+def test_numbers_follow_the_order_within_large_groups(spark):
+    from voxloom.functions import number
+
+    rows = spark.createDataFrame([(i * 3001 % 50_000, "a" if i % 3 else "b") for i in range(2000)], "id long, g string").distinct()
+    got = number.numbered(rows, ["g"], number.of_ids("id"), ["id"], "n").collect()
+    for g in "ab":
+        ids = sorted(r.id for r in got if r.g == g)
+        assert [r.n for r in sorted((r for r in got if r.g == g), key=lambda r: r.id)] == list(range(1, len(ids) + 1))
+    keyed = number.numbered(rows.withColumn("k", rng.shuffle_key("s", "id")), [], number.of_text(F.col("k")), ["k", "id"], "n").collect()
+    assert [r.n for r in sorted(keyed, key=lambda r: r.k)] == list(range(1, len(keyed) + 1))
+
+
+def test_erosion_is_the_opposite_of_dilation(spark):
+    from voxloom.operators import dataset
+
+    r = np.random.default_rng(5)
+    a = r.normal(size=(5, 5, 5)).round(6)
+    vox = spark.createDataFrame([(0, z, y, x, float(a[z, y, x])) for z in range(5) for y in range(5) for x in range(5)], "run long, z int, y int, x int, v double")
+    low = {(p.z, p.y, p.x): p.v for p in dataset.morphology(vox, "run", 5, 1, "erode").collect()}
+    high = {(p.z, p.y, p.x): p.v for p in dataset.morphology(vox.withColumn("v", -F.col("v")), "run", 5, 1, "dilate").collect()}
+    assert len(low) == 125 and all(low[k] == -high[k] for k in low)

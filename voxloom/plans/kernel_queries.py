@@ -41,6 +41,13 @@ def _spline(spark, d):
     return kernels.spline_lattice(kernels.spline_fit(_layers(spark, d), 50.0, 63.0), 3, 4).withColumn("z", F.round("z", 3))
 
 
+def _slab_from_picks(spark, d):
+    """Two coupled surfaces for each run, and the reason where there are too few points."""
+    few = _layers(spark, d).where("run % 10 <> 3 OR x = 0")
+    fits = kernels.spline_fit(few, 50.0, 63.0)
+    return fits.select("run", "n", "error", F.round(F.col("top") - F.col("bottom"), 3).alias("thickness"))
+
+
 def _slab_from_segmentation(spark, d):
     mask = _components(spark, d)
     best = geometry.component_stats(mask).where("largest").select("run", "component")
@@ -99,6 +106,7 @@ QUERIES = {
     "connected_components": _components,
     "largest_component": _largest,
     "spline_fit": _spline,
+    "slab_from_picks": _slab_from_picks,
     "slab_from_segmentation": _slab_from_segmentation,
     "membrane_pipeline": _membrane,
     "blob_detector": _blobs,
