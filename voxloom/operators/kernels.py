@@ -13,6 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Tasks that share the points of a run.
+PARTS = 4
+
+
 def each_cube(samples: DataFrame, change: Callable[[np.ndarray, int], np.ndarray], side: int) -> DataFrame:
     """sample_id and v after change(cube, sample_id)."""
     def run(batches):
@@ -158,20 +162,27 @@ def bending(knots: int) -> np.ndarray:
 def spline_fit(points: DataFrame, width: float, height: float, knots: int = 5, stiffness: float = 1e-3) -> DataFrame:
     """One surface for each run, with an offset for each of its layers: run, control (knots * knots), top, bottom, n, error.
 
-    The points of a batch are reduced to sums of products, these are added up by run and place, and a small system is
-    solved for each run. A run with fewer than three points has an error instead. points: run, layer, x, y, z."""
+    The points of a run, dealt over a few tasks, are reduced to sums of products there; these are added up by run and
+    place, and a small system is solved for each run. A run with fewer than three points has an error instead. points: run, layer, x, y, z."""
     k = knots * knots
     m = k + 2
 
     def products(batches):
+        """Rows come sorted by run; one row of sums leaves for each run."""
+        at, held = None, 0.0
         for pdf in batches:
             rows = []
-            for run, p in pdf.groupby("run"):
+            for run, p in pdf.groupby("run", sort=True):
                 x, y = basis(p["x"].to_numpy() / width, knots), basis(p["y"].to_numpy() / height, knots)
                 a = np.concatenate([(y[:, :, None] * x[:, None, :]).reshape(len(p), k), (p["layer"] == "top").to_numpy()[:, None], (p["layer"] == "bottom").to_numpy()[:, None]], 1).astype(float)
-                z = p["z"].to_numpy()
-                rows.append((run, np.concatenate([(a.T @ a).ravel(), a.T @ z, [len(p)]])))
+                sums = np.concatenate([(a.T @ a).ravel(), a.T @ p["z"].to_numpy(), [len(p)]])
+                if at is not None and run != at:
+                    rows.append((at, held))
+                    held = 0.0
+                at, held = run, held + sums
             yield pd.DataFrame(rows, columns=["run", "sums"])
+        if at is not None:
+            yield pd.DataFrame([(at, held)], columns=["run", "sums"])
 
     def solve(batches):
         for pdf in batches:
@@ -190,7 +201,9 @@ def spline_fit(points: DataFrame, width: float, height: float, knots: int = 5, s
                 rows.append((run, c[:k], c[k], c[k + 1], n, None))
             yield pd.DataFrame(rows, columns=["run", "control", "top", "bottom", "n", "error"])
 
-    partial = points.select("run", "layer", "x", "y", "z").mapInPandas(products, "run long, sums array<double>")
+    dealt = points.select("run", "layer", "x", "y", "z").withColumn("part", F.pmod(F.xxhash64("x", "y", "z"), F.lit(PARTS)))
+    together = dealt.repartition("run", "part").sortWithinPartitions("run").drop("part")
+    partial = together.mapInPandas(products, "run long, sums array<double>")
     added = partial.select("run", F.posexplode("sums").alias("at", "value")).groupBy("run", "at").agg(F.sum("value").alias("value"))
     whole = added.groupBy("run").agg(F.collect_list(F.struct("at", "value")).alias("sums"))
     return whole.mapInPandas(solve, "run long, control array<double>, top double, bottom double, n long, error string")
