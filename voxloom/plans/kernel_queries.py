@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from voxloom.operators import geometry, jobs, kernels, spatial, volume
 from voxloom.plans.spatial_queries import _layers, _mask
+from voxloom.plans.volume_queries import _edge
 from voxloom.sources import model, storage
-from voxloom.sources.model import SIDE, SPACING
+from voxloom.sources.model import SIDE, SPACING, with_views
 from voxloom.streaming.classes import running_distribution
 
 
@@ -98,7 +99,7 @@ def _with_background(spark, d):
 
 
 QUERIES = {
-    "bandpass_fft": _flat(kernels.bandpass, 1.5, 0.5, 0.5, 0.5),
+    "bandpass_fft": lambda spark, d: _flat(kernels.bandpass, 1.5, 0.5, 0.5, 0.5)(spark, d).withColumn("v", F.col("v") + F.lit(0.0)),
     "fourier_augment": _flat(kernels.fourier_augment),
     "rotate_arbitrary": _flat(kernels.rotate, 30.0),
     "fourier_rescale": lambda spark, d: kernels.rescale(kernels.volumes(model.chunks(spark, d), SIDE), 10.0, 13.3).select("run", "d", "h", "w", F.posexplode("v").alias("i", "v")).withColumn("v", F.round("v", 6)),
@@ -116,7 +117,34 @@ QUERIES = {
     "streaming_class_distribution": lambda spark, d: running_distribution(model.table(spark, d, "events").select("ts", "event_type")),
 }
 
+REACHED = (
+    "RECURSIVE n AS (SELECT run, z, y, x, row_number() OVER (PARTITION BY run ORDER BY z, y, x) AS n FROM voxels WHERE v > 0.1 AND (z + y) % 4 <> 3), "
+    "e AS (SELECT a.run, a.n AS a, b.n AS b FROM n a JOIN n b ON a.run = b.run AND abs(a.z - b.z) <= 1 AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1), "
+    "r AS (SELECT run, n, n AS m FROM n UNION SELECT r.run, r.n, e.b FROM r JOIN e ON r.run = e.run AND r.m = e.a), "
+    "c AS (SELECT run, z, y, x, min(m) AS component FROM r JOIN n USING (run, n) GROUP BY ALL) "
+)
+LABELLED = f"WITH {REACHED.replace('RECURSIVE n', f'RECURSIVE voxels AS ({model.SQL["voxels"]}), n', 1)}"
+
+#: The band-pass as a periodic convolution: its taps are the cosine transform of the mask.
+TAPS = (
+    "m AS (SELECT z - 2 AS z, y - 2 AS y, x - 2 AS x, sqrt(((z - 2) * (z - 2) + (y - 2) * (y - 2) + (x - 2) * (x - 2))::DOUBLE) AS r FROM range(4) a(z), range(4) b(y), range(4) c(x)), "
+    f"w AS (SELECT z, y, x, {_edge(1.5, 0.5)} * (1 - {_edge(0.5, 0.5)}) AS w FROM m), "
+    "h AS (SELECT t.z AS z, t.y AS y, t.x AS x, avg(w * cos(pi() / 2 * (w.z * t.z + w.y * t.y + w.x * t.x))) AS h FROM w, (SELECT z, y, x FROM range(4) a(z), range(4) b(y), range(4) c(x)) t GROUP BY ALL) "
+)
+
 ORACLE_SQL = {
+    "bandpass_fft": with_views(
+        f"+ {TAPS} SELECT sample_id, ((s.z + h.z) % 4) * 16 + ((s.y + h.y) % 4) * 4 + (s.x + h.x) % 4 AS i, round(sum(s.v * h), 6) + 0.0::DOUBLE AS v FROM sample_voxels s, h GROUP BY 1, 2", "sample_voxels"
+    ),
+    "membrane_pipeline": with_views(
+        "+ t AS (SELECT z, y, x, avg(1.0::DOUBLE + (((CASE WHEN m & 1 = 1 THEN 3 - z ELSE z END) * 16 + (CASE WHEN m & 2 = 2 THEN 3 - y ELSE y END) * 4 + (CASE WHEN m & 4 = 4 THEN 3 - x ELSE x END)) % 5) / 10.0::DOUBLE) AS t FROM range(4) a(z), range(4) b(y), range(4) c(x), range(8) d(m) GROUP BY 1, 2, 3), "
+        "s AS (SELECT sample_id, z, y, x, (v - avg(v) OVER w) / (stddev_pop(v) OVER w + 1e-6) AS v FROM sample_voxels WINDOW w AS (PARTITION BY sample_id)) "
+        'SELECT sample_id, count(*) FILTER (v * t > 0.5) AS "set" FROM s JOIN t USING (z, y, x) GROUP BY 1',
+        "sample_voxels",
+    ),
+    "connected_components": LABELLED + "SELECT * FROM c",
+    "largest_component": LABELLED
+    + "SELECT run, component, area, cz, cy, cx FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY area DESC, component) AS k FROM (SELECT run, component, count(*) AS area, round(avg(z), 6) AS cz, round(avg(y), 6) AS cy, round(avg(x), 6) AS cx FROM c GROUP BY 1, 2)) WHERE k = 1",
     "task_pool": "SELECT o_orderkey AS task_id, o_orderkey % 10 <> 0 AS success, CASE WHEN o_orderkey % 10 = 0 THEN 'ValueError: no price for ' || o_orderkey END AS error, CASE WHEN o_orderkey % 10 <> 0 THEN round(o_totalprice * 0.5::DOUBLE, 4) END AS result FROM orders",
     "cache_roundtrip": "SELECT CASE WHEN label = 0 THEN '-1' ELSE label::VARCHAR END AS key, count(*) AS n FROM embeddings GROUP BY 1",
     "streaming_class_distribution": "SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
