@@ -144,14 +144,16 @@ def with_next(docs: DataFrame, with_columns, columns: list[str]) -> DataFrame:
     group = F.shiftright("doc_id", NEAR_BITS)
     known = docs.where("doc_id IS NOT NULL").withColumn("_g", group)
     order = W.partitionBy("_g").orderBy("doc_id", "text")
-    led = with_columns(known).withColumn("_next", F.lead(F.struct(*columns)).over(order))
+    led = with_columns(known)  # a window over a struct of columns would have them shuffled twice
+    kept = [c for c in led.columns if c != "_g"]
+    led = led.select("*", *[F.lead(c).over(order).alias(f"_next_{c}") for c in columns], F.lead("doc_id").over(order).alias("_follows"))
     heads = docs.where("doc_id IS NOT NULL").select("doc_id").groupBy(group.alias("_g")).agg(F.min("doc_id").alias("doc_id"))
     after = next_ids(heads.select("doc_id")).select(F.shiftright("doc_id", NEAR_BITS).alias("_g"), F.shiftright("next_id", NEAR_BITS).alias("_to"))
     first = with_columns(known.withColumn("_row", F.row_number().over(order)).where("_row = 1").drop("_row"))
     first = first.select(F.col("_g").alias("_to"), F.struct(*columns).alias("_first"))
-    found = led.join(after.join(first, "_to").select("_g", "_first"), "_g", "left").withColumn("_got", F.coalesce("_next", "_first"))
-    kept = [c for c in led.columns if c not in ("_g", "_next")]
-    return found.select(*kept, *[F.col("_got")[c].alias(f"next_{c}") for c in columns])
+    found = led.join(after.join(first, "_to").select("_g", "_first"), "_g", "left")
+    got = lambda c: F.when(F.col("_follows").isNotNull(), F.col(f"_next_{c}")).otherwise(F.col("_first")[c])
+    return found.select(*kept, *[got(c).alias(f"next_{c}") for c in columns])
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
