@@ -191,6 +191,33 @@ def test_sharding_round_trip(spark, docs, tmp_path):
     assert table.read().count() == len(texts)
 
 
+def test_sharding_of_nothing(spark, docs, tmp_path):
+    table = sharding.ShardedTable(spark, f"file://{tmp_path}/t")
+    with pytest.raises(ValueError):
+        table.read()
+    table.append(docs([]), "empty")
+    assert table.settle() == 1
+    table.vacuum()
+    assert table.read().count() == 0 and table.read().drop("_shard").columns == docs([]).columns
+
+
+def test_every_query_bears_odd_and_empty_tables(spark, docs, tmp_path):
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    from voxloom.llm import registry
+
+    odd = docs([*ODD, "same text here " * 50, "same text here " * 50]).withColumn("lang", F.lit(None).cast("string")).withColumn("kept", F.lit("clash")).withColumn("size", F.lit(1))
+    labels = spark.createDataFrame([(1, 1, 0), (4, 1, 0), (9, 0, 1), (None, 1, 1), (4, None, None)], "doc_id long, quality int, toxic int")
+    for name, n in (("odd", odd.count()), ("none", 0)):
+        folder = f"file://{tmp_path}/{name}"
+        (odd if n else odd.limit(0)).coalesce(1).write.parquet(f"{folder}/documents.parquet")
+        (labels if n else labels.limit(0)).coalesce(1).write.parquet(f"{folder}/labels.parquet")
+        for query, run in registry.QUERIES.items():
+            assert run(spark, folder).count() == n, query
+        assert corpus_pipeline.run(spark, folder).count() <= 2 * n
+
+
 def test_sharding_query_keeps_every_text(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
     got = by_id(sharding.op4_sharding(spark, SF))

@@ -57,8 +57,11 @@ class ShardedTable:
     def read(self, version: int | None = None) -> DataFrame:
         """The rows of a version, with the shard they are in as _shard."""
         files = [f"{self.path}/data/{x.shard}" for x in self.manifest(version).select("shard").toLocalIterator()]
-        if not files:
-            raise ValueError("the table has no shards")
+        if not files:  # the columns are known all the same if anything ever arrived
+            runs = self.fs.listStatus(self._path(f"{self.path}/data")) if self.fs.exists(self._path(f"{self.path}/data")) else []
+            if not len(runs):
+                raise ValueError("nothing has arrived at the table")
+            return self.spark.read.parquet(str(runs[0].getPath())).limit(0).withColumn("_shard", F.lit(""))
         name = F.element_at(F.split(F.col("_metadata.file_path"), "/data/"), -1)
         return self.spark.read.parquet(*files).withColumn("_shard", name)
 
@@ -120,10 +123,12 @@ class ShardedTable:
         return at
 
     def vacuum(self) -> None:
-        """Remove the shards that the latest version doesn't list, and older versions."""
+        """Remove the shards that the latest version doesn't list, and older versions.
+
+        A table without rows keeps its empty files, which have its columns."""
         at = self.version()
         live = {x.shard for x in self.manifest(at).select("shard").toLocalIterator()}
-        for run in self.fs.listStatus(self._path(f"{self.path}/data")):
+        for run in self.fs.listStatus(self._path(f"{self.path}/data")) if live else ():
             for f in self.fs.listStatus(run.getPath()):
                 if f.getPath().getName().startswith("part-") and f"{run.getPath().getName()}/{f.getPath().getName()}" not in live:
                     self.fs.delete(f.getPath(), False)
