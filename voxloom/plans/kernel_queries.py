@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from voxloom.operators import geometry, jobs, kernels, spatial, volume
-from voxloom.plans.spatial_queries import _layers, _mask
+from voxloom.plans.spatial_queries import _free, _layers, _mask
 from voxloom.plans.volume_queries import _edge
 from voxloom.sources import model, storage
 from voxloom.sources.model import SIDE, SPACING, with_views
@@ -133,6 +133,7 @@ TAPS = (
 )
 
 ORACLE_SQL = {
+    "background_boxes": with_views(f"SELECT 'valid' AS status, count(*) AS n FROM {_free(True)}", "picks"),
     "bandpass_fft": with_views(
         f"+ {TAPS} SELECT sample_id, ((s.z + h.z) % 4) * 16 + ((s.y + h.y) % 4) * 4 + (s.x + h.x) % 4 AS i, round(sum(s.v * h), 6) + 0.0::DOUBLE AS v FROM sample_voxels s, h GROUP BY 1, 2", "sample_voxels"
     ),
