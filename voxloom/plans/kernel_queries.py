@@ -93,9 +93,9 @@ def _tasks(spark, d):
 
 
 def _with_background(spark, d):
-    from voxloom.plans.spatial_queries import _few
+    from voxloom.plans.spatial_queries import _spread
 
-    return spatial.boxes(spatial.background(_few(spark, d), model.EXTENT, 4, 2.0, 1.5).withColumn("point_id", F.col("attempt")), 4, model.EXTENT).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    return spatial.boxes(spatial.background(_spread(spark, d), model.EXTENT, 4, 2.0, 1.5).withColumn("point_id", F.col("attempt")), 4, model.EXTENT).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
 QUERIES = {

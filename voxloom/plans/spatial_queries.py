@@ -12,24 +12,26 @@ from voxloom.sources import model
 from voxloom.sources.model import EXTENT, SIDE, SPACING, with_views
 
 BOX, DISTANCE = 4, 2.0
+#: Picks of one run where background is sought.
+PICKS_A_RUN = 12
 
 
 def _points(spark, d):
     return s.to_voxels(model.picks(spark, d), SPACING)
 
 
-def _few(spark, d):
-    """Picks of a kind that is rare enough to leave room for background."""
-    return _points(spark, d).where("point_id % 50 = 0")
+def _spread(spark, d):
+    """All picks, in runs of a few each: however many picks there are, volumes keep room for background."""
+    return _points(spark, d).withColumn("run", F.floor(F.col("point_id") / PICKS_A_RUN))
 
 
 def _background(whole):
-    return lambda spark, d: s.background(_few(spark, d), EXTENT, BOX, DISTANCE, 1.5, whole=whole).withColumns({a: F.round(a, 6) for a in "xyz"})
+    return lambda spark, d: s.background(_spread(spark, d), EXTENT, BOX, DISTANCE, 1.5, whole=whole).withColumns({a: F.round(a, 6) for a in "xyz"})
 
 
 def _with_background(spark, d):
-    points = s.background(_few(spark, d), EXTENT, BOX, DISTANCE, 1.5)
-    return s.with_background(_few(spark, d), points).groupBy("key", "is_background").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("x") + F.col("y") + F.col("z")), 3).alias("total"))
+    points = s.background(_spread(spark, d), EXTENT, BOX, DISTANCE, 1.5)
+    return s.with_background(_spread(spark, d), points).groupBy("key", "is_background").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("x") + F.col("y") + F.col("z")), 3).alias("total"))
 
 
 def _extract(strategy="centered", centred_pad=False):
