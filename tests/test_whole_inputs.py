@@ -30,3 +30,20 @@ def test_background_by_brute_force(spark):
             want[c.run].append((c.run, c.attempt, c.x, c.y, c.z))
     got = registry.QUERIES["background_points"](spark, SF).collect()
     assert sorted(map(tuple, got)) == sorted(x for xs in want.values() for x in xs)
+
+
+@pytest.mark.parametrize("name", ["connected_components", "largest_component"])
+def test_whole_masks_are_labelled(spark, name):
+    same(registry.QUERIES[name](spark, SF), registry.ORACLE_SQL[name].replace(" AND (z + y) % 4 <> 3", ""), SF)
+
+
+def test_slab_follows_the_largest_component_of_the_whole_mask(spark, tmp_path):
+    """One volume with a block of 4 x 8 x 8 voxels: a flat slab between z = 20 and 50 angstrom."""
+    cube = lambda c: [1.0 if 2 <= c // 4 * 4 + i // 16 <= 5 else 0.0 for i in range(64)]
+    spark.createDataFrame([(c, 0, cube(c)) for c in range(8)], "vec_id long, label int, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    folder = f"file://{tmp_path}"
+    assert registry.QUERIES["connected_components"](spark, folder).count() == 256
+    largest = registry.QUERIES["largest_component"](spark, folder).collect()
+    assert [(r.area, r.cz, r.cy, r.cx) for r in largest] == [(256, 3.5, 3.5, 3.5)]
+    slab = registry.QUERIES["slab_from_segmentation"](spark, folder).collect()
+    assert slab and all(abs(r.z - (50 if r.layer == "top" else 20)) < 0.01 for r in slab)

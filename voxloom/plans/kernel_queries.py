@@ -31,7 +31,7 @@ def _augmented(spark, d):
 
 
 def _components(spark, d):
-    return kernels.components(_mask(spark, d).where("(z + y) % 4 <> 3"))
+    return kernels.components(_mask(spark, d))
 
 
 def _largest(spark, d):
