@@ -47,3 +47,17 @@ def test_slab_follows_the_largest_component_of_the_whole_mask(spark, tmp_path):
     assert [(r.area, r.cz, r.cy, r.cx) for r in largest] == [(256, 3.5, 3.5, 3.5)]
     slab = registry.QUERIES["slab_from_segmentation"](spark, folder).collect()
     assert slab and all(abs(r.z - (50 if r.layer == "top" else 20)) < 0.01 for r in slab)
+
+
+def test_slabs_from_all_picks_and_from_too_few(spark, tmp_path):
+    line = spark.read.parquet(f"{SF}/lineitem.parquet")
+    got = registry.QUERIES["slab_from_picks"](spark, SF).collect()
+    assert {r.run: r.n for r in got} == dict(line.groupBy("l_suppkey").count().collect())
+    assert all(r.error is None and r.thickness is not None for r in got)
+    two = line.where("l_suppkey = 3").limit(2)
+    line.where("l_suppkey = 1").unionByName(two).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    few = {r.run: r for r in registry.QUERIES["slab_from_picks"](spark, f"file://{tmp_path}").collect()}
+    assert set(few) == {1, 3} and few[1].error is None
+    assert (few[3].n, few[3].error, few[3].thickness) == (2, "fewer than three points", None)
+    two.write.parquet(f"{tmp_path}/alone/lineitem.parquet")
+    assert [r.error for r in registry.QUERIES["slab_from_picks"](spark, f"file://{tmp_path}/alone").collect()] == ["fewer than three points"]
