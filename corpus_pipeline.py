@@ -31,10 +31,14 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document comes as often as the mix takes it, to the nearest whole number of times."""
-    mixed = mixing.mix(docs).where("taken > 0 AND doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    times = mixed.select("doc_id", F.round(F.col("taken") / F.col("size")).cast("int").alias("_times")).where("_times > 0")
-    return docs.select(*COLUMNS).join(times, "doc_id").withColumn("_turn", F.explode(F.sequence(F.lit(1), "_times"))).select(*COLUMNS)
+    """Each document comes as often as the mix takes it, to the nearest whole number of times.
+
+    Every row is mixed and repeated by itself, with or without an id. Rows are written with a number first, so that it
+    stays the same; those of equal id and size are taken in the order of a hash of all their columns."""
+    rows = common.written(docs.select(*COLUMNS, F.xxhash64(*COLUMNS).alias("_hash"), F.monotonically_increasing_id().alias("_row")), "rows")
+    mixed = mixing.mix(rows, also=("_hash", "_row")).where("taken > 0")
+    times = mixed.select("_row", F.round(F.col("taken") / F.col("size")).cast("int").alias("_times")).where("_times > 0")
+    return rows.join(times, "_row").withColumn("_turn", F.explode(F.sequence(F.lit(1), "_times"))).select(*COLUMNS)
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

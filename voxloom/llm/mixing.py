@@ -28,13 +28,14 @@ SHARE, REPEATS = 1.5, 2
 BUCKET_ROWS, MOST_BUCKETS = 1024, 65_536
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size and the place _h in the hash order."""
+def sizes(docs: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, size and the place _h in the hash order; and the columns `also`."""
     return docs.select(
         "doc_id",
         "source",
         F.regexp_count(common.text_or_empty(), F.lit(common.WORD_PATTERN)).cast("long").alias("size"),
         F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("_h"),
+        *also,
     )
 
 
@@ -72,12 +73,14 @@ def due(done: Column, start: Column, end: Column) -> Column:
     return 2 * goal / (start + F.sqrt(start * start + 2 * (end - start) * goal))
 
 
-def mix(docs: DataFrame, share: float = SHARE, repeats: int = REPEATS) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, taken, and position, null if nothing is taken."""
+def mix(docs: DataFrame, share: float = SHARE, repeats: int = REPEATS, also: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, taken, and position, null if nothing is taken.
+
+    Rows keep the columns `also`, which order those of equal id and size."""
     if repeats != 2 and repeats < 1:
         raise ValueError("repeats must be 1 or more")
     spark = docs.sparkSession
-    sized = common.written(sizes(docs), "mixing")
+    sized = common.written(sizes(docs, also), "mixing")
     buckets = max(1, min(MOST_BUCKETS, sized.count() // BUCKET_ROWS))
     placed = sized.withColumn("_b", F.floor(F.conv(F.substring("_h", 1, 8), 16, 10).cast("double") / 4294967296.0 * buckets).cast("int"))
     in_bucket = placed.groupBy("source", "_b").agg(F.sum("size").alias("_n"))
@@ -85,19 +88,19 @@ def mix(docs: DataFrame, share: float = SHARE, repeats: int = REPEATS) -> DataFr
     in_bucket = in_bucket.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     goals = targets(in_bucket.groupBy("source").agg(F.sum("_n").alias("source_size")), share, repeats)
     in_bucket = in_bucket.alias("b").join(goals.alias("g"), F.col("b.source").eqNullSafe(F.col("g.source"))).select("b.*", "source_size", "target", "_quota", "_from", "_to")
-    within = W.partitionBy("source", "_b").orderBy("_h", "size", "doc_id").rowsBetween(W.unboundedPreceding, -1)
+    within = W.partitionBy("source", "_b").orderBy("_h", "size", "doc_id", *also).rowsBetween(W.unboundedPreceding, -1)
     run = placed.withColumn("_within", F.coalesce(F.sum("size").over(within), F.lit(0)))
     joined = (
         run.alias("d")
         .join(in_bucket.alias("b"), F.col("d.source").eqNullSafe(F.col("b.source")) & (F.col("d._b") == F.col("b._b")))
-        .select("d.doc_id", "d.source", "d.size", (F.col("_before") + F.col("_within")).alias("_start"), "source_size", "target", "_quota", "_from", "_to")
+        .select("d.doc_id", "d.source", "d.size", (F.col("_before") + F.col("_within")).alias("_start"), "source_size", "target", "_quota", "_from", "_to", *[f"d.{c}" for c in also])
     )
     part = lambda k: F.least(F.col("size"), F.greatest(F.lit(0), F.col("_quota") - F.col("_start") - k * F.col("source_size")))
     taken = sum((part(k) for k in range(1, repeats)), part(0))
     mixed = joined.withColumn("taken", taken.cast("long")).withColumn(
         "position", F.when(F.col("taken") > 0, F.round(due(F.col("_start") / F.col("_quota"), F.col("_from"), F.col("_to")), 9))
     )
-    return mixed.select("doc_id", "source", "size", "source_size", "target", "taken", "position").orderBy(F.col("position").asc_nulls_last(), "doc_id")
+    return mixed.select("doc_id", "source", "size", "source_size", "target", "taken", "position", *also).orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
