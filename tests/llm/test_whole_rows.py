@@ -25,3 +25,16 @@ def test_mixing_stage_takes_rows_without_an_id_and_repeated_ids(spark):
         words[r[3]] += n * len(r[1].split())
     assert set(words) == {"a", "b", "c"}
     assert all(abs(words[s] - targets[s]) <= 7 for s in targets)  # the last document is taken in part
+
+
+def test_fingerprints_of_rows_without_an_id(spark, tmp_path):
+    from voxloom.llm import fingerprint
+
+    texts = ["one text\n\nof two sections", "another", None, ""]
+    rows = [(i, t, "s") for i, t in enumerate(texts)] + [(None, t, "s") for t in texts]
+    rows_of(spark, rows).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = fingerprint.op1_fingerprints(spark, f"file://{tmp_path}").collect()
+    known = [(r.n_chars, r.fingerprint) for r in got if r.doc_id is not None]
+    alone = [(r.n_chars, r.fingerprint) for r in got if r.doc_id is None]
+    assert len(got) == 8 and sorted(known) == sorted(alone)
+    assert {(r.edited_sha256, r.edited_fingerprint, r.near_edited, r.near_next) for r in got if r.doc_id is None} == {(None,) * 4}

@@ -11,7 +11,8 @@ differ, differing_paragraphs() follows the branches that differ down to the edit
 
 Everything is a DataFrame expression. Null counts as the empty text, which has no pieces. Each row is worked on by
 itself, except for the next document, which is found among the 256 neighbouring ids, or is the first row of a later
-group of them. Repeated ids are ordered by text; rows without a doc_id are left out. An empty table gives no rows.
+group of them. Repeated ids are ordered by text; rows without a doc_id have no next document, only a
+fingerprint and a length. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -166,4 +167,6 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     edited = edited.withColumn("edited_sha256", F.sha2(F.col("_edited").cast("binary"), 256))
     edited = with_tree(edited, "_edited", "_tree").withColumn("edited_fingerprint", fingerprint("_tree"))
     likened = with_likeness(with_likeness(edited, "fingerprint", "edited_fingerprint", "near_edited"), "fingerprint", "next_fingerprint", "near_next")
-    return likened.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    found = likened.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    alone = printed(docs.where("doc_id IS NULL")).select("doc_id", n.cast("long").alias("n_chars"), "fingerprint")
+    return found.unionByName(alone, allowMissingColumns=True)
