@@ -8,7 +8,7 @@ import pytest
 
 from compare import same
 from conftest_llm import ODD
-from voxloom.llm import graph, mixing, near_dup, sharding, substring_dedup
+from voxloom.llm import common, graph, mixing, near_dup, sharding, substring_dedup
 
 SF = "/root/testdata/sf0.001"
 
@@ -96,12 +96,10 @@ def near_texts(seed=11):
     return [*texts, "A b C", "a B c", "a", "A"]
 
 
-@pytest.mark.parametrize(("large", "few"), [(64, 2), (2, 10**9), (10**9, 10**9)])
-def test_near_duplicates(spark, docs, monkeypatch, large, few):
-    monkeypatch.setattr(near_dup, "LARGE", large)
-    monkeypatch.setattr(near_dup, "BLOCK", 4)
-    monkeypatch.setattr(near_dup, "MOST_COLUMNS", 100)
-    monkeypatch.setattr(near_dup, "FEW_PAIRS", few)
+@pytest.mark.parametrize("block", [512, 3])
+def test_near_duplicates(spark, docs, monkeypatch, block):
+    monkeypatch.setattr(near_dup, "BLOCK", block)
+    monkeypatch.setattr(common, "LEAST_HOT", block)
     texts = near_texts()
     sizes, want = true_components(texts, 2)
     got = by_id(near_dup.near_duplicates(docs(texts, extra=True), k=2))
@@ -117,6 +115,29 @@ def test_near_duplicates_of_nothing_and_without_ids(spark, docs):
     assert got == [(0, None, True), (3, 3, True), (5, 3, False), (5, 3, False)]
 
 
+def test_near_duplicates_of_shared_ids(spark):
+    """Different texts of one id are documents by themselves, linked or not."""
+    words = [f"w{i}" for i in range(60)]
+    rows = [(1, words), (1, ["other", *words[30:]]), (2, words[:-1]), (2, ["no", "links"]), (3, ["other", *words[30:], "end"]), (4, ["no", "links"])]
+    df = spark.createDataFrame([(i, " ".join(w), n) for n, (i, w) in enumerate(rows)], "doc_id long, text string, row int")
+    got = {r.row: r for r in near_dup.near_duplicates(df, k=2, also=("row",)).collect()}
+    assert [got[i].component_id for i in range(6)] == [1, 1, 1, 2, 1, 2]
+    assert got[0].component == got[2].component != got[1].component == got[4].component
+
+
+@pytest.mark.parametrize("shared", [120, 150])
+def test_texts_of_one_template_are_not_paired_with_each_other(spark, shared):
+    """Pairs grow with the texts, not with their square, where all share most words but none is a near copy."""
+    found = []
+    for n in (500, 1000, 2000):
+        texts = [(i, 0, " ".join([f"t{k}" for k in range(shared)] + [f"own{i}-{k}" for k in range(45)])) for i in range(n)]
+        df = spark.createDataFrame([(i, i, t) for i, _, t in texts], "id long, component long, text string")
+        found.append(near_dup.close_pairs(df, 2, 80).count())
+    assert all(b <= 2.5 * max(a, 1) for a, b in zip(found, found[1:]))
+    got = near_dup.near_duplicates(df.select(df.id.alias("doc_id"), "text"), k=2).collect()
+    assert all(r.kept for r in got)
+
+
 def test_estimates_are_close():
     import numpy as np
 

@@ -13,6 +13,8 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 #: Texts are handed to vectorised code in pieces of about so many characters, which bounds a task's memory.
 BATCH_CHARS = 4_000_000
+#: Keys that a join treats by themselves: so many at most, with so many rows each at least.
+MOST_HOT, LEAST_HOT = 1000, 256
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,6 +55,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_each(rows: DataFrame, table: DataFrame, on: list[str], n: str) -> DataFrame:
+    """Inner join of rows with a table that has one row for each key and, in `n`, how many of the rows have that key.
+
+    Keys of more than a MOST_HOT-th part of all rows, of which there are at most MOST_HOT, are broadcast and their rows
+    stay where they are; the others are dealt by key. So no task gets a key with more rows than that. The table should be
+    written, as it is read several times, and narrow."""
+    many = F.col(n) > max(LEAST_HOT, (table.agg(F.sum(n)).first()[0] or 0) // MOST_HOT)
+    hot = F.broadcast(table.where(many).drop(n))
+    rest = rows.join(hot.select(*on), on, "left_anti").join(table.where(~many).drop(n), on)
+    return rows.join(hot, on).unionByName(rest)
+
+
 def removed(df: DataFrame) -> None:
     """Delete what written() stored, once nothing reads it any more."""
     spark = df.sparkSession

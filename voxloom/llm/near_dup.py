@@ -8,13 +8,17 @@ collision-corrected estimate lies within four standard errors of the threshold,
 One permutation dealt over the registers would be cheaper, but leaves most registers of a short text empty; bands of one
 full register then gather all texts with a common shingle. So every register has a hash of its own.
 
-Equal sets are one class from the start. Within a band's group nobody is compared with everybody: all are compared with
-a pivot, linked, and then only members of different components are compared further, with other pivots as long as that
-leaves much less to compare, in the end every pair of different components that is left: small ones each pair in the
-first band that the two share, large ones by blocks of texts. That finds the same components as all pairs would.
+Equal sets are one class from the start. All members of a band's group are first compared with one of them, its pivot,
+which links most copies at the cost of one pair each. Groups that still hold several components are split further: their
+texts' shingles are ordered by how many of those texts have them, rarest first, and two sets can only be similar enough
+if they share a shingle early enough in both orders (prefix and position filter; it loses no pair). Texts of one template
+with words of their own share only shingles that come late, so they don't meet. Pairs that meet go through estimate and
+confirmation like the others. Pairs still grow faster than the texts where very many lie just below the threshold of each
+other: each of those has to be looked at.
 
 Null and empty texts have the empty set and are linked with nothing. A null doc_id is linked with nothing and has no
-component. doc_id identifies a document; rows that repeat one are in the same component. An empty table gives no rows.
+component. Rows that repeat a doc_id are documents by themselves; with equal texts they are in the same component. Ties
+go to the smallest doc_id, then to the smallest hash of the text. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,10 +31,8 @@ from pyspark.sql import functions as F
 from voxloom.llm import common, graph
 
 REGISTERS, MANTISSA_BITS = 128, 10
-#: Pivots are tried until the pairs left are this many for each member left, or fall by less than this share in a round.
-FEW_PAIRS, LEAST_GAIN = 2, 0.3
-#: A component of so many members or more in open groups is compared by blocks of so many texts, and so many shingles.
-LARGE, BLOCK, MOST_COLUMNS = 64, 64, 200_000
+#: Texts that share an early shingle are compared in blocks of about so many.
+BLOCK = 512
 #: Standard errors that an estimate may lie below the threshold.
 MARGIN = 4
 
@@ -92,29 +94,32 @@ def least_estimate(threshold: float) -> float:
     return threshold - MARGIN * (threshold * (1 - threshold) / REGISTERS) ** 0.5
 
 
-def sketches(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n (set size), set_key (128 bits, equal for equal sets; null for empty ones), bands."""
-    schema = "doc_id long, n long, set_key binary, bands array<long>"
+def sketches(docs: DataFrame, k: int, also: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, hash (of the text), n (set size), set_key (128 bits, equal for equal sets; null for empty ones), bands; and
+    the columns `also`."""
+    kept = ["doc_id", "hash", *also]
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("hash"), *also, "text")
+    given = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept)
 
     def run(batches):
         from xxhash import xxh3_128_digest
 
         for batch in batches:
-            texts, ids = batch.column("text").to_pylist(), batch.column("doc_id")
+            texts = batch.column("text").to_pylist()
             for a, b in common.in_pieces(texts):
                 sets = [shingles(t, k) for t in texts[a:b]]
                 bands = registers(sets).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        ids[a:b],
+                        *[batch.column(c)[a:b] for c in kept],
                         pa.array([len(x) for x in sets], pa.int64()),
                         pa.array([xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets], pa.binary()),
                         pa.ListArray.from_arrays(np.arange(0, bands.size + 1, bands.shape[1], dtype=np.int32), bands.reshape(-1)),
                     ],
-                    ["doc_id", "n", "set_key", "bands"],
+                    [*kept, "n", "set_key", "bands"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return rows.mapInArrow(run, f"{given}, n long, set_key binary, bands array<long>")
 
 
 def likely(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
@@ -135,7 +140,7 @@ def likely(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
 
 def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    side = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
+    side = lambda x: texts.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}"))
 
     def run(batches):
         last, held = None, None
@@ -152,147 +157,106 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def with_pivot(members: DataFrame, turn: int) -> DataFrame:
-    """Pairs of each group's pivot with the members of other components.
-
-    First it is the smallest id, the same in most groups of a text; later each group has another pivot in each turn."""
-    order = F.struct(F.xxhash64("id", "band", F.lit(turn)) if turn else F.lit(0), F.col("id"))
-    pivots = members.groupBy("band", "key").agg(F.min(F.struct(order.alias("o"), "component")).alias("p"))
-    pivots = pivots.select("band", "key", F.col("p.o.id").alias("pivot"), F.col("p.component").alias("of"))
-    return (
-        members.join(pivots, ["band", "key"])
-        .where("component <> of")
-        .select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
-        .distinct()
-    )
+def groups_of(placed: DataFrame) -> DataFrame:
+    """The groups (band, key) with several members: their smallest id as pivot, and how many members."""
+    return placed.groupBy("band", "key").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("members")).where("members > 1")
 
 
 def still_open(members: DataFrame, linked: DataFrame) -> DataFrame:
-    """The members of groups that still hold several components, with their components as they now are."""
-    now = members.drop("component").join(linked, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    several = now.groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    return now.join(several.select("band", "key"), ["band", "key"])
-
-
-def pairs_left(members: DataFrame) -> int:
-    """How many pairs of different components the groups hold, counted for each group they meet in."""
-    by_component = members.groupBy("band", "key", "component").agg(F.count(F.lit(1)).alias("c"))
-    by_group = by_component.groupBy("band", "key").agg(((F.pow(F.sum("c"), 2) - F.sum(F.pow("c", F.lit(2)))) / 2).alias("p"))
-    return int(by_group.agg(F.sum("p")).first()[0] or 0)
-
-
-def all_pairs(members: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """The pairs of different components in the same group, once, that size and estimate don't rule out."""
-    m = members.join(classes.select("id", "n", "bands"), "id")
-    x, y = m.alias("x"), m.alias("y")
-    masks = (0xFFFF, 0xFFFF << 16, 0xFFFF << 32, -(1 << 48))  # of the four registers in a band
-    same = F.zip_with("x.bands", "y.bands", lambda p, q: sum((p.bitwiseXOR(q).bitwiseAND(F.lit(m).cast("long")) == 0).cast("int") for m in masks))
-    first = F.array_position(same, 4) - 1 == F.col("x.band")
-    likely = F.aggregate(same, F.lit(0), lambda a, n: a + n) >= int(least_estimate(threshold) * REGISTERS)
-    sizes = (F.col("x.n") >= threshold * F.col("y.n")) & (F.col("y.n") >= threshold * F.col("x.n"))
-    met = (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component"))
-    return x.join(y, met & sizes & first & likely).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-
-
-def with_large(members: DataFrame, large: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (a, b) between large components (component, size) and the members of smaller ones in their groups.
-
-    Blocks of texts meet blocks of the component's texts; the pairs within two blocks are counted at once, by a product
-    of their shingle matrices, and only links come out, one for each member and block."""
-    in_group = members.join(large, "component").select("band", "key", F.col("component").alias("of"), F.col("size").alias("of_size")).distinct()
-    sized = members.join(large, "component", "left").withColumn("size", F.coalesce("size", F.lit(0)))
-    smaller = F.struct("size", "component") < F.struct("of_size", "of")
-    met = sized.join(in_group, ["band", "key"]).where((F.col("component") != F.col("of")) & smaller).select("id", "of").distinct()
-    own = members.join(large, "component").select("id", F.col("component").alias("of")).distinct()
-
-    def blocks(rows: DataFrame, name: str) -> DataFrame:
-        counted = rows.groupBy("of").agg(F.count(F.lit(1)).alias("c"))
-        placed = rows.join(counted, "of").withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("c") / BLOCK).cast("long")))
-        held = placed.join(texts.select(F.col("doc_id").alias("id"), "text"), "id")
-        return held.groupBy("of", "block").agg(F.collect_list(F.struct("id", "text")).alias(name)).drop("block")
-
-    def compare(batches):
+    """(id, component) of the members of groups that hold several components."""
+    now = common.written(members.join(linked, "id", "left").select("id", "band", "key", F.coalesce("component", "id").alias("component")), "now")
+    several = now.groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n"))
+    several = common.written(several.where("low < high").select("band", "key", "n"), "several")
+    return common.join_each(now, several, ["band", "key"], "n").select("id", "component").distinct()
+
+
+def exploded(texts: DataFrame, k: int) -> DataFrame:
+    """From (id, text): id, n and s, one row for each of the n shingles."""
+
+    def run(batches):
         for batch in batches:
-            a, b = [], []
-            for one, other in zip(batch.column("one").to_pylist(), batch.column("other").to_pylist(), strict=True):
-                sides = [[shingles(r["text"], k) for r in rows] for rows in (one, other)]
-                n, m = (np.array([len(x) for x in side]) for side in sides)
-                both = shared(*sides)
-                hit = 100 * both >= percent * (n[:, None] + m[None] - both)
-                for i in np.flatnonzero(hit.any(1)).tolist():
-                    x, y = one[i]["id"], other[int(hit[i].argmax())]["id"]
-                    a.append(min(x, y))
-                    b.append(max(x, y))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    return blocks(met, "one").join(blocks(own, "other"), "of").select("one", "other").mapInArrow(compare, "a long, b long")
-
-
-def shared(one: list[np.ndarray], other: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of all sets of one list with all of another, some columns of the matrices at a time."""
-    flat = np.concatenate([*one, *other])
-    names, column = np.unique(flat, return_inverse=True)
-    row = np.repeat(np.arange(len(one) + len(other)), [len(x) for x in [*one, *other]])
-    total = np.zeros((len(one), len(other)))
-    for low in range(0, len(names), MOST_COLUMNS):
-        here = (column >= low) & (column < low + MOST_COLUMNS)
-        matrix = np.zeros((len(one) + len(other), min(MOST_COLUMNS, len(names) - low)), np.float32)
-        matrix[row[here], column[here] - low] = 1
-        total += matrix[: len(one)] @ matrix[len(one) :].T
-    return total
-
-
-def linked_components(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, set_key, ...) of all documents and (set_key, component) of all classes."""
-    threshold = percent / 100
-    found = common.written(sketches(docs, k), "sketches")
-    classes = common.written(
-        found.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
-        .groupBy("set_key")
-        .agg(F.min(F.struct("doc_id", "n", "bands")).alias("x"))
-        .select("set_key", F.col("x.doc_id").alias("id"), "x.n", "x.bands"),
-        "classes",
+            texts = batch.column("text").to_pylist()
+            for a, b in common.in_pieces(texts, common.BATCH_CHARS // 8):
+                sets = [shingles(t, k) for t in texts[a:b]]
+                sizes = np.array([len(x) for x in sets], np.int64)
+                ids = np.repeat(np.asarray(batch.column("id"))[a:b], sizes)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate(sets).view(np.int64))], ["id", "n", "s"])
+
+    return texts.select("id", "text").mapInArrow(run, "id long, n long, s long")
+
+
+def prefixes(texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """From (id, text): id, n, s and pos, the shingles that a text has early enough in the order to decide on a pair.
+
+    pos counts from 0 in the text's own order, by the number of texts that have the shingle, then by its hash. Shingles
+    that no other text has come first and are counted only."""
+    rows = common.written(exploded(texts, k), "shingles")
+    often = common.written(rows.groupBy("s").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "often").withColumn("n_s", F.col("c"))
+    lists = common.join_each(rows, often, ["s"], "n_s").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("c", "s"))).alias("x"))
+    alone = (F.col("n") - F.size("x")).cast("int")
+    early = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
+    return lists.select("id", "n", alone.alias("alone"), F.posexplode(F.slice("x", F.lit(1), F.greatest(early - alone, F.lit(0)))).alias("i", "x")).select(
+        "id", "n", "x.s", (F.col("alone") + F.col("i")).alias("pos")
     )
+
+
+def close_pairs(texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of different components that sizes and orders of shingles don't rule out, from (id, component, text).
+
+    A shingle that many texts have early is dealt to pairs of blocks of them, so no task holds all of its texts."""
+    early = common.written(prefixes(texts, k, percent).join(texts.select("id", "component"), "id"), "prefixes")
+    by_shingle = early.groupBy("s").agg(F.count(F.lit(1)).alias("m"), F.min("component").alias("low"), F.max("component").alias("high"))
+    met = common.written(by_shingle.where("low < high").select("s", "m", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "met")
+    placed = common.join_each(early, met, ["s"], "m").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    placed = common.written(placed, "placed")
+    columns = ["s", "id", "n", "pos", "component"]
+    x = placed.select(*columns, F.col("block").alias("i"), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("j")).alias("x")
+    y = placed.select(*columns, F.col("block").alias("j"), F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i")).alias("y")
+    common_least = F.ceil((F.col("x.n") + F.col("y.n")) * percent / (100 + percent))
+    meet = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("s", "i", "j")]
+    meet += [F.col("x.component") != F.col("y.component"), (F.col("x.i") < F.col("x.j")) | (F.col("x.id") < F.col("y.id"))]
+    meet += [100 * F.col(f"{p}.n") >= percent * F.col(f"{q}.n") for p, q in ("xy", "yx")]
+    meet += [F.col(f"{p}.pos") + common_least <= F.col(f"{p}.n") for p in "xy"]
+    return x.join(y, meet).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+
+
+def linked_components(docs: DataFrame, k: int, percent: int, also: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """The sketches of all rows, and for every class set_key, component, component_id (its smallest doc_id) and its rows."""
+    threshold = percent / 100
+    found = common.written(sketches(docs, k, also), "sketches")
+    by_set = found.where("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key")
+    classes = by_set.agg(F.min(F.struct("doc_id", "hash", "n", "bands")).alias("x"), F.count(F.lit(1)).alias("rows"))
+    classes = common.written(classes.select(F.monotonically_increasing_id().alias("id"), "set_key", "x.*", "rows"), "classes")
     placed = classes.select("id", F.posexplode("bands").alias("band", "key"))
-    shared = placed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    members = common.written(placed.join(shared, ["band", "key"]).withColumn("component", F.col("id")), "members")
-    in_groups = members.select(F.col("id").alias("doc_id")).distinct()
-    texts = common.written(docs.select(F.col("doc_id").cast("long"), "text").join(in_groups, "doc_id").dropDuplicates(["doc_id"]), "candidates")
-    linked, turn, left, was = None, 0, None, None
-    while True:
-        last = left is not None and (left <= FEW_PAIRS * members.count() or (was is not None and left > (1 - LEAST_GAIN) * was))
-        if last:
-            size = members.select("id", "component").distinct().groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-            large = common.written(size.where(F.col("size") >= LARGE), "large")
-            small = members.join(large.select("component"), "component", "left_anti")
-            links = confirmed(all_pairs(small, classes, threshold), texts, k, percent).unionByName(with_large(members, large, texts, k, percent))
-        else:
-            links = confirmed(likely(with_pivot(members, turn), classes, threshold), texts, k, percent)
-        if linked is not None:
-            links = links.unionByName(linked.select(F.col("component").alias("a"), F.col("id").alias("b")))
-        linked = graph.components(links)
-        if last:
-            break
-        members, was, turn = common.written(still_open(members, linked), "members"), left, turn + 1
-        left = pairs_left(members)
-        if not left:
-            break
-    return found, classes.join(linked, "id", "left").select("set_key", F.coalesce("component", "id").alias("component"))
-
-
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row of docs."""
-    found, component = linked_components(docs, k, percent)
-    return (
-        found.join(component, "set_key", "left")
-        .select(
-            "doc_id",
-            F.col("n").alias("n_shingles"),
-            F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"),
-        )
-        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
-    )
+    groups = common.written(groups_of(placed), "groups")
+    members = common.written(common.join_each(placed, groups, ["band", "key"], "members"), "members")
+    in_groups = classes.join(members.select("id").distinct(), "id").select("id", "doc_id", "hash")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("hash"), "text")
+    texts = common.written(own.join(in_groups, ["doc_id", "hash"]).dropDuplicates(["id"]).select("id", "text"), "candidates")
+
+    def links(pairs: DataFrame) -> DataFrame:
+        return confirmed(likely(pairs, classes, threshold), texts, k, percent)
+
+    linked = graph.components(links(members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()))
+    left = common.written(still_open(members, linked).join(texts, "id"), "open")
+    more = links(close_pairs(left, k, percent)).unionByName(linked.select(F.col("component").alias("a"), F.col("id").alias("b")))
+    linked = graph.components(more)
+    of_class = common.written(classes.join(linked, "id", "left").select("set_key", "doc_id", "rows", F.coalesce("component", "id").alias("component")), "of-class")
+    least = common.written(of_class.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("n")), "components")
+    return found, common.join_each(of_class.drop("doc_id"), least, ["component"], "n")
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, also: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for every row of docs; and the columns `also`, if any are named, with
+    component, which tells components of equal smallest ids apart (null for rows without words or id)."""
+    found, component = linked_components(docs, k, percent, also)
+    component = common.written(component, "component")
+    known = common.join_each(found, component, ["set_key"], "rows").where("doc_id IS NOT NULL")
+    rest = found.where("set_key IS NULL OR doc_id IS NULL").withColumn("component", F.lit(None).cast("long")).withColumn("component_id", F.col("doc_id"))
+    every = known.unionByName(rest).select("doc_id", F.col("n").alias("n_shingles"), "component_id", *also, *(["hash", "component"] if also else []))
+    return every.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two-word shingles, as the query's contract has them; near_duplicates() itself takes five words."""
     return near_duplicates(common.documents(spark, sf_dir), k=2, percent=80)
