@@ -9,7 +9,7 @@ One permutation dealt over the registers would be cheaper, but leaves most regis
 full register then gather all texts with a common shingle. So every register has a hash of its own.
 
 Equal sets are one class from the start. All members of a band's group are first compared with one of them, its pivot,
-which links most copies at the cost of one pair each. Groups that still hold several components are split further: their
+which links most copies at the cost of one pair each (the text whose shingles most others have). Groups that still hold several components are split further: their
 texts' shingles are ordered by how many of those texts have them, rarest first, and two sets can only be similar enough
 if they share a shingle early enough in both orders (prefix and position filter; it loses no pair). Texts of one template
 with words of their own share only shingles that come late, so they don't meet. Pairs that meet go through estimate and
@@ -157,14 +157,28 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def groups_of(placed: DataFrame) -> DataFrame:
-    """The groups (band, key) with several members: their smallest id as pivot, and how many members."""
-    return placed.groupBy("band", "key").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("members")).where("members > 1")
+def grouped(placed: DataFrame) -> DataFrame:
+    """id, band, key and members, the group's size, for the groups with several members."""
+    groups = placed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("members")).where("members > 1").withColumn("n", F.col("members"))
+    return common.join_each(placed, common.written(groups, "groups"), ["band", "key"], "n")
+
+
+def pivot_pairs(members: DataFrame, shares: DataFrame) -> DataFrame:
+    """(a, b): for each group its pivot with the other members, once each. shares: (id, shared).
+
+    The pivot is the member whose shingles most other texts have: what copies were made from rather than one of them, so
+    most groups of a text have the same one and it links more of them than any other would."""
+    placed = members.select("id", "band", "key").join(shares, "id", "left").withColumn("shared", F.coalesce("shared", F.lit(0.0)))
+    placed = common.written(placed, "shared-members")
+    best = placed.groupBy("band", "key").agg(F.max(F.struct("shared", (-F.col("id")).alias("last"))).alias("x"), F.count(F.lit(1)).alias("n"))
+    pivots = common.written(best.select("band", "key", (-F.col("x.last")).alias("pivot"), "n"), "pivots")
+    pairs = common.join_each(placed, pivots, ["band", "key"], "n").where("id <> pivot")
+    return pairs.select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b")).distinct()
 
 
 def still_open(members: DataFrame, linked: DataFrame) -> DataFrame:
     """(id, component) of the members of groups that hold several components."""
-    now = common.written(members.join(linked, "id", "left").select("id", "band", "key", F.coalesce("component", "id").alias("component")), "now")
+    now = common.written(members.select("id", "band", "key").join(linked, "id", "left").select("id", "band", "key", F.coalesce("component", "id").alias("component")), "now")
     several = now.groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n"))
     several = common.written(several.where("low < high").select("band", "key", "n"), "several")
     return common.join_each(now, several, ["band", "key"], "n").select("id", "component").distinct()
@@ -185,26 +199,27 @@ def exploded(texts: DataFrame, k: int) -> DataFrame:
     return texts.select("id", "text").mapInArrow(run, "id long, n long, s long")
 
 
-def prefixes(texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """From (id, text): id, n, s and pos, the shingles that a text has early enough in the order to decide on a pair.
+def orders(texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """From (id, text): id, n, shared and early. Texts that share no shingle are left out.
 
-    pos counts from 0 in the text's own order, by the number of texts that have the shingle, then by its hash. Shingles
-    that no other text has come first and are counted only."""
+    A text's shingles are ordered by the number of texts that have them, then by their hash. early: structs (s, pos) of
+    those that come early enough to decide on a pair, pos counted from 0; shingles of no other text come first and are
+    counted only. shared: the mean logarithm of those numbers."""
     rows = common.written(exploded(texts, k), "shingles")
     often = common.written(rows.groupBy("s").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "often").withColumn("n_s", F.col("c"))
     lists = common.join_each(rows, often, ["s"], "n_s").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("c", "s"))).alias("x"))
     alone = (F.col("n") - F.size("x")).cast("int")
     early = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
-    return lists.select("id", "n", alone.alias("alone"), F.posexplode(F.slice("x", F.lit(1), F.greatest(early - alone, F.lit(0)))).alias("i", "x")).select(
-        "id", "n", "x.s", (F.col("alone") + F.col("i")).alias("pos")
-    )
+    shared = F.aggregate("x", F.lit(0.0), lambda a, x: a + F.log(x["c"])) / F.col("n")
+    decisive = F.transform(F.slice("x", F.lit(1), F.greatest(early - F.col("alone"), F.lit(0))), lambda x, i: F.struct(x["s"].alias("s"), (F.col("alone") + i).alias("pos")))
+    return lists.withColumn("alone", alone).select("id", "n", shared.alias("shared"), decisive.alias("early"))
 
 
-def close_pairs(texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of different components that sizes and orders of shingles don't rule out, from (id, component, text).
+def close_pairs(opened: DataFrame, ordered: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of different components that sizes and orders of shingles don't rule out. opened: (id, component).
 
     A shingle that many texts have early is dealt to pairs of blocks of them, so no task holds all of its texts."""
-    early = common.written(prefixes(texts, k, percent).join(texts.select("id", "component"), "id"), "prefixes")
+    early = common.written(ordered.join(opened, "id").select("id", "component", "n", F.explode("early").alias("x")).select("id", "component", "n", "x.*"), "early")
     by_shingle = early.groupBy("s").agg(F.count(F.lit(1)).alias("m"), F.min("component").alias("low"), F.max("component").alias("high"))
     met = common.written(by_shingle.where("low < high").select("s", "m", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "met")
     placed = common.join_each(early, met, ["s"], "m").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
@@ -228,8 +243,7 @@ def linked_components(docs: DataFrame, k: int, percent: int, also: tuple[str, ..
     classes = by_set.agg(F.min(F.struct("doc_id", "hash", "n", "bands")).alias("x"), F.count(F.lit(1)).alias("rows"))
     classes = common.written(classes.select(F.monotonically_increasing_id().alias("id"), "set_key", "x.*", "rows"), "classes")
     placed = classes.select("id", F.posexplode("bands").alias("band", "key"))
-    groups = common.written(groups_of(placed), "groups")
-    members = common.written(common.join_each(placed, groups, ["band", "key"], "members"), "members")
+    members = common.written(grouped(placed), "members")
     in_groups = classes.join(members.select("id").distinct(), "id").select("id", "doc_id", "hash")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("hash"), "text")
     texts = common.written(own.join(in_groups, ["doc_id", "hash"]).dropDuplicates(["id"]).select("id", "text"), "candidates")
@@ -237,9 +251,10 @@ def linked_components(docs: DataFrame, k: int, percent: int, also: tuple[str, ..
     def links(pairs: DataFrame) -> DataFrame:
         return confirmed(likely(pairs, classes, threshold), texts, k, percent)
 
-    linked = graph.components(links(members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()))
-    left = common.written(still_open(members, linked).join(texts, "id"), "open")
-    more = links(close_pairs(left, k, percent)).unionByName(linked.select(F.col("component").alias("a"), F.col("id").alias("b")))
+    ordered = common.written(orders(texts, k, percent), "orders")
+    linked = graph.components(links(pivot_pairs(members, ordered.select("id", "shared"))))
+    opened = common.written(still_open(members, linked), "open")
+    more = links(close_pairs(opened, ordered, percent)).unionByName(linked.select(F.col("component").alias("a"), F.col("id").alias("b")))
     linked = graph.components(more)
     of_class = common.written(classes.join(linked, "id", "left").select("set_key", "doc_id", "rows", F.coalesce("component", "id").alias("component")), "of-class")
     least = common.written(of_class.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("n")), "components")
