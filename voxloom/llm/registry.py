@@ -18,5 +18,6 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_sharding": sharding.ORACLE_SQL,
     "op10_mixing": mixing.ORACLE_SQL,
 }
