@@ -7,10 +7,11 @@ builds a compressed FM-index of its runs and streams them through it: backward s
 the longest matches leftwards and reports the windows with two occurrences or more, counted with the runs' multiplicity.
 
 An anchor with very many different runs would fill a shard. Its runs are cut into single windows, each filed under its
-own hash and counted first, which spreads them over all shards and still compares all of them.
+own hash, equal ones counted together, which spreads them over all shards; the index of the shard decides on them too.
 
-Null and empty texts have no words. doc_id identifies a document; rows without one are told apart by a hash of their text
-and treated like the others. Repeated rows are occurrences like any other. An empty table gives no rows.
+Null and empty texts have no words. Every row is a document by itself: rows are told apart by doc_id and a hash of the
+text, so different texts may share an id, and rows without an id are treated like the others. Rows that repeat id and text
+are occurrences like any other. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -99,12 +100,12 @@ def run_hashes(h: np.ndarray, starts: np.ndarray, sizes: np.ndarray, window: int
 
 
 def runs(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """(anchor, run, doc_id, start, n, w): start in words of the document, run a hash of the run's words, w 2 if it has a
+    """(anchor, run, key, hash, start, n, w): start in words of the document, run a hash of the run's words, w 2 if it has a
     window twice."""
 
     def cut(batches):
         for batch in batches:
-            texts, ids = batch.column("text").to_pylist(), batch.column("doc_id")
+            texts = batch.column("text").to_pylist()
             for a, b in common.in_pieces(texts):
                 h, starts = hashed_words(texts[a:b])
                 got = anchored_runs(h, starts, window, gram)
@@ -114,22 +115,23 @@ def runs(docs: DataFrame, window: int, gram: int) -> DataFrame:
                     [
                         pa.array(got["anchor"].view(np.int64)),
                         pa.array(run_hashes(h, got["start"], got["n"], window).view(np.int64)),
-                        ids[a:b].take(pa.array(got["text"])),
+                        *[batch.column(c)[a:b].take(pa.array(got["text"])) for c in ("key", "hash")],
                         pa.array((got["start"] - starts[got["text"]]).astype(np.int32)),
                         pa.array(got["n"].astype(np.int32)),
                         pa.array(got["twice"].astype(np.int32) + 1, pa.int32()),
                     ],
-                    ["anchor", "run", "doc_id", "start", "n", "w"],
+                    ["anchor", "run", "key", "hash", "start", "n", "w"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, "anchor long, run long, doc_id long, start int, n int, w int")
+    return docs.select("key", "hash", "text").mapInArrow(cut, "anchor long, run long, key long, hash long, start int, n int, w int")
 
 
 def cut_out(docs: DataFrame, witnesses: DataFrame, window: int) -> DataFrame:
-    """The words of each witness (doc_id, start, n, anchor, run, weight, cut), or of its windows one by one if cut.
+    """The words of each witness (key, hash, start, n, anchor, run, weight, cut), or of its windows one by one if cut.
 
-    Returns (anchor, run, at, route, words, weight): at is the place within the run, route what decides on the shard."""
-    wanted = witnesses.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "run", "start", "n", "weight", "cut")).alias("wanted"))
+    Returns (anchor, run, at, route, words, weight): at is the place of a window within its run, -1 for a whole run, and
+    route what decides on the shard."""
+    wanted = witnesses.groupBy("key", "hash").agg(F.collect_list(F.struct("anchor", "run", "start", "n", "weight", "cut")).alias("wanted"))
 
     def take(batches):
         from xxhash import xxh64_intdigest
@@ -144,7 +146,7 @@ def cut_out(docs: DataFrame, witnesses: DataFrame, window: int) -> DataFrame:
                     for x in wanted:
                         start, n = x["start"], x["n"]
                         if not x["cut"]:
-                            rows.append((x["anchor"], x["run"], 0, x["anchor"], b" ".join(words[start : start + n + window - 1]), x["weight"]))
+                            rows.append((x["anchor"], x["run"], -1, x["anchor"], b" ".join(words[start : start + n + window - 1]), x["weight"]))
                             continue
                         for i in range(n):
                             one = b" ".join(words[start + i : start + i + window])
@@ -152,7 +154,7 @@ def cut_out(docs: DataFrame, witnesses: DataFrame, window: int) -> DataFrame:
                 columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    joined = docs.select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id").select("text", "wanted")
+    joined = docs.select("key", "hash", "text").join(wanted, ["key", "hash"]).select("text", "wanted")
     return joined.mapInArrow(take, "anchor long, run long, at int, route long, words binary, weight long")
 
 
@@ -188,34 +190,45 @@ def matched(pieces: DataFrame, window: int) -> DataFrame:
     return pieces.repartition("route").sortWithinPartitions("route").select("route", "piece", "words", "weight").mapInArrow(shards, "route long, piece long, start int, n int")
 
 
+def with_key(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and key and hash, which tell rows of different ids or texts apart, those without an id too."""
+    own = F.col("doc_id").cast("long")
+    key = F.coalesce(own, F.xxhash64(F.lit(1), "text")).alias("key")
+    return docs.select(own.alias("doc_id"), key, F.xxhash64("text", own.isNull()).alias("hash"), "text")
+
+
 def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(doc_id, spans): for every document with repeated windows, structs (start, n) of n windows from word start on.
+    """(key, hash, spans) from rows with_key(): for every document with repeated windows, structs (start, n) of n windows
+    from word start on.
 
-    Every row needs a doc_id."""
+    A passage that very many documents hold is one anchor and one run with very many rows; such keys are broadcast."""
     found = common.written(runs(docs, window, gram), "runs")
-    shared = found.groupBy("anchor").agg(F.sum("w").alias("w")).where("w > 1").select("anchor")
-    again = common.written(found.join(shared, "anchor").drop("w"), "repeated-runs")
+    shared = common.written(found.groupBy("anchor").agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("n_rows")).where("w > 1").select("anchor", "n_rows"), "anchors")
+    again = common.written(common.join_each(found.drop("w"), shared, ["anchor"], "n_rows"), "repeated-runs")
     common.removed(found)
     different = common.written(
-        again.groupBy("anchor", "run").agg(F.count(F.lit(1)).alias("weight"), F.min(F.struct("doc_id", "start", "n")).alias("x")), "different-runs"
+        again.groupBy("anchor", "run").agg(F.count(F.lit(1)).alias("weight"), F.min(F.struct("key", "hash", "start", "n")).alias("x")), "different-runs"
     )
-    crowded = different.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > MOST_RUNS).select("anchor", F.lit(True).alias("cut"))
-    witnesses = different.join(crowded, "anchor", "left").select("anchor", "run", "weight", "x.*", F.coalesce("cut", F.lit(False)).alias("cut"))
+    crowded = common.written(different.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).withColumn("cut", F.col("c") > MOST_RUNS), "crowded")
+    witnesses = common.join_each(different, crowded, ["anchor"], "c").select("anchor", "run", "weight", "x.*", "cut")
     pieces = common.written(cut_out(docs, witnesses, window), "pieces")
-    whole = pieces.where("anchor = route").select("route", F.col("run").alias("piece"), "words", "weight")
-    single = pieces.where("anchor <> route").groupBy("route").agg(F.min("words").alias("words"), F.sum("weight").alias("weight")).select("route", F.col("route").alias("piece"), "words", "weight")
+    whole = pieces.where("at < 0").select("route", F.col("run").alias("piece"), "words", "weight")
+    windows = pieces.where("at >= 0").withColumn("piece", F.xxhash64("words"))
+    single = windows.groupBy("route", "piece", "words").agg(F.sum("weight").alias("weight"))
     hits = common.written(matched(whole.unionByName(single), window), "hits")
-    spans = hits.where("route <> piece").select(F.col("route").alias("anchor"), F.col("piece").alias("run"), "start", "n")
-    of_single = pieces.where("anchor <> route").select("anchor", "run", "at", "route").join(hits.where("route = piece").select("route").distinct(), "route")
+    spans = hits.select(F.col("route").alias("anchor"), F.col("piece").alias("run"), "start", "n")  # those of single windows are of no run
+    of_single = windows.select("anchor", "run", "at", "route", "piece").join(hits.select("route", "piece").distinct(), ["route", "piece"])
     spans = spans.unionByName(of_single.select("anchor", "run", F.col("at").alias("start"), F.lit(1).cast("int").alias("n")))
-    in_docs = again.select("anchor", "run", "doc_id", F.col("start").alias("_from")).join(spans, ["anchor", "run"])
-    return in_docs.groupBy("doc_id").agg(F.collect_list(F.struct((F.col("_from") + F.col("start")).alias("start"), "n")).alias("spans"))
+    by_run = spans.distinct().groupBy("anchor", "run").agg(F.collect_list(F.struct("start", "n")).alias("found"))
+    by_run = common.written(by_run.join(different.select("anchor", "run", "weight"), ["anchor", "run"]), "spans")
+    in_docs = common.join_each(again.select("anchor", "run", "key", "hash", F.col("start").alias("_from")), by_run, ["anchor", "run"], "weight")
+    moved = F.transform("found", lambda x: F.struct((F.col("_from") + x["start"]).alias("start"), x["n"].alias("n")))
+    return in_docs.select("key", "hash", moved.alias("spans")).groupBy("key", "hash").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """doc_id, n_words, n_removed and kept, the kept words joined by a space, for every row."""
-    own = F.col("doc_id").cast("long")
-    keyed = docs.select(own.alias("own_id"), F.coalesce(own, F.xxhash64("text")).alias("doc_id"), "text")
+    keyed = with_key(docs)
     spans = repeated_windows(keyed, window, gram)
 
     def drop(batches):
@@ -232,10 +245,10 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
                 n_removed.append(int(gone.sum()))
                 kept.append(b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g]).decode())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("own_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"]
+                [batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"]
             )
 
-    joined = keyed.join(spans, "doc_id", "left").select("own_id", "text", "spans")
+    joined = keyed.join(spans, ["key", "hash"], "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(drop, "doc_id long, n_words long, n_removed long, kept string")
 
 
