@@ -61,6 +61,17 @@ def test_substring_dedup_of_nothing_and_without_ids(spark, docs):
     assert got[1].n_removed == got[None].n_removed == 40  # rows without an id are documents like the others
 
 
+def test_substring_dedup_of_shared_ids(spark, monkeypatch):
+    """Rows are told apart by id and text; one without id and text may lie beside an id that equals its hash."""
+    monkeypatch.setattr(common, "LEAST_HOT", 1)
+    a, c, d = (" ".join(f"{x}{i}" for i in range(50)) for x in "acd")
+    rows = [(1, a), (2, a), (1, c), (None, a + " " + d), (None, None), (None, d), (42, "start " + d), (7, c + " end"), (7, "x " + c), (7, "x " + c)]
+    df = spark.createDataFrame([(i, t) for i, t in rows], "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.n_words, r.n_removed, r.kept) for r in substring_dedup.without_repeats(df).collect())
+    want = [(i or 0, *found) for (i, _), found in zip(rows, without_windows([t for _, t in rows]), strict=True)]
+    assert got == sorted(want)
+
+
 def sets_of(texts, k):
     for t in texts:
         w = (t or "").encode().lower().split()
@@ -132,7 +143,7 @@ def test_texts_of_one_template_are_not_paired_with_each_other(spark, shared):
     for n in (500, 1000, 2000):
         texts = [(i, 0, " ".join([f"t{k}" for k in range(shared)] + [f"own{i}-{k}" for k in range(45)])) for i in range(n)]
         df = spark.createDataFrame([(i, i, t) for i, _, t in texts], "id long, component long, text string")
-        found.append(near_dup.close_pairs(df, 2, 80).count())
+        found.append(near_dup.close_pairs(df.select("id", "component"), near_dup.orders(df, 2, 80), 80).count())
     assert all(b <= 2.5 * max(a, 1) for a, b in zip(found, found[1:]))
     got = near_dup.near_duplicates(df.select(df.id.alias("doc_id"), "text"), k=2).collect()
     assert all(r.kept for r in got)
@@ -222,6 +233,54 @@ def test_sharding_of_nothing(spark, docs, tmp_path):
     assert table.read().count() == 0 and table.read().drop("_shard").columns == docs([]).columns
 
 
+def test_two_writers_of_one_version(spark, docs, tmp_path, monkeypatch):
+    """Both have found the version free and staged their lists before either puts its own in place."""
+    from threading import Barrier, Thread
+
+    ready, put, got = Barrier(2, timeout=120), sharding.ShardedTable._put, []
+
+    def together(self, *paths):
+        ready.wait()
+        return put(self, *paths)
+
+    def write(i):
+        table = sharding.ShardedTable(spark, f"file://{tmp_path}/t")
+        try:
+            got.append((i, table._commit(lists[i], 0)))
+        except sharding.Conflict:
+            got.append((i, None))
+
+    lists = [spark.createDataFrame([(f"run/{i}", "a", 1, 1)], sharding.MANIFEST) for i in range(2)]
+    monkeypatch.setattr(sharding.ShardedTable, "_put", together)
+    writers = [Thread(target=write, args=(i,)) for i in range(2)]
+    for t in writers:
+        t.start()
+    for t in writers:
+        t.join()
+    monkeypatch.undo()
+    assert sorted(str(v) for _, v in got) == ["1", "None"]
+    table = sharding.ShardedTable(spark, f"file://{tmp_path}/t")
+    assert table.version() == 1 and [r.shard for r in table.manifest().collect()] == [f"run/{next(i for i, v in got if v)}"]
+
+
+def test_an_append_goes_on_top_of_the_version_that_won(spark, docs, tmp_path, monkeypatch):
+    one, other = (sharding.ShardedTable(spark, f"file://{tmp_path}/t") for _ in range(2))
+    shards, seen = one._shards, []
+
+    def meanwhile(*a):
+        if not seen:
+            seen.append(other.append(docs(["from the other"]), "b"))
+        return shards(*a)
+
+    monkeypatch.setattr(one, "_shards", meanwhile)
+    assert one.append(docs(["own"]), "a") == 2 and seen == [1]
+    assert sorted(r.text for r in one.read().collect()) == ["from the other", "own"]
+
+
+def test_sharding_against_sql(spark):
+    same(sharding.op4_sharding(spark, SF), sharding.ORACLE_SQL, SF)
+
+
 def test_every_query_bears_odd_and_empty_tables(spark, docs, tmp_path):
     import corpus_pipeline
     from pyspark.sql import functions as F
