@@ -2,17 +2,19 @@
 
 A section ends after an empty line, a paragraph after a line break, a piece after a word that ends in one of a fixed set
 of characters, or after 64 characters; boundaries depend on nearby text only, so an edit leaves the pieces elsewhere as
-they were. Pieces are hashed with SHA-256; a paragraph's hash is that of its pieces' hashes, a section's that of its
+they were. The first 32 characters of a text are cut finer, after vowels and spaces, so that the shortest texts have
+several pieces too. Pieces are hashed with SHA-256; a paragraph's hash is that of its pieces' hashes, a section's that of its
 paragraphs', the root's that of its sections'. Separators belong to the pieces, so texts are equal if their roots are.
 
 A fingerprint is the root in hex, a colon, and six hex digits of each piece. The likeness of two fingerprints is 1 if
 their roots are equal, else twice the number of distinct pieces they share by the number both have. Where two trees
-differ, differing_paragraphs() follows the branches that differ down to the edited paragraphs.
+differ, differing_paragraphs() follows the branches that differ down to the edited paragraphs; with_first_difference()
+follows the first one within a row.
 
 Everything is a DataFrame expression. Null counts as the empty text, which has no pieces. Each row is worked on by
-itself, except for the next document, which is found among the 256 neighbouring ids, or is the first row of a later
-group of them. Repeated ids are ordered by text; rows without a doc_id have no next document, only a
-fingerprint and a length. An empty table gives no rows.
+itself, except for the next document, which is found among the 64 neighbouring ids, or is the first row of a later
+group of them. Repeated ids are ordered by text, rows that also repeat that are alike. Rows without a doc_id have no next
+document, only a fingerprint and a length. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,9 +26,12 @@ from pyspark.sql import functions as F
 from voxloom.llm import common
 
 PIECE = r"(?s)[^\n]{0,63}?(?:[es\p{P}][ \t]+|\n)|[^\n]{1,64}"
+#: The first so many characters of a text, and their pieces.
+FINE_CHARS = 32
+FINE = r"(?s)[^\n]{0,3}?(?:[aeiou\p{P} \t]|\n)|[^\n]{1,4}"
 DIGITS = 6
 #: Bits of a doc_id that rows of one group of neighbours may differ in, and of the groups on the levels above.
-NEAR_BITS, LEVEL_BITS = 8, 12
+NEAR_BITS, LEVEL_BITS = 6, 12
 
 
 def _hash(x: Column) -> Column:
@@ -39,14 +44,16 @@ def _parts(x: Column, pattern: str) -> Column:
 
 def with_tree(docs: DataFrame, text: str, out: str) -> DataFrame:
     """Add `out`: struct(root, sections), where a section is (hash, paragraphs) and a paragraph (hash, n_chars, pieces)."""
-    paragraph = lambda p: F.transform(F.regexp_extract_all(p, F.lit(PIECE), F.lit(0)), _hash)
+    cut = lambda p, pattern: F.regexp_extract_all(p, F.lit(pattern), F.lit(0))
+    first = lambda p: F.concat(cut(F.left(p, F.lit(FINE_CHARS)), FINE), cut(F.substring(p, FINE_CHARS + 1, 1 << 30), PIECE))
+    pieces = lambda p, at_start: F.transform(F.when(at_start, first(p)).otherwise(cut(p, PIECE)), _hash)
     joined = lambda xs, f: _hash(F.array_join(F.transform(xs, f), ""))
     return (
         docs.withColumn(
             "_pieces",
             F.transform(
                 _parts(common.text_or_empty(text), r"(?<=\n\n)"),
-                lambda s: F.transform(_parts(s, r"(?<=\n)"), lambda p: F.struct(F.char_length(p).alias("n_chars"), paragraph(p).alias("pieces"))),
+                lambda s, i: F.transform(_parts(s, r"(?<=\n)"), lambda p, j: F.struct(F.char_length(p).alias("n_chars"), pieces(p, i + j == 0).alias("pieces"))),
             ),
         )
         .withColumn(
@@ -110,6 +117,30 @@ def differing_paragraphs(pairs: DataFrame, one: str, other: str) -> DataFrame:
     )
 
 
+def with_first_difference(df: DataFrame, one: str, other: str, prefix: str) -> DataFrame:
+    """Add <prefix>_section, <prefix>_paragraph (counted from 0) and <prefix>_start (code points): where `one` first departs
+    from `other`, down to the paragraph; null where the roots are equal or only `other` goes on."""
+    first = lambda a, b: F.nullif(F.array_position(F.zip_with(a, b, lambda x, y: x.isNotNull() & ~x.eqNullSafe(y)), True), F.lit(0)) - 1
+    sections = lambda c: F.transform(F.col(c)["sections"], lambda s: s["hash"])
+    size = lambda ps: F.aggregate(ps, F.lit(0), lambda a, p: a + p["n_chars"])
+    at = lambda c: F.get(F.col(c)["sections"], F.col(f"{prefix}_section").cast("int"))["paragraphs"]
+    before = lambda xs, n: F.slice(xs, F.lit(1), n.cast("int"))
+    return (
+        df.withColumn("_one", sections(one))
+        .withColumn("_other", sections(other))
+        .withColumn(f"{prefix}_section", first(F.col("_one"), F.col("_other")))
+        .withColumn("_within", at(one))
+        .withColumn("_one", F.transform("_within", lambda p: p["hash"]))
+        .withColumn("_other", F.coalesce(F.transform(at(other), lambda p: p["hash"]), F.array().cast("array<string>")))
+        .withColumn(f"{prefix}_paragraph", first(F.col("_one"), F.col("_other")))
+        .withColumn(
+            f"{prefix}_start",
+            (F.aggregate(before(F.col(one)["sections"], F.col(f"{prefix}_section")), F.lit(0), lambda a, s: a + size(s["paragraphs"])) + size(before(F.col("_within"), F.col(f"{prefix}_paragraph")))).cast("long"),
+        )
+        .drop("_one", "_other", "_within")
+    )
+
+
 def next_ids(ids: DataFrame) -> DataFrame:
     """(doc_id, next_id) for distinct ids: the next greater one, the smallest after the greatest.
 
@@ -158,6 +189,8 @@ def with_next(docs: DataFrame, with_columns, columns: list[str]) -> DataFrame:
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns, and edited_section, edited_paragraph and edited_start: where the text departs from its edited
+    one, by descent through both trees."""
     docs = common.documents(spark, sf_dir).select("doc_id", common.text_or_empty().alias("text"))
     printed = lambda rows: with_tree(rows, "text", "_tree").withColumn("fingerprint", fingerprint("_tree")).drop("_tree")
     paired = with_next(docs, printed, ["text", "fingerprint"])
@@ -165,8 +198,10 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     replaced = F.floor(n / 4).cast("int")
     edited = paired.withColumn("n_chars", n.cast("long")).withColumn("_edited", F.concat(F.left("text", n - replaced), F.left("next_text", replaced)))
     edited = edited.withColumn("edited_sha256", F.sha2(F.col("_edited").cast("binary"), 256))
-    edited = with_tree(edited, "_edited", "_tree").withColumn("edited_fingerprint", fingerprint("_tree"))
-    likened = with_likeness(with_likeness(edited, "fingerprint", "edited_fingerprint", "near_edited"), "fingerprint", "next_fingerprint", "near_next")
-    found = likened.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    edited = with_tree(with_tree(edited, "text", "_own"), "_edited", "_tree").withColumn("edited_fingerprint", fingerprint("_tree"))
+    located = with_first_difference(edited, "_own", "_tree", "edited")
+    likened = with_likeness(with_likeness(located, "fingerprint", "edited_fingerprint", "near_edited"), "fingerprint", "next_fingerprint", "near_next")
+    places = ["edited_section", "edited_paragraph", "edited_start"]
+    found = likened.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", *places)
     alone = printed(docs.where("doc_id IS NULL")).select("doc_id", n.cast("long").alias("n_chars"), "fingerprint")
     return found.unionByName(alone, allowMissingColumns=True)
