@@ -62,6 +62,28 @@ def test_secret_spans(spark, docs):
     assert cleaned[16].text == "see [random] here" and cleaned[16].n_chars == len("see [random] here") and cleaned[0].text is None
 
 
+def test_recall_of_random_keys_by_kind_and_length():
+    import string
+
+    tokens_of, r = secrets.tiktoken_encoder(secrets.vocabulary()), random.Random(8)
+    low, up, digits = string.ascii_lowercase, string.ascii_uppercase, string.digits
+    for kind in (low + up + digits, low + up + digits + "+/", low + up, low + digits, up + digits, low, up, digits + "ABCDEF"):
+        for n in (16, 20, 24, 32, 40, 64):
+            keys = ["".join(r.choices(kind, k=n)) for _ in range(300)]
+            hit = sum(any(k == "random" for *_, k in secrets.scan(f"it is {x}, or so", tokens_of)) for x in keys)
+            assert hit >= 0.88 * len(keys), (kind, n, hit)
+
+
+def test_what_is_no_random_key():
+    tokens_of = secrets.tiktoken_encoder(secrets.vocabulary())
+    digest = "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"
+    words = ["Donaudampfschifffahrt", "internationalization_of_everything", "getNumberOfRowsInTable", "src/main/java/package", "HAVE_SYS_XATTR_H", "2024-05-06_12-30-59", "=" * 40, "123E4567-E89B-12D3-A456-426614174000", f"SHA1: {digest}"]
+    assert not any(secrets.scan(f"see {w} here", tokens_of) for w in words)
+    assert [x[2] for x in secrets.scan(f"see {digest} here", tokens_of)] == ["random"]
+    texts = [r[0] for r in __import__("duckdb").sql(f"SELECT text FROM '{SF}/documents.parquet' WHERE text IS NOT NULL").fetchall()]
+    assert sum(k == "random" for t in texts for *_, k in secrets.scan(t, tokens_of)) <= 1  # none is planted there
+
+
 def test_fingerprints(spark, docs):
     texts = [*ODD, "one line. " * 20, "one line. " * 20 + "more", "section one.\nline two of it.\n\nsection two.\nits line.\n"]
     df = docs(texts, extra=True)
@@ -87,15 +109,55 @@ def test_likeness_and_differing_paragraphs(spark):
     assert [(r.doc_id, a[r.start : r.start + r.n_chars]) for r in rows] == [(1, "second line here.\n")]
 
 
-def test_fingerprint_query(spark):
+def tree_of(text):
+    """[[(paragraph, pieces)]] of the sections of a text, in plain Python."""
+    import regex
+
+    cut = lambda x, end: [p for p in regex.split(end, x, flags=regex.V1) if p]
+    out = []
+    for i, section in enumerate(cut(text, r"(?<=\n\n)")):
+        out.append([])
+        for j, p in enumerate(cut(section, r"(?<=\n)")):
+            head = p[: fingerprint.FINE_CHARS] if i + j == 0 else ""
+            out[-1].append((p, regex.findall(fingerprint.FINE, head) + regex.findall(fingerprint.PIECE, p[len(head) :])))
+    return out
+
+
+def likeness_of(a, b):
+    x, y = ({hashlib.sha256(q.encode()).hexdigest()[:6] for s in tree_of(t) for _, ps in s for q in ps} for t in (a, b))
+    return 1.0 if a == b else 2 * len(x & y) / (len(x) + len(y)) if x or y else 0.0
+
+
+def first_difference(a, b):
+    x, y = tree_of(a), tree_of(b)
+    for i, s in enumerate(x):
+        if i >= len(y) or s != y[i]:
+            for j, p in enumerate(s):
+                if i >= len(y) or j >= len(y[i]) or p != y[i][j]:
+                    return i, j, sum(len(q) for t in x[:i] for q, _ in t) + sum(len(q) for q, _ in s[:j])
+            return i, None, None
+    return None, None, None
+
+
+def test_fingerprint_query(spark, tmp_path):
     from voxloom.llm.fingerprint import op1_fingerprints
 
-    texts = [r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()]
-    got = by_id(op1_fingerprints(spark, SF))
-    for i, t in enumerate(texts):
+    given = spark.read.parquet(f"{SF}/documents.parquet")
+    short = ["Short one.", "word", "four words of text", "a\n\nb\n", "", "Ein kurzer Satz, mehr nicht", "p\nq\n\nr\ns\n"]
+    more = spark.createDataFrame([(1000 + i, t, "en", "s", len(t)) for i, t in enumerate(short)], "doc_id long, text string, lang string, source string, n_chars long")
+    given.unionByName(more.select(*[more[c].cast(given.schema[c].dataType).alias(c) for c in given.columns])).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = spark.read.parquet(f"{tmp_path}/documents.parquet").orderBy("doc_id").collect()
+    got, texts = by_id(op1_fingerprints(spark, f"file://{tmp_path}")), [r.text or "" for r in rows]
+    assert len(got) == len(rows)
+    for i, r in enumerate(rows):
+        t, after, x = texts[i], texts[(i + 1) % len(texts)], got[r.doc_id]
         q = len(t) // 4
-        edited = t[: len(t) - q] + texts[(i + 1) % len(texts)][:q]
-        assert got[i].n_chars == len(t) and got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        edited = t[: len(t) - q] + after[:q]
+        assert x.n_chars == len(t) and x.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        assert (x.fingerprint == x.edited_fingerprint) == (t == edited)
+        assert abs(x.near_edited - likeness_of(t, edited)) < 1e-12 and abs(x.near_next - likeness_of(t, after)) < 1e-12
+        assert (x.edited_section, x.edited_paragraph, x.edited_start) == first_difference(t, edited)
+    assert min(got[1000 + i].near_edited for i in (0, 2, 5)) > 0.3 and got[1004].near_edited == 1.0
 
 
 def test_next_ids_over_sparse_ids(spark):

@@ -1,12 +1,15 @@
 """Secret scans: fixed patterns, and a token-efficiency test for random strings.
 
 Text that people write, code included, packs several characters into a token of a byte-pair vocabulary; random strings
-do not. Long runs of key characters whose characters per token are at most a threshold are reported as `random`, unless
-a fixed pattern already covers them or they are of a known harmless form: digests of usual lengths, UUIDs, numbers and
-dates, and identifiers made of one letter case and separators.
-
-Spans are code points, end exclusive. Null texts count as empty. Every row is scanned by itself, in whole, in one pass
-without a shuffle; tasks hold one batch of texts.
+do not. Runs of key characters whose characters per token are at most a threshold are reported as `random`, unless a
+fixed pattern already covers them or they are known to be something else: UUIDs, numbers and dates, hexadecimal digests
+of usual lengths that are called so just before, integrity values, and identifiers, that is words joined by underscores,
+slashes or capitals, most of them with a vowel. Everything else, runs of one letter case included, is left to the test.
+
+Spans are code points, end exclusive. Spans of different kinds may overlap or start together; they come by start, then
+kind as listed. Null texts count as empty, and like empty texts have no spans; a redacted null stays null. Every row is
+scanned by itself, in whole, in one pass without a shuffle, so repeated rows and ids give repeated results, further
+columns have no influence, and an empty table gives no rows. Tasks hold one batch of texts.
 """
 
 from __future__ import annotations
@@ -28,18 +31,50 @@ LEAST_ASSIGNED = 6
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 
-#: A candidate is a run of so many key characters at least, and random at so few characters per token.
-LEAST_RUN, MOST_CHARS_PER_TOKEN = 20, 1.65
+#: A candidate is a run of so many key characters at least. It is random at so few characters per token; in a run of
+#: letters only, as long words are, each share of vowels counts as so many characters more, and the limit is another.
+#: Fitted on generated keys and on the words of the tables (README).
+LEAST_RUN, MOST_CHARS_PER_TOKEN, VOWEL_WEIGHT, MOST_OF_LETTERS = 16, 2.0, 2.0, 2.5
 RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST_RUN},}}")
-#: Forms of runs that are no secrets, each matched against the whole run.
+#: Runs that are no secrets, each matched against the whole run.
 HARMLESS = re.compile(
-    r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}"  # digests
-    r"|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{64}"
-    r"|[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}"  # UUID
+    r"(?:[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}"  # UUID
     r"|(?:sha(?:1|256|384|512)|md5)-[A-Za-z0-9+/]+=*"  # integrity values
-    r"|[0-9_/+=-]+"  # numbers, dates, rules
-    r"|[a-z_/=+-]+|[A-Z_/=+-]+|[A-Za-z][a-z]*(?:[_/=+-]*[A-Z][a-z]+|[_/=+-]+[a-z]+)*)"  # identifiers, paths, words
+    r"|[0-9_/+=-]+)"  # numbers, dates, rules
 )
+#: Digests, and the words one of which stands just before a known one.
+DIGEST = re.compile(r"[0-9a-f]+|[0-9A-F]+")
+DIGEST_SIZES = (32, 40, 56, 64, 96, 128)
+CALLED_DIGEST = re.compile(r"(?:md5|sha-?\d+|digest|checksum|hash|commit|etag|fingerprint)\W{0,4}\Z", re.IGNORECASE)
+#: What an identifier is joined from: words in one case or capitalised, with numbers at their ends, and short numbers.
+JOINTS = re.compile(r"[_/=]+|(?<=[a-z])(?=[A-Z])")
+PART = re.compile(r"[A-Za-z]?(?:[a-z]+|[A-Z]+)?[0-9]{0,5}")
+SPOKEN = re.compile(r"[a-z]*[aeiouy][a-z]*", re.IGNORECASE)
+#: The share of an identifier's letters that are in parts with a vowel, and the letters of a part on average, at least.
+LEAST_SPOKEN, LEAST_LETTERS = 0.6, 2.5
+
+
+def is_identifier(run: str) -> bool:
+    parts = [p for p in JOINTS.split(run) if p]
+    letters = [p.rstrip("0123456789") for p in parts]
+    total = sum(map(len, letters))
+    if len(parts) < 2 or not all(map(PART.fullmatch, parts)) or total < LEAST_LETTERS * len(parts):
+        return False
+    return sum(len(p) for p in letters if SPOKEN.fullmatch(p)) >= LEAST_SPOKEN * total
+
+
+def is_known(run: str, before: str) -> bool:
+    """Whether a run is no secret by its form, or by what stands before it."""
+    if HARMLESS.fullmatch(run) or is_identifier(run):
+        return True
+    return len(run) in DIGEST_SIZES and bool(DIGEST.fullmatch(run)) and bool(CALLED_DIGEST.search(before))
+
+
+def is_random(run: str, tokens_of) -> bool:
+    each = len(run) / len(tokens_of(run))
+    if run.isalpha():
+        return each + VOWEL_WEIGHT * sum(map(run.lower().count, "aeiou")) / len(run) <= MOST_OF_LETTERS
+    return each <= MOST_CHARS_PER_TOKEN
 
 
 def scan(text: str, tokens_of) -> list[tuple[int, int, str]]:
@@ -53,10 +88,9 @@ def scan(text: str, tokens_of) -> list[tuple[int, int, str]]:
     found += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
     base = [(a, b) for a, b, _ in found]
     for m in RUN.finditer(text):
-        run = m[0]
-        if HARMLESS.fullmatch(run) or any(a < m.end() and m.start() < b for a, b in base):
+        if any(a < m.end() and m.start() < b for a, b in base):
             continue
-        if len(run) <= MOST_CHARS_PER_TOKEN * len(tokens_of(run)):
+        if is_random(m[0], tokens_of) and not is_known(m[0], text[max(0, m.start() - 20) : m.start()]):
             found.append((m.start(), m.end(), "random"))
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2])))
 
