@@ -78,3 +78,8 @@ def rescaled(n: Column, spacing: Column, to: Column) -> Column:
     """A dimension after rescaling, half to even, made even; an error for a finer spacing."""
     size = F.bround(n * spacing / to, 0).cast("int")
     return F.when(to >= spacing, size - size % 2).otherwise(F.raise_error(F.lit("only coarser spacings")))
+
+
+def nanometres(angstrom: Column) -> Column:
+    """A spacing in the unit that image headers take."""
+    return angstrom / 10.0

@@ -31,6 +31,20 @@ def nearest_spacing(tomograms: DataFrame, spacing: float) -> DataFrame:
     return tomograms.join(best, ["run", "voxel_spacing"])
 
 
+def segmentations_by_name(segmentations: DataFrame, spacing: float, names: list[str] | None = None) -> DataFrame:
+    """name, run, voxel_spacing: of each name the one of the last run, at that run's spacing nearest to the given one."""
+    wanted = segmentations if names is None else segmentations.where(F.col("name").isin(names))
+    near = wanted.groupBy("name", "run").agg(F.min_by("voxel_spacing", F.struct(F.abs(F.col("voxel_spacing") - spacing), F.col("voxel_spacing"))).alias("voxel_spacing"))
+    return near.groupBy("name").agg(F.max_by(F.struct("run", "voxel_spacing"), "run").alias("s")).select("name", "s.*")
+
+
+def label_map(targets: DataFrame) -> DataFrame:
+    """name, label: background as 0, and the labels of a stored target table (labels: map of name to label)."""
+    named = targets.select(F.explode("labels").alias("name", "label"))
+    first = targets.sparkSession.createDataFrame([("background", 0)], "name string, label int")
+    return first.unionByName(named.select("name", F.col("label").cast("int")))
+
+
 def at_spacing(tomograms: DataFrame, spacing: float) -> DataFrame:
     """The first tomogram of each run at exactly a spacing; runs without one are left out."""
     here = tomograms.where(F.col("voxel_spacing") == spacing)

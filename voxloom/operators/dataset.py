@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from voxloom.functions import rng
-from voxloom.operators.volume import AXES, neighbours
+from voxloom.functions import number, rng
+from voxloom.operators import chunks as c
+from voxloom.operators.volume import AXES
 
 
 def shifted_label(molecule_id: str = "molecule_id") -> Column:
@@ -49,8 +50,9 @@ def spliced_set(stats: DataFrame, runs: DataFrame, total: int = 100, seed: str =
     """draw, kind, component_run, component, run: the first half of the draws are crops without an object, the others put
     a random component into a random run. Draws of components that are not usable are dropped, not repeated."""
     spark = stats.sparkSession
-    parts = stats.select(F.col("run").alias("component_run"), "component", "usable").withColumn("k", F.row_number().over(W.orderBy("component_run", "component")) - 1)
-    places = runs.select("run").distinct().withColumn("j", F.row_number().over(W.orderBy("run")) - 1)
+    one = F.floor(F.col("component_run") / number.IDS)
+    parts = number.numbered(stats.select(F.col("run").alias("component_run"), "component", "usable"), [], one, ["component_run", "component"], "k").withColumn("k", F.col("k") - 1)
+    places = number.numbered(runs.select("run").distinct(), [], number.of_ids("run"), ["run"], "j").withColumn("j", F.col("j") - 1)
     n, m = parts.count(), places.count()
     if not n or not m:
         return spark.createDataFrame([], "draw long, kind string, component_run long, component long, run long")
@@ -70,6 +72,15 @@ def spheres(spark: SparkSession, side: int, n: int, seed: str = "sphere") -> Dat
     return made.where(inside).groupBy(*AXES).agg(F.round(F.sum("v"), 6).alias("v"))
 
 
+def sphere_volume(spark: SparkSession, side: int, n: int, seed: str = "sphere") -> DataFrame:
+    """spheres() in a whole volume, 0 between them, normalised by its mean and deviation."""
+    i = F.col("id")
+    grid = spark.range(side**3).select(*[(F.floor(i / side ** (2 - k)) % side).cast("int").alias(a) for a, k in AXES.items()])
+    whole = grid.join(spheres(spark, side, n, seed), list(AXES), "left").withColumn("v", F.coalesce("v", F.lit(0.0)))
+    mean, sd = whole.agg(F.avg("v"), F.stddev_pop("v")).first()
+    return whole.select(*AXES, F.round((F.col("v") - mean) / sd, 6).alias("v"))
+
+
 def gaussian_kernel(spark: SparkSession, size: int, sigma: float) -> DataFrame:
     """z, y, x, w: exp(-r^2 / 2 sigma^2) / (2 pi sigma^2) around the middle of a cube, not normalised."""
     i, h = F.col("id"), size // 2
@@ -83,10 +94,15 @@ def ball(radius: int) -> list[tuple[int, int, int]]:
     return [(a, b, c) for a in span for b in span for c in span if a * a + b * b + c * c <= radius * radius]
 
 
-def morphology(voxels: DataFrame, key: str, side: int, radius: int, how: str) -> DataFrame:
+def morphed(chunks: DataFrame, key: str, edge: int, radius: int, how: str) -> DataFrame:
     """Erosion (the least) or dilation (the greatest) over a ball; places outside the volume are ignored."""
-    pick = {"erode": F.min, "dilate": F.max}[how]
-    return neighbours(voxels, key, side, ball(radius)).groupBy(key, "z", "y", "x").agg(F.round(pick("v"), 6).alias("v"))
+    return c.over_offsets(chunks, key, edge, ball(radius), {"erode": np.fmin, "dilate": np.fmax}[how])
+
+
+def morphology(voxels: DataFrame, key: str, side: int, radius: int, how: str) -> DataFrame:
+    """morphed() from voxel rows and to them."""
+    edge = min(side, 16)
+    return c.flat(morphed(c.chunked(voxels, key, edge), key, edge, radius, how), key, edge, 6)
 
 
 def epoch_statistics(batches: DataFrame) -> DataFrame:

@@ -9,12 +9,15 @@ from typing import Any
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from voxloom.operators import chunks
 
 RESULT = "task_id long, success boolean, worker int, seconds double, error string, result double"
 
 
 def run_tasks(tasks: DataFrame, init: Callable[[], Any], work: Callable[[Any, Any], float], workers: int) -> DataFrame:
-    """work(state, row) for every row of tasks (task_id, ...), the state made once for each partition.
+    """work(state, row) for every row of tasks (task_id, ...), the state made once for each partition; sorted by task.
 
     An exception makes a failed row and the others go on; so does one in init, for all tasks of the partition."""
     def run(batches):
@@ -35,4 +38,29 @@ def run_tasks(tasks: DataFrame, init: Callable[[], Any], work: Callable[[Any, An
                 rows.append((row.task_id, error is None, TaskContext.get().partitionId(), time.perf_counter() - began, error, result))
             yield pd.DataFrame(rows, columns=["task_id", "success", "worker", "seconds", "error", "result"])
 
-    return tasks.repartition(workers, "task_id").mapInPandas(run, RESULT)
+    return tasks.repartition(workers, "task_id").mapInPandas(run, RESULT).orderBy("task_id")
+
+
+def each_run(rows: DataFrame, key: str, change: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """change(rows of one run) for every run, with an error column: a run that fails has one row with its key and the error.
+
+    A group is what is known of one run; keep voxels out of it."""
+    names = [x.split()[0] for x in schema.split(",")]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        try:
+            return change(pdf).assign(error=None)
+        except Exception as e:
+            return pd.DataFrame([{**dict.fromkeys(names), key: pdf[key].iloc[0], "error": f"{type(e).__name__}: {e}"}])
+
+    return rows.groupBy(key).applyInPandas(run, f"{schema}, error string")
+
+
+def filter_volumes(jobs: DataFrame, volumes: DataFrame, edge: int, spacing: float, to: float) -> tuple[DataFrame, DataFrame]:
+    """A downsampling job over runs: (run, d, h, w, z, y, x, v) of the jobs' volumes, and one row for each job with what it
+    did or why it did nothing. jobs: run, name; volumes: chunks."""
+    known = volumes.select("run").distinct().withColumn("known", F.lit(True))
+    checked = jobs.join(known, "run", "left").select("run", "name", F.when(F.col("known").isNull(), "no volume").alias("error"))
+    done = chunks.rescaled(volumes.join(checked.where("error IS NULL").select("run"), "run", "left_semi"), "run", edge, spacing, to)
+    sizes = done.groupBy("run").agg(F.max("d").alias("d"), F.max("h").alias("h"), F.max("w").alias("w"), F.count(F.lit(1)).alias("voxels"))
+    return done, checked.join(sizes, "run", "left").select("run", "name", "d", "h", "w", "voxels", "error")

@@ -9,23 +9,26 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxloom.operators import chunks, geometry
 
 #: Tasks that share the points of a run.
 PARTS = 4
 
 
-def each_cube(samples: DataFrame, change: Callable[[np.ndarray, int], np.ndarray], side: int) -> DataFrame:
-    """sample_id and v after change(cube, sample_id)."""
+def each_cube(samples: DataFrame, change: Callable[[np.ndarray, int], np.ndarray], side: int, only: Column | None = None) -> DataFrame:
+    """sample_id and v after change(cube, sample_id), where `only` is true if it is given."""
     def run(batches):
         for batch in batches:
-            ids = batch.column("sample_id").to_pylist()
-            cubes = [change(np.asarray(v.values).reshape(side, side, side), i).ravel() for v, i in zip(batch.column("v"), ids, strict=True)]
+            ids, on = batch.column("sample_id").to_pylist(), batch.column("_on").to_pylist()
+            held = [np.asarray(v.values) for v in batch.column("v")]
+            cubes = [change(v.reshape(side, side, side), i).ravel() if o else v for v, i, o in zip(held, ids, on, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("sample_id"), pa.array(cubes, pa.list_(pa.float64()))], ["sample_id", "v"])
 
-    return samples.select("sample_id", "v").mapInArrow(run, "sample_id long, v array<double>")
+    on = F.lit(True) if only is None else only
+    return samples.select("sample_id", "v", on.alias("_on")).mapInArrow(run, "sample_id long, v array<double>")
 
 
 def mask(shape: tuple[int, ...], low_pass: float, low_decay: float, high_pass: float, high_decay: float) -> np.ndarray:
@@ -48,7 +51,7 @@ def bandpass(samples: DataFrame, side: int, low_pass: float = 0, low_decay: floa
     return each_cube(samples, lambda v, _: np.fft.ifftn(np.fft.fftn(v) * weights).real, side)
 
 
-def fourier_augment(samples: DataFrame, side: int, drop: float = 0.1, noise: float = 0.1, scale: tuple[float, float] = (0.8, 1.2), prob: float = 1.0, seed: int = 0) -> DataFrame:
+def fourier_augment(samples: DataFrame, side: int, drop: float = 0.1, noise: float = 0.1, scale: tuple[float, float] = (0.8, 1.2), prob: float = 1.0, seed: int = 0, only: Column | None = None) -> DataFrame:
     """Frequencies dropped, phases disturbed and intensity scaled, by draws of the seed and the sample."""
     def change(v: np.ndarray, i: int) -> np.ndarray:
         r = np.random.default_rng([seed, i & (2**63 - 1)])
@@ -58,7 +61,7 @@ def fourier_augment(samples: DataFrame, side: int, drop: float = 0.1, noise: flo
         spectrum = np.abs(spectrum) * (r.random(v.shape) >= drop) * np.exp(1j * (np.angle(spectrum) + r.normal(0, noise, v.shape)))
         return np.fft.ifftn(np.fft.ifftshift(spectrum)).real * r.uniform(*scale)
 
-    return each_cube(samples, change, side)
+    return each_cube(samples, change, side, only)
 
 
 def rotate(samples: DataFrame, side: int, degrees: float, axes: tuple[int, int] = (1, 2)) -> DataFrame:
@@ -84,16 +87,9 @@ def rotate(samples: DataFrame, side: int, degrees: float, axes: tuple[int, int]
     return each_cube(samples, change, side)
 
 
-def volumes(chunks: DataFrame, edge: int) -> DataFrame:
-    """run, d, h, w, v: the chunks of each run put together."""
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        shape = [(int(pdf[f"c{a}"].max()) + 1) * edge for a in "zyx"]
-        out = np.zeros(shape)
-        for z, y, x, v in zip(pdf["cz"], pdf["cy"], pdf["cx"], pdf["v"], strict=True):
-            out[z * edge : (z + 1) * edge, y * edge : (y + 1) * edge, x * edge : (x + 1) * edge] = np.reshape(v, (edge,) * 3)
-        return pd.DataFrame({"run": [pdf["run"].iloc[0]], "d": shape[0], "h": shape[1], "w": shape[2], "v": [out.ravel()]})
-
-    return chunks.groupBy("run").applyInPandas(join, "run long, d int, h int, w int, v array<double>")
+def log_spectrum(samples: DataFrame, side: int) -> DataFrame:
+    """log(|F| + 1) of each cube's spectrum, the zero frequency at side // 2."""
+    return each_cube(samples, lambda v, _: np.log(np.abs(np.fft.fftshift(np.fft.fftn(v))) + 1), side)
 
 
 def rescale(dense: DataFrame, spacing: float, to: float) -> DataFrame:
@@ -115,32 +111,11 @@ def rescale(dense: DataFrame, spacing: float, to: float) -> DataFrame:
     return dense.mapInPandas(run, "run long, d int, h int, w int, v array<double>")
 
 
-def components(mask: DataFrame) -> DataFrame:
-    """run, z, y, x, component: set voxels labelled by 26-neighbour connection, each by the first voxel's number + 1.
-
-    One volume at a time; labels spread to neighbours until none changes."""
-    def label(pdf: pd.DataFrame) -> pd.DataFrame:
-        at = pdf[["z", "y", "x"]].to_numpy()
-        low = at.min(0)
-        shape = tuple(at.max(0) - low + 3)
-        place = tuple((at - low + 1).T)
-        none = np.iinfo(np.int64).max
-        order = np.lexsort((pdf["x"], pdf["y"], pdf["z"]))
-        grid = np.full(shape, none)
-        number = np.empty(len(at), np.int64)
-        number[order] = np.arange(1, len(at) + 1)
-        grid[place] = number
-        filled = grid != none
-        while True:
-            new = grid
-            for axis in range(3):
-                new = np.minimum(new, np.minimum(np.roll(new, 1, axis), np.roll(new, -1, axis)))
-            new = np.where(filled, new, none)
-            if (new == grid).all():
-                return pdf.assign(component=grid[place])
-            grid = new
-
-    return mask.select("run", "z", "y", "x").groupBy("run").applyInPandas(label, "run long, z int, y int, x int, component long")
+def components(mask: DataFrame, edge: int = 16) -> DataFrame:
+    """run, z, y, x, component: set voxels, given by their places, labelled by 26-neighbour connection (chunks.components)."""
+    held = chunks.chunked(mask.select("run", "z", "y", "x", F.lit(1.0).alias("v")), "run", edge)
+    labelled = chunks.flat(chunks.components(held, "run", edge), "run", edge)
+    return labelled.where("v > 0").select("run", "z", "y", "x", F.col("v").cast("long").alias("component"))
 
 
 def basis(t: np.ndarray, knots: int) -> np.ndarray:
@@ -222,3 +197,74 @@ def spline_lattice(fits: DataFrame, rows: int, cols: int, knots: int = 5) -> Dat
             yield pd.DataFrame(out, columns=["run", "layer", "row", "col", "z"])
 
     return fits.where("error IS NULL").mapInPandas(evaluate, "run long, layer string, row int, col int, z double")
+
+
+METHODS = ("spline", "coupled", "parallel")
+
+
+def slab(points: DataFrame, method: str, width: float, height: float, rows: int, cols: int, knots: int = 5) -> DataFrame:
+    """run, layer, row, col, z: two surfaces for each run, by one of three methods.
+
+    coupled: one spline surface with an offset for each layer; spline: one for each layer by itself; parallel: two planes of
+    one slope. Runs with too few points have no rows."""
+    if method == "coupled":
+        return spline_lattice(spline_fit(points, width, height, knots), rows, cols, knots)
+    if method == "spline":
+        own = points.withColumn("run", F.col("run") * 2 + (F.col("layer") == "top").cast("int")).withColumn("layer", F.lit("top"))
+        both = spline_lattice(spline_fit(own, width, height, knots), rows, cols, knots).where("layer = 'top'")
+        return both.withColumn("layer", F.when(F.col("run") % 2 == 1, "top").otherwise("bottom")).withColumn("run", F.floor(F.col("run") / 2))
+    if method == "parallel":
+        planes = geometry.parallel_planes(points)
+        sides = F.explode(F.array(*[F.struct(F.lit(s).alias("layer"), F.col(s).alias("c")) for s in ("top", "bottom")]))
+        each = planes.select("run", "a", "b", sides.alias("s")).select("run", "a", "b", "s.*")
+        at = each.withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(rows - 1)))).withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(cols - 1))))
+        z = F.col("a") * F.col("col") * width / (cols - 1) + F.col("b") * F.col("row") * height / (rows - 1) + F.col("c")
+        return at.select("run", "layer", "row", "col", z.alias("z"))
+    raise ValueError(f"unknown method {method!r}, not one of {METHODS}")
+
+
+def planes_by_overlap(mask: DataFrame, edge: int, iterations: int = 20, rate: float = 0.1, steep: float = 1000.0) -> DataFrame:
+    """run, nz, ny, nx, top, bottom, iou: two parallel planes whose slab overlaps most with what is set in chunks of 0 and 1.
+
+    The overlap of the slab's soft mask with the volume is raised by Adam from a level normal and offsets of -0.8 and -0.2,
+    coordinates scaled to 0..1. A group is one volume as bits, a 64th of its doubles."""
+    def pack(batches):
+        for batch in batches:
+            v = np.asarray(batch.column("v").flatten()).reshape(batch.num_rows, -1) > 0
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("run", "cz", "cy", "cx")], pa.array([np.packbits(x).tobytes() for x in v], pa.binary())], ["run", "cz", "cy", "cx", "bits"])
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        shape = [(int(pdf[f"c{a}"].max()) + 1) * edge for a in "zyx"]
+        vol = np.zeros(shape)
+        for z, y, x, bits in zip(pdf["cz"], pdf["cy"], pdf["cx"], pdf["bits"], strict=True):
+            block = np.unpackbits(np.frombuffer(bits, np.uint8))[: edge**3].reshape((edge,) * 3)
+            vol[z * edge : (z + 1) * edge, y * edge : (y + 1) * edge, x * edge : (x + 1) * edge] = block
+        zz, yy, xx = (np.arange(n).reshape([-1 if k == i else 1 for i in range(3)]) / n for k, n in enumerate(shape))
+        sigmoid = lambda t: 1 / (1 + np.exp(-np.clip(t, -500, 500)))
+        p, m, u = np.array([1.0, 0.0, 0.0, -0.8, -0.2]), np.zeros(5), np.zeros(5)  # normal z, y, x; top, bottom
+
+        def overlap(p: np.ndarray) -> tuple[float, np.ndarray]:
+            length = np.linalg.norm(p[:3])
+            n = p[:3] / length
+            flat = n[2] * yy + n[1] * xx  # the normal's last two parts go with y and x in this order
+            top, bottom = -(flat + p[3]) / n[0], -(flat + p[4]) / n[0]
+            a, b = sigmoid(steep * (top - zz)), sigmoid(steep * (zz - bottom))
+            valid = a * b
+            both, total = (valid * vol).sum(), valid.sum() + vol.sum()
+            union = total - both
+            slope = (vol * (union + both) - both) / union**2 * valid  # d iou / d log(valid)
+            by_top, by_bottom = slope * steep * (1 - a), -slope * steep * (1 - b)
+            by_n = np.zeros(3)
+            for by, z in ((by_top, top), (by_bottom, bottom)):
+                by_n += [(by * -z / n[0]).sum(), (by * -xx / n[0]).sum(), (by * -yy / n[0]).sum()]
+            by_p = (by_n - n * (by_n @ n)) / length
+            return both / union, np.concatenate([by_p, [-by_top.sum() / n[0], -by_bottom.sum() / n[0]]])
+
+        for t in range(1, iterations + 1):
+            g = -overlap(p)[1]
+            m, u = 0.9 * m + 0.1 * g, 0.999 * u + 0.001 * g * g
+            p = p - rate * (m / (1 - 0.9**t)) / (np.sqrt(u / (1 - 0.999**t)) + 1e-8)
+        return pd.DataFrame([[pdf["run"].iloc[0], *p, overlap(p)[0]]], columns=["run", "nz", "ny", "nx", "top", "bottom", "iou"])
+
+    bits = mask.select("run", "cz", "cy", "cx", F.col("v").cast("array<double>")).mapInArrow(pack, "run long, cz int, cy int, cx int, bits binary")
+    return bits.groupBy("run").applyInPandas(fit, "run long, nz double, ny double, nx double, top double, bottom double, iou double")

@@ -1,10 +1,13 @@
 """Points and boxes in volumes: unit conversion, background sampling, extraction of boxes, grids and regions.
 
-Boxes meet voxels by chunk: a box names the chunks that it overlaps, the join is on run and chunk, and only those chunks
-are unfolded. Volumes are never joined with points of other runs."""
+Boxes meet volumes by chunk: a box names the chunks that it overlaps, the join is on run and chunk, and the overlap is cut
+out of the chunk's array. What is shuffled are chunks, and one array for each box and chunk. Volumes are never joined with
+points of other runs."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -77,25 +80,54 @@ def boxes(points: DataFrame, box: int, side: int, shift: dict[str, Column] | Non
     return out.select("point_id", "run", status.alias("status"), *[f"{a}_{k}" for a in XYZ for k in ("lo", "hi", "pad")])
 
 
-def cut(placed: DataFrame, chunks: DataFrame, edge: int) -> DataFrame:
-    """point_id, status, z, y, x, v: the voxels of the boxes, at their places within the box."""
+def pieces(placed: DataFrame, chunks: DataFrame, edge: int) -> DataFrame:
+    """point_id, status, z, y, x, d, h, w, v: what a box takes from one chunk, its place within the box, its size."""
     tiles = placed.where("status <> 'invalid'")
     for a in XYZ:
         tiles = tiles.withColumn(f"c{a}", F.explode(F.sequence(F.floor(F.col(f"{a}_lo") / edge).cast("int"), F.floor((F.col(f"{a}_hi") - 1) / edge).cast("int"))))
-    met = tiles.join(chunks, ["run", "cx", "cy", "cz"]).select("*", F.posexplode("v").alias("i", "value"))
-    at = {"z": F.floor(F.col("i") / (edge * edge)), "y": F.floor(F.col("i") / edge) % edge, "x": F.col("i") % edge}
-    met = met.withColumns({a: (F.col(f"c{a}") * edge + at[a]).cast("int") for a in XYZ})
-    inside = [(F.col(a) >= F.col(f"{a}_lo")) & (F.col(a) < F.col(f"{a}_hi")) for a in XYZ]
-    return met.where(inside[0] & inside[1] & inside[2]).select(
-        "point_id", "status", *[(F.col(a) - F.col(f"{a}_lo") + F.col(f"{a}_pad")).cast("int").alias(a) for a in "zyx"], F.col("value").alias("v")
-    )
+    for a in XYZ:  # the overlap in the chunk's own coordinates, from first to end
+        tiles = tiles.withColumn(f"{a}_first", F.greatest(F.col(f"{a}_lo") - F.col(f"c{a}") * edge, F.lit(0)))
+        tiles = tiles.withColumn(f"{a}_n", F.least(F.col(f"{a}_hi") - F.col(f"c{a}") * edge, F.lit(edge)) - F.col(f"{a}_first"))
+    met = tiles.join(chunks, ["run", "cx", "cy", "cz"])
+    steps = lambda a: F.sequence(F.col(f"{a}_first"), F.col(f"{a}_first") + F.col(f"{a}_n") - 1)
+    line = lambda z, y: F.slice("v", (z * edge + y) * edge + F.col("x_first") + 1, F.col("x_n"))
+    taken = F.flatten(F.transform(steps("z"), lambda z: F.flatten(F.transform(steps("y"), lambda y: line(z, y)))))
+    place = [(F.col(f"c{a}") * edge + F.col(f"{a}_first") - F.col(f"{a}_lo") + F.col(f"{a}_pad")).cast("int").alias(a) for a in "zyx"]
+    return met.select("point_id", "status", *place, *[F.col(f"{a}_n").alias(n) for a, n in zip("zyx", "dhw", strict=True)], taken.alias("v"))
 
 
-def digest(cubes: DataFrame, box: int) -> DataFrame:
-    """One row for each box: voxels, their sum, and their sum weighted by place."""
-    place = (F.col("z") * box + F.col("y")) * box + F.col("x") + 1
-    return cubes.groupBy("point_id", "status").agg(
-        F.count(F.lit(1)).alias("n"), (F.round(F.sum("v"), 4) + F.lit(0.0)).alias("total"), (F.round(F.sum(F.col("v") * place), 3) + F.lit(0.0)).alias("weighted")
+def cut(placed: DataFrame, chunks: DataFrame, edge: int) -> DataFrame:
+    """point_id, status, z, y, x, v: the voxels of the boxes, at their places within the box."""
+    rows = pieces(placed, chunks, edge).select("*", F.posexplode("v").alias("i", "value"))
+    at = {"z": F.floor(F.col("i") / (F.col("h") * F.col("w"))), "y": F.floor(F.col("i") / F.col("w")) % F.col("h"), "x": F.col("i") % F.col("w")}
+    return rows.select("point_id", "status", *[(F.col(a) + at[a]).cast("int").alias(a) for a in "zyx"], F.col("value").alias("v"))
+
+
+def assembled(parts: DataFrame, box: int) -> DataFrame:
+    """point_id, status, v: whole boxes from pieces(), 0 where a box has no voxels. A group is the pieces of one box."""
+    held = parts.groupBy("point_id", "status").agg(F.collect_list(F.struct("z", "y", "x", "d", "h", "w", "v")).alias("parts"))
+
+    def fill(batches):
+        for batch in batches:
+            out = []
+            for row in batch.column("parts"):
+                whole = np.zeros((box, box, box))
+                for p in row:
+                    z, y, x, d, h, w = (p[k].as_py() for k in ("z", "y", "x", "d", "h", "w"))
+                    whole[z : z + d, y : y + h, x : x + w] = np.asarray(p["v"].values).reshape(d, h, w)
+                out.append(whole.ravel())
+            yield pa.RecordBatch.from_arrays([batch.column("point_id"), batch.column("status"), pa.array(out, pa.list_(pa.float64()))], ["point_id", "status", "v"])
+
+    return held.mapInArrow(fill, f"point_id {parts.schema['point_id'].dataType.simpleString()}, status string, v array<double>")
+
+
+def digest(parts: DataFrame, box: int) -> DataFrame:
+    """One row for each box from its pieces(): voxels, their sum, and their sum weighted by place."""
+    at = lambda i: (F.col("z") + F.floor(i / (F.col("h") * F.col("w")))) * box * box + (F.col("y") + F.floor(i / F.col("w")) % F.col("h")) * box + F.col("x") + i % F.col("w") + 1
+    add = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
+    of_piece = parts.select("point_id", "status", F.size("v").alias("n"), add("v").alias("total"), add(F.transform("v", lambda x, i: x * at(i))).alias("weighted"))
+    return of_piece.groupBy("point_id", "status").agg(
+        F.sum("n").alias("n"), (F.round(F.sum("total"), 4) + F.lit(0.0)).alias("total"), (F.round(F.sum("weighted"), 3) + F.lit(0.0)).alias("weighted")
     )
 
 

@@ -1,16 +1,18 @@
-"""Dense volume operators. Cubes are arrays, z slowest; work on one cube stays in array expressions, and work across
-neighbours joins voxel rows with small tables of offsets or weights."""
+"""Dense volume operators. Cubes are arrays, z slowest; work on one cube stays in array expressions, and work across the
+cubes of a volume goes by chunks with a halo (chunks.py)."""
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from voxloom.functions import number, rng
 from voxloom.functions.let import let
+from voxloom.operators import chunks as c
 
 AXES = {"z": 0, "y": 1, "x": 2}
 
@@ -134,22 +136,55 @@ def kernel(side: int, sigma: float, truncate: float = 4.0) -> list[tuple[int, in
     return [(to, at, w) for (to, at), w in sorted(weights.items())]
 
 
-def blur(voxels: DataFrame, key: str, side: int, sigma: float) -> DataFrame:
-    """A separable blur: along each axis a join with the weights, at most side*side rows, and a sum."""
-    table = F.broadcast(voxels.sparkSession.createDataFrame(kernel(side, sigma), "to int, at int, w double"))
-    for axis in AXES:
-        rest = [a for a in AXES if a != axis]
-        joined = voxels.join(table, F.col(axis) == F.col("at"))
-        voxels = joined.groupBy(key, *rest, F.col("to").alias(axis)).agg(F.sum(F.col("v") * F.col("w")).alias("v"))
-    return voxels.select(key, "z", "y", "x", "v")
+def blurred(chunks: DataFrame, key: str, edge: int, side: int, sigma: float) -> DataFrame:
+    """A separable blur of volumes of one size, mirrored at their edges: one product with the weights along each axis."""
+    r = int(4.0 * sigma + 0.5)
+    weights = np.zeros((side + 2 * r + edge, side + 2 * r + edge))  # beyond the volume all weights are 0
+    for to, at, w in kernel(side, sigma):
+        weights[to + r, at + r] = w
+
+    def change(padded: np.ndarray, places: np.ndarray) -> np.ndarray:
+        out = np.nan_to_num(padded)
+        for axis in range(3):
+            own = places[:, axis] * edge
+            table = np.stack([weights[o + r : o + r + edge, o : o + edge + 2 * r] for o in own])  # (chunk, to, at)
+            out = np.moveaxis(np.einsum("nta,na...->nt...", table, np.moveaxis(out, axis + 1, 1)), 1, axis + 1)
+        return np.where(np.isnan(c.shifted(padded, r, (0, 0, 0))), np.nan, out)
+
+    return c.with_halo(chunks, key, edge, r, change)
+
+
+def response_mask(chunks: DataFrame, key: str, edge: int, sigma: float) -> DataFrame:
+    """Chunks that are 1 where a volume, smoothed twice by a 5-voxel Gaussian with nothing beyond its edges, is below 0."""
+    line = np.exp(-0.5 * (np.arange(-2, 3) / sigma) ** 2)
+    line = line / (2 * math.pi * sigma * sigma) ** (1 / 3)
+
+    def change(padded: np.ndarray, _: np.ndarray) -> np.ndarray:
+        out = np.nan_to_num(padded)
+        for axis in (1, 2, 3):
+            out = sum(w * np.take(out, range(k, k + edge), axis) for k, w in enumerate(line))
+        return np.where(np.isnan(c.shifted(padded, 2, (0, 0, 0))), np.nan, out)
+
+    twice = c.with_halo(c.with_halo(chunks, key, edge, 2, change), key, edge, 2, change)
+    return twice.withColumn("v", F.transform("v", lambda x: F.when(F.isnan(x), x).otherwise((x < 0).cast("double"))))
+
+
+def blur(samples: DataFrame, side: int, sigma: float) -> DataFrame:
+    """A separable blur of each sample's cube, mirrored at its edges."""
+    weights = np.zeros((side, side))
+    for to, at, w in kernel(side, sigma):
+        weights[to, at] = w
+    cube = samples.select("*", *[F.lit(0).alias(f"c{a}") for a in AXES])
+    change = lambda v, _: np.einsum("az,by,cx,nzyx->nabc", weights, weights, weights, v, optimize=True)
+    return c.each(cube, "sample_id", side, change).select("sample_id", "v")
 
 
 def splice(synthetic: DataFrame, mask: DataFrame, real: DataFrame, key: str) -> DataFrame:
-    """synthetic * w + real * (1 - w), w the mask's value clipped to 0..1."""
-    at = [key, "z", "y", "x"]
-    w = F.least(F.greatest(F.col("w"), F.lit(0.0)), F.lit(1.0))
-    joined = synthetic.withColumnRenamed("v", "s").join(mask.withColumnRenamed("v", "w"), at).join(real.withColumnRenamed("v", "r"), at)
-    return joined.select(*at, F.round(F.col("s") * w + F.col("r") * (1 - w), 6).alias("v"))
+    """Cubes synthetic * w + real * (1 - w), w the mask's value clipped to 0..1. Cubes are joined, not voxels."""
+    joined = synthetic.select(key, F.col("v").alias("s")).join(mask.select(key, F.col("v").alias("w")), key).join(real.select(key, F.col("v").alias("r")), key)
+    clipped = F.transform("w", lambda w: F.least(F.greatest(w, F.lit(0.0)), F.lit(1.0)))
+    rest = F.zip_with("r", clipped, lambda r, w: r * (1 - w))
+    return joined.select(key, F.zip_with(F.zip_with("s", clipped, lambda s, w: s * w), rest, lambda a, b: F.round(a + b, 6)).alias("v"))
 
 
 def projection(voxels: DataFrame, key: str, axis: str, how: str) -> DataFrame:
@@ -173,37 +208,52 @@ def range_of(samples: DataFrame) -> DataFrame:
     return samples.select("sample_id", F.round(F.array_min("v"), 6).alias("low"), F.round(F.array_max("v"), 6).alias("high"))
 
 
-def neighbours(voxels: DataFrame, key: str, side: int, offsets: list[tuple[int, int, int]]) -> DataFrame:
-    """One row for each voxel and offset with the value there, v; places outside are left out. No self-join: each voxel
-    is sent to the places that it is a neighbour of."""
-    struct = lambda o: F.struct(*[F.lit(c).alias(a) for a, c in zip("zyx", o, strict=True)])
-    sent = voxels.select(key, "z", "y", "x", "v", F.explode(F.array(*[struct(o) for o in offsets])).alias("o"))
-    placed = sent.select(key, *[(F.col(a) - F.col(f"o.{a}")).alias(a) for a in AXES], "v", "o")
-    inside = [F.col(a).between(0, side - 1) for a in AXES]
-    return placed.where(inside[0] & inside[1] & inside[2])
-
-
 CROSS = [(0, 0, 0), (1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)]
 CUBE = [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)]
 
 
-def dilate(mask: DataFrame, key: str, side: int, times: int = 2) -> DataFrame:
-    """Set voxels (key, z, y, x) and those next to one, again and again."""
-    for _ in range(times):
-        mask = neighbours(mask.withColumn("v", F.lit(1)), key, side, CROSS).select(key, "z", "y", "x").distinct()
-    return mask
+def dilate(mask: DataFrame, key: str, edge: int, times: int = 2) -> DataFrame:
+    """Chunks of 0 and 1: what is set, and what is next to it by a face, again and again."""
+    def change(padded: np.ndarray, _: np.ndarray) -> np.ndarray:
+        there, out = ~np.isnan(padded), np.nan_to_num(padded) > 0
+        for _ in range(times):
+            grown = out.copy()
+            for axis in (1, 2, 3):
+                ends = [slice(None)] * 4
+                for low, high in ((slice(1, None), slice(None, -1)), (slice(None, -1), slice(1, None))):
+                    ends[axis] = low
+                    to = tuple(ends)
+                    ends[axis] = high
+                    grown[to] |= out[tuple(ends)]
+            out = grown & there
+        inner = c.shifted(out, times, (0, 0, 0)).astype(float)
+        return np.where(c.shifted(there, times, (0, 0, 0)), inner, np.nan)
+
+    return c.with_halo(mask, key, edge, times, change)
+
+
+def neighbour_sum(chunks: DataFrame, key: str, edge: int) -> DataFrame:
+    def change(padded: np.ndarray, _: np.ndarray) -> np.ndarray:
+        known = np.nan_to_num(padded)
+        return np.where(np.isnan(c.shifted(padded, 1, (0, 0, 0))), np.nan, sum(c.shifted(known, 1, o) for o in CUBE))
+
+    return c.with_halo(chunks, key, edge, 1, change)
+
 
+def local_maxima(chunks: DataFrame, key: str, edge: int) -> DataFrame:
+    """Chunks that keep the voxels that no neighbour in the 3x3x3 cube exceeds, NaN elsewhere."""
+    def change(padded: np.ndarray, _: np.ndarray) -> np.ndarray:
+        own, top = c.shifted(padded, 1, (0, 0, 0)), c.shifted(padded, 1, (0, 0, 0))
+        for o in CUBE:
+            top = np.fmax(top, c.shifted(padded, 1, o))
+        return np.where(own == top, own, np.nan)
 
-def neighbour_sum(voxels: DataFrame, key: str, side: int) -> DataFrame:
-    return neighbours(voxels, key, side, CUBE).groupBy(key, "z", "y", "x").agg(F.round(F.sum("v"), 6).alias("v"))
+    return c.with_halo(chunks, key, edge, 1, change)
 
 
-def local_maxima(voxels: DataFrame, key: str, side: int) -> DataFrame:
-    """Voxels that no neighbour in the 3x3x3 cube exceeds."""
-    around = neighbours(voxels, key, side, CUBE)
-    own = (F.col("o.z") == 0) & (F.col("o.y") == 0) & (F.col("o.x") == 0)
-    best = around.groupBy(key, "z", "y", "x").agg(F.max("v").alias("top"), F.max(F.when(own, F.col("v"))).alias("v"))
-    return best.where("v = top").select(key, "z", "y", "x", F.round("v", 6).alias("v"))
+def without_idle_decay(cutoff: float, decay: float) -> float:
+    """The decay of one side of a filter: none where the side is off."""
+    return decay if cutoff else 0.0
 
 
 def cosine_mask(r: Column, low_pass: float, low_decay: float, high_pass: float, high_decay: float) -> Column:
@@ -216,6 +266,7 @@ def cosine_mask(r: Column, low_pass: float, low_decay: float, high_pass: float,
         slope = 0.5 + 0.5 * F.cos(F.lit(math.pi) * (r - (f - d / 2)) / d)
         return F.when(r <= f - d / 2, 1.0).when(r >= f + d / 2, 0.0).otherwise(slope)
 
+    low_decay, high_decay = without_idle_decay(low_pass, low_decay), without_idle_decay(high_pass, high_decay)
     high = (1 - edge(high_pass, high_decay)) if high_pass and high_decay else F.when(r >= high_pass, 1.0).otherwise(0.0) if high_pass else F.lit(1.0)
     return edge(low_pass, low_decay) * high
 

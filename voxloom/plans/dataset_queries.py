@@ -7,10 +7,10 @@ import math
 from pyspark.sql import functions as F
 
 from voxloom.functions.rng import uniform_sql
-from voxloom.operators import classes, dataset, geometry, volume
+from voxloom.operators import chunks, classes, dataset, geometry, volume
 from voxloom.plans.spatial_queries import STATS, _labelled
 from voxloom.sources import model
-from voxloom.sources.model import EXTENT, with_views
+from voxloom.sources.model import EXTENT, SIDE, with_views
 
 BALL = dataset.ball(2)
 
@@ -35,7 +35,7 @@ def _batches(spark, d):
 
 
 def _sides(how):
-    return lambda spark, d: dataset.morphology(model.voxels(spark, d), "run", EXTENT, 2, how)
+    return lambda spark, d: chunks.flat(dataset.morphed(model.chunks(spark, d), "run", SIDE, 2, how), "run", SIDE, 6)
 
 
 def _gate(spark, d):

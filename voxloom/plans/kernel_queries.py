@@ -6,32 +6,39 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from voxloom.operators import geometry, jobs, kernels, spatial, volume
-from voxloom.plans.spatial_queries import _free, _layers, _mask
+from voxloom.operators import augment, chunks, geometry, jobs, kernels, spatial, volume
+from voxloom.plans.analysis_queries import SMOOTHED, fourier_sql
+from voxloom.plans.spatial_queries import _free, _layers
 from voxloom.plans.volume_queries import _edge
 from voxloom.sources import model, storage
 from voxloom.sources.model import SIDE, SPACING, with_views
 from voxloom.streaming.classes import running_distribution
 
 
+#: A Fourier augmentation's share of dropped frequencies, phase noise, and range of scales.
+FOURIER = (0.3, 0.1, (0.8, 1.2))
+
+
 def _flat(f, *a, **k):
     return lambda spark, d: volume.flat(f(model.samples(spark, d), SIDE, *a, **k))
 
 
 def _augmented(spark, d):
-    """Brightness, then intensity, then a flip, then the Fourier kernel, each behind its own gate."""
-    from voxloom.functions import rng
+    return _samples(augment.pipeline(model.samples(spark, d), SIDE, FOURIER))
+
 
-    df = model.samples(spark, d)
-    for name, p, change in (("brightness", 0.3, volume.brightness), ("intensity", 0.2, volume.intensity), ("flip", 0.2, lambda x: volume.flip(x, "z", SIDE)), ("fourier", 0.3, lambda x: kernels.fourier_augment(x, SIDE))):
-        gate = rng.uniform("pipeline", F.lit(name), "sample_id") < p
-        some = change(df.where(gate)).select("sample_id", "v")
-        df = some.unionByName(df.where(~gate).select("sample_id", "v"))
-    return volume.flat(df)
+def _samples(samples):
+    return volume.flat(samples)
+
+
+def _set(spark, d):
+    """Chunks that are 1 where the mask is set."""
+    return model.chunks(spark, d).withColumn("v", F.transform("v", lambda x: (x > 0.1).cast("double")))
 
 
 def _components(spark, d):
-    return kernels.components(_mask(spark, d))
+    labelled = chunks.flat(chunks.components(_set(spark, d), "run", SIDE), "run", SIDE)
+    return labelled.where("v > 0").select("run", "z", "y", "x", F.col("v").cast("long").alias("component"))
 
 
 def _largest(spark, d):
@@ -66,16 +73,18 @@ def _membrane(spark, d):
 
 def _blobs(spark, d):
     """Smoothed local maxima above a level, as picks in angstrom."""
-    smooth = volume.blur(model.voxels(spark, d), "run", model.EXTENT, 1.0)
-    peaks = volume.local_maxima(smooth, "run", model.EXTENT).where("v > 0.02")
+    smooth = chunks.rounded(volume.blurred(model.chunks(spark, d), "run", SIDE, model.EXTENT, 1.0), 9)
+    peaks = chunks.flat(volume.local_maxima(smooth, "run", SIDE), "run", SIDE).where("v > 0.02")
     return peaks.select("run", *[(F.col(a) * SPACING).alias(a) for a in "xyz"])
 
 
-def _cache(spark, d):
-    from pyspark.sql import functions as F
+def _rescaled(spark, d):
+    rows = chunks.rescaled(model.chunks(spark, d), "run", SIDE, 10.0, 13.3)
+    return rows.select("run", "d", "h", "w", ((F.col("z") * F.col("h") + F.col("y")) * F.col("w") + F.col("x")).alias("i"), (F.round("v", 6) + F.lit(0.0)).alias("v"))
 
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
-    path = f"{folder}/voxloom-cache-{uuid.uuid4().hex}"
+
+def _cache(spark, d):
+    path = f"{storage.shared_folder(spark)}/voxloom-cache-{uuid.uuid4().hex}"
     df = storage.cached(spark, path, lambda: model.samples(spark, d))
     return df.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
 
@@ -100,8 +109,8 @@ def _with_background(spark, d):
 QUERIES = {
     "bandpass_fft": lambda spark, d: _flat(kernels.bandpass, 1.5, 0.5, 0.5, 0.5)(spark, d).withColumn("v", F.col("v") + F.lit(0.0)),
     "fourier_augment": _flat(kernels.fourier_augment),
-    "rotate_arbitrary": _flat(kernels.rotate, 30.0),
-    "fourier_rescale": lambda spark, d: kernels.rescale(kernels.volumes(model.chunks(spark, d), SIDE), 10.0, 13.3).select("run", "d", "h", "w", F.posexplode("v").alias("i", "v")).withColumn("v", F.round("v", 6)),
+    "rotate_arbitrary": lambda spark, d: _flat(kernels.rotate, 30.0)(spark, d).withColumn("v", F.col("v") + F.lit(0.0)),
+    "fourier_rescale": _rescaled,
     "augment_pipeline": _augmented,
     "connected_components": _components,
     "largest_component": _largest,
@@ -117,10 +126,11 @@ QUERIES = {
 }
 
 REACHED = (
-    "RECURSIVE n AS (SELECT run, z, y, x, row_number() OVER (PARTITION BY run ORDER BY z, y, x) AS n FROM voxels WHERE v > 0.1 AND (z + y) % 4 <> 3), "
+    "RECURSIVE n AS (SELECT run, z, y, x, row_number() OVER (PARTITION BY run ORDER BY z, y, x) AS n FROM voxels WHERE v > 0.1), "
     "e AS (SELECT a.run, a.n AS a, b.n AS b FROM n a JOIN n b ON a.run = b.run AND abs(a.z - b.z) <= 1 AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1), "
     "r AS (SELECT run, n, n AS m FROM n UNION SELECT r.run, r.n, e.b FROM r JOIN e ON r.run = e.run AND r.m = e.a), "
-    "c AS (SELECT run, z, y, x, min(m) AS component FROM r JOIN n USING (run, n) GROUP BY ALL) "
+    "f AS (SELECT run, z, y, x, min(m) AS first FROM r JOIN n USING (run, n) GROUP BY ALL), "
+    "c AS (SELECT run, z, y, x, dense_rank() OVER (PARTITION BY run ORDER BY first) AS component FROM f) "
 )
 LABELLED = f"WITH {REACHED.replace('RECURSIVE n', f'RECURSIVE voxels AS ({model.SQL["voxels"]}), n', 1)}"
 
@@ -131,7 +141,22 @@ TAPS = (
     "h AS (SELECT t.z AS z, t.y AS y, t.x AS x, avg(w * cos(pi() / 2 * (w.z * t.z + w.y * t.y + w.x * t.x))) AS h FROM w, (SELECT z, y, x FROM range(4) a(z), range(4) b(y), range(4) c(x)) t GROUP BY ALL) "
 )
 
+#: Where a place turned by 30 degrees comes from, and the weights of the four voxels around it.
+TURNED = (
+    "t AS (SELECT y, x, cos(radians(30)) * (y - 2) + sin(radians(30)) * (x - 2) + 2 AS sy, -sin(radians(30)) * (y - 2) + cos(radians(30)) * (x - 2) + 2 AS sx FROM range(4) a(y), range(4) b(x)), "
+    "w AS (SELECT y, x, floor(sy)::INT + p AS fy, floor(sx)::INT + q AS fx, abs(1 - p - (sy - floor(sy))) * abs(1 - q - (sx - floor(sx))) AS w FROM t, range(2) c(p), range(2) d(q)) "
+)
+#: Maxima of a smoothed volume.
+PEAKS = (
+    "SELECT run, x * 10.0::DOUBLE AS x, y * 10.0::DOUBLE AS y, z * 10.0::DOUBLE AS z FROM (SELECT run, z - a AS z, y - b AS y, x - c AS x, max(v) AS top, max(v) FILTER (a = 0 AND b = 0 AND c = 0) AS v "
+    f"FROM {SMOOTHED}, range(-1, 2) t(a), range(-1, 2) u(b), range(-1, 2) w(c) GROUP BY 1, 2, 3, 4) WHERE v = top AND v > 0.02"
+)
+
 ORACLE_SQL = {
+    "rotate_arbitrary": with_views(f"+ {TURNED} SELECT i.sample_id, g.z * 16 + w.y * 4 + w.x AS i, round(coalesce(sum(w * s.v), 0), 6) + 0.0::DOUBLE AS v FROM (SELECT DISTINCT sample_id FROM sample_voxels) i, range(4) g(z), w "
+    "LEFT JOIN sample_voxels s ON s.sample_id = i.sample_id AND s.z = g.z AND s.y = fy AND s.x = fx GROUP BY i.sample_id, g.z, w.y, w.x", "sample_voxels"),
+    "fourier_rescale": with_views(f"SELECT run, 6 AS d, 6 AS h, 6 AS w, (z * 6 + y) * 6 + x AS i, round(v, 6) + 0.0::DOUBLE AS v FROM {fourier_sql(8, 6)}", "voxels"),
+    "blob_detector": with_views(PEAKS, "voxels"),
     "background_boxes": with_views(f"SELECT 'valid' AS status, count(*) AS n FROM {_free(True)}", "picks"),
     "bandpass_fft": with_views(
         f"+ {TAPS} SELECT sample_id, ((s.z + h.z) % 4) * 16 + ((s.y + h.y) % 4) * 4 + (s.x + h.x) % 4 AS i, round(sum(s.v * h), 6) + 0.0::DOUBLE AS v FROM sample_voxels s, h GROUP BY 1, 2", "sample_voxels"

@@ -37,7 +37,7 @@ def _with_background(spark, d):
 def _extract(strategy="centered", centred_pad=False):
     def run(spark, d):
         placed = s.boxes(_points(spark, d), BOX, EXTENT, s.strategy_shift(strategy, 8 if strategy == "random" else BOX), centred_pad)
-        cut = s.digest(s.cut(placed, model.chunks(spark, d), SIDE), BOX)
+        cut = s.digest(s.pieces(placed, model.chunks(spark, d), SIDE), BOX)
         return cut.unionByName(placed.where("status = 'invalid'").select("point_id", "status", F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("total"), F.lit(0.0).alias("weighted")))
 
     return run
@@ -45,7 +45,7 @@ def _extract(strategy="centered", centred_pad=False):
 
 def _grid(spark, d):
     points = s.grid_patches(model.chunks(spark, d), EXTENT, BOX, 0.25)
-    return s.digest(s.cut(s.boxes(points, BOX, EXTENT), model.chunks(spark, d), SIDE), BOX)
+    return s.digest(s.pieces(s.boxes(points, BOX, EXTENT), model.chunks(spark, d), SIDE), BOX)
 
 
 def _mask(spark, d):
@@ -118,13 +118,14 @@ QUERIES = {
 }
 
 V = "(SELECT point_id, run, object_name, x / 10.0::DOUBLE AS x, y / 10.0::DOUBLE AS y, z / 10.0::DOUBLE AS z FROM picks)"
-FEW = f"(SELECT * FROM {V} WHERE point_id % 50 = 0)"
+#: All picks, in the runs where background is sought.
+SPREAD = f"(SELECT * REPLACE (point_id // {PICKS_A_RUN} AS run) FROM {V})"
 
 
 def _free(whole: bool) -> str:
     place = {a: f"floor({uniform_sql(f'background-{a}', 'run', 'attempt')} * 5)::INT + 2" if whole else f"{uniform_sql(f'background-{a}', 'run', 'attempt')} * 4 + 2" for a in "xyz"}
-    tried = f"(SELECT run, attempt, want, {', '.join(f'{p} AS {a}' for a, p in place.items())} FROM (SELECT run, want, unnest(range(0, want * 10)) AS attempt FROM (SELECT run, floor(count(*) * 1.5::DOUBLE)::INT AS want FROM {FEW} GROUP BY 1) WHERE want > 0))"
-    near = f"SELECT 1 FROM {FEW} p WHERE p.run = c.run AND (c.x - p.x) * (c.x - p.x) + (c.y - p.y) * (c.y - p.y) + (c.z - p.z) * (c.z - p.z) < 4"
+    tried = f"(SELECT run, attempt, want, {', '.join(f'{p} AS {a}' for a, p in place.items())} FROM (SELECT run, want, unnest(range(0, want * 10)) AS attempt FROM (SELECT run, floor(count(*) * 1.5::DOUBLE)::INT AS want FROM {SPREAD} GROUP BY 1) WHERE want > 0))"
+    near = f"SELECT 1 FROM {SPREAD} p WHERE p.run = c.run AND (c.x - p.x) * (c.x - p.x) + (c.y - p.y) * (c.y - p.y) + (c.z - p.z) * (c.z - p.z) < 4"
     return f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY attempt) AS k FROM {tried} c WHERE NOT EXISTS ({near})) WHERE k <= want)"
 
 
@@ -164,7 +165,7 @@ ORACLE_SQL = {
     "background_points": with_views(f"SELECT run, attempt, x, y, z FROM {_free(True)}", "picks"),
     "background_points_continuous": with_views(f"SELECT run, attempt, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM {_free(False)}", "picks"),
     "samples_with_background": with_views(
-        f"SELECT key, is_background, count(*) AS n, round(sum(x + y + z), 3) AS total FROM (SELECT object_name AS key, false AS is_background, x, y, z FROM {FEW} UNION ALL SELECT 'background', true, x, y, z FROM {_free(True)}) GROUP BY 1, 2", "picks"
+        f"SELECT key, is_background, count(*) AS n, round(sum(x + y + z), 3) AS total FROM (SELECT object_name AS key, false AS is_background, x, y, z FROM {SPREAD} UNION ALL SELECT 'background', true, x, y, z FROM {_free(True)}) GROUP BY 1, 2", "picks"
     ),
     "extract_centered": _boxes(),
     "extract_offset_center_pad": _boxes(centred=True),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from voxloom.functions.rng import shuffle_sql, uniform_sql
+from voxloom.operators import chunks as c
 from voxloom.operators import volume as v
 from voxloom.sources import model
 from voxloom.sources.model import EXTENT, SIDE, with_views
@@ -39,23 +40,32 @@ def _loss(spark, d):
     return v.mixup_loss(v.mixup_partners(s).join(ids, "sample_id").join(other, "partner_id").withColumn("pred", (F.col("sample_id") % 10).cast("int")))
 
 
+def _chunks(f, *a):
+    return lambda spark, d: c.flat(f(model.chunks(spark, d), "run", SIDE, *a), "run", SIDE, 6)
+
+
+def _rows(samples):
+    """Voxel rows of samples."""
+    return samples.select("sample_id", F.posexplode("v").alias("i", "v")).select("sample_id", *model.coordinates("i", SIDE), "v")
+
+
 def _blur(spark, d):
-    return v.blur(model.sample_voxels(spark, d), "sample_id", SIDE, SIGMA).withColumn("v", F.round("v", 6))
+    return _rows(v.blur(model.samples(spark, d), SIDE, SIGMA)).withColumn("v", F.round("v", 6))
 
 
 def _splice(hard):
     def run(spark, d):
-        vox = model.sample_voxels(spark, d)
-        mask = vox.withColumn("v", (F.col("v") > 0.1).cast("double"))
-        soft = mask if hard else v.blur(mask, "sample_id", SIDE, SIGMA)
-        return v.splice(vox, soft, vox.withColumn("v", -F.col("v")), "sample_id")
+        s = model.samples(spark, d).select("sample_id", "v")
+        mask = s.withColumn("v", F.transform("v", lambda x: (x > 0.1).cast("double")))
+        soft = mask if hard else v.blur(mask, SIDE, SIGMA)
+        return _rows(v.splice(s, soft, s.withColumn("v", F.transform("v", lambda x: -x)), "sample_id"))
 
     return run
 
 
 def _dilate(spark, d):
-    seeds = model.voxels(spark, d).where("v > 0.25").select("run", "z", "y", "x")
-    return v.dilate(seeds, "run", EXTENT)
+    seeds = model.chunks(spark, d).withColumn("v", F.transform("v", lambda x: (x > 0.25).cast("double")))
+    return c.flat(v.dilate(seeds, "run", SIDE), "run", SIDE).where("v > 0").drop("v")
 
 
 def _mask(**k):
@@ -104,8 +114,8 @@ QUERIES = {
     "minmax": lambda spark, d: v.range_of(model.samples(spark, d)),
     "threshold": lambda spark, d: model.voxels(spark, d).select("run", "z", "y", "x", (F.col("v") > 0.1).cast("int").alias("label")),
     "dilate2": _dilate,
-    "neighbour_sum": _voxels(v.neighbour_sum, "run", EXTENT),
-    "local_maxima": _voxels(v.local_maxima, "run", EXTENT),
+    "neighbour_sum": _chunks(v.neighbour_sum),
+    "local_maxima": _chunks(v.local_maxima),
     "cosine_mask_lp": _mask(low_pass=5.0, low_decay=2.0),
     "cosine_mask_hp": _mask(high_pass=3.0, high_decay=2.0),
     "cosine_mask_bp": _mask(low_pass=6.0, low_decay=2.0, high_pass=2.0, high_decay=1.0),

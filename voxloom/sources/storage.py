@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import io
+import json
+import tempfile
 
 import numpy as np
 import pandas as pd
@@ -10,6 +12,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session may do without; it gets a
+    temporary one, which other machines would not see."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="voxloom-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found
+
+
 def project(spark: SparkSession, path: str) -> DataFrame:
     """The pickable objects of a project file: name, label, is_particle, radius, and what else they have."""
     return spark.read.json(path, multiLine=True).select(F.explode("pickable_objects").alias("o")).select("o.*")
@@ -64,7 +78,64 @@ def cached(spark: SparkSession, path: str | None, build, most: int | None = None
 
 def log_job(spark: SparkSession, path: str, tool: str, inputs: dict, parameters: dict, output: dict) -> None:
     """Append a job's inputs, parameters and output to a log table."""
-    import json
-
     row = [(tool, json.dumps(inputs), json.dumps(parameters), json.dumps(output))]
     spark.createDataFrame(row, "tool string, input string, parameters string, output string").withColumn("ts", F.current_timestamp()).write.mode("append").json(path)
+
+
+def volume_arrays(found: DataFrame, names: list[str]) -> DataFrame:
+    """run and v from a table with one column for each array of a group: the first of the named ones that a run has.
+
+    An error for a run that has none of them."""
+    known = [F.col(n) for n in names if n in found.columns]
+    nothing = F.raise_error(F.concat(F.lit(f"none of {names} in "), F.col("run").cast("string")))
+    return found.select("run", F.coalesce(*known, nothing).alias("v"))
+
+
+def the_only(rows: DataFrame, what: str) -> DataFrame:
+    """The rows of a lookup, or an error when it finds none."""
+    if not rows.limit(1).count():
+        raise LookupError(f"no {what}")
+    return rows
+
+
+def save_dataset(samples: DataFrame, volumes: DataFrame, metadata: dict, path: str) -> None:
+    """A dataset for later: its metadata, its samples (places, or the cubes as well) and the sizes of its volumes."""
+    spark = samples.sparkSession
+    spark.createDataFrame([(json.dumps(metadata),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/metadata")
+    samples.write.mode("overwrite").parquet(f"{path}/samples")
+    volumes.select("run", "d", "h", "w").write.mode("overwrite").parquet(f"{path}/volumes")
+
+
+def load_dataset(spark: SparkSession, path: str, volumes: DataFrame) -> tuple[DataFrame, dict]:
+    """The samples of a saved dataset, each bound to the first of the given volumes (run, d, h, w) that has the size of its
+    own one; samples of volumes without such a match are left out."""
+    metadata = json.loads(spark.read.text(f"{path}/metadata").first()[0])
+    of_size = volumes.groupBy("d", "h", "w").agg(F.min("run").alias("bound"))
+    bound = spark.read.parquet(f"{path}/volumes").join(of_size, ["d", "h", "w"]).select("run", "bound")
+    return spark.read.parquet(f"{path}/samples").join(bound, "run").withColumn("run", F.col("bound")).drop("bound"), metadata
+
+
+#: What tells point sets, and segmentations, of a run apart.
+SET_KEYS = ["run", "object_name", "user_id", "session_id"]
+
+
+def write_sets(rows: DataFrame, path: str) -> None:
+    """Point sets or segmentations by run, name, user and session: a set that exists is replaced, others stay as they are."""
+    rows.write.partitionBy(*SET_KEYS).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+
+
+def read_sets(spark: SparkSession, path: str, **keys: str) -> DataFrame:
+    """The sets with the given keys; other folders aren't listed."""
+    found = spark.read.option("recursiveFileLookup", "false").parquet(path)
+    for k, v in keys.items():
+        found = found.where(F.col(k) == v)
+    return found
+
+
+def write_mesh(vertices: DataFrame, faces: DataFrame, path: str) -> DataFrame:
+    """Both tables of the meshes, and how many vertices and faces each run has, from what was written."""
+    vertices.write.mode("overwrite").parquet(f"{path}/vertices")
+    faces.write.mode("overwrite").parquet(f"{path}/faces")
+    spark = vertices.sparkSession
+    count = lambda name: spark.read.parquet(f"{path}/{name}").groupBy("run").agg(F.count(F.lit(1)).alias(name))
+    return count("vertices").join(count("faces"), "run", "full")
