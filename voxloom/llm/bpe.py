@@ -1,14 +1,15 @@
 """Exact byte-pair encoding and decoding with a given vocabulary.
 
 Encoding a word: an Aho-Corasick automaton gives the longest tokens from left to right, and if these may not stand next to
-each other, all tokens that start at each position. Then, from the left, the longest one is taken that may stand next to the token before; where none may, the last token is taken back and its next shorter
-alternative tried. Positions at which no continuation exists are remembered, so the work is linear in the word. Two
+each other, all tokens that start at each position. Then, from the left, the longest one is taken that may stand next to
+the token before; where none may, the last token is taken back and its next shorter alternative tried. Positions at which no continuation exists are remembered, so the work is linear in the word. Two
 tokens may stand next to each other if merging their joined text would give just these two; that needs only the merges
 along the facing edges of both tokens and is kept in a table as pairs come up. Decoding cuts tokens out of one string of
 all tokens by an offset table.
 
-Null texts count as empty and have no tokens. Memory in a task is bounded by the vocabulary, the word table (emptied at
-a fixed size) and one piece of text.
+Null texts count as empty and have no tokens. Rows are encoded by themselves, so repeated rows and ids give repeated
+results, further columns have no influence, and an empty table gives no rows; there are no ties, as merges are exact.
+Memory in a task is bounded by the vocabulary, the word table (emptied at a fixed size) and one piece of text.
 """
 
 from __future__ import annotations
@@ -206,13 +207,15 @@ class Words(dict):
         return sum(n), " ".join(ids), " ".join(decoded)
 
 
-def encode_and_decode(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every text, and the ids themselves if asked for.
+def encode_and_decode(docs: DataFrame, path: str, with_ids: bool = False, also: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every text, the ids themselves if asked for, and the columns `also`.
 
     The vocabulary file is sent to the executors; no row is shuffled."""
     spark = docs.sparkSession
     spark.sparkContext.addFile(path)
     name = path.rsplit("/", 1)[-1]
+    kept = ["doc_id", *also]
+    rows = docs.select(*kept, "text")
 
     def run(batches):
         words = Words(Tokenizer(SparkFiles.get(name)))
@@ -226,16 +229,16 @@ def encode_and_decode(docs: DataFrame, path: str, with_ids: bool = False) -> Dat
                 decoded_sha.append(sha256(decoded.encode()).hexdigest())
                 if with_ids:
                     ids_of.append(np.array(spelled.split(), np.int32))
-            columns = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            columns = [*[batch.column(c) for c in kept], pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())]
+            names = [*kept, "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
                 columns.append(pa.array(ids_of, pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    given = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept)
+    schema = f"{given}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
+    return rows.mapInArrow(run, schema)
 
 
 def vocabulary() -> str:

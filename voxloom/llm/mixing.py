@@ -76,8 +76,9 @@ def due(done: Column, start: Column, end: Column) -> Column:
 def mix(docs: DataFrame, share: float = SHARE, repeats: int = REPEATS, also: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, taken, and position, null if nothing is taken.
 
-    Rows keep the columns `also`, which order those of equal id and size."""
-    if repeats != 2 and repeats < 1:
+    Rows keep the columns `also`, which order those of equal id and size; with them comes positions, those of every time
+    that the document is taken."""
+    if repeats < 1:
         raise ValueError("repeats must be 1 or more")
     spark = docs.sparkSession
     sized = common.written(sizes(docs, also), "mixing")
@@ -97,10 +98,12 @@ def mix(docs: DataFrame, share: float = SHARE, repeats: int = REPEATS, also: tup
     )
     part = lambda k: F.least(F.col("size"), F.greatest(F.lit(0), F.col("_quota") - F.col("_start") - k * F.col("source_size")))
     taken = sum((part(k) for k in range(1, repeats)), part(0))
-    mixed = joined.withColumn("taken", taken.cast("long")).withColumn(
-        "position", F.when(F.col("taken") > 0, F.round(due(F.col("_start") / F.col("_quota"), F.col("_from"), F.col("_to")), 9))
-    )
-    return mixed.select("doc_id", "source", "size", "source_size", "target", "taken", "position", *also).orderBy(F.col("position").asc_nulls_last(), "doc_id")
+    at = lambda k: F.round(due((F.col("_start") + k * F.col("source_size")) / F.col("_quota"), F.col("_from"), F.col("_to")), 9)
+    mixed = joined.withColumn("taken", taken.cast("long")).withColumn("position", F.when(F.col("taken") > 0, at(0)))
+    if also:
+        mixed = mixed.withColumn("positions", F.array_compact(F.array(*[F.when(part(k) > 0, at(k)) for k in range(repeats)])))
+    columns = ["doc_id", "source", "size", "source_size", "target", "taken", "position", *also, *(["positions"] if also else [])]
+    return mixed.select(*columns).orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,9 @@ Training takes a bounded sample of the labelled rows, by smallest hashed id; fea
 task runs the updates in a fixed order, so equal input gives equal weights. Scoring covers every row by itself.
 
 Null and empty texts are scored by the bias alone. Without labelled rows every score is 0.5. Rows labelled twice count
-as toxic if any label says so.
+as toxic if any label says so; labels that are null, or of no id, are left out. Documents that repeat an id are all learned
+from and scored by themselves, equal texts alike, with an id or without; further columns have no influence, and an empty
+table gives no rows.
 """
 
 from __future__ import annotations
