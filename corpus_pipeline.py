@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxloom.llm import bpe, common, mixing, near_dup, quality, secrets
@@ -11,7 +12,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or the likelihood ratio reject go.
+    """Documents that the base rules or the likelihood ratio reject go; null and empty texts fail the base rules.
 
     The verdicts are written first: a filter on them would be pushed below and repeat all of their expressions."""
     judged = quality.judge(docs.select(*COLUMNS), common.labels(spark, sf_dir))
@@ -19,31 +20,51 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, that of the smallest id; rows that repeat an id are one."""
-    gone = near_dup.near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
-    known = docs.select(*COLUMNS).where("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti")
-    return known.dropDuplicates(["doc_id"]).unionByName(docs.select(*COLUMNS).where("doc_id IS NULL"))
+    """One document of each group of near duplicates (five words, 0.8) stays: that of the smallest id, of equal ids that of
+    the smallest hash of the text, of equal texts any one.
+
+    Documents without words or without an id are in no group and stay. Different texts that share an id are documents by
+    themselves."""
+    rows = common.written(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("_row")), "rows")
+    found = common.written(near_dup.near_duplicates(rows, also=("_row",)).where("component IS NOT NULL").select("component", "doc_id", "hash", "_row"), "groups")
+    stays = found.groupBy("component").agg(F.min(F.struct("doc_id", "hash", "_row")).alias("x")).select("x._row")
+    return rows.join(found.join(stays, "_row", "left_anti").select("_row"), "_row", "left_anti").select(*COLUMNS)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark of their kind; n_chars follows."""
+    """Secrets are replaced by a mark of their kind; n_chars follows. Null texts stay null, and no row goes."""
     return secrets.redacted(docs.select(*COLUMNS), secrets.vocabulary())
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document comes as often as the mix takes it, to the nearest whole number of times.
+    """Each document comes as often as the mix takes it, to the nearest whole number of times, in the curriculum's order:
+    rows are range-sorted by the position of each time, so files and the rows in them follow it.
 
-    Every row is mixed and repeated by itself, with or without an id. Rows are written with a number first, so that it
-    stays the same; those of equal id and size are taken in the order of a hash of all their columns."""
+    Every row is mixed and repeated by itself, with or without an id; documents without words are not taken. Rows are
+    written with a number first, so that it stays the same; those of equal id and size are taken in the order of a hash of
+    all their columns, and rows of one position come by id."""
     rows = common.written(docs.select(*COLUMNS, F.xxhash64(*COLUMNS).alias("_hash"), F.monotonically_increasing_id().alias("_row")), "rows")
     mixed = mixing.mix(rows, also=("_hash", "_row")).where("taken > 0")
-    times = mixed.select("_row", F.round(F.col("taken") / F.col("size")).cast("int").alias("_times")).where("_times > 0")
-    return rows.join(times, "_row").withColumn("_turn", F.explode(F.sequence(F.lit(1), "_times"))).select(*COLUMNS)
+    times = mixed.select("_row", "positions", F.round(F.col("taken") / F.col("size")).cast("int").alias("_times")).where("_times > 0")
+    taken = rows.join(times.select("_row", F.explode(F.slice("positions", F.lit(1), F.col("_times"))).alias("_position")), "_row")
+    return taken.orderBy("_position", "doc_id", "_hash").select(*COLUMNS)
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of every document, with digests of them and of the decoded text."""
-    return bpe.encode_and_decode(docs, bpe.vocabulary(), with_ids=True)
+    """The token ids of every document, with digests of them and of the decoded text; null texts count as empty.
+
+    training_order follows the rows' place in the files of the stage before, so sorting by it gives the curriculum; it
+    rises with the position but has gaps. Rows that come from no files are numbered as they are partitioned."""
+    return bpe.encode_and_decode(docs.withColumn("training_order", place_in_files(docs)), bpe.vocabulary(), with_ids=True, also=("training_order",))
+
+
+def place_in_files(docs: DataFrame) -> Column:
+    """The number in a part file's name, and the row's number in the file."""
+    try:
+        part = F.regexp_extract(docs["_metadata.file_name"], r"^part-(\d+)", 1).try_cast("long")
+        return F.shiftleft(part, 36) + docs["_metadata.row_index"]
+    except AnalysisException:
+        return F.monotonically_increasing_id()
 
 
 STAGES = [
