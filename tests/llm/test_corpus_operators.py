@@ -298,6 +298,19 @@ def test_every_query_bears_odd_and_empty_tables(spark, docs, tmp_path):
         assert corpus_pipeline.run(spark, folder).count() <= 2 * n
 
 
+def test_pipeline_keeps_rows_of_shared_and_missing_ids(spark, tmp_path):
+    import corpus_pipeline as p
+
+    say = lambda k, n=40: " ".join(f"{k}{i}" for i in range(n))
+    rows = [(1, say("a")), (1, say("b")), (2, say("a") + " end"), (None, say("c")), (None, say("d")), (3, say("e")), (3, say("e")), (4, "")]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = p.minhash_near_dedup(spark, df, "")
+    assert sorted((r.doc_id or 0, r.text) for r in got.collect()) == sorted((i or 0, t) for k, (i, t) in enumerate(rows) if k not in (2, 6))
+    mixed = p.mixing_sources(spark, got, "")
+    assert {(r.doc_id, r.text) for r in mixed.collect()} <= {(i, t) for i, t in rows if t}
+    assert {r.doc_id for r in mixed.collect()} == {None, 1, 3} and p.bpe_encoding(spark, mixed, "").count() == mixed.count()
+
+
 def test_sharding_query_keeps_every_text(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
     got = by_id(sharding.op4_sharding(spark, SF))
@@ -327,6 +340,9 @@ def test_pipeline_stages(spark):
     assert set(times) <= {r.doc_id for r in clean.collect()} and max(times.values()) <= 2
     encoded = p.bpe_encoding(spark, mixed, SF)
     assert Counter(r.doc_id for r in encoded.collect()) == times
+    wanted = [(at, r.doc_id) for r in mixing.mix(clean, also=("n_chars",)).where("taken > 0").collect() for at in r.positions[: int(r.taken / r.size + 0.5)]]
+    in_order = [r.doc_id for r in encoded.orderBy("training_order").collect()]
+    assert in_order == [i for _, i in sorted(wanted)]  # the curriculum, from the last stage's rows
     empty = docs.limit(0)
     for _, stage in p.STAGES:
         empty = stage(spark, empty, SF)

@@ -43,6 +43,35 @@ def test_quality_weights_and_verdict(spark, docs):
     assert not np.any(quality.weights(docs(texts), labels.limit(0), buckets=64))
 
 
+def test_quality_score_and_verdict_by_brute_force(spark):
+    """Counts, weights, scores and verdicts of the query again in plain Python."""
+    import math
+
+    from xxhash import xxh64
+
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    hashed = lambda *words: __import__("functools").reduce(lambda seed, w: xxh64(w.encode(), seed=seed).intdigest(), words, 42)
+    bucket = lambda *words: signed(hashed(*words)) % quality.BUCKETS
+    docs = [r.asDict() for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    trusted = {r.doc_id for r in spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1").collect()}
+    assert len(trusted) <= quality.TRUSTED
+    raw, target, of = Counter(), Counter(), {}
+    for d in docs:
+        w = WORD.findall(d["text"] or "")
+        of[d["doc_id"]] = [bucket(x) for x in w] + [bucket(x, y) for x, y in zip(w, w[1:])]
+        raw.update(of[d["doc_id"]])
+        if d["doc_id"] in trusted:
+            target.update(of[d["doc_id"]])
+    pseudo, n, m = quality.SMOOTHING * quality.BUCKETS, sum(raw.values()), sum(target.values())
+    weight = {b: math.log((target[b] + pseudo * c / n) / (m + pseudo) / (c / n)) for b, c in raw.items()}
+    got = by_id(quality.op7_quality_rules(spark, SF))
+    assert len(got) == len(docs)
+    for i, f in of.items():
+        score = sum(weight[b] for b in f) / len(f) if f else 0.0
+        assert abs(got[i].score - score) < 1e-9
+        assert got[i].kept == (not got[i].base_failed and got[i].score >= quality.THRESHOLD)
+
+
 def base_spans(text):
     found = [(m.start(), "assign", m.end()) for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A) if len(m[2]) >= 6]
     found += [(m.start(), "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
@@ -204,6 +233,69 @@ def test_patience_against_a_common_subsequence():
         assert licenses.patience(a, a) == [(i, i) for i in range(len(a))]
 
 
+def recursive_patience(a, b):
+    """All alignments that direct recursion may give, one for each choice among equally long chains of anchors."""
+    from itertools import combinations, product
+
+    if not a or not b:
+        return {()}
+    if a[0] == b[0]:
+        return {((0, 0), *((i + 1, k + 1) for i, k in x)) for x in recursive_patience(a[1:], b[1:])}
+    if a[-1] == b[-1]:
+        return {(*x, (len(a) - 1, len(b) - 1)) for x in recursive_patience(a[:-1], b[:-1])}
+    once = [w for w in a if a.count(w) == 1 and b.count(w) == 1]
+    for n in range(len(once), 0, -1):
+        chains = [c for c in combinations(once, n) if [b.index(w) for w in c] == sorted(b.index(w) for w in c)]
+        if chains:
+            break
+    else:
+        return {()}
+    out = set()
+    for chain in chains:
+        ends = [(-1, -1), *[(a.index(w), b.index(w)) for w in chain], (len(a), len(b))]
+        gaps = [[tuple((p + 1 + i, q + 1 + k) for i, k in x) for x in recursive_patience(a[p + 1 : r], b[q + 1 : s])] for (p, q), (r, s) in zip(ends, ends[1:])]
+        out |= {tuple(sorted([*ends[1:-1], *(pair for part in parts for pair in part)])) for parts in product(*gaps)}
+    return out
+
+
+def test_patience_against_recursion():
+    random.seed(12)
+    for _ in range(400):
+        a, b = ([random.choice("abcdefghijkl") for _ in range(random.randint(0, 10))] for _ in range(2))
+        assert tuple(licenses.patience(a, b)) in recursive_patience(a, b)
+
+
+def test_every_template_is_found_with_words_changed_left_out_and_put_in():
+    scanner, r = licenses.Scanner(), random.Random(13)
+    for name, (text, names) in licenses.TEMPLATES.items():
+        words = text.split()
+        if len(words) < 25:
+            assert [x[2] for x in scanner.scan(f"some words before. {text} And after.")] == [name]
+            continue
+        for _ in range(5):
+            edited = list(words)
+            for _ in range(len(words) // 12):
+                k = r.randrange(len(edited))
+                edited[k : k + 1] = r.choice([[], ["changed"], [edited[k], "added"]])
+            found = scanner.scan("x " * r.randrange(200) + " ".join(edited) + " y" * r.randrange(200))
+            near = {"ISC": {"ISC", "ISC-text"}, "GPL-3.0-notice": {"GPL-3.0-notice", "GPL-2.0-notice", "AGPL-3.0-notice"}, "AGPL-3.0-notice": {"GPL-3.0-notice", "AGPL-3.0-notice"}}.get(name, {name})
+            assert len(found) == 1 and found[0][2] in near, (name, [x[2] for x in found])
+    twice = licenses.TEMPLATES["ISC"][0]
+    assert [x[2] for x in scanner.scan(f"{twice} {twice}")] == ["ISC", "ISC"]
+    assert not scanner.scan(" ".join(sorted(licenses.TEMPLATES["MIT-text"][0].split())))
+
+
+def test_no_window_is_missed():
+    r = random.Random(14)
+    for _ in range(300):
+        words, template = [r.choice("abcdef") for _ in range(r.randrange(40))], Counter(r.choices("abcd", k=6))
+        got = licenses.windows(words, template, 8, 5)
+        for i in range(len(words)):
+            for j in range(i + 1, min(len(words), i + 8) + 1):
+                if sum((Counter(words[i:j]) & template).values()) >= 5:
+                    assert any(a <= i and j <= b for a, b in got)
+
+
 def test_license_spans(spark, docs):
     mit = licenses.TEMPLATES["MIT-text"][0]
     texts = [*ODD, "Some words. Released under the MIT License. More words.", "before " + mit.replace("charge", "cost") + " after", "MIT is a university. The license is not here.", "x " * 300 + licenses.TEMPLATES["Apache-2.0-notice"][0]]
@@ -234,3 +326,39 @@ def test_toxicity_on_held_out_rows(spark, docs):
     assert all(got[1500 + k].predicted == 0 for k in range(len(ODD)))
     none = by_id(toxicity.judge(df, toxicity.fit(df, labels.limit(0))))
     assert {r.score for r in none.values()} == {0.5}
+
+
+def test_ftrl_by_brute_force():
+    """The same updates one coordinate at a time, from the definition, and the same scores."""
+    import math
+
+    import numpy as np
+
+    r = random.Random(15)
+    texts = [" ".join(r.choice(["red", "green", "blue", "you", "fool", "sky"]) for _ in range(r.randrange(1, 12))) for _ in range(60)]
+    labels = [int("fool" in t.split()) for t in texts]
+    rows = [(np.unique(toxicity.features([t])[1]), y) for t, y in zip(texts, labels)]
+    alpha, beta, l1, l2, times = 0.3, 1.0, 0.8, 0.1, 3.0
+    z, n = Counter(), Counter()
+
+    def weight(i):
+        pull = 0.0 if i == toxicity.BIAS else l1
+        return 0.0 if abs(z[i]) <= pull else -(z[i] - math.copysign(pull, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    for _ in range(4):
+        for found, y in rows:
+            own = [*found.tolist(), toxicity.BIAS]
+            w = {i: weight(i) for i in own}
+            g = (1 / (1 + math.exp(-sum(w.values()))) - y) * (times if y else 1)
+            for i in own:
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha * w[i]
+                n[i] += g * g
+    want = {i: weight(i) for i in n if weight(i)}
+    i, w = toxicity.train(rows, 4, alpha, beta, l1, l2, times)
+    assert dict(zip(i.tolist(), w.tolist())).keys() == want.keys() and all(abs(want[k] - v) < 1e-9 for k, v in zip(i.tolist(), w.tolist()))
+    assert 0 < len(want) < len(n)  # L1 leaves coordinates at zero
+    dense = np.zeros(toxicity.BIAS + 1)
+    dense[i] = w
+    for t, score in zip([*texts, ""], toxicity.scores([*texts, ""], dense)):
+        total = sum(want.get(k, 0.0) for k in {*toxicity.features([t])[1].tolist(), toxicity.BIAS})
+        assert abs(score - 1 / (1 + math.exp(-total))) < 1e-9
