@@ -12,7 +12,7 @@ differ, differing_paragraphs() follows the branches that differ down to the edit
 follows the first one within a row.
 
 Everything is a DataFrame expression. Null counts as the empty text, which has no pieces. Each row is worked on by
-itself, except for the next document, which is found among the 64 neighbouring ids, or is the first row of a later
+itself, except for the next document, which is found among the 256 neighbouring ids, or is the first row of a later
 group of them. Repeated ids are ordered by text, rows that also repeat that are alike. Rows without a doc_id have no next
 document, only a fingerprint and a length. An empty table gives no rows.
 """
@@ -31,7 +31,7 @@ FINE_CHARS = 32
 FINE = r"(?s)[^\n]{0,3}?(?:[aeiou\p{P} \t]|\n)|[^\n]{1,4}"
 DIGITS = 6
 #: Bits of a doc_id that rows of one group of neighbours may differ in, and of the groups on the levels above.
-NEAR_BITS, LEVEL_BITS = 6, 12
+NEAR_BITS, LEVEL_BITS = 8, 12
 
 
 def _hash(x: Column) -> Column:
@@ -73,6 +73,12 @@ def fingerprint(tree: str | Column) -> Column:
     return F.concat(t["root"], F.lit(":"), F.array_join(F.transform(t["sections"], of_section), ""))
 
 
+def branches(tree: str) -> Column:
+    """The hashes of a tree's sections and paragraphs, 16 digits of each, and the paragraphs' lengths: no pieces."""
+    short = lambda x: F.left(x["hash"], F.lit(16)).alias("hash")
+    return F.transform(F.col(tree)["sections"], lambda s: F.struct(short(s), F.transform(s["paragraphs"], lambda p: F.struct(short(p), p["n_chars"].alias("n_chars"))).alias("paragraphs")))
+
+
 def with_likeness(df: DataFrame, one: str, other: str, out: str) -> DataFrame:
     """Add `out`, the likeness of two fingerprint columns, 0 to 1; null where one is null."""
     pieces = lambda c: F.array_distinct(F.regexp_extract_all(F.substring_index(c, ":", -1), F.lit(f".{{{DIGITS}}}"), F.lit(0)))
@@ -119,25 +125,19 @@ def differing_paragraphs(pairs: DataFrame, one: str, other: str) -> DataFrame:
 
 def with_first_difference(df: DataFrame, one: str, other: str, prefix: str) -> DataFrame:
     """Add <prefix>_section, <prefix>_paragraph (counted from 0) and <prefix>_start (code points): where `one` first departs
-    from `other`, down to the paragraph; null where the roots are equal or only `other` goes on."""
+    from `other`, down to the paragraph; null where they are equal or only `other` goes on. Both are branches() of trees."""
+    hashes = lambda xs: F.transform(xs, lambda x: x["hash"])
     first = lambda a, b: F.nullif(F.array_position(F.zip_with(a, b, lambda x, y: x.isNotNull() & ~x.eqNullSafe(y)), True), F.lit(0)) - 1
-    sections = lambda c: F.transform(F.col(c)["sections"], lambda s: s["hash"])
     size = lambda ps: F.aggregate(ps, F.lit(0), lambda a, p: a + p["n_chars"])
-    at = lambda c: F.get(F.col(c)["sections"], F.col(f"{prefix}_section").cast("int"))["paragraphs"]
+    within = lambda c: F.get(F.col(c), F.col(f"{prefix}_section").cast("int"))["paragraphs"]
     before = lambda xs, n: F.slice(xs, F.lit(1), n.cast("int"))
+    sections = F.aggregate(before(F.col(one), F.col(f"{prefix}_section")), F.lit(0), lambda a, s: a + size(s["paragraphs"]))
     return (
-        df.withColumn("_one", sections(one))
-        .withColumn("_other", sections(other))
-        .withColumn(f"{prefix}_section", first(F.col("_one"), F.col("_other")))
-        .withColumn("_within", at(one))
-        .withColumn("_one", F.transform("_within", lambda p: p["hash"]))
-        .withColumn("_other", F.coalesce(F.transform(at(other), lambda p: p["hash"]), F.array().cast("array<string>")))
-        .withColumn(f"{prefix}_paragraph", first(F.col("_one"), F.col("_other")))
-        .withColumn(
-            f"{prefix}_start",
-            (F.aggregate(before(F.col(one)["sections"], F.col(f"{prefix}_section")), F.lit(0), lambda a, s: a + size(s["paragraphs"])) + size(before(F.col("_within"), F.col(f"{prefix}_paragraph")))).cast("long"),
-        )
-        .drop("_one", "_other", "_within")
+        df.withColumn(f"{prefix}_section", first(hashes(F.col(one)), hashes(F.col(other))))
+        .withColumn("_within", within(one))
+        .withColumn(f"{prefix}_paragraph", first(hashes(F.col("_within")), F.coalesce(hashes(within(other)), F.array().cast("array<string>"))))
+        .withColumn(f"{prefix}_start", (sections + size(before(F.col("_within"), F.col(f"{prefix}_paragraph")))).cast("long"))
+        .drop("_within")
     )
 
 
@@ -192,14 +192,14 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract's columns, and edited_section, edited_paragraph and edited_start: where the text departs from its edited
     one, by descent through both trees."""
     docs = common.documents(spark, sf_dir).select("doc_id", common.text_or_empty().alias("text"))
-    printed = lambda rows: with_tree(rows, "text", "_tree").withColumn("fingerprint", fingerprint("_tree")).drop("_tree")
+    printed = lambda rows: with_tree(rows, "text", "_tree").withColumn("fingerprint", fingerprint("_tree")).withColumn("_branches", branches("_tree")).drop("_tree")
     paired = with_next(docs, printed, ["text", "fingerprint"])
     n = F.char_length("text")
     replaced = F.floor(n / 4).cast("int")
     edited = paired.withColumn("n_chars", n.cast("long")).withColumn("_edited", F.concat(F.left("text", n - replaced), F.left("next_text", replaced)))
     edited = edited.withColumn("edited_sha256", F.sha2(F.col("_edited").cast("binary"), 256))
-    edited = with_tree(with_tree(edited, "text", "_own"), "_edited", "_tree").withColumn("edited_fingerprint", fingerprint("_tree"))
-    located = with_first_difference(edited, "_own", "_tree", "edited")
+    edited = with_tree(edited, "_edited", "_tree").withColumn("edited_fingerprint", fingerprint("_tree")).withColumn("_there", branches("_tree")).drop("_tree")
+    located = with_first_difference(edited, "_branches", "_there", "edited")
     likened = with_likeness(with_likeness(located, "fingerprint", "edited_fingerprint", "near_edited"), "fingerprint", "next_fingerprint", "near_next")
     places = ["edited_section", "edited_paragraph", "edited_start"]
     found = likened.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", *places)
