@@ -165,3 +165,26 @@ def test_erosion_is_the_opposite_of_dilation(spark):
     low = {(p.z, p.y, p.x): p.v for p in dataset.morphology(vox, "run", 5, 1, "erode").collect()}
     high = {(p.z, p.y, p.x): p.v for p in dataset.morphology(vox.withColumn("v", -F.col("v")), "run", 5, 1, "dilate").collect()}
     assert len(low) == 125 and all(low[k] == -high[k] for k in low)
+
+
+def test_parameters_that_are_refused(spark):
+    s = samples(spark, [0, 0, 1])
+    for f in (classes.oversample, classes.undersample):
+        for ratio in (0.0, -0.5, 1.5):
+            with pytest.raises(ValueError):
+                f(s, ratio)
+    for ratios in ((0.5, 0.2, 0.2), (0.6, 0.6, 0.1)):
+        with pytest.raises(ValueError):
+            classes.split(s, *ratios)
+    for overlap in (1.0, -0.1):
+        with pytest.raises(ValueError):
+            spatial.grid_patches(s.withColumnRenamed("sample_id", "run"), 32, 8, overlap)
+    with pytest.raises(ValueError):
+        spatial.strategy_shift("spiral", 8)
+    with pytest.raises(ValueError):
+        spatial.region(s, 8, z=(9, 12))
+    assert volume.without_idle_decay(0, 2.0) == 0 and volume.without_idle_decay(5.0, 2.0) == 2.0
+    n = spark.createDataFrame([(7,), (8,)], "n int").select(volume.positive_frequencies(F.col("n"), 2.0).alias("f")).collect()
+    for r, k in zip(n, (7, 8)):
+        want = np.fft.fftfreq(k, 2.0)
+        assert np.allclose(r.f, want[want >= 0])

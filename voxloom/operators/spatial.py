@@ -89,11 +89,23 @@ def pieces(placed: DataFrame, chunks: DataFrame, edge: int) -> DataFrame:
         tiles = tiles.withColumn(f"{a}_first", F.greatest(F.col(f"{a}_lo") - F.col(f"c{a}") * edge, F.lit(0)))
         tiles = tiles.withColumn(f"{a}_n", F.least(F.col(f"{a}_hi") - F.col(f"c{a}") * edge, F.lit(edge)) - F.col(f"{a}_first"))
     met = tiles.join(chunks, ["run", "cx", "cy", "cz"])
-    steps = lambda a: F.sequence(F.col(f"{a}_first"), F.col(f"{a}_first") + F.col(f"{a}_n") - 1)
-    line = lambda z, y: F.slice("v", (z * edge + y) * edge + F.col("x_first") + 1, F.col("x_n"))
-    taken = F.flatten(F.transform(steps("z"), lambda z: F.flatten(F.transform(steps("y"), lambda y: line(z, y)))))
+    ends = [f"{a}_{k}" for a in "zyx" for k in ("first", "n")]
     place = [(F.col(f"c{a}") * edge + F.col(f"{a}_first") - F.col(f"{a}_lo") + F.col(f"{a}_pad")).cast("int").alias(a) for a in "zyx"]
-    return met.select("point_id", "status", *place, *[F.col(f"{a}_n").alias(n) for a, n in zip("zyx", "dhw", strict=True)], taken.alias("v"))
+    sizes = [F.col(f"{a}_n").alias(n) for a, n in zip("zyx", "dhw", strict=True)]
+    names = ["point_id", "status", "z", "y", "x", "d", "h", "w"]
+
+    def take(batches):
+        for batch in batches:
+            cubes = np.asarray(batch.column("v").flatten(), dtype=float).reshape(batch.num_rows, edge, edge, edge)
+            at = np.stack([np.asarray(batch.column(c)) for c in ends], 1).tolist()
+            cut = [v[a : a + d, b : b + h, c : c + w].ravel() for v, (a, d, b, h, c, w) in zip(cubes, at, strict=True)]
+            starts = np.concatenate([[0], np.cumsum([len(x) for x in cut])]).astype(np.int32)
+            values = pa.ListArray.from_arrays(starts, pa.array(np.concatenate(cut) if cut else np.empty(0)))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], values], [*names, "v"])
+
+    kind = placed.schema["point_id"].dataType.simpleString()
+    found = met.select("point_id", "status", *place, *sizes, *ends, F.col("v").cast("array<double>"))
+    return found.mapInArrow(take, f"point_id {kind}, status string, z int, y int, x int, d int, h int, w int, v array<double>")
 
 
 def cut(placed: DataFrame, chunks: DataFrame, edge: int) -> DataFrame:
@@ -123,9 +135,18 @@ def assembled(parts: DataFrame, box: int) -> DataFrame:
 
 def digest(parts: DataFrame, box: int) -> DataFrame:
     """One row for each box from its pieces(): voxels, their sum, and their sum weighted by place."""
-    at = lambda i: (F.col("z") + F.floor(i / (F.col("h") * F.col("w")))) * box * box + (F.col("y") + F.floor(i / F.col("w")) % F.col("h")) * box + F.col("x") + i % F.col("w") + 1
-    add = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
-    of_piece = parts.select("point_id", "status", F.size("v").alias("n"), add("v").alias("total"), add(F.transform("v", lambda x, i: x * at(i))).alias("weighted"))
+    def sums(batches):
+        for batch in batches:
+            z, y, x, d, h, w = (np.asarray(batch.column(c), dtype=np.int64) for c in "zyxdhw")
+            size, v = d * h * w, np.asarray(batch.column("v").flatten(), dtype=float)
+            row, first = np.repeat(np.arange(len(size)), size), np.cumsum(size) - size
+            i = np.arange(len(v)) - first[row]
+            place = ((z[row] + i // (h * w)[row]) * box + y[row] + i // w[row] % h[row]) * box + x[row] + i % w[row] + 1
+            total, weighted = (np.bincount(row, u, minlength=len(size)) for u in (v, v * place))
+            yield pa.RecordBatch.from_arrays([batch.column("point_id"), batch.column("status"), *map(pa.array, (size, total, weighted))], ["point_id", "status", "n", "total", "weighted"])
+
+    kind = parts.schema["point_id"].dataType.simpleString()
+    of_piece = parts.mapInArrow(sums, f"point_id {kind}, status string, n long, total double, weighted double")
     return of_piece.groupBy("point_id", "status").agg(
         F.sum("n").alias("n"), (F.round(F.sum("total"), 4) + F.lit(0.0)).alias("total"), (F.round(F.sum("weighted"), 3) + F.lit(0.0)).alias("weighted")
     )

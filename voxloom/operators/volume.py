@@ -271,6 +271,11 @@ def cosine_mask(r: Column, low_pass: float, low_decay: float, high_pass: float,
     return edge(low_pass, low_decay) * high
 
 
+def positive_frequencies(n: Column, spacing: float) -> Column:
+    """The frequencies of an axis of n voxels from 0 on, in 1 / spacing: 0, 1, ... below n / 2, each over n * spacing."""
+    return F.transform(F.sequence(F.lit(0), F.ceil(n / 2).cast("int") - 1), lambda k: k / (n * spacing))
+
+
 def mask_grid(spark, n: int, low_pass: float = 0, low_decay: float = 0, high_pass: float = 0, high_decay: float = 0) -> DataFrame:
     """z, y, x, w over an n-cube, distances from n // 2."""
     i = F.col("id")

@@ -149,6 +149,7 @@ QUERIES = {
     "target_labels": _labels,
     "spacing_nm": lambda spark, d: model.tomograms(spark, d).select("ord", text.nanometres(F.col("voxel_spacing")).alias("nm")),
     "array_fallback": _fallback,
+    "positive_frequencies": lambda spark, d: model.table(spark, d, "part").select("p_partkey", F.posexplode(volume.positive_frequencies(F.col("p_size"), 10.0)).alias("k", "f")).withColumn("f", F.round("f", 9)),
     "downsample_volumes": _downsampled,
     "downsample_jobs": _job(1),
     "slab_parallel": _slab("parallel"),
@@ -226,6 +227,7 @@ ORACLE_SQL = {
     "target_labels": "SELECT * FROM (VALUES ('background', 0), " + ", ".join(f"('{k}', {v})" for k, v in TARGETS.items()) + ") t(name, label)",
     "spacing_nm": "SELECT p_partkey AS ord, p_size / 10.0::DOUBLE AS nm FROM part",
     "array_fallback": "SELECT p_partkey AS run, CASE WHEN p_partkey % 2 = 0 THEN p_size::DOUBLE ELSE 0.0 END AS first FROM part",
+    "positive_frequencies": "SELECT p_partkey, k, round(k / (p_size * 10.0::DOUBLE), 9) AS f FROM (SELECT p_partkey, p_size, unnest(range(0, (p_size + 1) // 2)) AS k FROM part)",
     "downsample_volumes": with_views(f"SELECT run, z, y, x, round(v, 6) + 0.0::DOUBLE AS v FROM {fourier_sql(8, 4)} WHERE run IN (SELECT s_suppkey FROM supplier)", "voxels"),
     "downsample_jobs": with_views(
         "SELECT s_suppkey AS run, 'wbp-' || s_suppkey AS name, CASE WHEN r.run IS NOT NULL THEN 4 END AS d, CASE WHEN r.run IS NOT NULL THEN 4 END AS h, CASE WHEN r.run IS NOT NULL THEN 4 END AS w, CASE WHEN r.run IS NOT NULL THEN 64 END AS voxels, "
