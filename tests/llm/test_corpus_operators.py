@@ -263,6 +263,29 @@ def test_two_writers_of_one_version(spark, docs, tmp_path, monkeypatch):
     assert table.version() == 1 and [r.shard for r in table.manifest().collect()] == [f"run/{next(i for i, v in got if v)}"]
 
 
+def test_a_rename_in_other_stores_never_replaces(spark, tmp_path):
+    table = sharding.ShardedTable(spark, f"file://{tmp_path}/t")
+    real, asked = table._path, []
+
+    class Elsewhere:
+        def toUri(self):
+            return self
+
+        def getScheme(self):
+            return "elsewhere"
+
+    def path(x):
+        asked.append(x)
+        return Elsewhere() if len(asked) == 1 else real(x)
+
+    for name, want in (("a", True), ("b", False)):
+        (tmp_path / name).write_text(name)
+        table._path = path
+        asked.clear()
+        assert table._put(f"file://{tmp_path}/{name}", f"file://{tmp_path}/place") is want
+    assert (tmp_path / "place").read_text() == "a" and (tmp_path / "b").exists()
+
+
 def test_an_append_goes_on_top_of_the_version_that_won(spark, docs, tmp_path, monkeypatch):
     one, other = (sharding.ShardedTable(spark, f"file://{tmp_path}/t") for _ in range(2))
     shards, seen = one._shards, []

@@ -32,6 +32,8 @@ from voxloom.llm import common
 TARGET_BYTES, FAN_IN, TIER_FACTOR, LEAST_BYTES = 128 << 20, 4, 4, 1 << 20
 #: Files that one job writes at most, which bounds the size of its plan.
 GROUPS_A_JOB = 200
+#: A table of shards is broadcast up to so many rows of about 100 bytes. Of more, a join by shard is spread well enough.
+MOST_BROADCAST = 50_000
 #: How often an append is tried against other writers.
 TRIES = 20
 MANIFEST = "shard string, arrival string, rows long, bytes long"
@@ -209,6 +211,8 @@ def op4_sharding(spark: SparkSession, sf_dir: str, arrivals: int = 4) -> DataFra
         (F.col("bytes") <= 1.5 * TARGET_BYTES).alias("within_target"),
         F.coalesce("planned", F.lit(False)).alias("mergeable"),
     )
+    if table.manifest().count() <= MOST_BROADCAST:
+        shards = F.broadcast(shards)
     hashed = table.read().select("doc_id", "_shard", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
     return hashed.join(shards, "_shard").select("doc_id", "text_sha256", "table_rows", "within_target", "mergeable")
 
