@@ -30,6 +30,25 @@ def test_augmentation_depends_on_seed_and_sample_only(spark):
     assert np.array_equal(one[0], two[0]) and np.array_equal(one[1], two[1]) and not np.allclose(one[0], one[1])
 
 
+def test_fourier_augmentation_by_its_definition(spark):
+    """Dropped shares, phase noise and scale, one at a time, on the spectrum of what comes out."""
+    a = np.random.default_rng(0).normal(size=(8, 8, 8))
+    assert np.allclose(values(kernels.fourier_augment(cube(spark, a), 8, 1.0, 0.0, (1.0, 1.0)), 8)[0], 0)
+    assert np.allclose(values(kernels.fourier_augment(cube(spark, a), 8, 0.0, 0.0, (2.0, 2.0)), 8)[0], 2 * a)
+    cubes = values(kernels.fourier_augment(cube(spark, *[a] * 40), 8, 0.3, 0.0, (1.0, 1.0)), 8)
+    kept = np.mean([np.abs(np.fft.fftn(c)) / np.abs(np.fft.fftn(a)) for c in cubes])
+    assert abs(kept - 0.7) < 0.02  # a frequency and its mirror image are dropped each by itself, the real part halves them
+    noisy = values(kernels.fourier_augment(cube(spark, a), 8, 0.0, 0.1, (1.0, 1.0)), 8)[0]
+    turned = np.angle(np.fft.fftn(noisy) / np.fft.fftn(a))
+    assert 0.03 < turned.std() < 0.12 and abs(np.linalg.norm(noisy) / np.linalg.norm(a) - 1) < 0.02
+    r = np.random.default_rng([5, 1])
+    r.random()
+    spectrum = np.fft.fftshift(np.fft.fftn(a))
+    spectrum = np.abs(spectrum) * (r.random(a.shape) >= 0.2) * np.exp(1j * (np.angle(spectrum) + r.normal(0, 0.1, a.shape)))
+    want = np.fft.ifftn(np.fft.ifftshift(spectrum)).real * r.uniform(0.8, 1.2)
+    assert np.allclose(values(kernels.fourier_augment(cube(spark, a, a), 8, 0.2, 0.1, (0.8, 1.2), seed=5), 8)[1], want)
+
+
 def test_quarter_turn(spark):
     a = np.random.default_rng(0).normal(size=(5, 5, 5))
     assert np.allclose(values(kernels.rotate(cube(spark, a), 5, 90.0), 5)[0], np.rot90(a, -1, (1, 2))) or np.allclose(values(kernels.rotate(cube(spark, a), 5, 90.0), 5)[0], np.rot90(a, 1, (1, 2)))
