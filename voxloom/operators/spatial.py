@@ -9,10 +9,9 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from voxloom.functions import rng
+from voxloom.functions import number, rng
 
 XYZ = ("x", "y", "z")
 
@@ -52,7 +51,7 @@ def background(picks: DataFrame, side: int, box: int, distance: float, ratio: fl
     apart = sum(((F.col(f"f.{a}") - F.col(f"n.p{a}")) * (F.col(f"f.{a}") - F.col(f"n.p{a}")) for a in XYZ), F.lit(0.0))
     same = [F.col(f"f.{c}") == F.col(f"n.{c}") for c in ("run", "cx", "cy", "cz")]
     free = placed.alias("f").join(near.alias("n"), same[0] & same[1] & same[2] & same[3] & (apart < distance * distance), "left_anti")
-    ranked = free.withColumn("rank", F.row_number().over(W.partitionBy("run").orderBy("attempt")))
+    ranked = number.numbered(free, ["run"], number.of_ids("attempt"), ["attempt"], "rank")
     return ranked.where("rank <= want").select("run", "attempt", *XYZ)
 
 

@@ -129,9 +129,8 @@ def _pick_counts(spark, d):
 
 
 def _overlap_planes(spark, d):
-    from voxloom.plans.kernel_queries import _set
-
-    found = kernels.planes_by_overlap(_set(spark, d), SIDE)
+    set_ = model.chunks(spark, d).withColumn("v", F.transform("v", lambda x: (x > 0.1).cast("double")))
+    found = kernels.planes_by_overlap(set_, SIDE)
     return found.select("run", *[F.round(c, 4).alias(c) for c in ("nz", "ny", "nx", "top", "bottom", "iou")])
 
 

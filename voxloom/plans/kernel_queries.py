@@ -24,11 +24,8 @@ def _flat(f, *a, **k):
 
 
 def _augmented(spark, d):
-    return _samples(augment.pipeline(model.samples(spark, d), SIDE, FOURIER))
-
-
-def _samples(samples):
-    return volume.flat(samples)
+    """The whole chain of augmentations, each behind its own gate."""
+    return volume.flat(augment.pipeline(model.samples(spark, d), SIDE, FOURIER))
 
 
 def _set(spark, d):
