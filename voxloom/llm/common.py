@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,14 +40,34 @@ def without_spaces(text: Column) -> Column:
     return F.translate(text, SPACE_CHARS, "")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write the rows to the shared folder and read them again. Lost executors cost no recomputation."""
+#: Paths of the tables that are being written within cleared(), the innermost last.
+_clearing: list[list[str]] = []
+
+
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Cut the lineage: write the rows to the shared folder and read them again. Lost executors cost no recomputation.
+
+    Within cleared() the table goes with the others at its end; if it is to be kept, at the end of the next one outside."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/voxloom/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
+    if len(_clearing) > keep:
+        _clearing[-1 - keep].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def cleared(spark: SparkSession):
+    """Remove the tables that are written within, so nothing that is read after it may need them."""
+    _clearing.append([])
+    try:
+        yield
+    finally:
+        for p in _clearing.pop():
+            path = spark._jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def join_each(rows: DataFrame, table: DataFrame, on: list[str], n: str) -> DataFrame:
     """Inner join of rows with a table that has one row for each key and, in `n`, how many of the rows have that key.
 

@@ -235,10 +235,9 @@ def close_pairs(opened: DataFrame, ordered: DataFrame, percent: int) -> DataFram
     return x.join(y, meet).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
-def linked_components(docs: DataFrame, k: int, percent: int, also: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """The sketches of all rows, and for every class set_key, component, component_id (its smallest doc_id) and its rows."""
+def linked_components(docs: DataFrame, found: DataFrame, k: int, percent: int) -> DataFrame:
+    """From the documents and their sketches: of every class set_key, component, component_id (its smallest doc_id), rows."""
     threshold = percent / 100
-    found = common.written(sketches(docs, k, also), "sketches")
     by_set = found.where("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key")
     classes = by_set.agg(F.min(F.struct("doc_id", "hash", "n", "bands")).alias("x"), F.count(F.lit(1)).alias("rows"))
     classes = common.written(classes.select(F.monotonically_increasing_id().alias("id"), "set_key", "x.*", "rows"), "classes")
@@ -258,14 +257,15 @@ def linked_components(docs: DataFrame, k: int, percent: int, also: tuple[str, ..
     linked = graph.components(more)
     of_class = common.written(classes.join(linked, "id", "left").select("set_key", "doc_id", "rows", F.coalesce("component", "id").alias("component")), "of-class")
     least = common.written(of_class.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("n")), "components")
-    return found, common.join_each(of_class.drop("doc_id"), least, ["component"], "n")
+    return common.join_each(of_class.drop("doc_id"), least, ["component"], "n")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, also: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of docs; and the columns `also`, if any are named, with
     component, which tells components of equal smallest ids apart (null for rows without words or id)."""
-    found, component = linked_components(docs, k, percent, also)
-    component = common.written(component, "component")
+    found = common.written(sketches(docs, k, also), "sketches")
+    with common.cleared(docs.sparkSession):
+        component = common.written(linked_components(docs, found, k, percent), "component", keep=True)
     known = common.join_each(found, component, ["set_key"], "rows").where("doc_id IS NOT NULL")
     rest = found.where("set_key IS NULL OR doc_id IS NULL").withColumn("component", F.lit(None).cast("long")).withColumn("component_id", F.col("doc_id"))
     every = known.unionByName(rest).select("doc_id", F.col("n").alias("n_shingles"), "component_id", *also, *(["hash", "component"] if also else []))
