@@ -26,9 +26,11 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     Documents without words or without an id are in no group and stay. Different texts that share an id are documents by
     themselves."""
     rows = common.written(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("_row")), "rows")
-    found = common.written(near_dup.near_duplicates(rows, also=("_row",)).where("component IS NOT NULL").select("component", "doc_id", "hash", "_row"), "groups")
-    stays = found.groupBy("component").agg(F.min(F.struct("doc_id", "hash", "_row")).alias("x")).select("x._row")
-    return rows.join(found.join(stays, "_row", "left_anti").select("_row"), "_row", "left_anti").select(*COLUMNS)
+    with common.cleared(spark):
+        found = common.written(near_dup.near_duplicates(rows, also=("_row",)).where("component IS NOT NULL").select("component", "doc_id", "hash", "_row"), "groups")
+        stays = found.groupBy("component").agg(F.min(F.struct("doc_id", "hash", "_row")).alias("x")).select("x._row")
+        gone = common.written(found.join(stays, "_row", "left_anti").select("_row"), "gone", keep=True)
+    return rows.join(gone, "_row", "left_anti").select(*COLUMNS)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
