@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,30 +41,34 @@ def without_spaces(text: Column) -> Column:
     return F.translate(text, SPACE_CHARS, "")
 
 
-#: Paths of the tables that are being written within cleared(), the innermost last.
-_clearing: list[list[str]] = []
+#: Paths of the tables that are being written within cleared(), the innermost last; each thread has its own.
+_clearing: ContextVar[tuple[list[str], ...]] = ContextVar("clearing", default=())
 
 
-def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+def written(df: DataFrame, name: str, keep: bool = False, codec: str = "snappy") -> DataFrame:
     """Cut the lineage: write the rows to the shared folder and read them again. Lost executors cost no recomputation.
 
-    Within cleared() the table goes with the others at its end; if it is to be kept, at the end of the next one outside."""
+    Within cleared() the table goes with the others at its end; if it is to be kept, at the end of the next one outside.
+    Tables that hold texts take zstd."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/voxloom/{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
-    if len(_clearing) > keep:
-        _clearing[-1 - keep].append(path)
+    df.write.mode("overwrite").option("compression", codec).parquet(path)
+    open_lists = _clearing.get()
+    if len(open_lists) > keep:
+        open_lists[-1 - keep].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 @contextmanager
 def cleared(spark: SparkSession):
     """Remove the tables that are written within, so nothing that is read after it may need them."""
-    _clearing.append([])
+    paths: list[str] = []
+    token = _clearing.set((*_clearing.get(), paths))
     try:
         yield
     finally:
-        for p in _clearing.pop():
+        _clearing.reset(token)
+        for p in paths:
             path = spark._jvm.org.apache.hadoop.fs.Path(p)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 

@@ -30,9 +30,12 @@ class WaveletMatrix:
 
 
 class FMIndex:
-    """Over `sequences` of symbols from 1 to `symbols`, each with a weight; patterns may be up to `depth` long."""
+    """Over `sequences` of symbols from 1 to `symbols`, each with a weight; patterns may be up to `depth` long.
 
-    def __init__(self, sequences: list[np.ndarray], weights: np.ndarray, symbols: int, depth: int):
+    With `sample`, every so many-th place of the text, and each sequence's first, is kept for locate(); depth must then be the text's whole length, as
+    a walk from suffix to suffix needs their full order."""
+
+    def __init__(self, sequences: list[np.ndarray], weights: np.ndarray, symbols: int, depth: int, sample: int = 0):
         length = np.array([len(x) + 1 for x in sequences])
         text = np.zeros(length.sum(), np.int64)  # each sequence is followed by a 0
         ends = np.cumsum(length)
@@ -44,6 +47,11 @@ class FMIndex:
         every = np.arange(symbols + 1)
         self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=symbols + 1))])[: symbols + 1] - self.tree.place(every, np.zeros(symbols + 1, np.int64))
         self.size = len(text)
+        if sample:
+            self.before = text[order - 1]
+            self.sampled = (order % sample == 0) | (self.before == 0)  # no walk leaves its sequence
+            self.places = order[self.sampled]
+            self.nth = np.cumsum(self.sampled) - 1
 
     @staticmethod
     def sorted_suffixes(text: np.ndarray, symbols: int, depth: int) -> np.ndarray:
@@ -71,6 +79,26 @@ class FMIndex:
         at = self.tree.place(np.concatenate([symbol, symbol]), np.concatenate([low, high])) + np.tile(self.first[symbol], 2)
         return at[: len(symbol)], at[len(symbol) :]
 
+    def search(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """From patterns of one length, one in each row: (pattern, low, high) of those that occur, as ranges of suffixes."""
+        lane = np.arange(len(patterns))
+        low, high = np.zeros(len(lane), np.int64), np.full(len(lane), self.size)
+        for i in range(patterns.shape[1] - 1, -1, -1):
+            low, high = self.step(patterns[lane, i], low, high)
+            lane, low, high = (x[low < high] for x in (lane, low, high))
+        return lane, low, high
+
+    def locate(self, rows: np.ndarray) -> np.ndarray:
+        """The places of suffixes in the text, by steps to the left until a sampled one."""
+        rows, steps = rows.copy(), np.zeros(len(rows), np.int64)
+        todo = np.flatnonzero(~self.sampled[rows])
+        while len(todo):
+            at = rows[todo]
+            rows[todo] = self.tree.place(self.before[at], at) + self.first[self.before[at]]
+            steps[todo] += 1
+            todo = todo[~self.sampled[rows[todo]]]
+        return self.places[self.nth[rows]] + steps
+
     def repeated(self, sequences: list[np.ndarray], window: int, least: int = 2) -> list[tuple[int, int, int]]:
         """(sequence, start, n): runs of n windows whose weighted occurrences reach `least`.
 
