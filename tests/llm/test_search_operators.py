@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from conftest_llm import ODD
 from voxloom.llm import decontaminate, hard_negatives, lexical_search
@@ -207,7 +208,7 @@ def test_hard_negatives(spark, monkeypatch, block, at_once):
     rows += [(310, None, 1), (320, [1.0] * 12, None), (None, [1.0] * 12, 1), (330, [1.0, None] * 6, 1), (340, [math.nan] * 12, 1), (350, [math.inf] * 12, 2), (360, [], 1), (371, [9.0, 2.0], 1), (10, rows[10][1], rows[10][2]), (-20, [0.5] * 12, 3)]
     rows += [(400 + i, [1.0] * 12, i % 3) for i in range(40)]  # ties
     df = spark.createDataFrame([(*x, "y", "z") for x in rows], "vec_id long, embedding array<float>, label int, row string, v string")
-    got = hard_negatives.mined(df, df.vec_id % 10 == 0, block=block)
+    got = hard_negatives.mined(df, F.col("vec_id") % 10 == 0, block=block)
     columns = ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"]
     want = Counter(brute_negatives(df.collect(), 10))
     assert sum(want.values()) > 150
@@ -216,11 +217,11 @@ def test_hard_negatives(spark, monkeypatch, block, at_once):
 
 def test_hard_negatives_of_nothing(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
-    assert hard_negatives.mined(empty, empty.vec_id == 0).count() == 0
+    assert hard_negatives.mined(empty, F.col("vec_id") == 0).count() == 0
     none = spark.createDataFrame([(0, [], 1), (50, [], 1), (1, [], 2)], empty.schema)
-    assert hard_negatives.mined(none, none.vec_id % 50 == 0).count() == 0
+    assert hard_negatives.mined(none, F.col("vec_id") % 50 == 0).count() == 0
     alone = spark.createDataFrame([(0, [1.0], 1)], empty.schema)
-    assert hard_negatives.mined(alone, alone.vec_id == 0).count() == 0
+    assert hard_negatives.mined(alone, F.col("vec_id") == 0).count() == 0
 
 
 def test_pairs_that_cannot_matter_are_not_multiplied_out():

@@ -61,7 +61,7 @@ class FMIndex:
         key, n = np.zeros(len(text), np.int64), len(text)
         for i in range(k):
             key <<= bits
-            key[: n - i] |= text[i:]
+            key[: max(0, n - i)] |= text[i:]
         while True:
             order = np.argsort(key, kind="stable")
             ordered = key[order]
@@ -71,7 +71,7 @@ class FMIndex:
             if k >= depth or new[1:].all():
                 return order
             key = rank * (n + 2)
-            key[: n - k] += rank[k:]
+            key[: max(0, n - k)] += rank[k:]
             k *= 2
 
     def step(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
