@@ -317,6 +317,8 @@ def test_every_query_bears_odd_and_empty_tables(spark, docs, tmp_path):
         (odd if n else odd.limit(0)).coalesce(1).write.parquet(f"{folder}/documents.parquet")
         (labels if n else labels.limit(0)).coalesce(1).write.parquet(f"{folder}/labels.parquet")
         for query, run in registry.QUERIES.items():
+            if query.startswith(("op11", "op12", "op13")):
+                continue  # they have other tables; see test_search_operators
             assert run(spark, folder).count() == n, query
         assert corpus_pipeline.run(spark, folder).count() <= 2 * n
 
@@ -340,6 +342,39 @@ def test_sharding_query_keeps_every_text(spark):
     assert {i: r.text_sha256 for i, r in got.items()} == {d.doc_id: hashlib.sha256(d.text.encode()).hexdigest() for d in docs}
 
 
+def test_pipeline_leaves_no_table_of_a_finished_stage(spark, tmp_path, monkeypatch):
+    import corpus_pipeline as p
+
+    monkeypatch.setattr(common, "shared_folder", lambda _: f"file://{tmp_path}")
+    got = p.run(spark, SF)
+    assert [x.name.rsplit("-", 1)[0] for x in (tmp_path / "voxloom").iterdir()] == ["stage-3"] and got.count() > 0
+
+
+def test_tables_are_cleared_by_the_thread_that_wrote_them(spark):
+    from concurrent.futures import ThreadPoolExecutor
+    from threading import Barrier
+
+    both = Barrier(2)
+
+    def work(i):
+        with common.cleared(spark):
+            df = common.written(spark.range(i), "mine")
+            assert df.count() == i
+            both.wait()
+        both.wait()
+
+    def late(i):
+        with common.cleared(spark):
+            df = common.written(spark.range(i), "mine")
+            both.wait()
+            both.wait()  # the other's tables are gone by now
+            return df.count()
+
+    with ThreadPoolExecutor(2) as pool:
+        a, b = pool.submit(work, 3), pool.submit(late, 7)
+        assert (a.result(), b.result()) == (None, 7)
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as p
 

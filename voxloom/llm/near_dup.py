@@ -245,7 +245,7 @@ def linked_components(docs: DataFrame, found: DataFrame, k: int, percent: int) -
     members = common.written(grouped(placed), "members")
     in_groups = classes.join(members.select("id").distinct(), "id").select("id", "doc_id", "hash")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("hash"), "text")
-    texts = common.written(own.join(in_groups, ["doc_id", "hash"]).dropDuplicates(["id"]).select("id", "text"), "candidates")
+    texts = common.written(own.join(in_groups, ["doc_id", "hash"]).dropDuplicates(["id"]).select("id", "text"), "candidates", codec="zstd")
 
     def links(pairs: DataFrame) -> DataFrame:
         return confirmed(likely(pairs, classes, threshold), texts, k, percent)
