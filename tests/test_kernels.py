@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from voxloom.operators import geometry, jobs, kernels
+from voxloom.operators import chunks, geometry, jobs, kernels
 from voxloom.sources import storage
 from voxloom.streaming.classes import running_distribution
 
@@ -60,11 +60,11 @@ def test_low_pass_keeps_the_mean(spark):
 
 
 def test_rescaling_a_constant_volume(spark):
-    dense = spark.createDataFrame([(0, 8, 8, 8, [2.0] * 512)], "run long, d int, h int, w int, v array<double>")
-    r = kernels.rescale(dense, 10.0, 20.0).first()
-    assert (r.d, r.h, r.w) == (4, 4, 4) and np.allclose(r.v, 2.0 * np.sqrt(512 / 64))
+    whole = spark.createDataFrame([(0, z, y, x, [2.0] * 64) for z in range(2) for y in range(2) for x in range(2)], "run long, cz int, cy int, cx int, v array<double>")
+    got = chunks.rescaled(whole, "run", 4, 10.0, 20.0).collect()
+    assert len(got) == 64 and {(r.d, r.h, r.w) for r in got} == {(4, 4, 4)} and np.allclose([r.v for r in got], 2.0 * np.sqrt(512 / 64))
     with pytest.raises(ValueError):
-        kernels.rescale(dense, 10.0, 5.0)
+        chunks.rescaled(whole, "run", 4, 10.0, 5.0)
 
 
 def test_components_against_a_flood_fill(spark):

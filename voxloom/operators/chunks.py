@@ -218,39 +218,128 @@ def components(mask: DataFrame, key: str, edge: int) -> DataFrame:
     return labelled.join(maps, [key, "cz", "cy", "cx"], "left").select(key, "cz", "cy", "cx", F.transform("v", named).alias("v"))
 
 
+#: Columns of a piece but for its key and values: place, own size, and the volume's size along axes that are known.
+PIECE = ("cz", "cy", "cx", "d", "h", "w", "nz", "ny", "nx")
+
+
+def _ragged(arrays: list[np.ndarray]) -> pa.Array:
+    ends = np.concatenate([[0], np.cumsum([a.size for a in arrays])]).astype(np.int32)
+    return pa.ListArray.from_arrays(ends, pa.array(np.concatenate([a.reshape(-1) for a in arrays]) if arrays else np.empty(0)))
+
+
+def _piece_schema(df: DataFrame, key: str) -> str:
+    return f"{key} {df.schema[key].dataType.simpleString()}, {', '.join(f'{c} int' for c in PIECE)}, re array<double>, im array<double>"
+
+
+def _trimmed(batch, edge: int) -> tuple[list[np.ndarray], np.ndarray]:
+    cubes = _cubes(batch.column("v"), edge, edge, edge)
+    there = ~np.isnan(cubes)
+    sizes = np.stack([there.any(axis=others).sum(1) for others in ((2, 3), (1, 3), (1, 2))], 1)
+    return [cube[tuple(slice(0, n) for n in size)] for cube, size in zip(cubes, sizes.tolist(), strict=True)], sizes
+
+
+def pieces(chunks: DataFrame, key: str, edge: int) -> DataFrame:
+    """Chunks without the places beyond their volume, as key, PIECE, re and im; im is empty while all is real."""
+    def run(batches):
+        for whole in batches:
+            step = max(1, HELD // edge**3)
+            for start in range(0, whole.num_rows, step):
+                batch = whole.slice(start, step)
+                cut, sizes = _trimmed(batch, edge)
+                columns = [*_places(batch).T, *sizes.T, *[np.zeros(len(cut))] * 3]
+                yield pa.RecordBatch.from_arrays([batch.column(key), *[pa.array(x.astype(np.int32)) for x in columns], _ragged(cut), _ragged([np.empty(0)] * len(cut))], [key, *PIECE, "re", "im"])
+
+    return chunks.select(key, "cz", "cy", "cx", F.col("v").cast("array<double>")).mapInArrow(run, _piece_schema(chunks, key))
+
+
+def extents(chunks: DataFrame, key: str, edge: int) -> DataFrame:
+    """key, d, h, w, voxels and whole, whether every voxel within these sizes is there once: what a volume's chunks say."""
+    def run(batches):
+        for batch in batches:
+            cut, sizes = _trimmed(batch, edge)
+            ends = _places(batch) * edge + sizes
+            filled = np.array([np.count_nonzero(~np.isnan(x)) for x in cut], np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(key), *[batch.column(f"c{a}") for a in "zyx"], *[pa.array(x.astype(np.int32)) for x in ends.T], pa.array(filled)], [key, "cz", "cy", "cx", "d", "h", "w", "filled"])
+
+    kind = f"{_kind(chunks, key)}, d int, h int, w int, filled long"
+    each_one = chunks.select(key, "cz", "cy", "cx", F.col("v").cast("array<double>")).mapInArrow(run, kind)
+    found = each_one.groupBy(key).agg(*[F.max(c).alias(c) for c in "dhw"], F.sum("filled").alias("voxels"), F.count(F.lit(1)).alias("_n"))
+    volume = F.col("d").cast("long") * F.col("h") * F.col("w")
+    grid = F.ceil(F.col("d") / edge) * F.ceil(F.col("h") / edge) * F.ceil(F.col("w") / edge)
+    return found.select(key, "d", "h", "w", "voxels", ((F.col("voxels") == volume) & (F.col("_n") == grid)).alias("whole"))
+
+
+def pencils(parts: DataFrame, key: str, edge: int, axis: int, change: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """Pieces after change(x, n, start) along one axis of every volume, which may change its length and go over to complex.
+
+    x holds all voxels along the axis, which comes first, and a chunk's along the other two; n the volume's sizes (0 for
+    axes that no pass has seen), start the chunk's first place on the other axes. So pieces are shuffled to meet along the
+    axis, and a task holds some columns of chunks, never a volume."""
+    name = "zyx"[axis]
+    rest = [k for k in range(3) if k != axis]
+
+    def run(batches):
+        for batch in batches:
+            lists, out, held = batch.column("parts"), [], 0
+            count = np.asarray(lists.value_lengths())
+            ends, column = np.cumsum(count), dict(zip(["at", *PIECE[3:], "re", "im"], lists.flatten().flatten(), strict=True))
+            at, numbers = np.asarray(column["at"]), np.stack([np.asarray(column[c], dtype=np.int64) for c in PIECE[3:]], 1)
+            values = {c: (np.concatenate([[0], np.cumsum(np.asarray(column[c].value_lengths()))]), np.asarray(column[c].flatten())) for c in ("re", "im")}
+            places = [np.asarray(batch.column(f"c{'zyx'[k]}")) for k in rest]
+
+            def cube(i: int) -> np.ndarray:
+                (a, re), (b, im) = values["re"], values["im"]
+                x = re[a[i] : a[i + 1]]
+                return (x + 1j * im[b[i] : b[i + 1]] if b[i] < b[i + 1] else x).reshape(numbers[i, :3])
+
+            def batch_of(out: list) -> pa.RecordBatch:
+                rows, numbers, arrays = zip(*out, strict=True)
+                columns = [pa.array(x.astype(np.int32)) for x in np.array(numbers).T]
+                parts = [_ragged([x.real for x in arrays]), _ragged([x.imag if np.iscomplexobj(x) else np.empty(0) for x in arrays])]
+                return pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(rows)), *columns, *parts], [key, *PIECE, "re", "im"])
+
+            for k in range(len(count)):
+                mine = np.arange(ends[k] - count[k], ends[k])
+                mine = mine[np.argsort(at[mine])]
+                whole = np.moveaxis(np.concatenate([cube(i) for i in mine], axis), axis, 0)
+                n = numbers[mine[0], 3:].copy()
+                n[axis] = n[axis] or len(whole)
+                done = np.moveaxis(change(whole, n, np.array([p[k] for p in places]) * edge), 0, axis)
+                for c in range(-(-done.shape[axis] // edge)):
+                    part = done[tuple(slice(c * edge, (c + 1) * edge) if j == axis else slice(None) for j in range(3))]
+                    place = [c if j == axis else int(places[rest.index(j)][k]) for j in range(3)]
+                    out.append((k, [*place, *part.shape, *n], np.ascontiguousarray(part)))
+                held += done.size
+                if held > HELD // 4:
+                    yield batch_of(out)
+                    out, held = [], 0
+            if out:
+                yield batch_of(out)
+
+    own = F.struct(F.col(f"c{name}").alias("at"), *PIECE[3:], "re", "im")
+    return parts.groupBy(key, *[f"c{'zyx'[k]}" for k in rest]).agg(F.collect_list(own).alias("parts")).mapInArrow(run, _piece_schema(parts, key))
+
+
+def whole_chunks(parts: DataFrame, key: str, edge: int) -> DataFrame:
+    """Chunks from the real parts of pieces, NaN beyond the volume."""
+    def run(batches):
+        for batch in batches:
+            size = np.stack([np.asarray(batch.column(c)) for c in "dhw"], 1)
+            ends = np.concatenate([[0], np.cumsum(np.asarray(batch.column("re").value_lengths()))])
+            values, cubes = np.asarray(batch.column("re").flatten()), np.full((len(size), edge, edge, edge), np.nan)
+            for i, (d, h, w) in enumerate(size.tolist()):
+                cubes[i, :d, :h, :w] = values[ends[i] : ends[i + 1]].reshape(d, h, w)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in (key, "cz", "cy", "cx")], _lists(cubes)], [key, "cz", "cy", "cx", "v"])
+
+    return parts.select(key, "cz", "cy", "cx", "d", "h", "w", "re").mapInArrow(run, f"{_kind(parts, key)}, v array<double>")
+
+
 def by_axis(chunks: DataFrame, key: str, edge: int, matrix: Callable[[int], np.ndarray]) -> DataFrame:
     """A linear map that is a product of one matrix for each axis: key, d, h, w (the volume's new size), z, y, x, v, a row
-    for each voxel. matrix(n) is that for an axis of n voxels, real or complex; v is the real part.
-
-    Each axis is done by itself on columns of chunks: a task holds some columns, never a volume."""
-    names = [key, "cz", "cy", "cx", "d", "h", "w", "re", "im"]
-    held = f"{_kind(chunks, key)}, d int, h int, w int, re array<double>, im array<double>"
-
-    def along(df: DataFrame, axis: int) -> DataFrame:
-        name = "zyx"[axis]
-        rest = [f"c{a}" for a in "zyx" if a != name]
-
-        def run(batches):
-            for batch in batches:
-                out: list[list] = [[] for _ in names]
-                for k, column in enumerate(batch.column("pieces")):
-                    pieces = sorted(column.as_py(), key=lambda p: p["at"])
-                    whole = np.concatenate([(np.array(p["re"]) + 1j * np.array(p["im"])).reshape(p["d"], p["h"], p["w"]) for p in pieces], axis)
-                    done = np.moveaxis(np.tensordot(matrix(whole.shape[axis]), whole, (1, axis)), 0, axis)
-                    for c in range(-(-done.shape[axis] // edge)):
-                        part = np.take(done, range(c * edge, min(done.shape[axis], (c + 1) * edge)), axis)
-                        place = [c if f"c{a}" not in rest else batch.column(f"c{a}")[k].as_py() for a in "zyx"]
-                        for to, x in zip(out, [batch.column(key)[k].as_py(), *place, *part.shape, part.real.ravel(), part.imag.ravel()], strict=True):
-                            to.append(x)
-                kinds = [batch.schema.field(key).type, *[pa.int32()] * 6, *[pa.list_(pa.float64())] * 2]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names)
-
-        columns = df.groupBy(key, *rest).agg(F.collect_list(F.struct(F.col(f"c{name}").alias("at"), "d", "h", "w", "re", "im")).alias("pieces"))
-        return columns.mapInArrow(run, held)
-
-    now = chunks.select(key, "cz", "cy", "cx", *[F.lit(edge).alias(a) for a in "dhw"], F.col("v").alias("re"), F.transform("v", lambda _: F.lit(0.0)).alias("im"))
+    for each voxel. matrix(n) is that for an axis of n voxels, real or complex; v is the real part."""
+    now = pieces(chunks, key, edge)
     for axis in range(3):
-        now = along(now, axis)
+        now = pencils(now, key, edge, axis, lambda x, n, _: np.tensordot(matrix(len(x)), x, (1, 0)))
     sizes = now.groupBy(key).agg(*[F.max(F.col(f"c{a}") * edge + F.col(n)).cast("int").alias(n) for a, n in zip("zyx", "dhw", strict=True)])
     rows = now.select(key, "cz", "cy", "cx", F.col("h").alias("ph"), F.col("w").alias("pw"), F.posexplode("re").alias("i", "v")).join(sizes, key)
     at = F.col("i")

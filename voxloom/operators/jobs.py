@@ -11,6 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxloom.functions import text
 from voxloom.operators import chunks
 
 RESULT = "task_id long, success boolean, worker int, seconds double, error string, result double"
@@ -58,9 +59,12 @@ def each_run(rows: DataFrame, key: str, change: Callable[[pd.DataFrame], pd.Data
 
 def filter_volumes(jobs: DataFrame, volumes: DataFrame, edge: int, spacing: float, to: float) -> tuple[DataFrame, DataFrame]:
     """A downsampling job over runs: (run, d, h, w, z, y, x, v) of the jobs' volumes, and one row for each job with what it
-    did or why it did nothing. jobs: run, name; volumes: chunks."""
-    known = volumes.select("run").distinct().withColumn("known", F.lit(True))
-    checked = jobs.join(known, "run", "left").select("run", "name", F.when(F.col("known").isNull(), "no volume").alias("error"))
-    done = chunks.rescaled(volumes.join(checked.where("error IS NULL").select("run"), "run", "left_semi"), "run", edge, spacing, to)
-    sizes = done.groupBy("run").agg(F.max("d").alias("d"), F.max("h").alias("h"), F.max("w").alias("w"), F.count(F.lit(1)).alias("voxels"))
-    return done, checked.join(sizes, "run", "left").select("run", "name", "d", "h", "w", "voxels", "error")
+    makes or why it makes nothing, which follows from the volumes' sizes alone. jobs: run, name; volumes: chunks."""
+    if to < spacing:
+        raise ValueError("only coarser spacings")
+    found = jobs.select("run", "name").join(chunks.extents(volumes, "run", edge), "run", "left")
+    error = F.when(F.col("whole").isNull(), "no volume").when(~F.col("whole"), "voxels are missing")
+    size = lambda n: F.when(error.isNull(), text.rescaled(F.col(n), F.lit(spacing), F.lit(to))).alias(n)
+    table = found.select("run", "name", size("d"), size("h"), size("w"), error.alias("error"))
+    done = chunks.rescaled(volumes.join(table.where("error IS NULL").select("run"), "run", "left_semi"), "run", edge, spacing, to)
+    return done, table.select("run", "name", "d", "h", "w", (F.col("d").cast("long") * F.col("h") * F.col("w")).alias("voxels"), "error")

@@ -31,21 +31,25 @@ def each_cube(samples: DataFrame, change: Callable[[np.ndarray, int], np.ndarray
     return samples.select("sample_id", "v", on.alias("_on")).mapInArrow(run, "sample_id long, v array<double>")
 
 
-def mask(shape: tuple[int, ...], low_pass: float, low_decay: float, high_pass: float, high_decay: float) -> np.ndarray:
-    """The cosine band-pass weights, centred; see volume.cosine_mask."""
-    r = np.sqrt(sum((g - n // 2) ** 2 for g, n in zip(np.indices(shape), shape, strict=True)))
-
+def cosine_weights(r: np.ndarray, low_pass: float, low_decay: float, high_pass: float, high_decay: float) -> np.ndarray:
+    """The cosine band-pass weights at distances r, in pixels of the spectrum; see volume.cosine_mask."""
     def edge(f: float, d: float) -> np.ndarray:
         if not f:
-            return np.ones(shape)
+            return np.ones(r.shape)
         if not d:
             return (r <= f).astype(float)
         return np.where(r <= f - d / 2, 1.0, np.where(r >= f + d / 2, 0.0, 0.5 + 0.5 * np.cos(np.pi * (r - (f - d / 2)) / d)))
 
-    high = np.ones(shape) if not high_pass else 1 - edge(high_pass, high_decay) if high_decay else (r >= high_pass).astype(float)
+    high = np.ones(r.shape) if not high_pass else 1 - edge(high_pass, high_decay) if high_decay else (r >= high_pass).astype(float)
     return edge(low_pass, low_decay) * high
 
 
+def mask(shape: tuple[int, ...], low_pass: float, low_decay: float, high_pass: float, high_decay: float) -> np.ndarray:
+    """The weights of a whole spectrum, centred."""
+    r = np.sqrt(sum((g - n // 2) ** 2 for g, n in zip(np.indices(shape), shape, strict=True)))
+    return cosine_weights(r, low_pass, low_decay, high_pass, high_decay)
+
+
 def bandpass(samples: DataFrame, side: int, low_pass: float = 0, low_decay: float = 0, high_pass: float = 0, high_decay: float = 0) -> DataFrame:
     weights = np.fft.ifftshift(mask((side,) * 3, low_pass, low_decay, high_pass, high_decay))
     return each_cube(samples, lambda v, _: np.fft.ifftn(np.fft.fftn(v) * weights).real, side)
@@ -92,25 +96,6 @@ def log_spectrum(samples: DataFrame, side: int) -> DataFrame:
     return each_cube(samples, lambda v, _: np.log(np.abs(np.fft.fftshift(np.fft.fftn(v))) + 1), side)
 
 
-def rescale(dense: DataFrame, spacing: float, to: float) -> DataFrame:
-    """Fourier cropping to a coarser spacing: even sizes, centred on the zero frequency, orthonormal both ways."""
-    if to < spacing:
-        raise ValueError("only coarser spacings")
-
-    def run(batches):
-        for pdf in batches:
-            rows = []
-            for r in pdf.itertuples(index=False):
-                shape = (r.d, r.h, r.w)
-                size = [(lambda m: m - m % 2)(int(round(n * spacing / to))) for n in shape]
-                spectrum = np.fft.fftshift(np.fft.fftn(np.reshape(r.v, shape), norm="ortho"))
-                cut = tuple(slice(n // 2 - m // 2, n // 2 - m // 2 + m) for n, m in zip(shape, size, strict=True))
-                rows.append((r.run, *size, np.fft.ifftn(np.fft.ifftshift(spectrum[cut]), norm="ortho").real.ravel()))
-            yield pd.DataFrame(rows, columns=["run", "d", "h", "w", "v"])
-
-    return dense.mapInPandas(run, "run long, d int, h int, w int, v array<double>")
-
-
 def components(mask: DataFrame, edge: int = 16) -> DataFrame:
     """run, z, y, x, component: set voxels, given by their places, labelled by 26-neighbour connection (chunks.components)."""
     held = chunks.chunked(mask.select("run", "z", "y", "x", F.lit(1.0).alias("v")), "run", edge)
