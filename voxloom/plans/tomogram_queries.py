@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.operators import chunks, fourier
+from voxloom.functions.rng import uniform_sql
+from voxloom.operators import chunks, dataset, fourier, splicing, volume
+from voxloom.plans.analysis_queries import _table
+from voxloom.plans.kernel_queries import LABELLED, _set
 from voxloom.sources import model
 from voxloom.sources.model import SIDE, SPACING
 
+#: Voxels of a component that is spliced, at least; the Gaussian that smooths its edge.
+LEAST_AREA, SIGMA = 3, 1.0
 #: Cutoffs in angstrom and decays in pixels of the filter job.
 FILTER = {"low_pass": 25.0, "low_decay": 1.0, "high_pass": 60.0, "high_decay": 0.5}
 
@@ -34,7 +39,19 @@ def _filtered(spark, d):
     return chunks.flat(_filter(0)(spark, d).drop("name"), "run", SIDE, 6).withColumn("v", F.col("v") + F.lit(0.0))
 
 
+def _spliced(spark, d):
+    """A hundred draws: crops of volumes, and components of the mask blended into such crops."""
+    volumes = model.chunks(spark, d)
+    labels = chunks.components(_set(spark, d), "run", SIDE).persist()
+    stats = splicing.component_stats(labels, "run", SIDE).withColumn("usable", F.col("area") >= LEAST_AREA)
+    draws = dataset.spliced_set(stats, volumes)
+    cubes = splicing.spliced_samples(draws, stats, labels, volumes, volumes, SIDE, SIDE, SIGMA)
+    rows = cubes.select("draw", "kind", "component", "run", F.posexplode("v").alias("i", "v"))
+    return rows.withColumn("v", F.round("v", 6) + F.lit(0.0))
+
+
 QUERIES = {
+    "spliced_samples": _spliced,
     "filter_tomograms": _filtered,
     "filter_jobs": _filter(1),
 }
@@ -61,7 +78,26 @@ FILTER_TAPS = (
     "t AS (SELECT k.d, k.h, k.w, a AS z, b AS y, e AS x, avg(g * cos(2 * pi() * (k.z * a / k.d + k.y * b / k.h + k.x * e / k.w))) AS tap FROM k, unnest(range(0, k.d)) t(a), unnest(range(0, k.h)) p(b), unnest(range(0, k.w)) q(e) GROUP BY ALL) "
 ).format(low=_slope("lp", FILTER["low_decay"]), high=_slope("hp", FILTER["high_decay"]))
 
+K = _table(volume.kernel(SIDE, SIGMA), "j", "i", "w")
+LOW = ", ".join(f"least(greatest(0, floor(c{a} - 2)::INT), 4) AS {a}0" for a in "zyx")
+CORNER = ", ".join(f"floor({uniform_sql(f'splice-crop-{a}', 'draw')} * 5)::INT AS t{a}" for a in "zyx")
+SPLICED = (
+    ", s AS (SELECT run, component, count(*) AS area, round(avg(z), 6) AS cz, round(avg(y), 6) AS cy, round(avg(x), 6) AS cx FROM c GROUP BY 1, 2), "
+    f"p AS (SELECT run AS component_run, component, area >= {LEAST_AREA} AS usable, row_number() OVER (ORDER BY run, component) - 1 AS k, {LOW} FROM s), "
+    "q AS (SELECT run, row_number() OVER (ORDER BY run) - 1 AS j FROM (SELECT DISTINCT run FROM voxels)), "
+    f"d AS (SELECT draw, floor({uniform_sql('splice-run', 'draw')} * (SELECT count(*) FROM q))::INT AS j, floor({uniform_sql('splice-part', 'draw')} * (SELECT count(*) FROM p))::INT AS k, {CORNER} FROM range(100) t(draw)), "
+    "b AS (SELECT draw, run, component_run, component, tz, ty, tx, z0, y0, x0 FROM d JOIN q USING (j) JOIN p USING (k) WHERE draw >= 50 AND usable), "
+    "g AS (SELECT z, y, x FROM range(4) a(z), range(4) b(y), range(4) c(x)), "
+    "m AS (SELECT DISTINCT draw, g.z, g.y, g.x FROM b JOIN c ON c.run = component_run AND c.component = b.component JOIN g ON abs(c.z - z0 - g.z) + abs(c.y - y0 - g.y) + abs(c.x - x0 - g.x) <= 2), "
+    f"w AS (SELECT draw, a.j AS z, b.j AS y, c.j AS x, greatest(0, least(1, sum(a.w * b.w * c.w))) AS w FROM m JOIN {K.replace(' t(', ' a(')} ON a.i = z JOIN {K.replace(' t(', ' b(')} ON b.i = y JOIN {K.replace(' t(', ' c(')} ON c.i = x GROUP BY ALL) "
+)
+
 ORACLE_SQL = {
+    "spliced_samples": LABELLED + SPLICED
+    + "SELECT draw, 'background' AS kind, NULL::BIGINT AS component, run, ((v.z - tz) * 4 + v.y - ty) * 4 + v.x - tx AS i, round(v.v, 6) + 0.0::DOUBLE AS v FROM d JOIN q USING (j) JOIN voxels v USING (run) "
+    "WHERE draw < 50 AND v.z - tz BETWEEN 0 AND 3 AND v.y - ty BETWEEN 0 AND 3 AND v.x - tx BETWEEN 0 AND 3 "
+    "UNION ALL SELECT draw, 'spliced', component, b.run, (w.z * 4 + w.y) * 4 + w.x AS i, round(o.v * w + r.v * (1 - w), 6) + 0.0::DOUBLE AS v FROM b JOIN w USING (draw) "
+    "JOIN voxels o ON o.run = component_run AND o.z = z0 + w.z AND o.y = y0 + w.y AND o.x = x0 + w.x JOIN voxels r ON r.run = b.run AND r.z = tz + w.z AND r.y = ty + w.y AND r.x = tx + w.x",
     "filter_tomograms": f"WITH {OBLONG}, {FILTER_TAPS} SELECT run, (u.z + t.z) % n.d AS z, (u.y + t.y) % n.h AS y, (u.x + t.x) % n.w AS x, round(sum(v * tap), 6) + 0.0::DOUBLE AS v "
     "FROM u JOIN entire USING (run) JOIN n USING (run) JOIN t ON t.d = n.d AND t.h = n.h AND t.w = n.w GROUP BY ALL",
     "filter_jobs": f"WITH {OBLONG}, j AS (SELECT s_suppkey AS run, CASE WHEN s_nationkey = 3 THEN 'given' END AS given FROM supplier UNION ALL SELECT run, NULL FROM n WHERE run NOT IN (SELECT s_suppkey FROM supplier)) "
