@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from voxloom.functions.rng import uniform_sql
 from voxloom.operators import chunks, dataset, fourier, splicing, volume
-from voxloom.plans.analysis_queries import _table
+from voxloom.plans.analysis_queries import _folder, _table
 from voxloom.plans.kernel_queries import LABELLED, _set
-from voxloom.sources import model
+from voxloom.sources import arrays, model, nifti
 from voxloom.sources.model import SIDE, SPACING
 
 #: Voxels of a component that is spliced, at least; the Gaussian that smooths its edge.
@@ -50,7 +50,37 @@ def _spliced(spark, d):
     return rows.withColumn("v", F.round("v", 6) + F.lit(0.0))
 
 
+def _whole(spark, d):
+    volumes = oblong(spark, d)
+    return volumes.join(chunks.extents(volumes, "run", SIDE).where("whole").select("run"), "run")
+
+
+def _store(spark, d):
+    """Volumes as arrays and back: those of even runs as `data`, of odd ones as `0`, halved ones of every third as level 1."""
+    path, volumes = _folder(spark, "store"), _whole(spark, d)
+    arrays.write_arrays(volumes.where("run % 2 = 0"), path, SIDE, SPACING, "wbp", array0="data")
+    arrays.write_arrays(volumes.where("run % 2 = 1"), path, SIDE, SPACING, "wbp")
+    half = volumes.where("run % 3 = 0").withColumn("v", F.transform("v", lambda x: x / 2))
+    arrays.write_arrays(half, path, SIDE, SPACING, "wbp", level=1)
+    found = arrays.read_arrays(spark, path)
+    place = F.col("i") + (F.col("cz") * 4 + F.col("cy") * 2 + F.col("cx")) * SIDE**3
+    rows = found.select("run", "level", "scale", "cz", "cy", "cx", F.posexplode("v").alias("i", "v"))
+    return rows.groupBy(F.col("run").cast("long").alias("run"), "level", "scale").agg(F.count(F.lit(1)).alias("voxels"), (F.round(F.sum("v"), 4) + F.lit(0.0)).alias("total"), (F.round(F.sum(F.col("v") * place), 2) + F.lit(0.0)).alias("weighted"))
+
+
+def _training_set(spark, d):
+    """Images and masks as files; every fifth supplier's run is held out, and runs above 30 have no mask."""
+    path, volumes = _folder(spark, "training-set"), _whole(spark, d)
+    masks = volumes.where("run <= 30").withColumn("v", F.transform("v", lambda x: (x > 0.1).cast("double")))
+    test = model.table(spark, d, "supplier").where("s_suppkey % 5 = 0").select(F.col("s_suppkey").cast("long").alias("run"))
+    nifti.write_training_set(volumes, masks, path, SIDE, SPACING, {"background": 0, "particle": 1}, test)
+    found = nifti.read_files(spark, path).select("file", "d", "h", "w", "spacing", F.posexplode("v").alias("i", "v"))
+    return found.groupBy("file", "d", "h", "w", F.round("spacing", 6).alias("spacing")).agg((F.round(F.sum("v"), 4) + F.lit(0.0)).alias("total"), (F.round(F.sum(F.col("v") * F.col("i")), 2) + F.lit(0.0)).alias("weighted"))
+
+
 QUERIES = {
+    "array_store": _store,
+    "training_set_files": _training_set,
     "spliced_samples": _spliced,
     "filter_tomograms": _filtered,
     "filter_jobs": _filter(1),
@@ -92,7 +122,18 @@ SPLICED = (
     f"w AS (SELECT draw, a.j AS z, b.j AS y, c.j AS x, greatest(0, least(1, sum(a.w * b.w * c.w))) AS w FROM m JOIN {K.replace(' t(', ' a(')} ON a.i = z JOIN {K.replace(' t(', ' b(')} ON b.i = y JOIN {K.replace(' t(', ' c(')} ON c.i = x GROUP BY ALL) "
 )
 
+FILES = (
+    "x AS (SELECT u.*, d, h, w FROM u JOIN entire USING (run) JOIN n USING (run)), "
+    "t AS (SELECT s_suppkey AS run FROM supplier WHERE s_suppkey % 5 = 0), "
+    "f AS (SELECT 'imagesTr/' || run || '_0000.nii.gz' AS file, d, h, w, z, y, x, v FROM x WHERE run <= 30 AND run NOT IN (FROM t) "
+    "UNION ALL SELECT 'labelsTr/' || run || '.nii.gz', d, h, w, z, y, x, (v > 0.1)::INT FROM x WHERE run <= 30 AND run NOT IN (FROM t) "
+    "UNION ALL SELECT 'imagesTs/' || run || '_0000.nii.gz', d, h, w, z, y, x, v FROM x WHERE run IN (FROM t)) "
+)
+
 ORACLE_SQL = {
+    "array_store": f"WITH {OBLONG}, y AS (SELECT run, v, i + c * 64 AS place FROM o JOIN entire USING (run)), z AS (SELECT run, 0 AS level, v, place FROM y UNION ALL SELECT run, 1, v / 2, place FROM y WHERE run % 3 = 0) "
+    "SELECT run, level, 10.0::DOUBLE * (level + 1) AS scale, count(*) AS voxels, round(sum(v), 4) + 0.0::DOUBLE AS total, round(sum(v * place), 2) + 0.0::DOUBLE AS weighted FROM z GROUP BY 1, 2",
+    "training_set_files": f"WITH {OBLONG}, {FILES} SELECT file, d, h, w, 1.0::DOUBLE AS spacing, round(sum(v), 4) + 0.0::DOUBLE AS total, round(sum(v * ((z * h + y) * w + x)), 2) + 0.0::DOUBLE AS weighted FROM f GROUP BY 1, 2, 3, 4",
     "spliced_samples": LABELLED + SPLICED
     + "SELECT draw, 'background' AS kind, NULL::BIGINT AS component, run, ((v.z - tz) * 4 + v.y - ty) * 4 + v.x - tx AS i, round(v.v, 6) + 0.0::DOUBLE AS v FROM d JOIN q USING (j) JOIN voxels v USING (run) "
     "WHERE draw < 50 AND v.z - tz BETWEEN 0 AND 3 AND v.y - ty BETWEEN 0 AND 3 AND v.x - tx BETWEEN 0 AND 3 "
