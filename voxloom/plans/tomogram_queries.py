@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.functions.rng import uniform_sql
-from voxloom.operators import chunks, dataset, fourier, splicing, volume
+from voxloom.operators import chunks, dataset, fourier, sliding, splicing, volume
 from voxloom.plans.analysis_queries import _folder, _table
 from voxloom.plans.kernel_queries import LABELLED, _set
 from voxloom.sources import arrays, model, nifti
 from voxloom.sources.model import SIDE, SPACING
 
+#: Window of the segmentation, and the score above which a voxel is set.
+WINDOW, ABOVE = 6, 0.5
 #: Voxels of a component that is spliced, at least; the Gaussian that smooths its edge.
 LEAST_AREA, SIGMA = 3, 1.0
 #: Cutoffs in angstrom and decays in pixels of the filter job.
@@ -78,7 +81,21 @@ def _training_set(spark, d):
     return found.groupBy("file", "d", "h", "w", F.round("spacing", 6).alias("spacing")).agg((F.round(F.sum("v"), 4) + F.lit(0.0)).alias("total"), (F.round(F.sum(F.col("v") * F.col("i")), 2) + F.lit(0.0)).alias("weighted"))
 
 
+def _linear():
+    """A predictor that weighs each voxel by its place in the window."""
+    weights = 1.0 + (np.arange(WINDOW**3).reshape((WINDOW,) * 3) % 5) / 10
+    return lambda cubes: cubes * weights
+
+
+def _segmented(spark, d):
+    """Volumes are normalised, predicted in windows of mirrored copies, averaged, and cut off."""
+    volumes = sliding.normalised(oblong(spark, d), "run", SIDE)
+    scores = sliding.predicted(volumes, "run", SIDE, WINDOW, _linear)
+    return chunks.flat(scores, "run", SIDE, 6).select("run", "z", "y", "x", (F.col("v") + F.lit(0.0)).alias("score"), (F.col("v") > ABOVE).alias("set"))
+
+
 QUERIES = {
+    "segment_tomograms": _segmented,
     "array_store": _store,
     "training_set_files": _training_set,
     "spliced_samples": _spliced,
@@ -130,7 +147,19 @@ FILES = (
     "UNION ALL SELECT 'imagesTs/' || run || '_0000.nii.gz', d, h, w, z, y, x, v FROM x WHERE run IN (FROM t)) "
 )
 
+#: The predictor's mean weight at each place of a volume of each size.
+SEEN = (
+    "a AS (SELECT DISTINCT unnest([d, h, w]) AS n FROM n JOIN entire USING (run)), "
+    f"e AS (SELECT DISTINCT n, least(k * 3, n - 6) AS s FROM a, range(100) t(k) WHERE k = 0 OR k * 3 + 3 < n), "
+    "p AS (SELECT n, s + i AS at_, i, exp(-((i - 2.5::DOUBLE) ** 2) / (2 * 0.75::DOUBLE ** 2)) AS g FROM e, range(6) t(i)), "
+    "k AS (SELECT z, y, x, avg(1 + ((CASE WHEN m & 1 = 1 THEN 5 - z ELSE z END) * 36 + (CASE WHEN m & 2 = 2 THEN 5 - y ELSE y END) * 6 + (CASE WHEN m & 4 = 4 THEN 5 - x ELSE x END)) % 5 / 10.0::DOUBLE) AS t FROM range(6) a(z), range(6) b(y), range(6) c(x), range(8) d(m) GROUP BY ALL), "
+    "f AS (SELECT s.d, s.h, s.w, pz.at_ AS z, py.at_ AS y, px.at_ AS x, sum(greatest(pz.g * py.g * px.g, 0.001) * t) / sum(greatest(pz.g * py.g * px.g, 0.001)) AS t "
+    "FROM (SELECT DISTINCT d, h, w FROM n JOIN entire USING (run)) s JOIN p pz ON pz.n = s.d JOIN p py ON py.n = s.h JOIN p px ON px.n = s.w JOIN k ON k.z = pz.i AND k.y = py.i AND k.x = px.i GROUP BY ALL) "
+)
+
 ORACLE_SQL = {
+    "segment_tomograms": f"WITH {OBLONG}, {SEEN}, b AS (SELECT run, z, y, x, (v - avg(v) OVER q) / stddev_pop(v) OVER q AS v FROM u WINDOW q AS (PARTITION BY run)) "
+    f'SELECT run, z, y, x, round(v * t, 6) + 0.0::DOUBLE AS score, round(v * t, 6) > {ABOVE} AS "set" FROM b JOIN entire USING (run) JOIN n USING (run) JOIN f USING (d, h, w, z, y, x)',
     "array_store": f"WITH {OBLONG}, y AS (SELECT run, v, i + c * 64 AS place FROM o JOIN entire USING (run)), z AS (SELECT run, 0 AS level, v, place FROM y UNION ALL SELECT run, 1, v / 2, place FROM y WHERE run % 3 = 0) "
     "SELECT run, level, 10.0::DOUBLE * (level + 1) AS scale, count(*) AS voxels, round(sum(v), 4) + 0.0::DOUBLE AS total, round(sum(v * place), 2) + 0.0::DOUBLE AS weighted FROM z GROUP BY 1, 2",
     "training_set_files": f"WITH {OBLONG}, {FILES} SELECT file, d, h, w, 1.0::DOUBLE AS spacing, round(sum(v), 4) + 0.0::DOUBLE AS total, round(sum(v * ((z * h + y) * w + x)), 2) + 0.0::DOUBLE AS weighted FROM f GROUP BY 1, 2, 3, 4",

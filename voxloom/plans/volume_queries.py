@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from voxloom.functions.rng import shuffle_sql, uniform_sql
 from voxloom.operators import chunks as c
+from voxloom.operators import sliding
 from voxloom.operators import volume as v
 from voxloom.sources import model
 from voxloom.sources.model import EXTENT, SIDE, with_views
@@ -95,7 +96,7 @@ def _ensemble(spark, d):
 QUERIES = {
     "zscore_eps": _cube(v.zscore),
     "zscore_guarded": _cube(v.zscore, True),
-    "zscore_global": _voxels(v.zscore_volumes),
+    "zscore_global": lambda spark, d: c.flat(sliding.normalised(model.chunks(spark, d), "run", SIDE), "run", SIDE, 6),
     "brightness": _cube(v.brightness),
     "intensity": _cube(v.intensity),
     **{f"flip_{a}": _cube(v.flip, a, SIDE) for a in "zyx"},
