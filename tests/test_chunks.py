@@ -194,7 +194,7 @@ def test_planes_by_overlap_find_a_slab(spark):
     a = np.zeros((32, 32, 32))
     a[9:24] = 1
     first = kernels.planes_by_overlap(cut_up(spark, a, 8), 8, iterations=1).first()
-    got = kernels.planes_by_overlap(cut_up(spark, a, 8), 8, iterations=100, rate=0.01).first()
+    got = kernels.planes_by_overlap(cut_up(spark, a, 8), 8, iterations=25, rate=0.02).first()
     assert got.iou > first.iou and got.iou > 0.8 and abs(got.ny) < 0.2 and abs(got.nx) < 0.2
 
 
@@ -226,3 +226,62 @@ def test_a_failing_run_stays_alone(spark):
     assert got[4].error == "ValueError: four" and got[4].y is None and got[5].y == 4.0 and got[5].error is None
     tasks = jobs.run_tasks(spark.range(20).select(F.col("id").alias("task_id")), lambda: 1, lambda s, r: s, 3).collect()
     assert [r.task_id for r in tasks] == list(range(20))
+
+
+def dense_planes(vol, iterations, rate, steep=1000.0):
+    """The same steps on the whole volume at once."""
+    zz, yy, xx = (np.arange(n).reshape([-1 if k == i else 1 for i in range(3)]) / n for k, n in enumerate(vol.shape))
+    sigmoid = lambda t: 1 / (1 + np.exp(-np.clip(t, -500, 500)))
+    p, m, u = np.array([1.0, 0.0, 0.0, -0.8, -0.2]), np.zeros(5), np.zeros(5)
+
+    def overlap(p):
+        length = np.linalg.norm(p[:3])
+        n = p[:3] / length
+        flat = n[2] * yy + n[1] * xx
+        top, bottom = -(flat + p[3]) / n[0], -(flat + p[4]) / n[0]
+        a, b = sigmoid(steep * (top - zz)), sigmoid(steep * (zz - bottom))
+        valid = a * b
+        both, total = (valid * vol).sum(), valid.sum() + vol.sum()
+        union = total - both
+        slope = (vol * (union + both) - both) / union**2 * valid
+        by_top, by_bottom = slope * steep * (1 - a), -slope * steep * (1 - b)
+        by_n = sum(np.array([(by * -z / n[0]).sum(), (by * -xx / n[0]).sum(), (by * -yy / n[0]).sum()]) for by, z in ((by_top, top), (by_bottom, bottom)))
+        return both / union, np.concatenate([(by_n - n * (by_n @ n)) / length, [-by_top.sum() / n[0], -by_bottom.sum() / n[0]]])
+
+    for t in range(1, iterations + 1):
+        g = -overlap(p)[1]
+        m, u = 0.9 * m + 0.1 * g, 0.999 * u + 0.001 * g * g
+        p = p - rate * (m / (1 - 0.9**t)) / (np.sqrt(u / (1 - 0.999**t)) + 1e-8)
+    return [*p, overlap(p)[0]]
+
+
+def test_planes_by_overlap_are_those_of_the_whole_volume(spark):
+    r = np.random.default_rng(5)
+    a = (r.random((16, 24, 8)) < 0.2).astype(float)
+    a[5:11] = 1
+    got = kernels.planes_by_overlap(cut_up(spark, a, 8), 8, iterations=6).first()
+    assert np.allclose(got[1:], dense_planes(a, 6, 0.1), atol=1e-6)
+
+
+def test_links_of_one_run_are_contracted(spark):
+    """Long chains, stars and noise, dealt over many tasks; two runs with the same labels."""
+    r = np.random.default_rng(6)
+    n = 4000
+    pairs = [(int(i), int(i) + 1) for i in r.permutation(1500)] + [(2000, int(j)) for j in range(2001, 2400)] + [tuple(map(int, r.integers(2500, n, 2))) for _ in range(700)]
+    links = spark.createDataFrame([(1, b, a) for a, b in pairs] + [(2, 5, 9), (2, 9, 9)], "run long, a long, b long").repartition(23)
+    parent = list(range(n))
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        x, y = sorted((find(a), find(b)))
+        parent[y] = x
+    want = {(1, i, find(i)) for i in range(n) if find(i) != i} | {(2, 9, 5)}
+    assert {tuple(x) for x in chunks.contracted(links, "run").collect()} == want
+    assert chunks.contracted(links.limit(0), "run").count() == 0
+    steps = spark.createDataFrame([(1, i, i + 1) for i in range(300)] + [(1, 300, 300), (1, 900, 901), (2, 3, 3)], "run long, a long, b long")
+    assert {tuple(x) for x in chunks.followed(steps, "run").collect()} == {(1, i, 300) for i in range(301)} | {(1, 900, 901), (2, 3, 3)}

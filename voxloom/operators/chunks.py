@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.functions import number
+from voxloom.sources import storage
 
 #: Elements of the padded chunks that are held at once, about.
 HELD = 8_000_000
@@ -146,12 +147,74 @@ def over_offsets(chunks: DataFrame, key: str, edge: int, offsets: list[tuple[int
     return with_halo(chunks, key, edge, width, change)
 
 
+def forest(links: DataFrame, key: str) -> DataFrame:
+    """(key, a, b) with a < b that connect the same labels as those of the task do: each label with the least it reaches."""
+    def run(batches):
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        ends = np.stack([np.asarray(table.column(c)) for c in "ab"], 1)
+        code = table.column(key).combine_chunks().dictionary_encode()
+        of = np.asarray(code.indices, dtype=np.int64)
+        nodes, at = np.unique(np.stack([np.repeat(of, 2), ends.reshape(-1)], 1), axis=0, return_inverse=True)
+        a, b = at.reshape(-1, 2).T
+        root = np.arange(len(nodes))  # nodes are sorted by key and label
+        while True:
+            new, low = root.copy(), np.minimum(root[a], root[b])
+            for i in (a, b, root[a], root[b]):
+                np.minimum.at(new, i, low)
+            new = new[new]
+            if (new == root).all():
+                break
+            root = new
+        kept = np.flatnonzero(root != np.arange(len(nodes)))
+        yield pa.RecordBatch.from_arrays([code.dictionary.take(pa.array(nodes[kept, 0])), pa.array(nodes[root[kept], 1]), pa.array(nodes[kept, 1])], [key, "a", "b"])
+
+    return links.select(key, "a", "b").mapInArrow(run, f"{key} {links.schema[key].dataType.simpleString()}, a long, b long")
+
+
+def contracted(links: DataFrame, key: str) -> DataFrame:
+    """(key, label, root) for the labels of (key, a, b) that are not the least of those they are connected with.
+
+    Tasks contract what they hold; then stars are formed by turns: a label's larger neighbours go to its least one, and its
+    smaller ones too, until nothing moves. Rounds grow with the logarithm of the longest chain, each is written, and no task
+    needs all links of a run."""
+    now, was = storage.written(forest(links.where("a <> b").select(key, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), key), "links"), None
+    while True:
+        at = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(key, "a", "b"))).first()
+        if at == was or not at[0]:
+            return now.select(key, F.col("b").alias("label"), F.col("a").alias("root"))
+        was = at
+        around = now.unionByName(now.select(key, F.col("b").alias("a"), F.col("a").alias("b")))
+        least = around.groupBy(key, "a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        large = around.join(least, [key, "a"]).where("b > a").select(key, F.col("m").alias("a"), "b").distinct()
+        low = large.groupBy(key, "b").agg(F.min("a").alias("m"))
+        small = large.join(low, [key, "b"]).where("a > m").select(key, F.col("m").alias("a"), F.col("a").alias("b")).unionByName(low.select(key, F.col("m").alias("a"), "b"))
+        after = storage.written(small.distinct(), "links")
+        storage.removed(now)
+        now = after
+
+
+def followed(steps: DataFrame, key: str) -> DataFrame:
+    """(key, a, b) with b where a chain of steps from a ends: each round doubles how far a step reaches."""
+    now = storage.written(steps, "steps")
+    while True:
+        on = now.select(key, F.col("a").alias("b"), F.col("b").alias("_on"))
+        further = now.join(on, [key, "b"], "left").select(key, "a", F.coalesce("_on", "b").alias("b"), (F.coalesce("_on", "b") != F.col("b")).alias("_moved"))
+        after = storage.written(further, "steps")
+        storage.removed(now)
+        now = after
+        if not now.where("_moved").limit(1).count():
+            return now.select(key, "a", "b")
+
+
 def components(mask: DataFrame, key: str, edge: int) -> DataFrame:
     """Chunks whose voxels above 0 are labelled by 26-neighbour connection: 1, 2, ... in the order of each one's first
     voxel by z, y, x; 0 where nothing is set.
 
     Every chunk is labelled by itself; labels that touch across faces make a small graph, at most a row for each pair of
-    touching parts, which is solved by run; a chunk then gets the numbers of its own few labels."""
+    touching parts, which is contracted, whatever the size of a run; a chunk then gets the numbers of its own few labels."""
     def place(z: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
         return ((z << 2 * BITS) | (y << BITS) | x) + 1
 
@@ -189,27 +252,10 @@ def components(mask: DataFrame, key: str, edge: int) -> DataFrame:
         found = np.unique(np.concatenate(pairs), axis=0)
         return pa.RecordBatch.from_arrays([keys.take(pa.array(found[:, 0])), pa.array(found[:, 1]), pa.array(found[:, 2])], [key, "a", "b"])
 
-    def solve(pdf):
-        import pandas as pd
-
-        names, ends = np.unique(pdf[["a", "b"]].to_numpy(), return_inverse=True)
-        a, b = ends.reshape(-1, 2).T
-        root = np.arange(len(names))
-        while True:
-            new, low = root.copy(), np.minimum(root[a], root[b])
-            np.minimum.at(new, a, low)
-            np.minimum.at(new, b, low)
-            np.minimum.at(new, root[a], low)
-            np.minimum.at(new, root[b], low)
-            new = new[new]
-            if (new == root).all():
-                return pd.DataFrame({key: pdf[key].iloc[0], "label": names, "root": names[root]})
-            root = new
-
     kind = mask.schema[key].dataType.simpleString()
     labelled = each(mask, key, edge, label)
     links = with_halo(labelled, key, edge, 1, None, f"{key} {kind}, a long, b long", touching).distinct()
-    roots = links.groupBy(key).applyInPandas(solve, f"{key} {kind}, label long, root long")
+    roots = contracted(links, key)
     own = labelled.select(key, "cz", "cy", "cx", F.explode(F.array_distinct("v")).alias("v")).where("v > 0 AND NOT isnan(v)").select(key, "cz", "cy", "cx", F.col("v").cast("long").alias("label"))
     own = own.join(roots, [key, "label"], "left").withColumn("root", F.coalesce("root", "label"))
     numbers = number.numbered(own.select(key, "root").distinct(), [key], F.floor(F.col("root") / float(1 << 2 * BITS)), ["root"], "component")
@@ -395,7 +441,7 @@ def basins(chunks: DataFrame, key: str, edge: int, least: float) -> DataFrame:
 
     A voxel climbs to the highest of its 26 neighbours, of equal ones to the first by z, y, x, until none is higher. Chunks
     climb by themselves as far as they reach; the voxels where a climb leaves a chunk make a small table, at most the
-    voxels of the chunks' faces, that is solved by run. A top is numbered by its place, (z, y, x) in BITS bits each, + 1."""
+    voxels of the chunks' faces, whose chains are followed by doubling. A top is numbered by its place, (z, y, x) in BITS bits each, + 1."""
     def place(z, y, x):
         return ((z << 2 * BITS) | (y << BITS) | x) + 1
 
@@ -437,20 +483,7 @@ def basins(chunks: DataFrame, key: str, edge: int, least: float) -> DataFrame:
     home = [F.floor(part(F.col("end"), k) / edge).cast("int").alias(f"c{a}") for k, a in enumerate("zyx")]
     onward = wanted.select(key, "end", within.alias("i"), *home).join(climbed, [key, "cz", "cy", "cx"]).select(key, F.col("end").alias("a"), F.get("v", F.col("i")).cast("long").alias("b"))
 
-    def solve(pdf):
-        import pandas as pd
-
-        a, b = pdf["a"].to_numpy(), pdf["b"].to_numpy()
-        order = np.argsort(a)
-        a, b = a[order], b[order]
-        while True:
-            k = np.minimum(np.searchsorted(a, b), len(a) - 1)
-            new = np.where(a[k] == b, b[k], b)
-            if (new == b).all():
-                return pd.DataFrame({key: pdf[key].iloc[0], "end": a, "top": b})
-            b = new
-
-    tops = onward.groupBy(key).applyInPandas(solve, f"{key} {kind}, end long, top long")
+    tops = followed(onward, key).select(key, F.col("a").alias("end"), F.col("b").alias("top"))
     maps = ends.where(away).join(tops, [key, "end"]).groupBy(key, "cz", "cy", "cx").agg(F.map_from_entries(F.collect_list(F.struct(F.col("end").cast("double"), F.col("top").cast("double")))).alias("m"))
     moved = lambda v: F.when(F.isnan(v), v).otherwise(F.coalesce(F.element_at("m", v), v))
     return climbed.join(maps, [key, "cz", "cy", "cx"], "left").select(key, "cz", "cy", "cx", F.transform("v", moved).alias("v"))

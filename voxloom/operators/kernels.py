@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.operators import chunks, geometry
+from voxloom.sources import storage
 
 #: Tasks that share the points of a run.
 PARTS = 4
@@ -212,44 +213,72 @@ def planes_by_overlap(mask: DataFrame, edge: int, iterations: int = 20, rate: fl
     """run, nz, ny, nx, top, bottom, iou: two parallel planes whose slab overlaps most with what is set in chunks of 0 and 1.
 
     The overlap of the slab's soft mask with the volume is raised by Adam from a level normal and offsets of -0.8 and -0.2,
-    coordinates scaled to 0..1. A group is one volume as bits, a 64th of its doubles."""
+    coordinates scaled to 0..1. Overlap and gradient are made of nineteen sums over voxels, which every chunk gives for itself,
+    so a step is one aggregation by run and a task holds some chunks. Chunks are kept as bits; steps are written, each run's
+    state is a row."""
+    names = [f"s{i}" for i in range(19)]
+
     def pack(batches):
         for batch in batches:
             v = np.asarray(batch.column("v").flatten()).reshape(batch.num_rows, -1) > 0
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("run", "cz", "cy", "cx")], pa.array([np.packbits(x).tobytes() for x in v], pa.binary())], ["run", "cz", "cy", "cx", "bits"])
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        shape = [(int(pdf[f"c{a}"].max()) + 1) * edge for a in "zyx"]
-        vol = np.zeros(shape)
-        for z, y, x, bits in zip(pdf["cz"], pdf["cy"], pdf["cx"], pdf["bits"], strict=True):
-            block = np.unpackbits(np.frombuffer(bits, np.uint8))[: edge**3].reshape((edge,) * 3)
-            vol[z * edge : (z + 1) * edge, y * edge : (y + 1) * edge, x * edge : (x + 1) * edge] = block
-        zz, yy, xx = (np.arange(n).reshape([-1 if k == i else 1 for i in range(3)]) / n for k, n in enumerate(shape))
+    def sums(batches):
         sigmoid = lambda t: 1 / (1 + np.exp(-np.clip(t, -500, 500)))
-        p, m, u = np.array([1.0, 0.0, 0.0, -0.8, -0.2]), np.zeros(5), np.zeros(5)  # normal z, y, x; top, bottom
-
-        def overlap(p: np.ndarray) -> tuple[float, np.ndarray]:
-            length = np.linalg.norm(p[:3])
-            n = p[:3] / length
-            flat = n[2] * yy + n[1] * xx  # the normal's last two parts go with y and x in this order
-            top, bottom = -(flat + p[3]) / n[0], -(flat + p[4]) / n[0]
-            a, b = sigmoid(steep * (top - zz)), sigmoid(steep * (zz - bottom))
-            valid = a * b
-            both, total = (valid * vol).sum(), valid.sum() + vol.sum()
-            union = total - both
-            slope = (vol * (union + both) - both) / union**2 * valid  # d iou / d log(valid)
-            by_top, by_bottom = slope * steep * (1 - a), -slope * steep * (1 - b)
-            by_n = np.zeros(3)
-            for by, z in ((by_top, top), (by_bottom, bottom)):
-                by_n += [(by * -z / n[0]).sum(), (by * -xx / n[0]).sum(), (by * -yy / n[0]).sum()]
-            by_p = (by_n - n * (by_n @ n)) / length
-            return both / union, np.concatenate([by_p, [-by_top.sum() / n[0], -by_bottom.sum() / n[0]]])
-
-        for t in range(1, iterations + 1):
-            g = -overlap(p)[1]
-            m, u = 0.9 * m + 0.1 * g, 0.999 * u + 0.001 * g * g
+        for whole in batches:
+            step = max(1, chunks.HELD // (16 * edge**3))
+            for start in range(0, whole.num_rows, step):
+                batch = whole.slice(start, step)
+                n = batch.num_rows
+                vol = np.stack([np.unpackbits(np.frombuffer(b, np.uint8))[: edge**3] for b in batch.column("bits").to_pylist()]).reshape(n, edge, edge, edge).astype(float)
+                at, size = (np.stack([np.asarray(batch.column(c)) for c in cs], 1) for cs in (("cz", "cy", "cx"), "dhw"))
+                zz, yy, xx = (((at[:, k : k + 1] * edge + np.arange(edge)) / size[:, k : k + 1]).reshape(n, *[edge if j == k else 1 for j in range(3)]) for k in range(3))
+                p = np.asarray(batch.column("p").flatten()).reshape(n, 5)
+                part = lambda x: x.reshape(n, 1, 1, 1)
+                nz, ny, nx = (part(c) for c in (p[:, :3] / np.linalg.norm(p[:, :3], axis=1, keepdims=True)).T)
+                flat = nx * yy + ny * xx  # the normal's last two parts go with y and x in this order
+                top, bottom = -(flat + part(p[:, 3])) / nz, -(flat + part(p[:, 4])) / nz
+                a, b = sigmoid(steep * (top - zz)), sigmoid(steep * (zz - bottom))
+                valid = a * b
+                out = [valid * vol, valid, vol]
+                for slope, z in ((steep * (1 - a), top), (-steep * (1 - b), bottom)):
+                    for w in (z, xx, yy, 1.0):
+                        out += [valid * vol * slope * w, valid * slope * w]
+                columns = [pa.array(np.broadcast_to(x, vol.shape).reshape(n, -1).sum(1)) for x in out]
+                yield pa.RecordBatch.from_arrays([batch.column("run"), *columns], ["run", *names])
+
+    def moved(batches):
+        for batch in batches:
+            both, valid, vol, *rest = (np.asarray(batch.column(c)) for c in names)
+            union = valid + vol - both
+            g = [x * (union + both) / union**2 - y * both / union**2 for x, y in zip(rest[::2], rest[1::2], strict=True)]
+            p, m, u = (np.asarray(batch.column(c).flatten()).reshape(-1, 5) for c in "pmu")
+            length = np.linalg.norm(p[:, :3], axis=1, keepdims=True)
+            n = p[:, :3] / length
+            by_n = -np.stack([g[k] + g[k + 4] for k in range(3)], 1) / n[:, :1]
+            by_p = (by_n - n * (by_n * n).sum(1, keepdims=True)) / length
+            down = -np.concatenate([by_p, -np.stack([g[3], g[7]], 1) / n[:, :1]], 1)
+            t = np.asarray(batch.column("t"))[:, None] + 1
+            m, u = 0.9 * m + 0.1 * down, 0.999 * u + 0.001 * down * down
             p = p - rate * (m / (1 - 0.9**t)) / (np.sqrt(u / (1 - 0.999**t)) + 1e-8)
-        return pd.DataFrame([[pdf["run"].iloc[0], *p, overlap(p)[0]]], columns=["run", "nz", "ny", "nx", "top", "bottom", "iou"])
-
-    bits = mask.select("run", "cz", "cy", "cx", F.col("v").cast("array<double>")).mapInArrow(pack, "run long, cz int, cy int, cx int, bits binary")
-    return bits.groupBy("run").applyInPandas(fit, "run long, nz double, ny double, nx double, top double, bottom double, iou double")
+            arrays = [pa.array(list(x), pa.list_(pa.float64())) for x in (p, m, u)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("run", "d", "h", "w")], pa.array(t[:, 0].astype(np.int32)), *arrays], ["run", "d", "h", "w", "t", "p", "m", "u"])
+
+    kind = mask.schema["run"].dataType.simpleString()
+    bits = mask.select("run", "cz", "cy", "cx", F.col("v").cast("array<double>")).mapInArrow(pack, f"run {kind}, cz int, cy int, cx int, bits binary")
+    bits = storage.written(bits, "bits")
+    zero = F.array(*[F.lit(0.0)] * 5)
+    begin = F.array(*[F.lit(x) for x in (1.0, 0.0, 0.0, -0.8, -0.2)])  # normal z, y, x; top, bottom
+    sizes = [((F.max(f"c{a}") + 1) * edge).cast("int").alias(n) for a, n in zip("zyx", "dhw", strict=True)]
+    state = storage.written(bits.groupBy("run").agg(*sizes).select("*", F.lit(0).alias("t"), begin.alias("p"), zero.alias("m"), zero.alias("u")), "planes")
+
+    def summed(state: DataFrame) -> DataFrame:
+        parts = bits.join(state.select("run", "d", "h", "w", "p"), "run").mapInArrow(sums, f"run {kind}, {', '.join(f'{c} double' for c in names)}")
+        return parts.groupBy("run").agg(*[F.sum(c).alias(c) for c in names])
+
+    for _ in range(iterations):
+        after = storage.written(summed(state).join(state, "run").mapInArrow(moved, f"run {kind}, d int, h int, w int, t int, p array<double>, m array<double>, u array<double>"), "planes")
+        storage.removed(state)
+        state = after
+    iou = F.col("s0") / (F.col("s1") + F.col("s2") - F.col("s0"))
+    return summed(state).join(state, "run").select("run", *[F.get("p", i).alias(n) for i, n in enumerate(("nz", "ny", "nx", "top", "bottom"))], iou.alias("iou"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import json
 import tempfile
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -24,6 +25,21 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows from a table in the shared folder, so what comes after depends on no earlier plan; see removed()."""
+    path = f"{shared_folder(df.sparkSession)}/voxloom-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def removed(df: DataFrame) -> None:
+    """Delete what written() stored, once nothing reads it any more."""
+    spark = df.sparkSession
+    for folder in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def project(spark: SparkSession, path: str) -> DataFrame:
     """The pickable objects of a project file: name, label, is_particle, radius, and what else they have."""
     return spark.read.json(path, multiLine=True).select(F.explode("pickable_objects").alias("o")).select("o.*")
