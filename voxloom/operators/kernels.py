@@ -116,14 +116,35 @@ def basis(t: np.ndarray, knots: int) -> np.ndarray:
 
 
 def bending(knots: int) -> np.ndarray:
+    """The quadratic form of the mean squared second differences of control points along both axes."""
     d = np.diff(np.eye(knots), 2, axis=0)
-    return np.kron(d.T @ d, np.eye(knots)) + np.kron(np.eye(knots), d.T @ d)
+    return (np.kron(d.T @ d, np.eye(knots)) + np.kron(np.eye(knots), d.T @ d)) / (knots * (knots - 2))
 
 
-def spline_fit(points: DataFrame, width: float, height: float, knots: int = 5, stiffness: float = 1e-3) -> DataFrame:
+def least_root(gram: np.ndarray, by: np.ndarray, square: float, penalty: np.ndarray, gauge: np.ndarray, rounds: int = 200) -> np.ndarray:
+    """The c that makes sqrt(c'Gc - 2 by'c + square) + c'Pc least, from sums over points alone.
+
+    The root is convex and lies below any of its tangents in its square, so each round solves normal equations in which
+    the penalty weighs twice the root so far, and the sum never grows."""
+    solve = lambda weight: np.linalg.lstsq(gram + weight * penalty + np.outer(gauge, gauge), by, rcond=None)[0]
+    root = lambda c: float(np.sqrt(max(0.0, c @ gram @ c - 2 * by @ c + square)))
+    c = solve(0.0)
+    if not penalty.any():
+        return c
+    was = None
+    for _ in range(rounds):
+        now = root(c)
+        if was is not None and abs(now - was) <= 1e-12 * (1 + was):
+            break
+        was, c = now, solve(2 * now)
+    return c
+
+
+def spline_fit(points: DataFrame, width: float, height: float, knots: int = 5, stiffness: float = 1e-3, depth: float = 1.0) -> DataFrame:
     """One surface for each run, with an offset for each of its layers: run, control (knots * knots), top, bottom, n, error.
 
-    The points of a run, dealt over a few tasks, are reduced to sums of products there; these are added up by run and
+    The surface makes the root of the squared errors, plus stiffness times the bending of its control points, least, heights
+    counted in units of depth; without stiffness it is the surface of least squares. The points of a run, dealt over a few tasks, are reduced to sums of products there; these are added up by run and
     place, and a small system is solved for each run. A run with fewer than three points has an error instead. points: run, layer, x, y, z."""
     k = knots * knots
     m = k + 2
@@ -136,7 +157,8 @@ def spline_fit(points: DataFrame, width: float, height: float, knots: int = 5, s
             for run, p in pdf.groupby("run", sort=True):
                 x, y = basis(p["x"].to_numpy() / width, knots), basis(p["y"].to_numpy() / height, knots)
                 a = np.concatenate([(y[:, :, None] * x[:, None, :]).reshape(len(p), k), (p["layer"] == "top").to_numpy()[:, None], (p["layer"] == "bottom").to_numpy()[:, None]], 1).astype(float)
-                sums = np.concatenate([(a.T @ a).ravel(), a.T @ p["z"].to_numpy(), [len(p)]])
+                z = p["z"].to_numpy() / depth
+                sums = np.concatenate([(a.T @ a).ravel(), a.T @ z, [z @ z, len(p)]])
                 if at is not None and run != at:
                     rows.append((at, held))
                     held = 0.0
@@ -154,11 +176,10 @@ def spline_fit(points: DataFrame, width: float, height: float, knots: int = 5, s
                 if n < 3:
                     rows.append((run, None, None, None, n, "fewer than three points"))
                     continue
-                gram = s[: m * m].reshape(m, m)
-                gram[:k, :k] += stiffness * bending(knots) + 1e-9 * np.eye(k)
-                gauge = np.zeros(m)
+                penalty, gauge = np.zeros((m, m)), np.zeros(m)
+                penalty[:k, :k] = stiffness * bending(knots)
                 gauge[:k] = 1  # the surface's mean is 0, the offsets carry the height
-                c = np.linalg.lstsq(gram + np.outer(gauge, gauge), s[m * m : -1], rcond=None)[0]
+                c = depth * least_root(s[: m * m].reshape(m, m), s[m * m : -2], s[-2], penalty, gauge)
                 rows.append((run, c[:k], c[k], c[k + 1], n, None))
             yield pd.DataFrame(rows, columns=["run", "control", "top", "bottom", "n", "error"])
 
