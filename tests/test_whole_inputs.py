@@ -22,7 +22,7 @@ def test_background_by_brute_force(spark):
     for p in picks.collect():
         by_run.setdefault(p.run, []).append(p)
     assert sum(map(len, by_run.values())) == spark.read.parquet(f"{SF}/events.parquet").count()
-    for c in sorted(spatial.candidates(picks, 1.5, model.EXTENT, 4, "background").collect(), key=lambda c: c.attempt):
+    for c in sorted(spatial.candidates(picks.groupBy("run").agg(F.floor(F.count(F.lit(1)) * 1.5).cast("int").alias("want")), model.EXTENT, 4, "background").collect(), key=lambda c: c.attempt):
         free = all((c.x - p.x) ** 2 + (c.y - p.y) ** 2 + (c.z - p.z) ** 2 >= 4 for p in by_run[c.run])
         if free and len(want.setdefault(c.run, [])) < c.want:
             want[c.run].append((c.run, c.attempt, c.x, c.y, c.z))

@@ -1,19 +1,23 @@
 """Points and boxes in volumes: unit conversion, background sampling, extraction of boxes, grids and regions.
 
-Boxes meet volumes by chunk: a box names the chunks that it overlaps, the join is on run and chunk, and the overlap is cut
-out of the chunk's array. What is shuffled are chunks, and one array for each box and chunk. Volumes are never joined with
-points of other runs."""
+Boxes meet volumes by chunk: a box names the chunks that it overlaps, a chunk gets the list of its boxes, and the overlaps are
+cut out of its array at once. What is shuffled are chunks and places, and one array for each box and chunk. Volumes are never
+joined with points of other runs."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from voxloom.functions import number, rng
+from voxloom.sources import storage
 
 XYZ = ("x", "y", "z")
+#: Boxes that a chunk is sent with at once, about, and voxels that are cut out at once.
+AT_ONCE, HELD = 1024, 4_000_000
 
 
 def to_voxels(picks: DataFrame, spacing: float) -> DataFrame:
@@ -25,33 +29,42 @@ def to_index(picks: DataFrame, spacing: float) -> DataFrame:
     return picks.withColumns({a: (F.col(a) / spacing).cast("int") for a in XYZ})
 
 
-def candidates(picks: DataFrame, ratio: float, side: int, box: int, seed: str, whole: bool = True, attempts: int = 10) -> DataFrame:
-    """run, attempt, want, x, y, z: ten box-safe random places for each background point that a run wants.
-
-    A run wants int(picks * ratio) points."""
-    want = picks.groupBy("run").agg(F.floor(F.count(F.lit(1)) * F.lit(ratio)).cast("int").alias("want")).where("want > 0")
-    tried = want.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.col("want") * attempts - 1)))
+def candidates(wanted: DataFrame, side: int, box: int, seed: str, whole: bool = True, first: int = 0, end: int = 10) -> DataFrame:
+    """run, attempt, want, x, y, z: box-safe random places for the background points that runs want (run, want), those of
+    attempts first * want to end * want."""
+    tried = wanted.withColumn("attempt", F.explode(F.sequence(F.col("want") * first, F.col("want") * end - 1)))
     room, low = side - box, box // 2
     place = (lambda a: F.floor(rng.uniform(f"{seed}-{a}", "run", "attempt") * (room + 1)).cast("int") + low) if whole else (lambda a: rng.uniform(f"{seed}-{a}", "run", "attempt") * room + low)
     return tried.select("run", "attempt", "want", *[place(a).alias(a) for a in XYZ])
 
 
-def background(picks: DataFrame, side: int, box: int, distance: float, ratio: float = 0.2, seed: str = "background", whole: bool = True) -> DataFrame:
-    """Places at least `distance` voxels from every pick of the run: the first ones by attempt, as many as wanted.
+def apart_from(places: DataFrame, picks: DataFrame, distance: float) -> DataFrame:
+    """The places at least `distance` from every pick of their run.
 
-    A pick rules out candidates in its own and neighbouring cells of a grid as wide as the distance, so candidates are
-    compared with picks nearby only. picks are in voxels."""
-    found = candidates(picks, ratio, side, box, seed, whole)
-    cell = lambda a: F.floor(F.col(a) / distance).cast("int")
-    steps = F.array(*[F.lit(k) for k in (-1, 0, 1)])
-    near = picks.select("run", *[F.col(a).alias(f"p{a}") for a in XYZ], *[cell(a).alias(f"c{a}") for a in XYZ])
+    Cells are twice the distance wide. A pick is in those that its ball touches, eight at most, and a place looks into its
+    own, so it is compared with picks nearby only."""
+    near = picks.select("run", *[F.col(a).alias(f"p{a}") for a in XYZ])
+    cell = lambda x: F.floor(x / (2 * distance)).cast("int")
     for a in XYZ:
-        near = near.withColumn("step", F.explode(steps)).withColumn(f"c{a}", F.col(f"c{a}") + F.col("step")).drop("step")
-    placed = found.withColumns({f"c{a}": cell(a) for a in XYZ})
+        near = near.withColumn(f"c{a}", F.explode(F.sequence(cell(F.col(f"p{a}") - distance), cell(F.col(f"p{a}") + distance))))
+    placed = places.withColumns({f"c{a}": cell(F.col(a)) for a in XYZ})
     apart = sum(((F.col(f"f.{a}") - F.col(f"n.p{a}")) * (F.col(f"f.{a}") - F.col(f"n.p{a}")) for a in XYZ), F.lit(0.0))
     same = [F.col(f"f.{c}") == F.col(f"n.{c}") for c in ("run", "cx", "cy", "cz")]
     free = placed.alias("f").join(near.alias("n"), same[0] & same[1] & same[2] & same[3] & (apart < distance * distance), "left_anti")
-    ranked = number.numbered(free, ["run"], number.of_ids("attempt"), ["attempt"], "rank")
+    return free.drop("cx", "cy", "cz")
+
+
+def background(picks: DataFrame, side: int, box: int, distance: float, ratio: float = 0.2, seed: str = "background", whole: bool = True, attempts: int = 10) -> DataFrame:
+    """Places at least `distance` voxels from every pick of the run: the first ones by attempt, as many as wanted, which is
+    int(picks * ratio) a run. picks are in voxels.
+
+    Two attempts for each point go first and are written; only runs that lack points after that make the others."""
+    want = picks.groupBy("run").agg(F.floor(F.count(F.lit(1)) * F.lit(ratio)).cast("int").alias("want")).where("want > 0")
+    early = storage.written(apart_from(candidates(want, side, box, seed, whole, 0, 2), picks, distance), "background")
+    found = early.groupBy("run").agg(F.count(F.lit(1)).alias("found"))
+    short = storage.written(want.join(found, "run", "left").where("coalesce(found, 0) < want").select("run", "want"), "short")
+    late = apart_from(candidates(short, side, box, seed, whole, 2, attempts), picks.join(short.select("run"), "run", "left_semi"), distance)
+    ranked = number.numbered(early.unionByName(late), ["run"], number.of_ids("attempt"), ["attempt"], "rank")
     return ranked.where("rank <= want").select("run", "attempt", *XYZ)
 
 
@@ -80,31 +93,54 @@ def boxes(points: DataFrame, box: int, side: int, shift: dict[str, Column] | Non
 
 
 def pieces(placed: DataFrame, chunks: DataFrame, edge: int) -> DataFrame:
-    """point_id, status, z, y, x, d, h, w, v: what a box takes from one chunk, its place within the box, its size."""
+    """point_id, status, z, y, x, d, h, w, v: what a box takes from one chunk, its place within the box, its size.
+
+    The boxes of a chunk are sent to it together, in lists of a bounded size, and cut out of its array at once."""
     tiles = placed.where("status <> 'invalid'")
     for a in XYZ:
         tiles = tiles.withColumn(f"c{a}", F.explode(F.sequence(F.floor(F.col(f"{a}_lo") / edge).cast("int"), F.floor((F.col(f"{a}_hi") - 1) / edge).cast("int"))))
     for a in XYZ:  # the overlap in the chunk's own coordinates, from first to end
         tiles = tiles.withColumn(f"{a}_first", F.greatest(F.col(f"{a}_lo") - F.col(f"c{a}") * edge, F.lit(0)))
         tiles = tiles.withColumn(f"{a}_n", F.least(F.col(f"{a}_hi") - F.col(f"c{a}") * edge, F.lit(edge)) - F.col(f"{a}_first"))
-    met = tiles.join(chunks, ["run", "cx", "cy", "cz"])
-    ends = [f"{a}_{k}" for a in "zyx" for k in ("first", "n")]
     place = [(F.col(f"c{a}") * edge + F.col(f"{a}_first") - F.col(f"{a}_lo") + F.col(f"{a}_pad")).cast("int").alias(a) for a in "zyx"]
-    sizes = [F.col(f"{a}_n").alias(n) for a, n in zip("zyx", "dhw", strict=True)]
+    sizes = [F.col(f"{a}_n").cast("int").alias(n) for a, n in zip("zyx", "dhw", strict=True)]
+    first = [F.col(f"{a}_first").cast("int").alias(f"{a}_first") for a in "zyx"]
+    at = ["run", "cz", "cy", "cx"]
+    narrow = tiles.select(*at, "point_id", F.struct("point_id", "status", *place, *sizes, *first).alias("box"))
+    many = F.ceil(F.count(F.lit(1)).over(W.partitionBy(*at)) / AT_ONCE)
+    lists = narrow.withColumn("_list", F.pmod(F.xxhash64("point_id"), many)).groupBy(*at, "_list").agg(F.collect_list("box").alias("boxes"))
+    met = lists.join(chunks.select(*at, F.col("v").cast("array<double>").alias("v")), at)
     names = ["point_id", "status", "z", "y", "x", "d", "h", "w"]
 
     def take(batches):
         for batch in batches:
-            cubes = np.asarray(batch.column("v").flatten(), dtype=float).reshape(batch.num_rows, edge, edge, edge)
-            at = np.stack([np.asarray(batch.column(c)) for c in ends], 1).tolist()
-            cut = [v[a : a + d, b : b + h, c : c + w].ravel() for v, (a, d, b, h, c, w) in zip(cubes, at, strict=True)]
-            starts = np.concatenate([[0], np.cumsum([len(x) for x in cut])]).astype(np.int32)
-            values = pa.ListArray.from_arrays(starts, pa.array(np.concatenate(cut) if cut else np.empty(0)))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], values], [*names, "v"])
+            boxes = dict(zip([*names, "z_first", "y_first", "x_first"], batch.column("boxes").flatten().flatten(), strict=True))
+            of = np.repeat(np.arange(batch.num_rows), np.asarray(batch.column("boxes").value_lengths()))
+            flat = np.asarray(batch.column("v").flatten())
+            d, h, w, z, y, x = (np.asarray(boxes[c], dtype=np.int64) for c in ("d", "h", "w", "z_first", "y_first", "x_first"))
+            ends = np.cumsum(d * h * w)
+            for a, b in in_runs(ends, HELD):
+                part = slice(a, b)
+                size = (d * h * w)[part]
+                box = np.repeat(np.arange(a, b), size)
+                i = np.arange(len(box)) - np.repeat(np.cumsum(size) - size, size)
+                from_z, from_y, from_x = z[box] + i // (h * w)[box], y[box] + i // w[box] % h[box], x[box] + i % w[box]
+                values = flat[((of[box] * edge + from_z) * edge + from_y) * edge + from_x]
+                starts = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*[boxes[c].slice(a, b - a) for c in names], pa.ListArray.from_arrays(starts, pa.array(values))], [*names, "v"])
 
     kind = placed.schema["point_id"].dataType.simpleString()
-    found = met.select("point_id", "status", *place, *sizes, *ends, F.col("v").cast("array<double>"))
-    return found.mapInArrow(take, f"point_id {kind}, status string, z int, y int, x int, d int, h int, w int, v array<double>")
+    return met.select("boxes", "v").mapInArrow(take, f"point_id {kind}, status string, z int, y int, x int, d int, h int, w int, v array<double>")
+
+
+def in_runs(ends: np.ndarray, most: int):
+    """Ranges (from, to) of items whose sizes sum up to about `most` each; ends are the sizes' running sums."""
+    at = 0
+    while at < len(ends):
+        done = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, done + most, "right")))
+        yield at, to
+        at = to
 
 
 def cut(placed: DataFrame, chunks: DataFrame, edge: int) -> DataFrame:

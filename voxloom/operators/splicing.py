@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from voxloom.functions import rng
@@ -42,8 +43,8 @@ def cut_boxes(boxes: DataFrame, chunks: DataFrame, key: str, edge: int) -> DataF
     for a, n in zip("zyx", "dhw", strict=True):
         spans = spans.withColumn(f"c{a}", F.explode(F.sequence(F.floor(F.col(a) / edge).cast("int"), F.floor((F.col(a) + F.col(n) - 1) / edge).cast("int"))))
     place = [key, "cz", "cy", "cx"]
-    lists = F.ceil(F.count(F.lit(1)) / AT_ONCE).alias("_lists")
-    dealt = spans.join(spans.groupBy(*place).agg(lists), place).withColumn("_list", F.pmod(F.xxhash64("id"), "_lists"))
+    many = F.ceil(F.count(F.lit(1)).over(W.partitionBy(*place)) / AT_ONCE)
+    dealt = spans.withColumn("_list", F.pmod(F.xxhash64("id"), many))
     wanted = dealt.groupBy(*place, "_list").agg(F.collect_list(F.struct("id", *PART)).alias("wanted"))
     met = chunks.select(*place, F.col("v").cast("array<double>")).join(wanted.drop("_list"), place)
     kind = boxes.schema["id"].dataType.simpleString()
