@@ -114,7 +114,7 @@ def test_training_set(spark, volumes, tmp_path):
     nifti.write_training_set(images, masks, str(tmp_path), EDGE, 7.84, names, test)
     left = sorted(os.path.relpath(os.path.join(d, f), tmp_path) for d, _, fs in os.walk(tmp_path) for f in fs)
     assert left == ["dataset.json", "imagesTr/0_0000.nii.gz", "imagesTs/2_0000.nii.gz", "labelsTr/0.nii.gz"]
-    assert json.loads((tmp_path / "dataset.json").read_text()) == {"channel_names": {"0": "volume"}, "labels": names, "file_ending": ".nii.gz", "numTraining": 1}
+    assert json.loads((tmp_path / "dataset.json").read_text()) == {"channel_names": {"0": "cryo-ET"}, "labels": names, "file_ending": ".nii.gz", "numTraining": 1}
     data = gzip.decompress((tmp_path / "imagesTr/0_0000.nii.gz").read_bytes())
     assert len(data) == 352 + volumes[0].size * 4 and data[344:348] == b"n+1\0"
     assert struct.unpack_from("<i", data)[0] == 348 and struct.unpack_from("<4h", data, 40) == (3, 5, 8, 9) and struct.unpack_from("<2h", data, 70) == (16, 32)

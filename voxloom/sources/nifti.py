@@ -172,7 +172,7 @@ def write_training_set(images: DataFrame, labels: DataFrame, path: str, edge: in
         (images.join(held_out, "run", "left_semi"), named("imagesTs", "_0000.nii.gz"), "float32"),
     ]
     rows = [file_rows(df, edge, file, dtype, spacing) for df, file, dtype in parts]
-    about = {"channel_names": {"0": "volume"}, "labels": label_names, "file_ending": ".nii.gz"}
+    about = {"channel_names": {"0": "cryo-ET"}, "labels": label_names, "file_ending": ".nii.gz"}
     write_files(rows[0].unionByName(rows[1]).unionByName(rows[2]), path, about)
     files = [has(df).select("run", file.alias("file")) for df, file, _ in parts]
     return files[0].unionByName(files[1]).unionByName(files[2])
