@@ -85,3 +85,12 @@ def test_no_task_holds_a_volume(spark):
     parts = chunks.pieces(as_chunks(spark, {0: np.ones((16, 12, 8), np.float32)}, 4), "run", 4)
     seen = chunks.pencils(parts, "run", 4, 0, lambda x, n, start: x * 0 + x.size)
     assert {v for r in seen.select("re").collect() for v in r.re} == {16 * 4 * 4}
+
+
+def test_spectra_of_volumes_of_any_size(spark):
+    volumes = {1: np.random.default_rng(3).normal(size=(9, 6, 11)), 2: np.random.default_rng(4).normal(size=(4, 8, 5)), 3: np.zeros((2, 2, 2))}
+    got = {k: np.full(a.shape, np.nan) for k, a in volumes.items()}
+    for r in fourier.log_spectrum(as_chunks(spark, volumes, 4), "run", 4).collect():
+        got[r.run][r.z, r.y, r.x] = r.v
+    for k, a in volumes.items():
+        assert np.allclose(got[k], np.log(np.abs(np.fft.fftshift(np.fft.fftn(a.astype(np.float32)))) + 1), atol=1e-6)

@@ -38,11 +38,16 @@ def segmentations_by_name(segmentations: DataFrame, spacing: float, names: list[
     return near.groupBy("name").agg(F.max_by(F.struct("run", "voxel_spacing"), "run").alias("s")).select("name", "s.*")
 
 
-def label_map(targets: DataFrame) -> DataFrame:
-    """name, label: background as 0, and the labels of a stored target table (labels: map of name to label)."""
-    named = targets.select(F.explode("labels").alias("name", "label"))
-    first = targets.sparkSession.createDataFrame([("background", 0)], "name string, label int")
-    return first.unionByName(named.select("name", F.col("label").cast("int")))
+def label_map(targets: DataFrame, *keys: str) -> DataFrame:
+    """keys, name, label: background as 0, and the labels of stored target tables (keys, labels: map of name to label)."""
+    background = F.map_from_arrays(F.array(F.lit("background")), F.array(F.lit(0)))
+    own = F.map_filter("labels", lambda name, _: name != "background")
+    return targets.select(*keys, F.explode(F.map_concat(background, own.cast("map<string,int>"))).alias("name", "label"))
+
+
+def without_named(masks: DataFrame, name: str) -> DataFrame:
+    """The masks of other names than one, whatever the case; masks without a name go too."""
+    return masks.where(F.lower("name") != name.lower())
 
 
 def at_spacing(tomograms: DataFrame, spacing: float) -> DataFrame:
@@ -51,10 +56,17 @@ def at_spacing(tomograms: DataFrame, spacing: float) -> DataFrame:
     return here.groupBy("run").agg(F.min_by(F.struct("ord", "tomo_type"), "ord").alias("t")).select("run", "t.*")
 
 
-def pyramid_level(objects: DataFrame, most: float = 16.0) -> DataFrame:
+def pyramid_level(objects: DataFrame, most: float = 16.0, *keys: str) -> DataFrame:
     """Level 0 for objects up to a radius, level 1 with scale 2 beyond."""
     small = F.col("radius") <= most
-    return objects.select("object_name", F.when(small, 0).otherwise(1).alias("level"), F.when(small, 1).otherwise(2).alias("scale"))
+    return objects.select(*keys, "object_name", F.when(small, 0).otherwise(1).alias("level"), F.when(small, 1).otherwise(2).alias("scale"))
+
+
+def arrays_at_level(wanted: DataFrame, volumes: DataFrame, most: float = 16.0) -> DataFrame:
+    """For wanted (run, ord, object_name, radius): the level of the pyramid to look for the object in, its scale, and the
+    sizes d, h, w of the run's volume there, null where the run has none. volumes: run, d, h, w at level 0."""
+    level = pyramid_level(wanted, most, "run", "ord").join(volumes.select("run", "d", "h", "w"), "run", "left")
+    return level.withColumns({a: F.floor(F.col(a) / F.col("scale")).cast("int") for a in "dhw"})
 
 
 def latest(logs: DataFrame, keys: list[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.functions import number, rng
@@ -35,8 +35,8 @@ def keep_away(distance: Column, box: list[Column]) -> Column:
 
 
 def first_names(objects: DataFrame) -> DataFrame:
-    """One name for each label, the first in order of name."""
-    return objects.groupBy("label").agg(F.min("object_name").alias("object_name"))
+    """One name for each label, the first in the catalogue's order (ord)."""
+    return objects.groupBy("label").agg(F.min_by("object_name", "ord").alias("object_name"))
 
 
 def random_crops(volumes: DataFrame, crop: int, seed: str = "crop") -> DataFrame:
@@ -62,31 +62,39 @@ def spliced_set(stats: DataFrame, runs: DataFrame, total: int = 100, seed: str =
     return plain.unionByName(objects)
 
 
-def spheres(spark: SparkSession, side: int, n: int, seed: str = "sphere") -> DataFrame:
-    """z, y, x, v: a volume with random spheres of radius 3 to 7 added up. Each sphere writes its own bounding box."""
-    r = rng.integer(f"{seed}-r", 5, "id") + 3
-    made = spark.range(n).select(*[rng.integer(f"{seed}-{a}", side, "id").alias(f"c{a}") for a in AXES], r.alias("r"), (rng.uniform(f"{seed}-v", "id") * 0.5 + 0.5).alias("v"))
+def spheres(runs: DataFrame, side: int, n: int, seed: str = "sphere") -> DataFrame:
+    """run, z, y, x, v: for each run a volume with n random spheres of radius 3 to 7 added up, where there are any. Each sphere
+    writes its own bounding box."""
+    r = rng.integer(f"{seed}-r", 5, "run", "id") + 3
+    made = runs.select("run", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("id"))
+    made = made.select("run", *[rng.integer(f"{seed}-{a}", side, "run", "id").alias(f"c{a}") for a in AXES], r.alias("r"), (rng.uniform(f"{seed}-v", "run", "id") * 0.5 + 0.5).alias("v"))
     for a in AXES:
         made = made.withColumn(a, F.explode(F.sequence(F.greatest(F.lit(0), F.col(f"c{a}") - F.col("r")), F.least(F.lit(side - 1), F.col(f"c{a}") + F.col("r")))))
     inside = sum(((F.col(a) - F.col(f"c{a}")) * (F.col(a) - F.col(f"c{a}")) for a in AXES), F.lit(0)) <= F.col("r") * F.col("r")
-    return made.where(inside).groupBy(*AXES).agg(F.round(F.sum("v"), 6).alias("v"))
-
-
-def sphere_volume(spark: SparkSession, side: int, n: int, seed: str = "sphere") -> DataFrame:
-    """spheres() in a whole volume, 0 between them, normalised by its mean and deviation."""
-    i = F.col("id")
-    grid = spark.range(side**3).select(*[(F.floor(i / side ** (2 - k)) % side).cast("int").alias(a) for a, k in AXES.items()])
-    whole = grid.join(spheres(spark, side, n, seed), list(AXES), "left").withColumn("v", F.coalesce("v", F.lit(0.0)))
-    mean, sd = whole.agg(F.avg("v"), F.stddev_pop("v")).first()
-    return whole.select(*AXES, F.round((F.col("v") - mean) / sd, 6).alias("v"))
-
-
-def gaussian_kernel(spark: SparkSession, size: int, sigma: float) -> DataFrame:
-    """z, y, x, w: exp(-r^2 / 2 sigma^2) / (2 pi sigma^2) around the middle of a cube, not normalised."""
-    i, h = F.col("id"), size // 2
-    grid = spark.range(size**3).select(*[(F.floor(i / size ** (2 - k)) % size).cast("int").alias(a) for a, k in AXES.items()])
-    square = sum(((F.col(a) - h) * (F.col(a) - h) for a in AXES), F.lit(0))
-    return grid.withColumn("w", F.round(F.exp(-square / (2 * sigma * sigma)) / (2 * math.pi * sigma * sigma), 9))
+    return made.where(inside).groupBy("run", *AXES).agg(F.round(F.sum("v"), 6).alias("v"))
+
+
+def sphere_volumes(runs: DataFrame, side: int, n: int, seed: str = "sphere") -> DataFrame:
+    """spheres() in whole volumes, 0 between them, each normalised by its mean and deviation. These follow from the sums over
+    the spheres' voxels, so the volumes themselves are made only once."""
+    some, size = spheres(runs, side, n, seed), side**3
+    sums = some.groupBy("run").agg((F.sum("v") / size).alias("mean"), (F.sum(F.col("v") * F.col("v")) / size).alias("square"))
+    scale = sums.select("run", "mean", F.sqrt(F.col("square") - F.col("mean") * F.col("mean")).alias("sd"))
+    at = F.col("i")
+    grid = runs.select("run", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("i"))
+    grid = grid.select("run", *[(F.floor(at / side ** (2 - k)) % side).cast("int").alias(a) for a, k in AXES.items()])
+    whole = grid.join(some, ["run", *AXES], "left").join(scale, "run")
+    return whole.select("run", *AXES, F.round((F.coalesce("v", F.lit(0.0)) - F.col("mean")) / F.col("sd"), 6).alias("v"))
+
+
+def gaussian_kernels(objects: DataFrame, size: int) -> DataFrame:
+    """ord, z, y, x, w: for each object (ord, sigma) exp(-r^2 / 2 sigma^2) / (2 pi sigma^2) around the middle of a cube, not
+    normalised."""
+    i, h, square = F.col("i"), size // 2, F.col("sigma") * F.col("sigma")
+    grid = objects.select("ord", "sigma", F.explode(F.sequence(F.lit(0), F.lit(size**3 - 1))).alias("i"))
+    grid = grid.select("ord", "sigma", *[(F.floor(i / size ** (2 - k)) % size).cast("int").alias(a) for a, k in AXES.items()])
+    r2 = sum(((F.col(a) - h) * (F.col(a) - h) for a in AXES), F.lit(0))
+    return grid.select("ord", *AXES, F.round(F.exp(-r2 / (2 * square)) / (2 * math.pi * square), 9).alias("w"))
 
 
 def ball(radius: int) -> list[tuple[int, int, int]]:

@@ -39,6 +39,18 @@ def bandpass(chunks: DataFrame, key: str, edge: int, spacing: float, low_pass: f
     return in_frequency(chunks, key, edge, lambda r, n: cosine_weights(r, pixels(low_pass, n), low_decay, pixels(high_pass, n), high_decay))
 
 
+def log_spectrum(chunks: DataFrame, key: str, edge: int) -> DataFrame:
+    """key, z, y, x, v: log(|F| + 1) of each volume's spectrum, whatever its size, the zero frequency at n // 2 of each axis."""
+    now = c.pieces(chunks, key, edge)
+    for axis in range(3):
+        now = c.pencils(now, key, edge, axis, lambda x, n, _: np.fft.fft(x, axis=0))
+    value = F.zip_with("re", "im", lambda re, im: F.log1p(F.sqrt(re * re + im * im)))
+    rows = now.select(key, *c.PIECE, F.posexplode(value).alias("i", "v"))
+    within = dict(z=F.floor(F.col("i") / (F.col("h") * F.col("w"))), y=F.floor(F.col("i") / F.col("w")) % F.col("h"), x=F.col("i") % F.col("w"))
+    place = lambda a: (F.col(f"c{a}") * edge + within[a] + F.floor(F.col(f"n{a}") / 2)) % F.col(f"n{a}")
+    return rows.select(key, *[place(a).cast("int").alias(a) for a in "zyx"], "v")
+
+
 def filter_tomograms(jobs: DataFrame, volumes: DataFrame, edge: int, spacing: float, low_pass: float = 0, low_decay: float = 0, high_pass: float = 0, high_decay: float = 0) -> tuple[DataFrame, DataFrame]:
     """A filter job over runs: the filtered volumes as chunks with the name they are stored under, and a row for each job
     with its volume's sizes or why it did nothing. jobs: run, tomo_type, given (a name to store under, or null).

@@ -37,25 +37,26 @@ def residuals(fitted: DataFrame, *keys: str) -> DataFrame:
     return fitted.groupBy(*keys).agg(F.round(F.sqrt(square), 5).alias("norm"), F.round(F.sqrt(square / F.count(F.lit(1))), 5).alias("rms"))
 
 
-def bending_energy(grid: DataFrame, key: str) -> DataFrame:
+def bending_energy(grid: DataFrame, *key: str) -> DataFrame:
     """Mean squared second difference along the rows plus that along the columns; 0 for an axis under three knots."""
     def along(axis: str, other: str) -> DataFrame:
-        w = W.partitionBy(key, other).orderBy(axis)
+        w = W.partitionBy(*key, other).orderBy(axis)
         second = F.lead("v", 2).over(w) - 2 * F.lead("v", 1).over(w) + F.col("v")
-        return grid.withColumn("d", second).groupBy(key).agg(F.coalesce(F.avg(F.col("d") * F.col("d")), F.lit(0.0)).alias(axis))
+        return grid.withColumn("d", second).groupBy(*key).agg(F.coalesce(F.avg(F.col("d") * F.col("d")), F.lit(0.0)).alias(axis))
 
-    return along("row", "col").join(along("col", "row"), key).select(key, F.round(F.col("row") + F.col("col"), 5).alias("energy"))
+    return along("row", "col").join(along("col", "row"), list(key)).select(*key, F.round(F.col("row") + F.col("col"), 5).alias("energy"))
 
 
-def plane_fit(points: DataFrame) -> DataFrame:
-    """Least squares z = a*x + b*y + c by run, from sums: run, a, b, c. Fewer than three points or collinear ones: none."""
-    s = points.groupBy("run").agg(
+def plane_fit(points: DataFrame, *key: str) -> DataFrame:
+    """Least squares z = a*x + b*y + c by key (run), from sums: key, a, b, c. Fewer than three points or collinear ones: none."""
+    key = key or ("run",)
+    s = points.groupBy(*key).agg(
         F.count(F.lit(1)).alias("n"), F.var_pop("x").alias("xx"), F.var_pop("y").alias("yy"), F.covar_pop("x", "y").alias("xy"), F.covar_pop("x", "z").alias("xz"), F.covar_pop("y", "z").alias("yz"), F.avg("x").alias("mx"), F.avg("y").alias("my"), F.avg("z").alias("mz")
     )
     det = F.col("xx") * F.col("yy") - F.col("xy") * F.col("xy")
     s = s.withColumn("det", det).where("n >= 3 AND abs(det) > 1e-9")
     s = s.withColumn("a", (F.col("xz") * F.col("yy") - F.col("yz") * F.col("xy")) / F.col("det")).withColumn("b", (F.col("yz") * F.col("xx") - F.col("xz") * F.col("xy")) / F.col("det"))
-    return s.select("run", "a", "b", (F.col("mz") - F.col("a") * F.col("mx") - F.col("b") * F.col("my")).alias("c"))
+    return s.select(*key, "a", "b", (F.col("mz") - F.col("a") * F.col("mx") - F.col("b") * F.col("my")).alias("c"))
 
 
 def parallel_planes(points: DataFrame) -> DataFrame:

@@ -92,11 +92,6 @@ def rotate(samples: DataFrame, side: int, degrees: float, axes: tuple[int, int]
     return each_cube(samples, change, side)
 
 
-def log_spectrum(samples: DataFrame, side: int) -> DataFrame:
-    """log(|F| + 1) of each cube's spectrum, the zero frequency at side // 2."""
-    return each_cube(samples, lambda v, _: np.log(np.abs(np.fft.fftshift(np.fft.fftn(v))) + 1), side)
-
-
 def components(mask: DataFrame, edge: int = 16) -> DataFrame:
     """run, z, y, x, component: set voxels, given by their places, labelled by 26-neighbour connection (chunks.components)."""
     held = chunks.chunked(mask.select("run", "z", "y", "x", F.lit(1.0).alias("v")), "run", edge)

@@ -256,19 +256,18 @@ def without_idle_decay(cutoff: float, decay: float) -> float:
     return decay if cutoff else 0.0
 
 
-def cosine_mask(r: Column, low_pass: float, low_decay: float, high_pass: float, high_decay: float) -> Column:
-    """The band-pass weight at distance r: half-cosine edges of the given widths; cutoff 0 lets everything pass."""
-    def edge(f: float, d: float) -> Column:
-        if not f:
-            return F.lit(1.0)
-        if not d:
-            return F.when(r <= f, 1.0).otherwise(0.0)
+def cosine_mask(r: Column, low_pass: Column | float, low_decay: Column | float, high_pass: Column | float, high_decay: Column | float) -> Column:
+    """The band-pass weight at distance r: half-cosine edges of the given widths, hard ones for width 0; cutoff 0 lets
+    everything pass. Cutoffs and widths are numbers or columns."""
+    low_pass, low_decay, high_pass, high_decay = (x if isinstance(x, Column) else F.lit(float(x)) for x in (low_pass, low_decay, high_pass, high_decay))
+
+    def edge(f: Column, d: Column) -> Column:
         slope = 0.5 + 0.5 * F.cos(F.lit(math.pi) * (r - (f - d / 2)) / d)
         return F.when(r <= f - d / 2, 1.0).when(r >= f + d / 2, 0.0).otherwise(slope)
 
-    low_decay, high_decay = without_idle_decay(low_pass, low_decay), without_idle_decay(high_pass, high_decay)
-    high = (1 - edge(high_pass, high_decay)) if high_pass and high_decay else F.when(r >= high_pass, 1.0).otherwise(0.0) if high_pass else F.lit(1.0)
-    return edge(low_pass, low_decay) * high
+    low = F.when(low_pass == 0, 1.0).when(low_decay == 0, (r <= low_pass).cast("double")).otherwise(edge(low_pass, low_decay))
+    high = F.when(high_pass == 0, 1.0).when(high_decay == 0, (r >= high_pass).cast("double")).otherwise(1 - edge(high_pass, high_decay))
+    return low * high
 
 
 def positive_frequencies(n: Column, spacing: float) -> Column:
@@ -276,12 +275,21 @@ def positive_frequencies(n: Column, spacing: float) -> Column:
     return F.transform(F.sequence(F.lit(0), F.ceil(n / 2).cast("int") - 1), lambda k: k / (n * spacing))
 
 
-def mask_grid(spark, n: int, low_pass: float = 0, low_decay: float = 0, high_pass: float = 0, high_decay: float = 0) -> DataFrame:
-    """z, y, x, w over an n-cube, distances from n // 2."""
-    i = F.col("id")
-    grid = spark.range(n**3).select(F.floor(i / (n * n)).cast("int").alias("z"), (F.floor(i / n) % n).cast("int").alias("y"), (i % n).cast("int").alias("x"))
-    r = F.sqrt(sum(((F.col(a) - n // 2) * (F.col(a) - n // 2) for a in AXES), F.lit(0)).cast("double"))
-    return grid.withColumn("w", F.round(cosine_mask(r, low_pass, low_decay, high_pass, high_decay), 6))
+def masked(voxels: DataFrame, key: str, sizes: dict[str, int], low_pass: float = 0, low_decay: float = 0, high_pass: float = 0, high_decay: float = 0) -> DataFrame:
+    """key, z, y, x, w, v: voxels under a mask around the place n // 2 of each axis, such as centred spectra are filtered
+    with; sizes are those of the axes."""
+    low_decay, high_decay = without_idle_decay(low_pass, low_decay), without_idle_decay(high_pass, high_decay)
+    r = F.sqrt(sum(((F.col(a) - sizes[a] // 2) * (F.col(a) - sizes[a] // 2) for a in AXES), F.lit(0)).cast("double"))
+    w = cosine_mask(r, low_pass, low_decay, high_pass, high_decay)
+    return voxels.select(key, *AXES, F.round(w, 6).alias("w"), F.round(w * F.col("v"), 6).alias("v"))
+
+
+def filter_profiles(jobs: DataFrame, key: str, n: int) -> DataFrame:
+    """key, x, w: the weights along an axis of n places through the middle, for each job (key, low_pass, low_decay, high_pass,
+    high_decay, in pixels)."""
+    along = jobs.withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    r = F.abs(F.col("x") - n // 2).cast("double")
+    return along.select(key, "x", F.round(cosine_mask(r, *[F.col(c) for c in ("low_pass", "low_decay", "high_pass", "high_decay")]), 6).alias("w"))
 
 
 def tta_average(samples: DataFrame, side: int, weights: list[float]) -> DataFrame:

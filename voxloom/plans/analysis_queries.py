@@ -9,14 +9,13 @@ from pyspark.sql import functions as F
 
 from voxloom.functions import text
 from voxloom.functions.rng import uniform_sql
-from voxloom.operators import augment, catalog, chunks, dataset, geometry, jobs, kernels, volume
+from voxloom.operators import augment, catalog, chunks, dataset, fourier, geometry, jobs, kernels, volume
 from voxloom.plans.spatial_queries import CENTRED, MEANS, TOP, _layers, _plane
 from voxloom.plans.volume_queries import FLAT, PAIRS
 from voxloom.sources import model, storage
 from voxloom.sources.model import EXTENT, SIDE, SPACING, with_views
 
 SIGMA, LEVEL, SMALLER = 1.0, 0.02, 5
-TARGETS = {"ribosome": 1, "membrane": 2, "capsid": 5}
 
 
 def _smooth(spark, d):
@@ -47,7 +46,7 @@ def _resized(spark, d):
 
 
 def _spectrum(spark, d):
-    return volume.flat(kernels.log_spectrum(model.samples(spark, d), SIDE), 5)
+    return fourier.log_spectrum(model.chunks(spark, d), "run", SIDE).withColumn("v", F.round("v", 5))
 
 
 def _beta(spark, d):
@@ -66,11 +65,11 @@ def _sizes(spark, d):
 
 
 def _dataset(spark, d):
-    """Samples of every fiftieth volume are saved and bound, when loaded, to the first volume of the same size."""
+    """Samples of all volumes are saved and bound, when loaded, to the first volume of the same size."""
     path = _folder(spark, "dataset")
-    own = _sizes(spark, d).where("run % 50 = 1")
-    samples = model.table(spark, d, "events").select(F.col("event_id").alias("sample_id"), (F.col("event_id") % 20 * 50 + 1).alias("run"), F.col("event_type").alias("key"))
-    storage.save_dataset(samples, own, {"boxsize": [SIDE] * 3, "voxel_spacing": SPACING}, path)
+    line = model.table(spark, d, "lineitem")
+    samples = line.select(F.col("l_orderkey").alias("sample_id"), F.col("l_partkey").alias("run"), F.col("l_returnflag").alias("key"))
+    storage.save_dataset(samples, _sizes(spark, d), {"boxsize": [SIDE] * 3, "voxel_spacing": SPACING}, path)
     loaded, metadata = storage.load_dataset(spark, path, _sizes(spark, d))
     return loaded.select("sample_id", "run", "key", F.lit(metadata["voxel_spacing"]).alias("spacing"))
 
@@ -80,10 +79,9 @@ def _sets(spark, d):
     path = _folder(spark, "sets")
     picks = model.picks(spark, d).select("point_id", "x", F.col("run").cast("string").alias("run"), "object_name")
     keyed = lambda user, rows: rows.withColumn("user_id", F.lit(user)).withColumn("session_id", F.lit("1"))
-    few = picks.where("object_name = 'click'")
-    storage.write_sets(keyed("a", few).unionByName(keyed("b", few)), path)
-    storage.write_sets(keyed("b", few.where("point_id % 2 = 0")).unionByName(keyed("c", few)), path)
-    return storage.read_sets(spark, path, object_name="click").groupBy(F.col("user_id").cast("string").alias("user_id")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("x"), 3).alias("x"))
+    storage.write_sets(keyed("a", picks).unionByName(keyed("b", picks)), path)
+    storage.write_sets(keyed("b", picks.where(F.col("x") < EXTENT * SPACING / 2)).unionByName(keyed("c", picks)), path)
+    return storage.read_sets(spark, path).groupBy("object_name", F.col("user_id").cast("string").alias("user_id")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("x"), 3).alias("x"))
 
 
 def _mesh(spark, d):
@@ -100,7 +98,10 @@ def _by_name(spark, d):
 
 
 def _labels(spark, d):
-    return catalog.label_map(spark.createDataFrame([(TARGETS,)], "labels map<string,int>"))
+    """Every brand stores a table of its targets: the kinds of its objects, numbered in order."""
+    kinds = F.array_sort(F.collect_set("p_type"))
+    stored = model.table(spark, d, "part").groupBy(F.col("p_brand").alias("config")).agg(kinds.alias("k"))
+    return catalog.label_map(stored.select("config", F.map_from_arrays("k", F.sequence(F.lit(1), F.size("k"))).alias("labels")), "config")
 
 
 def _fallback(spark, d):
@@ -155,7 +156,7 @@ QUERIES = {
     "slab_spline": _slab("spline"),
     "slab_overlap": _overlap_planes,
     "slab_pick_counts": _pick_counts,
-    "sphere_volume": lambda spark, d: dataset.sphere_volume(spark, 24, 12),
+    "sphere_volume": lambda spark, d: dataset.sphere_volumes(model.table(spark, d, "supplier").select(F.col("s_suppkey").alias("run")), 16, 12),
 }
 
 
@@ -198,32 +199,37 @@ def fourier_sql(n: int, m: int, source: str = "voxels", out: str = "*") -> str:
     return f"(SELECT run, z, y, j AS x, sum(re * c - im * s) AS v FROM {y} u JOIN {weights} w ON u.x = w.i GROUP BY ALL)"
 
 
+def spectrum_sql(n: int, source: str = "voxels") -> str:
+    """The Fourier transform of n-cubes, one axis after another."""
+    turn = f"(SELECT j, i, cos(2 * pi() * j * i / {n}) AS c, -sin(2 * pi() * j * i / {n}) AS s FROM range({n}) a(j), range({n}) b(i))"
+    z = f"(SELECT run, j AS z, y, x, sum(v * c) AS re, sum(v * s) AS im FROM {source} u JOIN {turn} w ON u.z = w.i GROUP BY ALL)"
+    y = f"(SELECT run, z, j AS y, x, sum(re * c - im * s) AS re, sum(re * s + im * c) AS im FROM {z} u JOIN {turn} w ON u.y = w.i GROUP BY ALL)"
+    return f"(SELECT run, z, y, j AS x, sum(re * c - im * s) AS re, sum(re * s + im * c) AS im FROM {y} u JOIN {turn} w ON u.x = w.i GROUP BY ALL)"
+
+
 ORACLE_SQL = {
     "watershed_basins": _recursive("SELECT run, n // 64 AS z, n // 8 % 8 AS y, n % 8 AS x, top FROM t"),
     "watershed_picks": _recursive("SELECT run, round(avg(n % 8) * 10, 6) AS x, round(avg(n // 8 % 8) * 10, 6) AS y, round(avg(n // 64) * 10, 6) AS z, count(*) AS voxels FROM t GROUP BY run, top"),
     "response_mask": with_views(f"SELECT run, z, y, x, (v < 0)::INT AS label FROM {_along(_along('voxels', LINE), LINE)}", "voxels"),
     "resize_whole": with_views(f"SELECT run, z, y, x, round(v, 6) + 0.0::DOUBLE AS v FROM {_along('voxels', RESIZE)}", "voxels"),
-    "log_spectrum": with_views(
-        "+ f AS (SELECT z, y, x, u, t, s, pi() / 2 * ((z - 2) * u + (y - 2) * t + (x - 2) * s) AS a FROM range(4) a(z), range(4) b(y), range(4) c(x), range(4) d(u), range(4) e(t), range(4) g(s)) "
-        "SELECT sample_id, (f.z * 4 + f.y) * 4 + f.x AS i, round(ln(sqrt(sum(v * cos(a)) ** 2 + sum(v * sin(a)) ** 2) + 1), 5) AS v FROM sample_voxels m JOIN f ON m.z = u AND m.y = t AND m.x = s GROUP BY 1, 2",
-        "sample_voxels",
-    ),
+    "log_spectrum": with_views(f"SELECT run, (z + 4) % 8 AS z, (y + 4) % 8 AS y, (x + 4) % 8 AS x, round(ln(sqrt(re * re + im * im) + 1), 5) AS v FROM {spectrum_sql(8)}", "voxels"),
     "mixup_beta": with_views(
         FLAT + f", {PAIRS}, l AS (SELECT sample_id, partner_id, list_sort([{', '.join(uniform_sql(f'beta-{k}', 'sample_id') for k in range(3))}])[2] AS lam FROM p) "
         "SELECT l.sample_id, a.i, round(lam * a.v + (1 - lam) * b.v, 6) AS v FROM l JOIN f a ON a.sample_id = l.sample_id JOIN f b ON b.sample_id = partner_id AND b.i = a.i",
         "samples",
     ),
-    "dataset_roundtrip": "WITH v AS (SELECT p_partkey AS run, p_size + 8 AS d, p_partkey % 30 + 20 AS h FROM part), b AS (SELECT s.run, min(a.run) AS bound FROM v s JOIN v a USING (d, h) WHERE s.run % 50 = 1 GROUP BY 1) "
-    "SELECT event_id AS sample_id, bound AS run, event_type AS key, 10.0::DOUBLE AS spacing FROM events JOIN b ON b.run = event_id % 20 * 50 + 1",
+    "dataset_roundtrip": "WITH v AS (SELECT p_partkey AS run, p_size + 8 AS d, p_partkey % 30 + 20 AS h FROM part), b AS (SELECT run, min(run) OVER (PARTITION BY d, h) AS bound FROM v) "
+    "SELECT l_orderkey AS sample_id, bound AS run, l_returnflag AS key, 10.0::DOUBLE AS spacing FROM lineitem JOIN b ON b.run = l_partkey",
     "sets_replaced": with_views(
-        "+ c AS (SELECT point_id, run, x FROM picks WHERE object_name = 'click'), r AS (SELECT DISTINCT run FROM c WHERE point_id % 2 = 0) "
-        "SELECT user_id, count(*) AS n, round(sum(x), 3) AS x FROM (SELECT 'a' AS user_id, x FROM c UNION ALL SELECT 'c', x FROM c UNION ALL SELECT 'b', x FROM c WHERE point_id % 2 = 0 OR run NOT IN (FROM r)) GROUP BY 1",
+        "+ r AS (SELECT DISTINCT run, object_name FROM picks WHERE x < 40) "
+        "SELECT object_name, user_id, count(*) AS n, round(sum(x), 3) AS x FROM (SELECT object_name, 'a' AS user_id, x FROM picks UNION ALL SELECT object_name, 'c', x FROM picks "
+        "UNION ALL SELECT object_name, 'b', x FROM picks WHERE x < 40 OR (run, object_name) NOT IN (SELECT (run, object_name) FROM r)) GROUP BY 1, 2",
         "picks",
     ),
     "mesh_written": f"SELECT run, CASE WHEN f.run IS NOT NULL THEN 40 END AS vertices, 76 AS faces FROM (SELECT DISTINCT l_suppkey AS run FROM lineitem) LEFT JOIN {_plane(TOP)} f USING (run)",
     "segmentation_by_name": "WITH s AS (SELECT p_brand AS name, p_partkey AS run, p_size::DOUBLE AS v FROM part UNION ALL SELECT p_brand, p_partkey, p_size + 7.5::DOUBLE FROM part), n AS (SELECT name, run, arg_min(v, (abs(v - 12), v)) AS v FROM s GROUP BY 1, 2) "
     "SELECT name, max(run) AS run, arg_max(v, run) AS voxel_spacing FROM n GROUP BY 1",
-    "target_labels": "SELECT * FROM (VALUES ('background', 0), " + ", ".join(f"('{k}', {v})" for k, v in TARGETS.items()) + ") t(name, label)",
+    "target_labels": "WITH k AS (SELECT DISTINCT p_brand AS config, p_type AS name FROM part) SELECT config, 'background' AS name, 0 AS label FROM (SELECT DISTINCT config FROM k) UNION ALL SELECT config, name, (row_number() OVER (PARTITION BY config ORDER BY name))::INT FROM k",
     "spacing_nm": "SELECT p_partkey AS ord, p_size / 10.0::DOUBLE AS nm FROM part",
     "array_fallback": "SELECT p_partkey AS run, CASE WHEN p_partkey % 2 = 0 THEN p_size::DOUBLE ELSE 0.0 END AS first FROM part",
     "positive_frequencies": "SELECT p_partkey, k, round(k / (p_size * 10.0::DOUBLE), 9) AS f FROM (SELECT p_partkey, p_size, unnest(range(0, (p_size + 1) // 2)) AS k FROM part)",
@@ -235,7 +241,7 @@ ORACLE_SQL = {
     ),
     "slab_parallel": f"SELECT run, layer, r AS \"row\", k AS col, round(a * k * 50.0::DOUBLE / 3 + b * r * 63.0::DOUBLE / 2 + mz - a * mx - b * my, 3) AS z FROM {MEANS} m JOIN {_plane(CENTRED)} f USING (run), range(0, 3) t(r), range(0, 4) u(k)",
     "slab_pick_counts": "SELECT l_suppkey AS run, count(*) AS n, CASE WHEN count(*) < 3 THEN 'fewer than three points' END AS error FROM lineitem GROUP BY 1",
-    "sphere_volume": "WITH s AS (SELECT " + ", ".join(f"floor({uniform_sql(f'sphere-{a}', 'id')} * 24)::INT AS c{a}" for a in "zyx") + f", floor({uniform_sql('sphere-r', 'id')} * 5)::INT + 3 AS r, {uniform_sql('sphere-v', 'id')} * 0.5::DOUBLE + 0.5::DOUBLE AS v FROM range(12) t(id)), "
-    "f AS (SELECT z, y, x, round(coalesce(sum(v) FILTER ((z - cz) * (z - cz) + (y - cy) * (y - cy) + (x - cx) * (x - cx) <= r * r), 0), 6) AS v FROM s, range(24) a(z), range(24) b(y), range(24) c(x) GROUP BY 1, 2, 3) "
-    "SELECT z, y, x, round((v - avg(v) OVER ()) / stddev_pop(v) OVER (), 6) AS v FROM f",
+    "sphere_volume": "WITH s AS (SELECT s_suppkey AS run, " + ", ".join(f"floor({uniform_sql(f'sphere-{a}', 's_suppkey', 'id')} * 16)::INT AS c{a}" for a in "zyx") + f", floor({uniform_sql('sphere-r', 's_suppkey', 'id')} * 5)::INT + 3 AS r, {uniform_sql('sphere-v', 's_suppkey', 'id')} * 0.5::DOUBLE + 0.5::DOUBLE AS v FROM supplier, range(12) t(id)), "
+    "f AS (SELECT run, z, y, x, round(coalesce(sum(v) FILTER ((z - cz) * (z - cz) + (y - cy) * (y - cy) + (x - cx) * (x - cx) <= r * r), 0), 6) AS v FROM s, range(16) a(z), range(16) b(y), range(16) c(x) GROUP BY 1, 2, 3, 4) "
+    "SELECT run, z, y, x, round((v - avg(v) OVER w) / stddev_pop(v) OVER w, 6) AS v FROM f WINDOW w AS (PARTITION BY run)",
 }

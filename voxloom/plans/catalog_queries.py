@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from voxloom.functions import text as t
 from voxloom.operators import catalog as c
-from voxloom.operators import classes
+from voxloom.operators import chunks, classes
 from voxloom.sources import model
 from voxloom.sources.model import with_views
 
@@ -21,9 +21,17 @@ def _parts(spark, d):
 
 
 def _segmentations(spark, d):
-    """Every third supplier has a segmentation; every seventh has no tomogram; every fifth is held out."""
-    s = model.table(spark, d, "supplier").select(F.col("s_suppkey").alias("run"))
-    return s.where("run % 7 <> 0"), s.where("run % 3 = 0"), s.where("run % 5 = 0")
+    """A customer's run has a tomogram if there is a filled order, a segmentation if there is an urgent one; runs of customers
+    in debt are held out."""
+    order = model.table(spark, d, "orders").withColumnRenamed("o_custkey", "run")
+    test = model.table(spark, d, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("run"))
+    return tuple(order.where(x).select("run").distinct() for x in ("o_orderstatus = 'F'", "o_orderpriority = '1-URGENT'")) + (test,)
+
+
+def _wanted(spark, d):
+    """Objects of the catalogue that are looked for in a run, once each."""
+    line = model.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("run"), F.col("l_partkey").alias("ord")).distinct()
+    return line.join(model.catalogue(spark, d), "ord").select("run", "ord", "object_name", "radius")
 
 
 def _training(i):
@@ -31,8 +39,8 @@ def _training(i):
 
 
 def _manifest(spark, d):
-    paired = c.pairs_for_training(*_segmentations(spark, d))[0].join(model.table(spark, d, "supplier").select(F.col("s_suppkey").alias("run"), "s_name"), "run")
-    case = t.case_id(F.col("s_name"))
+    paired = c.pairs_for_training(*_segmentations(spark, d))[0].join(model.table(spark, d, "customer").select(F.col("c_custkey").alias("run"), "c_name"), "run")
+    case = t.case_id(F.col("c_name"))
     folder = F.when(F.col("split") == "train", "imagesTr").otherwise("imagesTs")
     return paired.select(case.alias("case_id"), "split", F.concat(folder, F.lit("/"), case, F.lit("_0000.nii.gz")).alias("image"), F.when(F.col("split") == "train", F.concat(F.lit("labelsTr/"), case, F.lit(".nii.gz"))).alias("label"))
 
@@ -79,10 +87,10 @@ QUERIES = {
     "tomogram_preference": _tomograms(c.preferred, "STEEL"),
     "nearest_spacing": _tomograms(c.nearest_spacing, 20.4),
     "tomogram_at_spacing": _tomograms(c.at_spacing, 7.0),
-    "pyramid_level": lambda spark, d: c.pyramid_level(model.objects(spark, d)),
+    "pyramid_level": lambda spark, d: c.arrays_at_level(_wanted(spark, d), chunks.extents(model.chunks(spark, d), "run", model.SIDE)),
     "shape_probe": lambda spark, d: model.chunks(spark, d).groupBy("run").agg(*[((F.max(f"c{a}") + 1) * model.SIDE).alias(a) for a in "zyx"]),
     "class_id_names": lambda spark, d: model.classes(spark, d).join(F.broadcast(model.objects(spark, d).select(F.col("label").alias("molecule_id"), "object_name")), "molecule_id", "left").select("sample_id", F.when(F.col("molecule_id") == -1, "background").otherwise(F.coalesce("object_name", F.concat(F.lit("Unknown_Label_"), F.col("molecule_id").cast("string")))).alias("name")),
-    "skip_membrane": lambda spark, d: model.objects(spark, d).select(F.when(F.col("label") == 2, "Membrane").otherwise(F.col("object_name")).alias("name")).where("lower(name) <> 'membrane'"),
+    "skip_membrane": lambda spark, d: c.without_named(model.catalogue(spark, d).select("ord", F.col("kind").alias("name")), "Promo"),
     "train_runs_anti": lambda spark, d: (lambda x: x[0].join(x[2], "run", "left_anti"))(_segmentations(spark, d)),
     "training_pairs": _training(0),
     "missing_pairs_report": _training(1),
@@ -107,11 +115,12 @@ QUERIES = {
 }
 
 PARTS = "(SELECT run, tomo_type, voxel_spacing, ord FROM tomograms)"
-RUNS = "(SELECT s_suppkey AS run FROM supplier)"
+THERE = "(SELECT o_custkey AS run, bool_or(o_orderstatus = 'F') AS tomogram, bool_or(o_orderpriority = '1-URGENT') AS segmentation FROM orders GROUP BY 1)"
+HELD = "(SELECT c_custkey AS run FROM customer WHERE c_acctbal < 0)"
 RESULTS = "(SELECT o_orderkey AS task_id, o_orderstatus <> 'F' AS success, o_orderkey % 4 AS worker, o_totalprice AS seconds, 'task ' || o_orderkey || ' failed' AS error FROM orders)"
 CUTOFFS = "(SELECT p_partkey, p_name, p_size / 4.0::DOUBLE AS apix, (p_partkey % 5) * 10.5::DOUBLE AS lp, (p_partkey % 3) * 20.5::DOUBLE AS hp FROM part)"
 URI = "replace(CASE p_partkey % 3 WHEN 0 THEN p_type || '@' || p_size WHEN 1 THEN p_type || ':user' || p_partkey % 5 || '@' || p_size ELSE p_type || ':user' || p_partkey % 5 || '/s' || p_partkey % 4 || '@' || p_size END, ' ', '-')"
-CASE_ID = "translate(s_name, '- ', '__')"
+CASE_ID = "translate(c_name, '- ', '__')"
 ORACLE_SQL = {
     "picks_catalog_join": with_views("SELECT point_id, object_name, label FROM picks JOIN objects USING (object_name) WHERE from_tool", "picks", "objects"),
     "picks_unknown_objects": with_views("SELECT object_name, count(*) AS n FROM picks WHERE object_name NOT IN (SELECT object_name FROM objects) GROUP BY 1", "picks", "objects"),
@@ -122,14 +131,15 @@ ORACLE_SQL = {
     "tomogram_preference": with_views(f"SELECT run, ord, tomo_type, voxel_spacing FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY contains(tomo_type, 'STEEL') DESC, ord) AS k FROM {PARTS}) WHERE k = 1", "tomograms"),
     "nearest_spacing": with_views(f"+ b AS (SELECT run, voxel_spacing FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY abs(voxel_spacing - 20.4::DOUBLE), ord) AS k FROM {PARTS}) WHERE k = 1) SELECT t.* FROM tomograms t JOIN b ON t.run = b.run AND t.voxel_spacing = b.voxel_spacing", "tomograms"),
     "tomogram_at_spacing": with_views(f"SELECT run, ord, tomo_type FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY ord) AS k FROM {PARTS} WHERE voxel_spacing = 7) WHERE k = 1", "tomograms"),
-    "pyramid_level": with_views("SELECT object_name, CASE WHEN radius <= 16 THEN 0 ELSE 1 END AS level, CASE WHEN radius <= 16 THEN 1 ELSE 2 END AS scale FROM objects", "objects"),
+    "pyramid_level": with_views("+ w AS (SELECT DISTINCT l_suppkey AS run, l_partkey AS ord FROM lineitem), e AS (SELECT vec_id // 8 AS run, 8 AS n FROM embeddings GROUP BY 1 HAVING count(*) = 8), l AS (SELECT *, (radius > 16)::INT AS level FROM w JOIN catalogue USING (ord)) "
+    "SELECT run, ord, object_name, level, level + 1 AS scale, n // (level + 1) AS d, n // (level + 1) AS h, n // (level + 1) AS w FROM l LEFT JOIN e USING (run)", "catalogue"),
     "shape_probe": "SELECT vec_id // 8 AS run, 8 AS z, 8 AS y, 8 AS x FROM embeddings GROUP BY 1 HAVING count(*) = 8",
     "class_id_names": with_views("SELECT sample_id, CASE WHEN molecule_id = -1 THEN 'background' ELSE coalesce(object_name, 'Unknown_Label_' || molecule_id) END AS name FROM samples LEFT JOIN objects ON label = molecule_id", "samples", "objects"),
-    "skip_membrane": with_views("SELECT object_name AS name FROM objects WHERE label <> 2", "objects"),
-    "train_runs_anti": f"SELECT run FROM {RUNS} WHERE run % 7 <> 0 AND run % 5 <> 0",
-    "training_pairs": f"SELECT run, CASE WHEN run % 5 = 0 THEN 'test' ELSE 'train' END AS split FROM {RUNS} WHERE run % 7 <> 0 AND run % 3 = 0",
-    "missing_pairs_report": f"SELECT run, 'segmentation' AS missing FROM {RUNS} WHERE run % 7 <> 0 AND run % 3 <> 0 UNION ALL SELECT run, 'tomogram' FROM {RUNS} WHERE run % 7 = 0 AND run % 3 = 0",
-    "export_manifest": f"SELECT c AS case_id, split, CASE split WHEN 'train' THEN 'imagesTr' ELSE 'imagesTs' END || '/' || c || '_0000.nii.gz' AS image, CASE split WHEN 'train' THEN 'labelsTr/' || c || '.nii.gz' END AS label FROM (SELECT {CASE_ID} AS c, CASE WHEN s_suppkey % 5 = 0 THEN 'test' ELSE 'train' END AS split FROM supplier WHERE s_suppkey % 7 <> 0 AND s_suppkey % 3 = 0)",
+    "skip_membrane": "SELECT p_partkey AS ord, p_type AS name FROM part WHERE lower(p_type) <> 'promo'",
+    "train_runs_anti": f"SELECT run FROM {THERE} WHERE tomogram EXCEPT FROM {HELD}",
+    "training_pairs": f"SELECT run, CASE WHEN run IN (FROM {HELD}) THEN 'test' ELSE 'train' END AS split FROM {THERE} WHERE tomogram AND segmentation",
+    "missing_pairs_report": f"SELECT run, CASE WHEN tomogram THEN 'segmentation' ELSE 'tomogram' END AS missing FROM {THERE} WHERE tomogram <> segmentation",
+    "export_manifest": f"SELECT c AS case_id, split, CASE split WHEN 'train' THEN 'imagesTr' ELSE 'imagesTs' END || '/' || c || '_0000.nii.gz' AS image, CASE split WHEN 'train' THEN 'labelsTr/' || c || '.nii.gz' END AS label FROM (SELECT {CASE_ID} AS c, CASE WHEN c_acctbal < 0 THEN 'test' ELSE 'train' END AS split FROM customer JOIN {THERE} ON run = c_custkey WHERE tomogram AND segmentation)",
     "config_latest": "SELECT process, log_id FROM (SELECT user_id AS process, event_id AS log_id, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN event_type = 'purchase' THEN 0 ELSE 1 END, ts DESC, event_id DESC) AS k FROM events) WHERE k = 1",
     "delete_source_remaining": with_views("SELECT voxel_spacing, count(*) AS \"left\" FROM tomograms WHERE tomo_type <> 'PROMO' GROUP BY 1", "tomograms"),
     "cache_key": "SELECT p_partkey, p_name || '_4x4x4_' || p_size || CASE WHEN p_partkey % 2 = 0 THEN '_with_bg' ELSE '' END || '.parquet' AS key FROM part",

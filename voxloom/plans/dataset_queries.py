@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from voxloom.functions.rng import uniform_sql
 from voxloom.operators import chunks, classes, dataset, geometry, volume
 from voxloom.plans.spatial_queries import STATS, _labelled
-from voxloom.sources import model
+from voxloom.sources import model, storage
 from voxloom.sources.model import EXTENT, SIDE, with_views
 
 BALL = dataset.ball(2)
@@ -20,6 +20,10 @@ def _volumes(spark, d):
     return part.select(F.col("p_partkey").alias("run"), (F.col("p_size") + 8).alias("d"), (F.col("p_partkey") % 30 + 20).cast("int").alias("h"), F.lit(40).alias("w"))
 
 
+def _runs(spark, d):
+    return model.table(spark, d, "supplier").select(F.col("s_suppkey").alias("run"))
+
+
 def _multi(spark, d):
     return model.voxels(spark, d).select("run", "z", "y", "x", F.when(F.col("v") > 0.3, 2).when(F.col("v") > 0.1, 1).otherwise(0).alias("label"))
 
@@ -55,17 +59,17 @@ QUERIES = {
     "binarise_label": lambda spark, d: dataset.binarised(_multi(spark, d), 2).groupBy("run", "label").agg(F.count(F.lit(1)).alias("n")),
     "background_distance_default": lambda spark, d: _volumes(spark, d).select("run", dataset.keep_away((F.col("run") % 3).cast("double"), [F.col("d"), F.col("h"), F.col("w")]).alias("distance")),
     "normalise_extent": lambda spark, d: model.picks(spark, d).select("point_id", *[F.round(F.col(a) / (EXTENT * model.SPACING), 6).alias(a) for a in "xyz"]),
-    "first_label_names": lambda spark, d: dataset.first_names(model.objects(spark, d).unionByName(model.objects(spark, d).withColumn("object_name", F.lit("another")))),
+    "first_label_names": lambda spark, d: model.classes(spark, d).join(dataset.first_names(model.catalogue(spark, d)), F.col("molecule_id") == F.col("label"), "left").select("sample_id", "molecule_id", "object_name"),
     "random_crop": lambda spark, d: dataset.random_crops(_volumes(spark, d), 24),
     "spliced_set": _spliced,
     "splice_gate": _gate,
-    "synthetic_spheres": lambda spark, d: dataset.spheres(spark, 24, 12),
-    "gaussian_kernel": lambda spark, d: dataset.gaussian_kernel(spark, 7, 1.5),
+    "synthetic_spheres": lambda spark, d: dataset.spheres(_runs(spark, d), 16, 12),
+    "gaussian_kernel": lambda spark, d: dataset.gaussian_kernels(model.catalogue(spark, d).select("ord", (F.col("radius") / 3).alias("sigma")), 5),
     "erode_ball": _sides("erode"),
     "dilate_ball": _sides("dilate"),
     "epoch_statistics": lambda spark, d: dataset.epoch_statistics(_batches(spark, d)),
     "split_is_disjoint": _disjoint,
-    "shape_rebind": lambda spark, d: _volumes(spark, d).alias("a").join(_volumes(spark, d).where("run % 50 = 1").alias("b"), ["d", "h", "w"]).select(F.col("a.run").alias("run"), F.col("b.run").alias("saved")),
+    "shape_rebind": lambda spark, d: storage.bound(_volumes(spark, d), _volumes(spark, d)).select("run", F.col("bound").alias("saved")),
     "item_accessor": lambda spark, d: volume.zscore(model.samples(spark, d), True).select("sample_id", F.array(F.lit(1), F.lit(4), F.lit(4), F.lit(4)).cast("string").alias("shape"), F.round(F.element_at("v", 1), 6).alias("first")),
 }
 
@@ -82,7 +86,7 @@ ORACLE_SQL = {
     "binarise_label": with_views("SELECT run, (v > 0.3)::INT AS label, count(*) AS n FROM voxels WHERE run IN (SELECT run FROM voxels WHERE v > 0.3) GROUP BY 1, 2", "voxels"),
     "background_distance_default": f"SELECT run, CASE WHEN run % 3 = 0 THEN greatest(d, h, w)::DOUBLE ELSE (run % 3)::DOUBLE END AS distance FROM {VOLUMES}",
     "normalise_extent": with_views("SELECT point_id, round(x / 80, 6) AS x, round(y / 80, 6) AS y, round(z / 80, 6) AS z FROM picks", "picks"),
-    "first_label_names": with_views("SELECT label, 'another' AS object_name FROM objects", "objects"),
+    "first_label_names": with_views("SELECT sample_id, molecule_id, object_name FROM samples LEFT JOIN (SELECT label, arg_min(object_name, ord) AS object_name FROM catalogue GROUP BY 1) ON label = molecule_id", "samples", "catalogue"),
     "random_crop": f"SELECT run, {', '.join(f'''CASE WHEN {SMALL} THEN 0 ELSE floor({uniform_sql(f'crop-{a}', 'run')} * ({s} - 23))::INT END AS {a}''' for s, a in (('d', 'z'), ('h', 'y'), ('w', 'x')))}, {SMALL} AS whole FROM {VOLUMES}",
     "spliced_set": with_views(
         f"+ p AS (SELECT run AS component_run, component, area >= 14 AS usable, row_number() OVER (ORDER BY run, component) - 1 AS k FROM {STATS}), r AS (SELECT run, row_number() OVER (ORDER BY run) - 1 AS j FROM (SELECT DISTINCT run FROM voxels)), "
@@ -92,13 +96,13 @@ ORACLE_SQL = {
         "voxels",
     ),
     "splice_gate": with_views(f"SELECT sample_id, CASE WHEN {uniform_sql('item', 'sample_id')} < 0.5 THEN sample_id * 7 % 9 + 1 ELSE molecule_id END AS label, {uniform_sql('item', 'sample_id')} < 0.5 AS spliced FROM samples", "samples"),
-    "synthetic_spheres": "WITH s AS (SELECT " + ", ".join(f"floor({uniform_sql(f'sphere-{a}', 'id')} * 24)::INT AS c{a}" for a in "zyx") + f", floor({uniform_sql('sphere-r', 'id')} * 5)::INT + 3 AS r, {uniform_sql('sphere-v', 'id')} * 0.5::DOUBLE + 0.5::DOUBLE AS v FROM range(12) t(id)) "
-    "SELECT z, y, x, round(sum(v), 6) AS v FROM s, range(24) a(z), range(24) b(y), range(24) c(x) WHERE (z - cz) * (z - cz) + (y - cy) * (y - cy) + (x - cx) * (x - cx) <= r * r GROUP BY 1, 2, 3",
-    "gaussian_kernel": f"SELECT z, y, x, round(exp(-((z - 3) * (z - 3) + (y - 3) * (y - 3) + (x - 3) * (x - 3)) / 4.5::DOUBLE) / {2 * math.pi * 2.25!r}::DOUBLE, 9) AS w FROM range(7) a(z), range(7) b(y), range(7) c(x)",
+    "synthetic_spheres": "WITH s AS (SELECT s_suppkey AS run, " + ", ".join(f"floor({uniform_sql(f'sphere-{a}', 's_suppkey', 'id')} * 16)::INT AS c{a}" for a in "zyx") + f", floor({uniform_sql('sphere-r', 's_suppkey', 'id')} * 5)::INT + 3 AS r, {uniform_sql('sphere-v', 's_suppkey', 'id')} * 0.5::DOUBLE + 0.5::DOUBLE AS v FROM supplier, range(12) t(id)) "
+    "SELECT run, z, y, x, round(sum(v), 6) AS v FROM s, range(16) a(z), range(16) b(y), range(16) c(x) WHERE (z - cz) * (z - cz) + (y - cy) * (y - cy) + (x - cx) * (x - cx) <= r * r GROUP BY 1, 2, 3, 4",
+    "gaussian_kernel": with_views(f"SELECT ord, z, y, x, round(exp(-((z - 2) * (z - 2) + (y - 2) * (y - 2) + (x - 2) * (x - 2)) / (2 * (radius / 3) ** 2)) / ({2 * math.pi!r}::DOUBLE * (radius / 3) ** 2), 9) AS w FROM catalogue, range(5) a(z), range(5) b(y), range(5) c(x)", "catalogue"),
     "erode_ball": _around("min"),
     "dilate_ball": _around("max"),
     "epoch_statistics": "SELECT o_custkey % 5 AS epoch, round(avg(o_totalprice / 1000), 6) AS loss, round(100.0::DOUBLE * sum(o_orderkey % 17)::DOUBLE / (16 * count(*)), 6) AS accuracy FROM orders GROUP BY 1",
     "split_is_disjoint": "SELECT 1 AS n, count(*) AS samples FROM embeddings",
-    "shape_rebind": f"SELECT a.run, b.run AS saved FROM {VOLUMES} a JOIN {VOLUMES} b ON a.d = b.d AND a.h = b.h AND a.w = b.w AND b.run % 50 = 1",
+    "shape_rebind": f"SELECT run, min(run) OVER (PARTITION BY d, h, w) AS saved FROM {VOLUMES}",
     "item_accessor": with_views("SELECT sample_id, '[1, 4, 4, 4]' AS shape, round(CASE WHEN list_stddev_pop(v) > 0 THEN (v[1] - list_avg(v)) / list_stddev_pop(v) ELSE v[1] END, 6) AS first FROM samples", "samples"),
 }

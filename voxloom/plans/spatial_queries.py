@@ -68,14 +68,14 @@ def _rounded(df, digits, *columns):
 
 
 def _fitted(spark, d):
-    points = _layers(spark, d).where("layer = 'top'")
-    fit = g.plane_fit(points)
-    return g.residuals(points.join(fit, "run").withColumn("pred", F.col("a") * F.col("x") + F.col("b") * F.col("y") + F.col("c")), "run")
+    points = _layers(spark, d)
+    fit = g.plane_fit(points, "run", "layer")
+    return g.residuals(points.join(fit, ["run", "layer"]).withColumn("pred", F.col("a") * F.col("x") + F.col("b") * F.col("y") + F.col("c")), "run", "layer")
 
 
 def _knots(spark, d):
-    flat = model.sample_voxels(spark, d).where("z = 0")
-    return g.bending_energy(flat.select("sample_id", F.col("y").alias("row"), F.col("x").alias("col"), "v"), "sample_id")
+    flat = model.sample_voxels(spark, d)
+    return g.bending_energy(flat.select("sample_id", "z", F.col("y").alias("row"), F.col("x").alias("col"), "v"), "sample_id", "z")
 
 
 def _iou(spark, d):
@@ -111,7 +111,7 @@ QUERIES = {
     "soft_iou": _iou,
     "residual_rms": _fitted,
     "bending_energy": _knots,
-    "plane_fit_lsq": lambda spark, d: _rounded(g.plane_fit(_layers(spark, d).where("layer = 'top'")), 4, "a", "b", "c"),
+    "plane_fit_lsq": lambda spark, d: _rounded(g.plane_fit(_layers(spark, d), "run", "layer"), 4, "a", "b", "c"),
     "parallel_planes": lambda spark, d: _rounded(g.parallel_planes(_layers(spark, d)), 4, "a", "b", "top", "bottom"),
     "plane_lattice": lambda spark, d: _rounded(g.lattice(g.plane_fit(_layers(spark, d).where("layer = 'top'")), 3, 4, 50.0, 63.0), 3, "x", "y", "z"),
     "slab_mesh_counts": _mesh_counts,
@@ -149,10 +149,10 @@ STATS = f"(SELECT *, row_number() OVER (PARTITION BY run ORDER BY area DESC, com
 LAYERS = "(SELECT l_suppkey AS run, CASE WHEN l_linestatus = 'F' THEN 'top' ELSE 'bottom' END AS layer, l_quantity AS x, (l_partkey % 64)::DOUBLE AS y, CASE WHEN l_linestatus = 'F' THEN 300.0::DOUBLE ELSE 100.0 END + l_quantity * 0.5::DOUBLE - (l_partkey % 64) * 0.25::DOUBLE + l_orderkey % 5 AS z FROM lineitem)"
 
 
-def _plane(points: str) -> str:
-    sums = f"(SELECT run, count(*) AS n, var_pop(x) AS xx, var_pop(y) AS yy, covar_pop(x, y) AS xy, covar_pop(x, z) AS xz, covar_pop(y, z) AS yz, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM {points} GROUP BY 1)"
+def _plane(points: str, key: str = "run") -> str:
+    sums = f"(SELECT {key}, count(*) AS n, var_pop(x) AS xx, var_pop(y) AS yy, covar_pop(x, y) AS xy, covar_pop(x, z) AS xz, covar_pop(y, z) AS yz, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM {points} GROUP BY ALL)"
     slope = f"(SELECT *, (xz * yy - yz * xy) / (xx * yy - xy * xy) AS a, (yz * xx - xz * xy) / (xx * yy - xy * xy) AS b FROM {sums} WHERE n >= 3 AND abs(xx * yy - xy * xy) > 1e-9)"
-    return f"(SELECT run, a, b, mz - a * mx - b * my AS c FROM {slope})"
+    return f"(SELECT {key}, a, b, mz - a * mx - b * my AS c FROM {slope})"
 
 
 TOP = f"(SELECT * FROM {LAYERS} WHERE layer = 'top')"
@@ -185,13 +185,13 @@ ORACLE_SQL = {
         "SELECT run, component, " + ", ".join(f"least(greatest(0, trunc(c{a} - 2)::INT), 4) AS {a}_lo, least(greatest(0, trunc(c{a} - 2)::INT), 4) + 4 AS {a}_hi" for a in "zyx") + f" FROM {STATS}", "voxels"
     ),
     "soft_iou": with_views("SELECT run, round(sum(p * q) / (sum(p) + sum(q) - sum(p * q)), 6) AS iou FROM (SELECT run, 1 / (1 + exp(-v * 10)) AS p, 1 / (1 + exp(-(v - 0.1::DOUBLE) * 10)) AS q FROM voxels) GROUP BY 1", "voxels"),
-    "residual_rms": f"SELECT run, round(sqrt(sum(e * e)), 5) AS norm, round(sqrt(avg(e * e)), 5) AS rms FROM (SELECT run, f.a * x + f.b * y + f.c - z AS e FROM {TOP} p JOIN {_plane(TOP)} f USING (run)) GROUP BY 1",
+    "residual_rms": f"SELECT run, layer, round(sqrt(sum(e * e)), 5) AS norm, round(sqrt(avg(e * e)), 5) AS rms FROM (SELECT run, layer, f.a * x + f.b * y + f.c - z AS e FROM {LAYERS} p JOIN {_plane(LAYERS, 'run, layer')} f USING (run, layer)) GROUP BY 1, 2",
     "bending_energy": with_views(
-        "+ d AS (SELECT sample_id, lead(v, 2) OVER r - 2 * lead(v, 1) OVER r + v AS r, lead(v, 2) OVER c - 2 * lead(v, 1) OVER c + v AS c FROM sample_voxels WHERE z = 0 WINDOW r AS (PARTITION BY sample_id, x ORDER BY y), c AS (PARTITION BY sample_id, y ORDER BY x)) "
-        "SELECT sample_id, round(coalesce(avg(r * r), 0) + coalesce(avg(c * c), 0), 5) AS energy FROM d GROUP BY 1",
+        "+ d AS (SELECT sample_id, z, lead(v, 2) OVER r - 2 * lead(v, 1) OVER r + v AS r, lead(v, 2) OVER c - 2 * lead(v, 1) OVER c + v AS c FROM sample_voxels WINDOW r AS (PARTITION BY sample_id, z, x ORDER BY y), c AS (PARTITION BY sample_id, z, y ORDER BY x)) "
+        "SELECT sample_id, z, round(coalesce(avg(r * r), 0) + coalesce(avg(c * c), 0), 5) AS energy FROM d GROUP BY 1, 2",
         "sample_voxels",
     ),
-    "plane_fit_lsq": f"SELECT run, round(a, 4) AS a, round(b, 4) AS b, round(c, 4) AS c FROM {_plane(TOP)}",
+    "plane_fit_lsq": f"SELECT run, layer, round(a, 4) AS a, round(b, 4) AS b, round(c, 4) AS c FROM {_plane(LAYERS, 'run, layer')}",
     "parallel_planes": f"SELECT run, round(a, 4) AS a, round(b, 4) AS b, round(max(mz - a * mx - b * my) FILTER (layer = 'top'), 4) AS top, round(max(mz - a * mx - b * my) FILTER (layer = 'bottom'), 4) AS bottom FROM {MEANS} m JOIN {_plane(CENTRED)} f USING (run) GROUP BY run, a, b",
     "plane_lattice": f"SELECT run, r AS \"row\", k AS col, round(k * 50.0::DOUBLE / 3, 3) AS x, round(r * 63.0::DOUBLE / 2, 3) AS y, round(a * (k * 50.0::DOUBLE / 3) + b * (r * 63.0::DOUBLE / 2) + c, 3) AS z FROM {_plane(TOP)}, range(0, 3) t(r), range(0, 4) u(k)",
     "slab_mesh_counts": """

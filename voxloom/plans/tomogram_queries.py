@@ -13,6 +13,8 @@ from voxloom.plans.kernel_queries import LABELLED, _set
 from voxloom.sources import arrays, model, nifti
 from voxloom.sources.model import SIDE, SPACING
 
+#: A volume has a mask if one of its voxels is above this.
+HIGH = 0.35
 #: Window of the segmentation, and the score above which a voxel is set.
 WINDOW, ABOVE = 6, 0.5
 #: Voxels of a component that is spliced, at least; the Gaussian that smooths its edge.
@@ -72,10 +74,11 @@ def _store(spark, d):
 
 
 def _training_set(spark, d):
-    """Images and masks as files; every fifth supplier's run is held out, and runs above 30 have no mask."""
+    """Images and masks as files; runs of suppliers with a low balance are held out, and runs without a high voxel have no mask."""
     path, volumes = _folder(spark, "training-set"), _whole(spark, d)
-    masks = volumes.where("run <= 30").withColumn("v", F.transform("v", lambda x: (x > 0.1).cast("double")))
-    test = model.table(spark, d, "supplier").where("s_suppkey % 5 = 0").select(F.col("s_suppkey").cast("long").alias("run"))
+    high = volumes.where(F.exists("v", lambda x: x > HIGH)).select("run").distinct()
+    masks = volumes.join(high, "run").withColumn("v", F.transform("v", lambda x: (x > 0.1).cast("double")))
+    test = model.table(spark, d, "supplier").where("s_acctbal < 2000").select(F.col("s_suppkey").cast("long").alias("run"))
     nifti.write_training_set(volumes, masks, path, SIDE, SPACING, {"background": 0, "particle": 1}, test)
     found = nifti.read_files(spark, path).select("file", "d", "h", "w", "spacing", F.posexplode("v").alias("i", "v"))
     return found.groupBy("file", "d", "h", "w", F.round("spacing", 6).alias("spacing")).agg((F.round(F.sum("v"), 4) + F.lit(0.0)).alias("total"), (F.round(F.sum(F.col("v") * F.col("i")), 2) + F.lit(0.0)).alias("weighted"))
@@ -141,9 +144,10 @@ SPLICED = (
 
 FILES = (
     "x AS (SELECT u.*, d, h, w FROM u JOIN entire USING (run) JOIN n USING (run)), "
-    "t AS (SELECT s_suppkey AS run FROM supplier WHERE s_suppkey % 5 = 0), "
-    "f AS (SELECT 'imagesTr/' || run || '_0000.nii.gz' AS file, d, h, w, z, y, x, v FROM x WHERE run <= 30 AND run NOT IN (FROM t) "
-    "UNION ALL SELECT 'labelsTr/' || run || '.nii.gz', d, h, w, z, y, x, (v > 0.1)::INT FROM x WHERE run <= 30 AND run NOT IN (FROM t) "
+    "t AS (SELECT s_suppkey AS run FROM supplier WHERE s_acctbal < 2000), "
+    f"g AS (SELECT run FROM x GROUP BY 1 HAVING max(v) > {HIGH}) "
+    ", f AS (SELECT 'imagesTr/' || run || '_0000.nii.gz' AS file, d, h, w, z, y, x, v FROM x WHERE run IN (FROM g) AND run NOT IN (FROM t) "
+    "UNION ALL SELECT 'labelsTr/' || run || '.nii.gz', d, h, w, z, y, x, (v > 0.1)::INT FROM x WHERE run IN (FROM g) AND run NOT IN (FROM t) "
     "UNION ALL SELECT 'imagesTs/' || run || '_0000.nii.gz', d, h, w, z, y, x, v FROM x WHERE run IN (FROM t)) "
 )
 

@@ -70,7 +70,16 @@ def _dilate(spark, d):
 
 
 def _mask(**k):
-    return lambda spark, d: v.mask_grid(spark, 16, **k)
+    return lambda spark, d: v.masked(model.voxels(spark, d), "run", dict.fromkeys("zyx", EXTENT), **k)
+
+
+def _profiles(spark, d):
+    """Every catalogue entry asks for cutoffs of its own, in angstrom; 0 for none."""
+    k, apix = F.col("ord"), F.col("radius") / 4.0
+    low, high = (k % 5) * 10.5, (k % 3) * 20.5
+    pixels = lambda cut: F.when(cut > 0, 16 * apix / cut).otherwise(0.0)
+    jobs = model.catalogue(spark, d).select("ord", pixels(low).alias("low_pass"), F.lit(2.0).alias("low_decay"), pixels(high).alias("high_pass"), (k % 2).cast("double").alias("high_decay"))
+    return v.filter_profiles(jobs, "ord", 16)
 
 
 def _bandpass(spark, d):
@@ -120,7 +129,7 @@ QUERIES = {
     "cosine_mask_lp": _mask(low_pass=5.0, low_decay=2.0),
     "cosine_mask_hp": _mask(high_pass=3.0, high_decay=2.0),
     "cosine_mask_bp": _mask(low_pass=6.0, low_decay=2.0, high_pass=2.0, high_decay=1.0),
-    "filter_profile": lambda spark, d: v.mask_grid(spark, 16, 5.0, 2.0).where("z = 8 AND y = 8").select("x", "w"),
+    "filter_profile": _profiles,
     "bandpass_apply_4cube": _bandpass,
     "tta_average": lambda spark, d: v.flat(v.tta_average(model.samples(spark, d), SIDE, TTA)),
     "overlap_add": _overlap,
@@ -162,13 +171,17 @@ def _axes(how: str) -> str:
 
 AROUND = "(SELECT run, z - a AS z, y - b AS y, x - c AS x, v, a = 0 AND b = 0 AND c = 0 AS own FROM voxels, range(-1, 2) t(a), range(-1, 2) u(b), range(-1, 2) w(c) WHERE z - a BETWEEN 0 AND 7 AND y - b BETWEEN 0 AND 7 AND x - c BETWEEN 0 AND 7)"
 STEP = "(SELECT DISTINCT run, z + a AS z, y + b AS y, x + c AS x FROM {} q, (VALUES (0,0,0),(1,0,0),(-1,0,0),(0,1,0),(0,-1,0),(0,0,1),(0,0,-1)) t(a, b, c) WHERE z + a BETWEEN 0 AND 7 AND y + b BETWEEN 0 AND 7 AND x + c BETWEEN 0 AND 7)"
-GRID = "WITH g AS (SELECT i // 256 AS z, i // 16 % 16 AS y, i % 16 AS x FROM range(0, 4096) t(i)), r AS (SELECT *, sqrt(((z - 8) * (z - 8) + (y - 8) * (y - 8) + (x - 8) * (x - 8))::DOUBLE) AS r FROM g) "
 
 
 def _edge(f: float, d: float) -> str:
     return f"(CASE WHEN r <= {f - d / 2} THEN 1.0::DOUBLE WHEN r >= {f + d / 2} THEN 0.0 ELSE 0.5 + 0.5 * cos(pi() * (r - {f - d / 2}) / {d}) END)"
 
 
+def _under(weight: str) -> str:
+    """Voxels under a mask around the place 4 of each axis."""
+    return with_views(f"+ r AS (SELECT *, sqrt(((z - 4) * (z - 4) + (y - 4) * (y - 4) + (x - 4) * (x - 4))::DOUBLE) AS r FROM voxels) SELECT run, z, y, x, round({weight}, 6) AS w, round({weight} * v, 6) AS v FROM r", "voxels")
+
+
 ORACLE_SQL = {
     "zscore_eps": _flat("SELECT sample_id, i, round((v - avg(v) OVER w) / (stddev_pop(v) OVER w + 1e-6), 6) AS v FROM f WINDOW w AS (PARTITION BY sample_id)"),
     "zscore_guarded": _flat("SELECT sample_id, i, round(CASE WHEN stddev_pop(v) OVER w > 0 THEN (v - avg(v) OVER w) / stddev_pop(v) OVER w ELSE v END, 6) AS v FROM f WINDOW w AS (PARTITION BY sample_id)"),
@@ -205,10 +218,15 @@ ORACLE_SQL = {
     "dilate2": with_views(f"SELECT * FROM {STEP.format(STEP.format('(SELECT run, z, y, x FROM voxels WHERE v > 0.25)'))}", "voxels"),
     "neighbour_sum": with_views(f"SELECT run, z, y, x, round(sum(v), 6) AS v FROM {AROUND} GROUP BY ALL", "voxels"),
     "local_maxima": with_views(f"SELECT run, z, y, x, round(v, 6) AS v FROM (SELECT run, z, y, x, max(v) AS top, max(v) FILTER (own) AS v FROM {AROUND} GROUP BY 1, 2, 3, 4) WHERE v = top", "voxels"),
-    "cosine_mask_lp": GRID + f"SELECT z, y, x, round({_edge(5.0, 2.0)}, 6) AS w FROM r",
-    "cosine_mask_hp": GRID + f"SELECT z, y, x, round(1 - {_edge(3.0, 2.0)}, 6) AS w FROM r",
-    "cosine_mask_bp": GRID + f"SELECT z, y, x, round({_edge(6.0, 2.0)} * (1 - {_edge(2.0, 1.0)}), 6) AS w FROM r",
-    "filter_profile": GRID + f"SELECT x, round({_edge(5.0, 2.0)}, 6) AS w FROM r WHERE z = 8 AND y = 8",
+    "cosine_mask_lp": _under(_edge(5.0, 2.0)),
+    "cosine_mask_hp": _under(f"(1 - {_edge(3.0, 2.0)})"),
+    "cosine_mask_bp": _under(f"{_edge(6.0, 2.0)} * (1 - {_edge(2.0, 1.0)})"),
+    "filter_profile": with_views(
+        "+ j AS (SELECT ord, CASE WHEN ord % 5 = 0 THEN 0 ELSE 16 * (radius / 4) / (ord % 5 * 10.5::DOUBLE) END AS lp, CASE WHEN ord % 3 = 0 THEN 0 ELSE 16 * (radius / 4) / (ord % 3 * 20.5::DOUBLE) END AS hp, ord % 2 AS hd FROM catalogue), "
+        "e AS (SELECT ord, x, lp, hp, hd, abs(x - 8)::DOUBLE AS r, 0.5 + 0.5 * cos(pi() * (abs(x - 8) - (lp - 1)) / 2) AS ls, 0.5 + 0.5 * cos(pi() * (abs(x - 8) - (hp - 0.5))) AS hs FROM j, range(16) t(x)) "
+        "SELECT ord, x::INT AS x, round(CASE WHEN lp = 0 OR r <= lp - 1 THEN 1 WHEN r >= lp + 1 THEN 0 ELSE ls END * CASE WHEN hp = 0 THEN 1 WHEN hd = 0 THEN (r >= hp)::INT WHEN r <= hp - 0.5 THEN 0 WHEN r >= hp + 0.5 THEN 1 ELSE 1 - hs END, 6) AS w FROM e",
+        "catalogue",
+    ),
     "bandpass_apply_4cube": _flat(
         "SELECT sample_id, ((i // 16 + t // 16) % 4) * 16 + ((i // 4 % 4 + t // 4 % 4) % 4) * 4 + (i % 4 + t % 4) % 4 AS i, round(sum(((t * 37) % 64) / 64.0::DOUBLE * v), 5) AS v FROM f, range(0, 64) h(t) GROUP BY ALL"
     ),

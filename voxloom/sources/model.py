@@ -79,6 +79,14 @@ def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "object_name string, label int, is_particle boolean, radius double")
 
 
+def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All entries of object catalogues, of which several may have one label: ord (place in the catalogue), object_name,
+    label, kind, radius."""
+    return table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("ord"), F.col("p_name").alias("object_name"), F.col("p_size").alias("label"), F.col("p_type").alias("kind"), F.col("p_size").cast("double").alias("radius")
+    )
+
+
 def tomograms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A catalogue of tomograms: run, ord, tomo_type, voxel_spacing."""
     return table(spark, sf_dir, "part").select(
@@ -97,6 +105,7 @@ SQL = {
     + ", ".join(f"{rng.uniform_sql(f'pick-{a}', 'event_id')} * 80.0::DOUBLE AS {a}" for a in "xyz")
     + " FROM events",
     "objects": "SELECT * FROM (VALUES ('click', 1, true, 3.0::DOUBLE), ('purchase', 2, true, 6.0::DOUBLE), ('view', 3, false, 20.0::DOUBLE)) t(object_name, label, is_particle, radius)",
+    "catalogue": "SELECT p_partkey AS ord, p_name AS object_name, p_size AS label, p_type AS kind, p_size::DOUBLE AS radius FROM part",
     "tomograms": "SELECT p_brand AS run, p_partkey AS ord, p_type AS tomo_type, p_size::DOUBLE AS voxel_spacing FROM part",
 }
 

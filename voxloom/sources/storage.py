@@ -126,9 +126,14 @@ def load_dataset(spark: SparkSession, path: str, volumes: DataFrame) -> tuple[Da
     """The samples of a saved dataset, each bound to the first of the given volumes (run, d, h, w) that has the size of its
     own one; samples of volumes without such a match are left out."""
     metadata = json.loads(spark.read.text(f"{path}/metadata").first()[0])
+    found = spark.read.parquet(f"{path}/samples").join(bound(spark.read.parquet(f"{path}/volumes"), volumes), "run")
+    return found.withColumn("run", F.col("bound")).drop("bound"), metadata
+
+
+def bound(saved: DataFrame, volumes: DataFrame) -> DataFrame:
+    """run, bound: for each saved volume (run, d, h, w) the first of the given ones of its size; none where there is none."""
     of_size = volumes.groupBy("d", "h", "w").agg(F.min("run").alias("bound"))
-    bound = spark.read.parquet(f"{path}/volumes").join(of_size, ["d", "h", "w"]).select("run", "bound")
-    return spark.read.parquet(f"{path}/samples").join(bound, "run").withColumn("run", F.col("bound")).drop("bound"), metadata
+    return saved.join(of_size, ["d", "h", "w"]).select("run", "bound")
 
 
 #: What tells point sets, and segmentations, of a run apart.
