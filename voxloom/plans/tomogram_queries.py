@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.functions.rng import uniform_sql
-from voxloom.operators import chunks, dataset, fourier, sliding, splicing, volume
-from voxloom.plans.analysis_queries import _folder, _table
+from voxloom.operators import chunks, dataset, flooding, fourier, sliding, splicing, volume
+from voxloom.plans.analysis_queries import LEVEL, _folder, _smooth, _table
 from voxloom.plans.kernel_queries import LABELLED, _set
 from voxloom.sources import arrays, model, nifti
 from voxloom.sources.model import SIDE, SPACING
@@ -97,7 +97,22 @@ def _segmented(spark, d):
     return chunks.flat(scores, "run", SIDE, 6).select("run", "z", "y", "x", (F.col("v") + F.lit(0.0)).alias("score"), (F.col("v") > ABOVE).alias("set"))
 
 
+def _flooded(spark, d):
+    """Every voxel above the level with the number of the maximum that floods it."""
+    marked = flooding.maxima_as_markers(_smooth(spark, d), "run", SIDE, LEVEL)
+    rows = chunks.flat(flooding.flooded(marked, "run", SIDE, LEVEL), "run", SIDE).where("v > 0")
+    return rows.select("run", "z", "y", "x", F.col("v").cast("long").alias("label"))
+
+
+def _flooded_picks(spark, d):
+    """The centroids of the regions as picks in angstrom."""
+    centre = _flooded(spark, d).groupBy("run", "label").agg(*[F.round(F.avg(a) * SPACING, 6).alias(a) for a in "xyz"], F.count(F.lit(1)).alias("voxels"))
+    return centre.select("run", "label", "x", "y", "z", "voxels")
+
+
 QUERIES = {
+    "watershed_flooded": _flooded,
+    "watershed_flooded_picks": _flooded_picks,
     "segment_tomograms": _segmented,
     "array_store": _store,
     "training_set_files": _training_set,
