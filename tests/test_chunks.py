@@ -165,6 +165,16 @@ def test_augmentation_chain(spark):
         augment.pipeline(df, 4, fourier, {"sharpen": 1.0})
 
 
+@pytest.mark.parametrize("alpha", [0.2, 0.5, 1.3, 2.75])
+def test_beta_draws_of_fractional_shapes(spark, alpha):
+    """Against the distribution itself, by its moments and by numpy's draws."""
+    x = np.sort([r.x for r in spark.range(20000).select(augment.beta("b", alpha, "id").alias("x")).collect()])
+    y = np.sort(np.random.default_rng(3).beta(alpha, alpha, 200000))
+    at = np.linspace(0.001, 0.999, 400)
+    assert ((x >= 0) & (x <= 1)).all() and abs(x.mean() - 0.5) < 0.01 and abs(x.var() - 1 / (4 * (2 * alpha + 1))) < 0.005
+    assert np.abs(np.searchsorted(x, at) / len(x) - np.searchsorted(y, at) / len(y)).max() < 0.015
+
+
 def test_beta_draws(spark):
     draws = np.array([r.x for r in spark.range(4000).select(augment.beta("b", 3, "id").alias("x")).collect()])
     assert abs(draws.mean() - 0.5) < 0.02 and abs(draws.var() - 1 / 28) < 0.005  # of Beta(3, 3)

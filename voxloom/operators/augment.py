@@ -23,11 +23,33 @@ def gate(seed: str, name: str, probability: float) -> Column:
     return rng.uniform(f"{seed}-{name}", "sample_id") < probability
 
 
-def beta(seed: str, alpha: int, *keys: Column | str) -> Column:
-    """A draw of Beta(alpha, alpha) for a whole alpha: the median-like order statistic number alpha of 2 * alpha - 1
-    uniform draws, which has just that distribution."""
-    if alpha < 1 or alpha != int(alpha):
-        raise ValueError("alpha must be a whole number, 1 or more")
+#: Pairs that are drawn for a fractional shape. Each is accepted with a probability of 0.78 or more, so that none is has one
+#: below 1e-15; such a draw is null.
+PAIRS = 24
+
+
+def _gamma(seed: str, alpha: float, *keys: Column | str) -> Column:
+    """A draw of Gamma(alpha): an exponential draw for each whole one, and for the rest r an exponential draw times a draw
+    of Beta(r, 1 - r), the first share u^(1/r) / (u^(1/r) + w^(1/(1-r))) of which the sum is at most 1."""
+    whole, rest = int(alpha), alpha - int(alpha)
+    positive = lambda name: 1.0 - rng.uniform(f"{seed}-{name}", *keys)
+    out = sum((-F.log(positive(f"e{k}")) for k in range(whole)), F.lit(0.0))
+    if not rest:
+        return out
+    pairs = F.array(*[F.struct(F.pow(positive(f"u{k}"), F.lit(1 / rest)).alias("u"), F.pow(positive(f"w{k}"), F.lit(1 / (1 - rest))).alias("w")) for k in range(PAIRS)])
+    first = F.get(F.filter(pairs, lambda x: (x["u"] + x["w"] <= 1) & (x["u"] + x["w"] > 0)), F.lit(0))
+    return out - F.log(positive("rest")) * first["u"] / (first["u"] + first["w"])
+
+
+def beta(seed: str, alpha: float, *keys: Column | str) -> Column:
+    """A draw of Beta(alpha, alpha). For a whole alpha the median-like order statistic number alpha of 2 * alpha - 1 uniform
+    draws, which has just that distribution; else the share of one of two draws of Gamma(alpha)."""
+    if not alpha > 0:
+        raise ValueError("alpha must be above 0")
+    if alpha != int(alpha):
+        g, h = _gamma(f"{seed}-g", alpha, *keys), _gamma(f"{seed}-h", alpha, *keys)
+        return g / (g + h)
+    alpha = int(alpha)
     draws = F.array(*[rng.uniform(f"{seed}-{k}", *keys) for k in range(2 * alpha - 1)])
     return F.element_at(F.sort_array(draws), alpha)
 

@@ -49,10 +49,13 @@ def _spectrum(spark, d):
     return fourier.log_spectrum(model.chunks(spark, d), "run", SIDE).withColumn("v", F.round("v", 5))
 
 
-def _beta(spark, d):
-    s = model.samples(spark, d)
-    pairs = volume.mixup_partners(s).withColumn("lam", augment.beta("beta", 2, "sample_id"))
-    return volume.flat(volume.mixup(s, pairs))
+def _beta(alpha):
+    def run(spark, d):
+        s = model.samples(spark, d)
+        pairs = volume.mixup_partners(s).withColumn("lam", augment.beta("beta", alpha, "sample_id"))
+        return volume.flat(volume.mixup(s, pairs))
+
+    return run
 
 
 def _folder(spark, name):
@@ -141,7 +144,8 @@ QUERIES = {
     "response_mask": _response,
     "resize_whole": _resized,
     "log_spectrum": _spectrum,
-    "mixup_beta": _beta,
+    "mixup_beta": _beta(2),
+    "mixup_beta_fractional": _beta(0.2),
     "dataset_roundtrip": _dataset,
     "sets_replaced": _sets,
     "mesh_written": _mesh,
@@ -199,6 +203,20 @@ def fourier_sql(n: int, m: int, source: str = "voxels", out: str = "*") -> str:
     return f"(SELECT run, z, y, j AS x, sum(re * c - im * s) AS v FROM {y} u JOIN {weights} w ON u.x = w.i GROUP BY ALL)"
 
 
+def _positive(name: str) -> str:
+    text = f"'beta-' || s || '-{name}' || '|' || sample_id::VARCHAR"
+    return f"(1 - ('0x' || substr(md5({text}), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
+
+
+#: Two draws of Gamma(0.2) for each sample: exponential ones times the first accepted share of 24 pairs.
+GAMMA = (
+    "gt AS (SELECT q.*, k, " + ", ".join(f"pow({_positive(x).replace(f'-{x}', f'-{x}' + chr(39) + ' || k || ' + chr(39))}, {e}) AS {x}" for x, e in (("u", 1 / 0.2), ("w", 1 / (1 - 0.2)))) + " FROM q, range(24) r(k)), "
+    "ga AS (SELECT sample_id, s, arg_min(u / (u + w), k) AS share FROM gt WHERE u + w <= 1 AND u + w > 0 GROUP BY 1, 2), "
+    f"gc AS (SELECT sample_id, s, -ln({_positive('rest')}) * share AS g FROM ga), "
+    "gb AS (SELECT sample_id, max(g) FILTER (s = 'g') AS g, max(g) FILTER (s = 'h') AS h FROM gc GROUP BY 1)"
+)
+
+
 def spectrum_sql(n: int, source: str = "voxels") -> str:
     """The Fourier transform of n-cubes, one axis after another."""
     turn = f"(SELECT j, i, cos(2 * pi() * j * i / {n}) AS c, -sin(2 * pi() * j * i / {n}) AS s FROM range({n}) a(j), range({n}) b(i))"
@@ -218,6 +236,11 @@ ORACLE_SQL = {
         "SELECT l.sample_id, a.i, round(lam * a.v + (1 - lam) * b.v, 6) AS v FROM l JOIN f a ON a.sample_id = l.sample_id JOIN f b ON b.sample_id = partner_id AND b.i = a.i",
         "samples",
     ),
+    "mixup_beta_fractional": with_views(
+        FLAT + f", {PAIRS}, q AS (SELECT sample_id, unnest(['g', 'h']) AS s, unnest(range(0, 2)) AS own FROM p), {GAMMA}, l AS (SELECT p.sample_id, partner_id, g / (g + h) AS lam FROM p JOIN gb USING (sample_id)) "
+        "SELECT l.sample_id, a.i, round(lam * a.v + (1 - lam) * b.v, 6) AS v FROM l JOIN f a ON a.sample_id = l.sample_id JOIN f b ON b.sample_id = partner_id AND b.i = a.i",
+        "samples",
+    ),
     "dataset_roundtrip": "WITH v AS (SELECT p_partkey AS run, p_size + 8 AS d, p_partkey % 30 + 20 AS h FROM part), b AS (SELECT run, min(run) OVER (PARTITION BY d, h) AS bound FROM v) "
     "SELECT l_orderkey AS sample_id, bound AS run, l_returnflag AS key, 10.0::DOUBLE AS spacing FROM lineitem JOIN b ON b.run = l_partkey",
     "sets_replaced": with_views(
