@@ -100,7 +100,7 @@ def test_recall_of_random_keys_by_kind_and_length():
         for n in (16, 20, 24, 32, 40, 64):
             keys = ["".join(r.choices(kind, k=n)) for _ in range(300)]
             hit = sum(any(k == "random" for *_, k in secrets.scan(f"it is {x}, or so", tokens_of)) for x in keys)
-            assert hit >= 0.88 * len(keys), (kind, n, hit)
+            assert hit >= 0.9 * len(keys), (kind, n, hit)
 
 
 def test_what_is_no_random_key():
