@@ -234,7 +234,7 @@ def test_a_failing_run_stays_alone(spark):
 
     got = {r.run: r for r in jobs.each_run(rows, "run", change, "run long, y double").collect()}
     assert got[4].error == "ValueError: four" and got[4].y is None and got[5].y == 4.0 and got[5].error is None
-    tasks = jobs.run_tasks(spark.range(20).select(F.col("id").alias("task_id")), lambda: 1, lambda s, r: s, 3).collect()
+    tasks = jobs.run_tasks(spark.range(20).select(F.col("id").alias("task_id")), lambda: 1, lambda s, rows: [s] * len(rows), 3).collect()
     assert [r.task_id for r in tasks] == list(range(20))
 
 

@@ -1,6 +1,7 @@
 """Dense kernels, fits, jobs and storage against numpy."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,10 +109,68 @@ def test_stiff_surfaces_are_flatter(spark):
 
 def test_failing_tasks_stay_alone(spark):
     tasks = spark.range(40).select(F.col("id").alias("task_id"))
-    got = {r.task_id: r for r in jobs.run_tasks(tasks, lambda: 10, lambda s, r: s // (r.task_id - 7), 3).collect()}
-    assert len(got) == 40 and [i for i, r in got.items() if not r.success] == [7] and "ZeroDivisionError" in got[7].error
+
+    def work(state, rows):
+        if (rows["task_id"] == 7).any():
+            raise ZeroDivisionError("seven")
+        return state // (rows["task_id"] - 7)
+
+    got = {r.task_id: r for r in jobs.run_tasks(tasks, lambda: 10, work, 3).collect()}
+    assert len(got) == 40 and [i for i, r in got.items() if not r.success] == [7] and got[7].error == "ZeroDivisionError: seven" and got[7].result is None
+    assert all(got[i].result == 10 // (i - 7) and got[i].error is None for i in got if i != 7)
     broken = jobs.run_tasks(tasks, lambda: 1 / 0, lambda s, r: 1, 2)
     assert broken.where("success").count() == 0 and broken.count() == 40
+    assert jobs.run_tasks(tasks.where("task_id < 0"), lambda: 1 / 0, work, 2).count() == 0
+
+
+@pytest.mark.parametrize("bad", [[], [0], [999], [3, 4, 500], list(range(0, 1000, 2)), list(range(1000))])
+def test_bad_rows_are_found_by_halves(bad):
+    calls = []
+
+    def work(rows):
+        calls.append(len(rows))
+        if rows["x"].isin(bad).any():
+            raise KeyError(int(rows["x"].iloc[0]))
+        return rows["x"] * 2.0
+
+    done = jobs.alone(work, pd.DataFrame({"x": range(1000)}))
+    assert list(np.flatnonzero(done["error"].notna())) == bad
+    assert all(done["error"][i] == f"KeyError: {i}" and np.isnan(done["result"][i]) for i in bad)
+    assert all(done["result"][i] == 2 * i for i in set(range(1000)) - set(bad))
+    assert len(calls) <= 1 + 2 * len(bad) * 10
+
+
+def test_versions_are_seen_as_a_whole_or_not_at_all(spark, tmp_path):
+    """A second table that fails leaves the version before in force, for every reader."""
+    path, place = f"file://{tmp_path}/mesh", tmp_path / "mesh"
+    rows = lambda n: spark.range(n).select(F.lit(1).alias("run"), "id")
+    assert storage.latest(spark, path) is None
+    assert storage.write_mesh(rows(4), rows(2), path).first()[:] == (1, 4, 2)
+    first = storage.latest(spark, path)
+    broken = rows(3).withColumn("id", F.when(F.col("id") == 2, F.raise_error(F.lit("lost")).cast("long")).otherwise(F.col("id")))
+    with pytest.raises(Exception, match="lost"):
+        storage.write_mesh(rows(9), broken, path)
+    assert storage.latest(spark, path) == first and spark.read.parquet(f"{first}/vertices").count() == 4
+    before = spark.read.parquet(f"{first}/faces")
+    assert storage.write_mesh(rows(5), rows(3), path).first()[:] == (1, 5, 3)
+    assert storage.latest(spark, path) != first and before.count() == 2  # a reader of the one before goes on
+    storage.write_mesh(rows(6), rows(1), path)
+    assert len(storage.versions(spark, path)) == 2 and not (place / first.rsplit("/", 1)[1]).exists()
+
+
+def test_an_unfinished_cache_is_built_again(spark, tmp_path):
+    path = f"file://{tmp_path}/cache"
+    samples = spark.createDataFrame([(0, 1), (1, 2)], "sample_id long, molecule_id int")
+    with pytest.raises(Exception, match="lost"):
+        storage.write_cache(samples.withColumn("v", F.when(F.col("sample_id") == 1, F.raise_error(F.lit("lost")).cast("double"))), path)
+    (tmp_path / "cache").mkdir(exist_ok=True)
+    assert storage.cache_folder(spark, path) is None
+    assert storage.cached(spark, path, lambda: samples).count() == 2
+    assert storage.cached(spark, path, lambda: 1 / 0).count() == 2
+    samples.write.parquet(f"{path}-old")  # as caches were before they had versions
+    assert storage.cached(spark, f"{path}-old", lambda: 1 / 0).count() == 2
+    with pytest.raises(LookupError):
+        storage.load_dataset(spark, f"{path}-none", samples)
 
 
 def test_storage(spark, tmp_path):

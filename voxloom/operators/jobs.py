@@ -6,6 +6,7 @@ import time
 from collections.abc import Callable
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -17,29 +18,45 @@ from voxloom.operators import chunks
 RESULT = "task_id long, success boolean, worker int, seconds double, error string, result double"
 
 
-def run_tasks(tasks: DataFrame, init: Callable[[], Any], work: Callable[[Any, Any], float], workers: int) -> DataFrame:
-    """work(state, row) for every row of tasks (task_id, ...), the state made once for each partition; sorted by task.
+def alone(work: Callable[[pd.DataFrame], Any], rows: pd.DataFrame) -> pd.DataFrame:
+    """result and error of work(rows), which gives one number for each row. Where it raises, the rows are halved until those
+    that fail are alone: a bad row costs about twice as many calls as the logarithm of their number, and the others stay
+    together."""
+    result, error = np.full(len(rows), np.nan), np.full(len(rows), None, object)
+    left = [(0, len(rows))] if len(rows) else []
+    while left:
+        a, b = left.pop()
+        try:
+            result[a:b] = np.asarray(work(rows.iloc[a:b]), dtype=float)
+        except Exception as e:
+            if b - a > 1:
+                left += [((a + b) // 2, b), (a, (a + b) // 2)]
+            else:
+                error[a] = f"{type(e).__name__}: {e}"
+    return pd.DataFrame({"result": result, "error": error})
+
+
+def run_tasks(tasks: DataFrame, init: Callable[[], Any], work: Callable[[Any, pd.DataFrame], Any], workers: int) -> DataFrame:
+    """work(state, rows) for the tasks (task_id, ...), a batch of rows at a time, with one number for each; sorted by task.
+    The state is made once for each partition.
 
-    An exception makes a failed row and the others go on; so does one in init, for all tasks of the partition."""
+    An exception in work fails the rows that raise it when alone, and no others; one in init fails all tasks of the
+    partition. seconds are a row's share of its batch. A failed row's result is null, and so is a result that is no number."""
     def run(batches):
         state = broken = None
         try:
             state = init()
         except Exception as e:
             broken = f"{type(e).__name__}: {e}"
-        for pdf in batches:
-            rows = []
-            for row in pdf.itertuples(index=False):
-                began, error, result = time.perf_counter(), broken, None
-                if not broken:
-                    try:
-                        result = float(work(state, row))
-                    except Exception as e:
-                        error = f"{type(e).__name__}: {e}"
-                rows.append((row.task_id, error is None, TaskContext.get().partitionId(), time.perf_counter() - began, error, result))
-            yield pd.DataFrame(rows, columns=["task_id", "success", "worker", "seconds", "error", "result"])
-
-    return tasks.repartition(workers, "task_id").mapInPandas(run, RESULT).orderBy("task_id")
+        for rows in batches:
+            began = time.perf_counter()
+            done = pd.DataFrame({"result": np.nan, "error": broken}, index=range(len(rows))) if broken else alone(lambda some: work(state, some), rows)
+            share = (time.perf_counter() - began) / max(len(rows), 1)
+            done = done.assign(task_id=rows["task_id"].to_numpy(), success=done["error"].isna(), worker=TaskContext.get().partitionId(), seconds=share)
+            yield done[["task_id", "success", "worker", "seconds", "error", "result"]]
+
+    done = tasks.repartition(workers, "task_id").mapInPandas(run, RESULT)
+    return done.withColumn("result", F.nanvl("result", F.lit(None).cast("double"))).orderBy("task_id")
 
 
 def each_run(rows: DataFrame, key: str, change: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:

@@ -6,9 +6,11 @@ import io
 import json
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +42,60 @@ def removed(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def held(df: DataFrame):
+    """The rows, kept by the executors (memory first, then their disks) from their first use to the end of the block, so
+    that further uses scan nothing. What a lost executor kept is computed again."""
+    df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield df
+    finally:
+        df.unpersist()
+
+
+#: Below a path that commit() writes to: an empty file for each version, named by its number and folder.
+VERSIONS = "_versions"
+
+
+def _files(spark: SparkSession, path: str) -> tuple:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def versions(spark: SparkSession, path: str) -> list[str]:
+    """The names of the versions that were committed, the newest last."""
+    files, place = _files(spark, f"{path}/{VERSIONS}")
+    return sorted(f.getPath().getName() for f in files.listStatus(place)) if files.exists(place) else []
+
+
+def commit(path: str, tables: dict[str, DataFrame], keep: int = 2) -> str:
+    """Write the tables as one version of what is stored at a path, and return the version's folder.
+
+    All tables are written to a folder of their own, then an empty file that names it is put, which needs no rename. A
+    reader sees all of a version or the one before, also if a write fails or the job is killed. Of writers at the same time,
+    the one with the later name wins. Versions before the last `keep` are removed, so a reader has until the next commit but
+    one; what a failed run left has no name and is not read. Versions are few: they are listed by the driver."""
+    spark = next(iter(tables.values())).sparkSession
+    folder = uuid.uuid4().hex
+    for name, df in tables.items():
+        df.write.parquet(f"{path}/{folder}/{name}")
+    before = versions(spark, path)
+    number = int(before[-1].split("-")[0]) + 1 if before else 0
+    files, place = _files(spark, f"{path}/{VERSIONS}/{number:09d}-{folder}")
+    files.create(place, False).close()
+    for old in versions(spark, path)[:-keep]:
+        for gone in (f"{path}/{VERSIONS}/{old}", f"{path}/{old.split('-')[1]}"):
+            files, place = _files(spark, gone)
+            files.delete(place, True)
+    return f"{path}/{folder}"
+
+
+def latest(spark: SparkSession, path: str) -> str | None:
+    """The folder of the newest version at a path; None where there is none."""
+    found = versions(spark, path)
+    return f"{path}/{found[-1].split('-')[1]}" if found else None
+
+
 def project(spark: SparkSession, path: str) -> DataFrame:
     """The pickable objects of a project file: name, label, is_particle, radius, and what else they have."""
     return spark.read.json(path, multiLine=True).select(F.explode("pickable_objects").alias("o")).select("o.*")
@@ -64,14 +120,25 @@ def write_volumes(volumes: DataFrame, path: str) -> None:
 
 
 def write_cache(samples: DataFrame, path: str) -> None:
-    """The sample cache; an empty set of samples is not written."""
+    """The sample cache, which replaces the one before as a whole; an empty set of samples is not written."""
     if samples.limit(1).count():
-        samples.write.mode("overwrite").parquet(path)
+        commit(path, {"samples": samples})
+
+
+def cache_folder(spark: SparkSession, path: str) -> str | None:
+    """Where the cache's files are: in its newest version, or, in older caches, in the folder itself. None without a cache,
+    or with one that was never finished."""
+    found = latest(spark, path)
+    if found:
+        return f"{found}/samples"
+    files, place = _files(spark, path)
+    plain = files.exists(place) and any(f.getPath().getName().endswith(".parquet") for f in files.listStatus(place))
+    return path if plain else None
 
 
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
     """The cached samples. Older caches lack is_background, which is then false, or key, which is then the class."""
-    df = spark.read.parquet(path)
+    df = spark.read.parquet(cache_folder(spark, path) or path)
     if "is_background" not in df.columns:
         df = df.withColumn("is_background", F.lit(False))
     return df if "key" in df.columns else df.withColumn("key", F.col("molecule_id").cast("string"))
@@ -82,11 +149,10 @@ def cached(spark: SparkSession, path: str | None, build, most: int | None = None
     if path is None:
         df = build()
     else:
-        place = spark._jvm.org.apache.hadoop.fs.Path(path)
-        if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        if not cache_folder(spark, path):
             built = build()
             write_cache(built, path)
-            if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+            if not cache_folder(spark, path):
                 return built
         df = read_cache(spark, path)
     return df if most is None else df.orderBy("sample_id").limit(most)
@@ -115,19 +181,21 @@ def the_only(rows: DataFrame, what: str) -> DataFrame:
 
 
 def save_dataset(samples: DataFrame, volumes: DataFrame, metadata: dict, path: str) -> None:
-    """A dataset for later: its metadata, its samples (places, or the cubes as well) and the sizes of its volumes."""
-    spark = samples.sparkSession
-    spark.createDataFrame([(json.dumps(metadata),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/metadata")
-    samples.write.mode("overwrite").parquet(f"{path}/samples")
-    volumes.select("run", "d", "h", "w").write.mode("overwrite").parquet(f"{path}/volumes")
+    """A dataset for later: its metadata, its samples (places, or the cubes as well) and the sizes of its volumes, which
+    replace a dataset that was there as one."""
+    about = samples.sparkSession.createDataFrame([(json.dumps(metadata),)], "value string").coalesce(1)
+    commit(path, {"metadata": about, "samples": samples, "volumes": volumes.select("run", "d", "h", "w")})
 
 
 def load_dataset(spark: SparkSession, path: str, volumes: DataFrame) -> tuple[DataFrame, dict]:
     """The samples of a saved dataset, each bound to the first of the given volumes (run, d, h, w) that has the size of its
     own one; samples of volumes without such a match are left out."""
-    metadata = json.loads(spark.read.text(f"{path}/metadata").first()[0])
-    found = spark.read.parquet(f"{path}/samples").join(bound(spark.read.parquet(f"{path}/volumes"), volumes), "run")
-    return found.withColumn("run", F.col("bound")).drop("bound"), metadata
+    found = latest(spark, path)
+    if not found:
+        raise LookupError(f"no dataset at {path}")
+    metadata = json.loads(spark.read.parquet(f"{found}/metadata").first()[0])
+    samples = spark.read.parquet(f"{found}/samples").join(bound(spark.read.parquet(f"{found}/volumes"), volumes), "run")
+    return samples.withColumn("run", F.col("bound")).drop("bound"), metadata
 
 
 def bound(saved: DataFrame, volumes: DataFrame) -> DataFrame:
@@ -154,9 +222,7 @@ def read_sets(spark: SparkSession, path: str, **keys: str) -> DataFrame:
 
 
 def write_mesh(vertices: DataFrame, faces: DataFrame, path: str) -> DataFrame:
-    """Both tables of the meshes, and how many vertices and faces each run has, from what was written."""
-    vertices.write.mode("overwrite").parquet(f"{path}/vertices")
-    faces.write.mode("overwrite").parquet(f"{path}/faces")
-    spark = vertices.sparkSession
-    count = lambda name: spark.read.parquet(f"{path}/{name}").groupBy("run").agg(F.count(F.lit(1)).alias(name))
+    """Both tables of the meshes as one version, and how many vertices and faces each run has, from what was written."""
+    folder, spark = commit(path, {"vertices": vertices, "faces": faces}), vertices.sparkSession
+    count = lambda name: spark.read.parquet(f"{folder}/{name}").groupBy("run").agg(F.count(F.lit(1)).alias(name))
     return count("vertices").join(count("faces"), "run", "full")
