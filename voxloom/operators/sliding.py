@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
 from itertools import product
 
 import numpy as np
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from voxloom.operators import chunks as c
 from voxloom.operators.splicing import PART, cut_boxes, filled
+from voxloom.sources import storage
 
 Predictor = Callable[[np.ndarray], np.ndarray]
 #: Cubes that a predictor is given at once.
@@ -166,7 +168,24 @@ def moments(volumes: DataFrame, key: str, edge: int) -> DataFrame:
     return merged.select(key, "n", mean.alias("mean"), F.sqrt((F.col("within") + between) / F.col("n")).alias("sd"))
 
 
+def scaled(volumes: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """Chunks of (v - mean) / sd, by the moments that are known of their volume; null voxels where the deviation is 0."""
+    v = F.transform("v", lambda x: (x - F.col("mean")) / F.nullif(F.col("sd"), F.lit(0.0)))
+    return volumes.join(known, key).withColumn("v", v).select(key, "cz", "cy", "cx", "v")
+
+
 def normalised(volumes: DataFrame, key: str, edge: int) -> DataFrame:
     """Chunks of (v - mean) / sd of their volume; null voxels where the deviation is 0."""
-    scaled = F.transform("v", lambda x: (x - F.col("mean")) / F.nullif(F.col("sd"), F.lit(0.0)))
-    return volumes.join(moments(volumes, key, edge), key).withColumn("v", scaled).select(key, "cz", "cy", "cx", "v")
+    return scaled(volumes, moments(volumes, key, edge), key)
+
+
+@contextmanager
+def loaded(volumes: DataFrame, key: str, edge: int):
+    """normalised() volumes for several uses within a block. Their moments are written and the volumes are scanned once more
+    at the first use; from then on executors hold the normalised chunks, and further uses scan nothing."""
+    known = storage.written(moments(volumes, key, edge), "moments")
+    try:
+        with storage.held(scaled(volumes, known, key)) as ready:
+            yield ready
+    finally:
+        storage.removed(known)

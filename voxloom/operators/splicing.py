@@ -114,6 +114,29 @@ def random_crops(wanted: DataFrame, volumes: DataFrame, sizes: DataFrame, edge:
     return cut, of_small.join(cubes.select("run", F.col("v.v").alias("v")), "run").select("id", "v")
 
 
+def cropped(wanted: DataFrame, volumes: DataFrame, edge: int, box: int, seed: str = "crop") -> DataFrame:
+    """id and v, a random cube of box voxels a side for each (id, run) of wanted, cut out of the run's chunks. A volume that
+    is no larger than the box along some axis is resized to it as a whole. Runs with missing voxels, or none, have no crop.
+    Ids are unique; the place is a function of the seed and the id."""
+    crops, whole = random_crops(wanted, volumes, c.extents(volumes, "run", edge).where("whole"), edge, box, seed)
+
+    def together(batches):
+        for batch in batches:
+            lists = batch.column("parts")
+            ends = np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths()))])
+            fields = dict(zip([*PART, "v"], lists.flatten().flatten(), strict=True))
+            numbers = [np.asarray(fields[n]).tolist() for n in PART]
+            cut = np.concatenate([[0], np.cumsum(np.asarray(fields["v"].value_lengths()))])
+            values = np.asarray(fields["v"].flatten(), dtype=float)
+            cubes = [filled(([*[x[i] for x in numbers], values[cut[i] : cut[i + 1]]] for i in range(a, b)), (box,) * 3) for a, b in zip(ends, ends[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), c._ragged(cubes)], ["id", "v"])
+
+    kind = wanted.schema["id"].dataType.simpleString()
+    fields = [F.col(f"part.{n}").alias(n) for n in (*PART, "v")]
+    held = crops.groupBy("id").agg(F.collect_list(F.struct(*fields)).alias("parts"))
+    return held.mapInArrow(together, f"id {kind}, v array<double>").unionByName(whole)
+
+
 def spliced_samples(draws: DataFrame, stats: DataFrame, labels: DataFrame, synthetic: DataFrame, real: DataFrame, edge: int, box: int, sigma: float, seed: str = "splice") -> DataFrame:
     """draw, kind, component_run, component, run and v, a cube of box voxels a side.
 

@@ -7,11 +7,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.functions.rng import uniform_sql
-from voxloom.operators import chunks, dataset, flooding, fourier, sliding, splicing, volume
+from voxloom.operators import chunks, dataset, flooding, fourier, slabs, sliding, splicing, volume
 from voxloom.plans.analysis_queries import LEVEL, _folder, _smooth, _table
 from voxloom.plans.kernel_queries import LABELLED, _set
-from voxloom.sources import arrays, model, nifti
-from voxloom.sources.model import SIDE, SPACING
+from voxloom.plans.spatial_queries import _plane
+from voxloom.sources import arrays, model, nifti, storage
+from voxloom.sources.model import SIDE, SPACING, with_views
 
 #: A volume has a mask if one of its voxels is above this.
 HIGH = 0.35
@@ -110,7 +111,44 @@ def _flooded_picks(spark, d):
     return centre.select("run", "label", "x", "y", "z", "voxels")
 
 
+#: Rows and columns of a slab's surfaces, and control points along an edge; voxels along an edge of a crop.
+LATTICE, KNOTS, CROP = (3, 4), 4, 6
+
+
+def _segmented_slab(method, i=0):
+    """Surfaces of the largest body above a level, or what they rest on."""
+    def run(spark, d):
+        found = slabs.slab_of_segmentation(_set(spark, d), SIDE, SPACING, 1, method, *LATTICE, KNOTS)[i]
+        return found if i else found.select("run", "layer", "row", "col", *[F.round(a, 3).alias(a) for a in "xyz"])
+
+    return run
+
+
+def _crops(spark, d):
+    """Two random cubes out of each volume."""
+    volumes = model.chunks(spark, d)
+    twice = volumes.select("run").distinct().select("run", F.explode(F.array(F.lit(0), F.lit(1))).alias("k")).select((F.col("run") * 2 + F.col("k")).alias("id"), "run")
+    cubes = splicing.cropped(twice, volumes, SIDE, CROP)
+    return cubes.select("id", F.posexplode("v").alias("i", "v")).select("id", "i", (F.round("v", 6) + F.lit(0.0)).alias("v"))
+
+
+def _loaded(spark, d):
+    """Volumes that are loaded once, for their spread by class of voxel and for their extremes."""
+    with sliding.loaded(model.chunks(spark, d), "run", SIDE) as ready:
+        voxel = ready.select("run", F.explode("v").alias("v"))
+        spread = voxel.groupBy("run").agg(F.count(F.lit(1)).alias("voxels"), F.sum((F.col("v") > 1).cast("int")).alias("high"))
+        ends = ready.groupBy("run").agg(F.round(F.min(F.array_min("v")), 6).alias("least"), F.round(F.max(F.array_max("v")), 6).alias("most"))
+        return storage.written(spread.join(ends, "run"), "loaded")
+
+
 QUERIES = {
+    "segmentation_slab_coupled": _segmented_slab("coupled"),
+    "segmentation_slab_spline": _segmented_slab("spline"),
+    "segmentation_slab_parallel": _segmented_slab("parallel"),
+    "segmentation_slab_overlap": _segmented_slab("overlap"),
+    "segmentation_slab_report": _segmented_slab("parallel", 1),
+    "random_crop_cut": _crops,
+    "loaded_volumes": _loaded,
     "watershed_flooded": _flooded,
     "watershed_flooded_picks": _flooded_picks,
     "segment_tomograms": _segmented,
@@ -176,7 +214,32 @@ SEEN = (
     "FROM (SELECT DISTINCT d, h, w FROM n JOIN entire USING (run)) s JOIN p pz ON pz.n = s.d JOIN p py ON py.n = s.h JOIN p px ON px.n = s.w JOIN k ON k.z = pz.i AND k.y = py.i AND k.x = px.i GROUP BY ALL) "
 )
 
+#: The ends of the columns of each run's largest component, and what a slab is fitted to, in parts of the extent of 8 voxels.
+ENDS = (
+    LABELLED + ", best AS (SELECT run, component FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY area DESC, component) AS k FROM (SELECT run, component, count(*) AS area FROM c GROUP BY 1, 2)) WHERE k = 1), "
+    "ends AS (SELECT run, y, x, min(z) AS low, max(z) AS high FROM c JOIN best USING (run, component) GROUP BY ALL) "
+)
+SIDES = (
+    ", sides AS (SELECT run, layer, x / 8.0::DOUBLE AS x, y / 8.0::DOUBLE AS y, CASE WHEN layer = 'top' THEN high ELSE low END / 8.0::DOUBLE AS z FROM ends, (SELECT unnest(['top', 'bottom']) AS layer)), "
+    "means AS (SELECT run, layer, count(*) AS n, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM sides GROUP BY 1, 2), "
+    "centred AS (SELECT run, x - mx AS x, y - my AS y, z - mz AS z FROM sides JOIN means USING (run, layer) WHERE n >= 3) "
+)
+
 ORACLE_SQL = {
+    "segmentation_slab_parallel": ENDS + SIDES + "SELECT run, layer, r AS \"row\", k AS col, round(k * 80.0::DOUBLE / 3, 3) AS x, round(r * 80.0::DOUBLE / 2, 3) AS y, "
+    f"round((a * k / 3.0::DOUBLE + b * r / 2.0::DOUBLE + mz - a * mx - b * my) * 80, 3) AS z FROM means JOIN {_plane('centred')} USING (run), range(0, 3) t(r), range(0, 4) u(k)",
+    "segmentation_slab_report": ENDS + "SELECT run, count(e.run) AS columns, CASE WHEN count(e.run) = 0 THEN 'nothing has the label' WHEN count(e.run) < 3 THEN 'fewer than three columns' END AS error "
+    "FROM (SELECT DISTINCT run FROM voxels) LEFT JOIN ends e USING (run) GROUP BY 1",
+    "random_crop_cut": with_views(
+        f"+ p AS (SELECT run * 2 + k AS id, run, {', '.join(f'floor({uniform_sql(f"crop-{a}", "run * 2 + k")} * 3)::INT AS {a}0' for a in 'zyx')} FROM (SELECT DISTINCT run FROM voxels), range(2) t(k)) "
+        "SELECT id, ((z - z0) * 6 + y - y0) * 6 + x - x0 AS i, round(v, 6) + 0.0::DOUBLE AS v FROM p JOIN voxels USING (run) WHERE z - z0 BETWEEN 0 AND 5 AND y - y0 BETWEEN 0 AND 5 AND x - x0 BETWEEN 0 AND 5",
+        "voxels",
+    ),
+    "loaded_volumes": with_views(
+        "+ s AS (SELECT run, (v - avg(v) OVER w) / nullif(stddev_pop(v) OVER w, 0) AS v FROM voxels WINDOW w AS (PARTITION BY run)) "
+        "SELECT run, count(*) AS voxels, coalesce(sum((v > 1)::INT), 0)::BIGINT AS high, round(min(v), 6) AS least, round(max(v), 6) AS most FROM s GROUP BY 1",
+        "voxels",
+    ),
     "segment_tomograms": f"WITH {OBLONG}, {SEEN}, b AS (SELECT run, z, y, x, (v - avg(v) OVER q) / stddev_pop(v) OVER q AS v FROM u WINDOW q AS (PARTITION BY run)) "
     f'SELECT run, z, y, x, round(v * t, 6) + 0.0::DOUBLE AS score, round(v * t, 6) > {ABOVE} AS "set" FROM b JOIN entire USING (run) JOIN n USING (run) JOIN f USING (d, h, w, z, y, x)',
     "array_store": f"WITH {OBLONG}, y AS (SELECT run, v, i + c * 64 AS place FROM o JOIN entire USING (run)), z AS (SELECT run, 0 AS level, v, place FROM y UNION ALL SELECT run, 1, v / 2, place FROM y WHERE run % 3 = 0) "
