@@ -306,6 +306,54 @@ def test_license_spans(spark, docs):
     assert [x for x, _ in got[n + 1]] == ["MIT-text"] and [x for x, _ in got[n + 3]] == ["Apache-2.0-notice"]
 
 
+def counted(text: str) -> Counter:
+    row, bucket = toxicity.features([text])
+    assert (row == 0).all()
+    return Counter(bucket.tolist())
+
+
+def test_toxicity_features_are_words_their_starts_pairs_and_skips():
+    """Features of small texts, told apart by what is left of them, make up those of any text."""
+    r = random.Random(4)
+    vocabulary = ["".join(r.choice("abcdefgh") for _ in range(r.randint(1, 9))) for _ in range(40)] + ["straße", "naïve", "日本語の文章", "x1"]
+    alone = {w: counted(w) for w in vocabulary}
+    assert all(sum(c.values()) == 3 for c in alone.values())  # the word, four characters, five characters
+    assert counted("abcdx") & counted("abcdy") == Counter([b for b in counted("abcdx") if b in counted("abcdz")])
+    assert sum((counted("abcdexx") & counted("abcdeyy")).values()) == 2 and sum((counted("abcdx") & counted("abcdy")).values()) == 1
+
+    def pair(gap: int, x: str, y: str, filler: str = "ff") -> int:
+        """The bucket of x with y, gap - 1 words between them: what other features don't account for."""
+        between = [f"{filler}{k}" for k in range(gap - 1)]
+        words = [x, *between, y]
+        left = counted(" ".join(words))
+        for w in words:
+            left -= counted(w)
+        for g in range(1, gap):
+            for i in range(len(words) - g):
+                left -= Counter([pair(g, words[i], words[i + g])])
+        (bucket, times), = left.items()
+        assert times == 1
+        return bucket
+
+    for _ in range(20):
+        x, y = r.sample(vocabulary, 2)
+        found = [pair(g, a, b) for g in (1, 2, 3) for a, b in ((x, y), (y, x))]
+        assert len(set(found)) == 6 and pair(3, x, y, "other") == found[4]
+    for n in (0, 1, 2, 3, 4, 30):
+        words = [r.choice(vocabulary) for _ in range(n)]
+        want = Counter()
+        for w in words:
+            want += alone[w]
+        for g in (1, 2, 3):
+            want += Counter(pair(g, x, y) for x, y in zip(words, words[g:]))
+        assert counted("  ".join(w.upper() if w.isascii() else w for w in words) + "!?") == want
+    texts = [" ".join(r.choices(vocabulary, k=k)) for k in (5, 0, 1, 7)] + [None, "", "... --"]
+    row, bucket = toxicity.features(texts)
+    for i, t in enumerate(texts):  # no feature reaches from one text into the next
+        assert Counter(bucket[row == i].tolist()) == (counted(t) if t else Counter())
+    assert len({b for i in range(20_000) for b in (int(toxicity.features([f"{i}"])[1][0]),)}) > 19_700  # 20,000 words in 2^20 buckets
+
+
 def test_toxicity_on_held_out_rows(spark, docs):
     random.seed(4)
     plain, bad = [f"word{i}" for i in range(200)], ["idiot", "scum", "clown", "trash"]
