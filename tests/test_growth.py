@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from voxloom.operators import dataset
+from voxloom.operators import dataset, kernels
 
 
 def plan(df, kind="executedPlan"):
@@ -34,3 +34,11 @@ def test_spheres_of_volumes_that_are_no_whole_chunks(spark):
         sd = (sum((x - mean) ** 2 for x in v) / len(v)) ** 0.5
         got = [found[run, z, y, x] for z in range(20) for y in range(20) for x in range(20)]
         assert max(abs(g - (x - mean) / sd) for g, x in zip(got, v, strict=True)) < 2e-6
+
+
+def test_sums_of_a_fit_travel_as_arrays(spark):
+    rows = [(r, "top" if i % 2 else "bottom", float(i % 7), float(i * 3 % 11), float(i)) for r in (1, 2) for i in range(40)] + [(3, "top", 1.0, 1.0, 1.0)]
+    fits = kernels.spline_fit(spark.createDataFrame(rows, "run long, layer string, x double, y double, z double"), 10.0, 11.0)
+    assert "Generate" not in plan(fits, "optimizedPlan")  # no row for each product
+    assert {r.run: (r.n, r.error) for r in fits.collect()} == {1: (40, None), 2: (40, None), 3: (1, "fewer than three points")}
+    assert kernels.spline_lattice(fits, 2, 3).count() == 2 * 2 * 2 * 3

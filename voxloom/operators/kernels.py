@@ -7,7 +7,6 @@ import math
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -139,66 +138,83 @@ def spline_fit(points: DataFrame, width: float, height: float, knots: int = 5, s
     """One surface for each run, with an offset for each of its layers: run, control (knots * knots), top, bottom, n, error.
 
     The surface makes the root of the squared errors, plus stiffness times the bending of its control points, least, heights
-    counted in units of depth; without stiffness it is the surface of least squares. The points of a run, dealt over a few tasks, are reduced to sums of products there; these are added up by run and
-    place, and a small system is solved for each run. A run with fewer than three points has an error instead. points: run, layer, x, y, z."""
+    counted in units of depth; without stiffness it is the surface of least squares. The points of a run, dealt over a few tasks, are reduced to sums of products there: one
+    array for each run and task, PARTS at most, which meet where a small system is solved for each run. A run with fewer than three points has an error instead. points: run, layer, x, y, z."""
     k = knots * knots
     m = k + 2
+    upper = np.triu_indices(m + 1)  # of products of the columns and z
 
     def products(batches):
         """Rows come sorted by run; one row of sums leaves for each run."""
         at, held = None, 0.0
-        for pdf in batches:
+        for batch in batches:
+            run, x, y, z = (np.asarray(batch.column(c)) for c in ("run", "x", "y", "z"))
+            on = [np.asarray(batch.column("layer").to_pandas() == name)[:, None] for name in ("top", "bottom")]
+            x, y = basis(x / width, knots), basis(y / height, knots)
+            a = np.concatenate([(y[:, :, None] * x[:, None, :]).reshape(len(z), k), *on, z[:, None] / depth], 1).astype(float)
+            begin = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]])) if len(run) else []
             rows = []
-            for run, p in pdf.groupby("run", sort=True):
-                x, y = basis(p["x"].to_numpy() / width, knots), basis(p["y"].to_numpy() / height, knots)
-                a = np.concatenate([(y[:, :, None] * x[:, None, :]).reshape(len(p), k), (p["layer"] == "top").to_numpy()[:, None], (p["layer"] == "bottom").to_numpy()[:, None]], 1).astype(float)
-                z = p["z"].to_numpy() / depth
-                sums = np.concatenate([(a.T @ a).ravel(), a.T @ z, [z @ z, len(p)]])
-                if at is not None and run != at:
+            for i, j in zip(begin, [*begin[1:], len(run)], strict=True):
+                sums = np.append((a[i:j].T @ a[i:j])[upper], j - i)
+                if at is not None and run[i] != at:
                     rows.append((at, held))
                     held = 0.0
-                at, held = run, held + sums
-            yield pd.DataFrame(rows, columns=["run", "sums"])
+                at, held = run[i], held + sums
+            yield given(rows)
         if at is not None:
-            yield pd.DataFrame([(at, held)], columns=["run", "sums"])
+            yield given([(at, held)])
+
+    def given(rows: list) -> pa.RecordBatch:
+        sums = np.array([x for _, x in rows]).reshape(len(rows), len(upper[0]) + 1)
+        return pa.RecordBatch.from_arrays([pa.array([r for r, _ in rows], pa.int64()), chunks._lists(sums)], ["run", "sums"])
 
     def solve(batches):
-        for pdf in batches:
-            rows = []
-            for run, sums in zip(pdf["run"], pdf["sums"], strict=True):
-                s = np.array([x["value"] for x in sorted(sums, key=lambda x: x["at"])])
-                n = int(s[-1])
-                if n < 3:
-                    rows.append((run, None, None, None, n, "fewer than three points"))
+        penalty, gauge = np.zeros((m, m)), np.zeros(m)
+        penalty[:k, :k] = stiffness * bending(knots)
+        gauge[:k] = 1  # the surface's mean is 0, the offsets carry the height
+        for batch in batches:
+            lists, out = batch.column("sums"), []
+            flat = np.asarray(lists.flatten().flatten()).reshape(-1, len(upper[0]) + 1)
+            ends = np.cumsum(np.asarray(lists.value_lengths()))
+            for i, j in zip([0, *ends[:-1]], ends, strict=False):
+                whole, s = np.zeros((m + 1, m + 1)), flat[i:j].sum(0)
+                if s[-1] < 3:
+                    out.append((None, None, None, int(s[-1]), "fewer than three points"))
                     continue
-                penalty, gauge = np.zeros((m, m)), np.zeros(m)
-                penalty[:k, :k] = stiffness * bending(knots)
-                gauge[:k] = 1  # the surface's mean is 0, the offsets carry the height
-                c = depth * least_root(s[: m * m].reshape(m, m), s[m * m : -2], s[-2], penalty, gauge)
-                rows.append((run, c[:k], c[k], c[k + 1], n, None))
-            yield pd.DataFrame(rows, columns=["run", "control", "top", "bottom", "n", "error"])
-
-    dealt = points.select("run", "layer", "x", "y", "z").withColumn("part", F.pmod(F.xxhash64("x", "y", "z"), F.lit(PARTS)))
+                whole[upper] = s[:-1]
+                whole.T[upper] = s[:-1]
+                c = depth * least_root(whole[:m, :m], whole[:m, m], whole[m, m], penalty, gauge)
+                out.append((c[:k], c[k], c[k + 1], int(s[-1]), None))
+            kinds = (pa.list_(pa.float64()), pa.float64(), pa.float64(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("run"), *[pa.array([row[i] for row in out], kind) for i, kind in enumerate(kinds)]], ["run", "control", "top", "bottom", "n", "error"])
+
+    dealt = points.where("run IS NOT NULL").select(F.col("run").cast("long").alias("run"), "layer", *[F.col(a).cast("double").alias(a) for a in "xyz"])
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("x", "y", "z"), F.lit(PARTS)))
     together = dealt.repartition("run", "part").sortWithinPartitions("run").drop("part")
-    partial = together.mapInPandas(products, "run long, sums array<double>")
-    added = partial.select("run", F.posexplode("sums").alias("at", "value")).groupBy("run", "at").agg(F.sum("value").alias("value"))
-    whole = added.groupBy("run").agg(F.collect_list(F.struct("at", "value")).alias("sums"))
-    return whole.mapInPandas(solve, "run long, control array<double>, top double, bottom double, n long, error string")
+    partial = together.mapInArrow(products, "run long, sums array<double>")
+    whole = partial.groupBy("run").agg(F.collect_list("sums").alias("sums"))
+    return whole.mapInArrow(solve, "run long, control array<double>, top double, bottom double, n long, error string")
 
 
 def spline_lattice(fits: DataFrame, rows: int, cols: int, knots: int = 5) -> DataFrame:
     """run, layer, row, col, z of the fitted surfaces at rows * cols places; runs with an error have none."""
     y, x = basis(np.linspace(0, 1, rows), knots), basis(np.linspace(0, 1, cols), knots)
+    step = max(1, chunks.HELD // (16 * rows * cols))
 
     def evaluate(batches):
-        for pdf in batches:
-            out = []
-            for f in pdf.itertuples(index=False):
-                z = y @ np.reshape(f.control, (knots, knots)) @ x.T
-                out += [(f.run, layer, i, j, float(z[i, j] + offset)) for layer, offset in (("top", f.top), ("bottom", f.bottom)) for i in range(rows) for j in range(cols)]
-            yield pd.DataFrame(out, columns=["run", "layer", "row", "col", "z"])
-
-    return fits.where("error IS NULL").mapInPandas(evaluate, "run long, layer string, row int, col int, z double")
+        for given in batches:
+            for start in range(0, given.num_rows, step):
+                batch = given.slice(start, step)
+                n = batch.num_rows
+                control = np.asarray(batch.column("control").flatten()).reshape(n, knots, knots)
+                z = y @ control @ x.T
+                both = np.stack([z + np.asarray(batch.column(c))[:, None, None] for c in ("top", "bottom")], 1)
+                run = batch.column("run").take(pa.array(np.repeat(np.arange(n), 2 * rows * cols)))
+                layer = pa.DictionaryArray.from_arrays(pa.array(np.tile(np.repeat(np.int32([0, 1]), rows * cols), n)), pa.array(["top", "bottom"])).cast(pa.string())
+                place = np.broadcast_to(np.indices((rows, cols), np.int32)[:, None], (2, 2 * n, rows, cols)).reshape(2, -1)
+                yield pa.RecordBatch.from_arrays([run, layer, *map(pa.array, place), pa.array(both.reshape(-1))], ["run", "layer", "row", "col", "z"])
+
+    return fits.where("error IS NULL").mapInArrow(evaluate, "run long, layer string, row int, col int, z double")
 
 
 METHODS = ("spline", "coupled", "parallel")
