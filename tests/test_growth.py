@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from voxloom.operators import dataset, kernels
+from voxloom.operators import dataset, kernels, spatial
 
 
 def plan(df, kind="executedPlan"):
@@ -42,3 +42,14 @@ def test_sums_of_a_fit_travel_as_arrays(spark):
     assert "Generate" not in plan(fits, "optimizedPlan")  # no row for each product
     assert {r.run: (r.n, r.error) for r in fits.collect()} == {1: (40, None), 2: (40, None), 3: (1, "fewer than three points")}
     assert kernels.spline_lattice(fits, 2, 3).count() == 2 * 2 * 2 * 3
+
+
+def test_boxes_are_cut_out_of_a_bounded_number_of_lists_at_once(spark, monkeypatch):
+    cubes = [(r, 0, 0, x, [float(r + x * 10 + i) for i in range(8)]) for r in range(3) for x in range(2)]
+    volumes = spark.createDataFrame(cubes, "run int, cz int, cy int, cx int, v array<double>")
+    points = spark.createDataFrame([(r * 10 + i, r, 0.5 + i * 0.3, 1.0, 1.0) for r in range(3) for i in range(9)], "point_id int, run int, x double, y double, z double")
+    cut = lambda: sorted(map(tuple, spatial.digest(spatial.pieces(spatial.boxes(points, 2, 4), volumes, 2), 2).collect()))
+    want = cut()
+    for name, most in (("AT_ONCE", 2), ("LISTS", 1), ("HELD", 5)):
+        monkeypatch.setattr(spatial, name, most)
+    assert cut() == want and len(want) == 27

@@ -16,8 +16,8 @@ from voxloom.functions import number, rng
 from voxloom.sources import storage
 
 XYZ = ("x", "y", "z")
-#: Boxes that a chunk is sent with at once, about, and voxels that are cut out at once.
-AT_ONCE, HELD = 1024, 4_000_000
+#: Boxes that a chunk is sent with at once, about; lists of them that are looked at, and voxels that are cut out, at once.
+AT_ONCE, LISTS, HELD = 1024, 32, 250_000
 
 
 def to_voxels(picks: DataFrame, spacing: float) -> DataFrame:
@@ -113,21 +113,23 @@ def pieces(placed: DataFrame, chunks: DataFrame, edge: int) -> DataFrame:
     names = ["point_id", "status", "z", "y", "x", "d", "h", "w"]
 
     def take(batches):
-        for batch in batches:
-            boxes = dict(zip([*names, "z_first", "y_first", "x_first"], batch.column("boxes").flatten().flatten(), strict=True))
-            of = np.repeat(np.arange(batch.num_rows), np.asarray(batch.column("boxes").value_lengths()))
-            flat = np.asarray(batch.column("v").flatten())
-            d, h, w, z, y, x = (np.asarray(boxes[c], dtype=np.int64) for c in ("d", "h", "w", "z_first", "y_first", "x_first"))
-            ends = np.cumsum(d * h * w)
-            for a, b in in_runs(ends, HELD):
-                part = slice(a, b)
-                size = (d * h * w)[part]
-                box = np.repeat(np.arange(a, b), size)
-                i = np.arange(len(box)) - np.repeat(np.cumsum(size) - size, size)
-                from_z, from_y, from_x = z[box] + i // (h * w)[box], y[box] + i // w[box] % h[box], x[box] + i % w[box]
-                values = flat[((of[box] * edge + from_z) * edge + from_y) * edge + from_x]
-                starts = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*[boxes[c].slice(a, b - a) for c in names], pa.ListArray.from_arrays(starts, pa.array(values))], [*names, "v"])
+        for whole in batches:
+            for start in range(0, whole.num_rows, LISTS):
+                batch = whole.slice(start, LISTS)
+                boxes = dict(zip([*names, "z_first", "y_first", "x_first"], batch.column("boxes").flatten().flatten(), strict=True))
+                of = np.repeat(np.arange(batch.num_rows), np.asarray(batch.column("boxes").value_lengths()))
+                flat = np.asarray(batch.column("v").flatten())
+                d, h, w, z, y, x = (np.asarray(boxes[c], dtype=np.int64) for c in ("d", "h", "w", "z_first", "y_first", "x_first"))
+                ends = np.cumsum(d * h * w)
+                for a, b in in_runs(ends, HELD):
+                    part = slice(a, b)
+                    size = (d * h * w)[part]
+                    box = np.repeat(np.arange(a, b), size)
+                    i = np.arange(len(box)) - np.repeat(np.cumsum(size) - size, size)
+                    from_z, from_y, from_x = z[box] + i // (h * w)[box], y[box] + i // w[box] % h[box], x[box] + i % w[box]
+                    values = flat[((of[box] * edge + from_z) * edge + from_y) * edge + from_x]
+                    starts = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([*[boxes[c].slice(a, b - a) for c in names], pa.ListArray.from_arrays(starts, pa.array(values))], [*names, "v"])
 
     kind = placed.schema["point_id"].dataType.simpleString()
     return met.select("boxes", "v").mapInArrow(take, f"point_id {kind}, status string, z int, y int, x int, d int, h int, w int, v array<double>")
