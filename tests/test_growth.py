@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from voxloom.operators import dataset, kernels, spatial
+from voxloom.operators import dataset, jobs, kernels, spatial
 
 
 def plan(df, kind="executedPlan"):
@@ -53,3 +53,17 @@ def test_boxes_are_cut_out_of_a_bounded_number_of_lists_at_once(spark, monkeypat
     for name, most in (("AT_ONCE", 2), ("LISTS", 1), ("HELD", 5)):
         monkeypatch.setattr(spatial, name, most)
     assert cut() == want and len(want) == 27
+
+
+def test_tasks_are_shuffled_and_done_once(spark):
+    counted = spark.sparkContext.accumulator(0)
+
+    def work(state, rows):
+        counted.add(len(rows))
+        return rows["task_id"] * state
+
+    tasks = spark.range(300, 0, -1).select(F.col("id").alias("task_id"))
+    done = jobs.run_tasks(tasks, lambda: 2, work, 3)
+    assert plan(done).count("Exchange") == 1
+    assert [(r.task_id, r.result) for r in done.collect()] == [(i, 2.0 * i) for i in range(1, 301)]
+    assert counted.value == 300

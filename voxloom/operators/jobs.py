@@ -38,7 +38,9 @@ def alone(work: Callable[[pd.DataFrame], Any], rows: pd.DataFrame) -> pd.DataFra
 
 def run_tasks(tasks: DataFrame, init: Callable[[], Any], work: Callable[[Any, pd.DataFrame], Any], workers: int) -> DataFrame:
     """work(state, rows) for the tasks (task_id, ...), a batch of rows at a time, with one number for each; sorted by task.
-    The state is made once for each partition.
+    The state is made once for each partition. There are `workers` partitions at least, and one for each core if these are
+    more. Tasks are dealt by ranges of their ids and sorted there, so their results are sorted as they come: no second shuffle
+    follows, which would also do all work twice, once to find its ranges.
 
     An exception in work fails the rows that raise it when alone, and no others; one in init fails all tasks of the
     partition. seconds are a row's share of its batch. A failed row's result is null, and so is a result that is no number."""
@@ -55,8 +57,9 @@ def run_tasks(tasks: DataFrame, init: Callable[[], Any], work: Callable[[Any, pd
             done = done.assign(task_id=rows["task_id"].to_numpy(), success=done["error"].isna(), worker=TaskContext.get().partitionId(), seconds=share)
             yield done[["task_id", "success", "worker", "seconds", "error", "result"]]
 
-    done = tasks.repartition(workers, "task_id").mapInPandas(run, RESULT)
-    return done.withColumn("result", F.nanvl("result", F.lit(None).cast("double"))).orderBy("task_id")
+    parts = max(workers, tasks.sparkSession.sparkContext.defaultParallelism)
+    done = tasks.repartitionByRange(parts, "task_id").sortWithinPartitions("task_id").mapInPandas(run, RESULT)
+    return done.withColumn("result", F.nanvl("result", F.lit(None).cast("double")))
 
 
 def each_run(rows: DataFrame, key: str, change: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:

@@ -90,9 +90,10 @@ def _tasks(spark, d):
     tasks = model.table(spark, d, "orders").select(F.col("o_orderkey").alias("task_id"), F.col("o_totalprice").alias("price"))
 
     def work(rate, rows):
-        bad = rows["task_id"] % 10 == 0
-        if bad.any():
-            raise ValueError(f"no price for {rows['task_id'][bad].iloc[0]}")
+        ids = rows["task_id"].to_numpy()
+        bad = ids[ids % 10 == 0]
+        if len(bad):
+            raise ValueError(f"no price for {bad[0]}")
         return rows["price"] * rate
 
     return jobs.run_tasks(tasks, lambda: 0.5, work, 8).select("task_id", "success", "error", F.round("result", 4).alias("result"))
