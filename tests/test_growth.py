@@ -1,8 +1,10 @@
 """What must not grow with the tables: rows that are broadcast, shuffled or computed twice, and what a task holds."""
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from voxloom.operators import dataset, jobs, kernels, spatial
+from voxloom.operators import chunks, dataset, jobs, kernels, spatial
 
 
 def plan(df, kind="executedPlan"):
@@ -67,3 +69,22 @@ def test_tasks_are_shuffled_and_done_once(spark):
     assert plan(done).count("Exchange") == 1
     assert [(r.task_id, r.result) for r in done.collect()] == [(i, 2.0 * i) for i in range(1, 301)]
     assert counted.value == 300
+
+
+def test_a_task_contracts_a_bounded_number_of_links_at_once(spark, monkeypatch):
+    monkeypatch.setattr(chunks, "LINKS", 5)
+    monkeypatch.setattr(np, "unique", seen := Seen(np.unique))
+    links = spark.createDataFrame([(1, i, i + 1) for i in range(40)], "run long, a long, b long").coalesce(1)
+    batches = [b for b in pa.Table.from_pandas(links.toPandas()).to_batches()]
+    list(chunks.forested(iter(batches), "run"))
+    assert max(seen.sizes) <= 10
+    assert {(r.label, r.root) for r in chunks.contracted(links, "run").collect()} == {(i, 0) for i in range(1, 41)}
+
+
+class Seen:
+    def __init__(self, of):
+        self.of, self.sizes = of, []
+
+    def __call__(self, x, *a, **k):
+        self.sizes.append(len(x))
+        return self.of(x, *a, **k)

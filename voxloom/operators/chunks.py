@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from voxloom.functions import number
 from voxloom.sources import storage
 
-#: Elements of the padded chunks that are held at once, about.
-HELD = 8_000_000
+#: Elements of the padded chunks that are held at once, about: a step has some tens of arrays of this size. Links between
+#: labels that a task contracts at once.
+HELD, LINKS = 500_000, 200_000
 #: Bits of each coordinate in a voxel's place, which orders voxels by z, y, x and fits a double.
 BITS = 17
 
@@ -148,30 +149,42 @@ def over_offsets(chunks: DataFrame, key: str, edge: int, offsets: list[tuple[int
 
 
 def forest(links: DataFrame, key: str) -> DataFrame:
-    """(key, a, b) with a < b that connect the same labels as those of the task do: each label with the least it reaches."""
-    def run(batches):
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        table = pa.Table.from_batches(held)
-        ends = np.stack([np.asarray(table.column(c)) for c in "ab"], 1)
-        code = table.column(key).combine_chunks().dictionary_encode()
-        of = np.asarray(code.indices, dtype=np.int64)
-        nodes, at = np.unique(np.stack([np.repeat(of, 2), ends.reshape(-1)], 1), axis=0, return_inverse=True)
-        a, b = at.reshape(-1, 2).T
-        root = np.arange(len(nodes))  # nodes are sorted by key and label
-        while True:
-            new, low = root.copy(), np.minimum(root[a], root[b])
-            for i in (a, b, root[a], root[b]):
-                np.minimum.at(new, i, low)
-            new = new[new]
-            if (new == root).all():
-                break
-            root = new
-        kept = np.flatnonzero(root != np.arange(len(nodes)))
-        yield pa.RecordBatch.from_arrays([code.dictionary.take(pa.array(nodes[kept, 0])), pa.array(nodes[root[kept], 1]), pa.array(nodes[kept, 1])], [key, "a", "b"])
-
-    return links.select(key, "a", "b").mapInArrow(run, f"{key} {links.schema[key].dataType.simpleString()}, a long, b long")
+    """(key, a, b) with a < b that connect the same labels as those of the task do: each label with the least it reaches
+    among LINKS links, about, which a task contracts at once."""
+    return links.select(key, "a", "b").mapInArrow(lambda batches: forested(batches, key), f"{key} {links.schema[key].dataType.simpleString()}, a long, b long")
+
+
+def forested(batches, key: str):
+    held, n = [], 0
+    for batch in batches:
+        for start in range(0, batch.num_rows, LINKS):
+            held.append(batch.slice(start, LINKS))
+            n += held[-1].num_rows
+            if n >= LINKS:
+                yield _least(held, key)
+                held, n = [], 0
+    if n:
+        yield _least(held, key)
+
+
+def _least(batches: list, key: str) -> pa.RecordBatch:
+    table = pa.Table.from_batches(batches)
+    ends = np.stack([np.asarray(table.column(c)) for c in "ab"], 1)
+    code = table.column(key).combine_chunks().dictionary_encode()
+    of = np.asarray(code.indices, dtype=np.int64)
+    nodes, at = np.unique(np.stack([np.repeat(of, 2), ends.reshape(-1)], 1), axis=0, return_inverse=True)
+    a, b = at.reshape(-1, 2).T
+    root = np.arange(len(nodes))  # nodes are sorted by key and label
+    while True:
+        new, low = root.copy(), np.minimum(root[a], root[b])
+        for i in (a, b, root[a], root[b]):
+            np.minimum.at(new, i, low)
+        new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    kept = np.flatnonzero(root != np.arange(len(nodes)))
+    return pa.RecordBatch.from_arrays([code.dictionary.take(pa.array(nodes[kept, 0])), pa.array(nodes[root[kept], 1]), pa.array(nodes[kept, 1])], [key, "a", "b"])
 
 
 def contracted(links: DataFrame, key: str) -> DataFrame:
