@@ -2,11 +2,14 @@
 
 from itertools import product
 
+import duckdb
 import numpy as np
 import pytest
 
+import compare
 from test_fourier import as_chunks, as_volume
 from voxloom.operators import sliding
+from voxloom.plans import registry
 
 EDGE = 4
 
@@ -91,3 +94,20 @@ def test_moments_of_chunks(spark):
         assert got[i].n == a.size and np.isclose(got[i]["mean"], a.astype(float).mean()) and np.isclose(got[i].sd, a.astype(float).std(), rtol=1e-9)
     whole = as_volume([x for x in sliding.normalised(as_chunks(spark, volumes, EDGE), "run", EDGE).collect() if x.run == 0], EDGE)
     assert np.allclose(whole, (volumes[0].astype(float) - volumes[0].astype(float).mean()) / volumes[0].astype(float).std())
+
+
+@pytest.mark.parametrize("n", [13, 14, 16])
+def test_last_volume_smaller_than_the_window(spark, tmp_path, n):
+    """Tables whose last volume has one, two or four chunks, so axes of 4 voxels for a window of 6."""
+    rows = [(i, 0, [float((i * 64 + k) * 37 % 101) for k in range(64)]) for i in range(n)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = con.execute(registry.ORACLE_SQL["segment_tomograms"])
+    names = [c[0] for c in want.description]
+    got = registry.QUERIES["segment_tomograms"](spark, f"file://{tmp_path}")
+    assert got.count() == n * 64 and compare.rows(got.columns, got.collect()) == compare.rows(names, want.fetchall())
+
+
+def test_where_small_volumes_lie():
+    assert sliding.starts(4, 6, 0.5) == [-1] and sliding.starts(4, 6, 0.5, True) == [-2] and sliding.starts(8, 6, 0.5, True) == [0, 2]

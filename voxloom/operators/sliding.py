@@ -23,11 +23,11 @@ AT_ONCE = 32
 _made: dict[str, Predictor] = {}
 
 
-def starts(n: int, window: int, overlap: float) -> list[int]:
+def starts(n: int, window: int, overlap: float, in_front: bool = False) -> list[int]:
     """Where windows start along an axis of n voxels: at equal steps, the last one moved back to end with the axis. An axis
-    that is shorter than the window lies in the middle of one."""
+    that is shorter than the window lies in the middle of one, or at its end if all padding is to be in front."""
     if n <= window:
-        return [-((window - n) // 2)]
+        return [n - window if in_front else -((window - n) // 2)]
     step = max(1, int(window * (1 - overlap)))
     return sorted({min(s, n - window) for s in range(0, n - window + step, step)})
 
@@ -39,20 +39,20 @@ def importance(window: int) -> np.ndarray:
     return np.maximum(w, max(w.min(), 1e-3))
 
 
-def tiles(sizes: DataFrame, key: str, window: int, overlap: float, mirrors: int) -> DataFrame:
+def tiles(sizes: DataFrame, key: str, window: int, overlap: float, mirrors: int, in_front: bool = False) -> DataFrame:
     """id (key, z, y, x, mirrors, apart) of the windows of each volume (key, d, h, w).
 
     Copy m of a volume is mirrored along z, y, x by its bits 0, 1, 2, and has its own windows; told by places in the
     volume itself, most are windows of several copies: a bit of `mirrors` for each. Copies that differ in the bits of `apart`
-    have different windows."""
+    have different windows. Axes that are padded in front are so before the volume is mirrored: all copies have that window."""
     kind = sizes.schema[key].dataType
 
     def run(batches):
         for batch in batches:
             rows = []
             for k, n in enumerate(zip(*[batch.column(a).to_pylist() for a in "dhw"], strict=True)):
-                plain = [starts(s, window, overlap) for s in n]
-                turned = [sorted(s - window - x for x in p) for s, p in zip(n, plain, strict=True)]
+                plain = [starts(s, window, overlap, in_front) for s in n]
+                turned = [p if in_front and s < window else sorted(s - window - x for x in p) for s, p in zip(n, plain, strict=True)]
                 apart = sum((p != t) << i for i, (p, t) in enumerate(zip(plain, turned, strict=True)))
                 found: dict[tuple, int] = {}
                 for m in range(mirrors):
@@ -66,16 +66,17 @@ def tiles(sizes: DataFrame, key: str, window: int, overlap: float, mirrors: int)
     return found.select(F.struct(key, "z", "y", "x", "mirrors", "apart").alias("id"))
 
 
-def predicted(volumes: DataFrame, key: str, edge: int, window: int, make: Callable[[], Predictor], overlap: float = 0.5, mirrored: bool = True) -> DataFrame:
+def predicted(volumes: DataFrame, key: str, edge: int, window: int, make: Callable[[], Predictor], overlap: float = 0.5, mirrored: bool = True, in_front: bool = False) -> DataFrame:
     """Chunks of the predictor's output for whole volumes; the mean over eight mirrored copies if they are wanted.
 
     make() gives the predictor, which takes and gives (n, window, window, window); each worker makes it once. Tiles are cut
-    out of chunks with what lies beyond the volume as 0. A tile's output goes on in pieces, one for each chunk it touches, and
+    out of chunks with what lies beyond the volume as 0; a volume smaller than the window is padded on both sides, once it is
+    mirrored, or in front, before that. A tile's output goes on in pieces, one for each chunk it touches, and
     is summed up there with its weights: what is shuffled are arrays, and a task holds some tiles or some chunks. Volumes that
     lack voxels are left out."""
     mirrors, job, weights = (8 if mirrored else 1), uuid.uuid4().hex, importance(window)
     there = c.extents(volumes, key, edge).where("whole")
-    wanted = tiles(there, key, window, overlap, mirrors)
+    wanted = tiles(there, key, window, overlap, mirrors, in_front)
     boxes = wanted.select("id", f"id.{key}", "id.z", "id.y", "id.x", *[F.lit(window).alias(n) for n in "dhw"])
     held = cut_boxes(boxes, volumes, key, edge).groupBy("id").agg(F.collect_list("part").alias("parts"))
     turn = lambda x, m: np.flip(x, [i for i in range(3) if m >> i & 1]) if m else x
