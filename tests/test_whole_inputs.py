@@ -1,5 +1,6 @@
 """Queries over all rows of their tables."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -30,6 +31,34 @@ def test_background_by_brute_force(spark):
     assert sorted(map(tuple, got)) == sorted(x for xs in want.values() for x in xs)
 
 
+@pytest.mark.parametrize("name", ["background_points", "background_points_continuous"])
+def test_background_shuffles_picks_once_and_no_attempts(spark, name):
+    plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "Join" not in plan
+
+
+@pytest.mark.parametrize("whole", [True, False])
+def test_background_of_small_and_large_runs(spark, monkeypatch, whole):
+    """Runs with room, a crowded one, one without points and one without a name, by list, by cell, and by both."""
+    r, rows = np.random.default_rng(4), []
+    for run, n, side in [(1, 3, 16), (2, 40, 16), (3, 90, 5), (4, 1, 16), (None, 5, 16)]:
+        rows += [(run, *map(float, r.uniform(0, side, 3))) for _ in range(n)]
+    picks = spark.createDataFrame([*rows, (1, None, 1.0, 1.0)], "run long, x double, y double, z double")
+    found = {}
+    for few in (0, 50, 1000):
+        monkeypatch.setattr(spatial, "FEW", few)
+        got = spatial.background(picks, 16, 6, 2.0, 0.9, "s", whole)
+        found[few] = sorted(map(tuple, got.collect()))
+    assert found[0] == found[50] == found[1000]
+    wanted = spark.createDataFrame([(1, 3), (2, 36), (3, 81)], "run long, want int")
+    want = {}
+    for c in sorted(spatial.candidates(wanted, 16, 6, "s", whole).collect(), key=lambda c: c.attempt):
+        free = all(sum((a - b) ** 2 for a, b in zip((c.x, c.y, c.z), at, strict=True)) >= 4 for run, *at in rows if run == c.run)
+        if free and len(want.setdefault(c.run, [])) < c.want:
+            want[c.run].append((c.run, c.attempt, c.x, c.y, c.z))
+    assert found[0] == sorted(x for xs in want.values() for x in xs)
+
+
 @pytest.mark.parametrize("name", ["connected_components", "largest_component"])
 def test_whole_masks_are_labelled(spark, name):
     assert "% 4 <>" not in registry.ORACLE_SQL[name]

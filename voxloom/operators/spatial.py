@@ -18,6 +18,8 @@ from voxloom.sources import storage
 XYZ = ("x", "y", "z")
 #: Boxes that a chunk is sent with at once, about; lists of them that are looked at, and voxels that are cut out, at once.
 AT_ONCE, LISTS, HELD = 1024, 32, 250_000
+#: Picks, or background points, of a run whose background is sought beside the list of its picks.
+FEW = 256
 
 
 def to_voxels(picks: DataFrame, spacing: float) -> DataFrame:
@@ -29,13 +31,23 @@ def to_index(picks: DataFrame, spacing: float) -> DataFrame:
     return picks.withColumns({a: (F.col(a) / spacing).cast("int") for a in XYZ})
 
 
+def random_place(side: int, box: int, seed: str, whole: bool, attempt: Column) -> list[Column]:
+    """x, y, z of the box-safe random place that a run's attempt gives."""
+    room, low = side - box, box // 2
+    place = (lambda u: F.floor(u * (room + 1)).cast("int") + low) if whole else (lambda u: u * room + low)
+    return [place(rng.uniform(f"{seed}-{a}", "run", attempt)).alias(a) for a in XYZ]
+
+
 def candidates(wanted: DataFrame, side: int, box: int, seed: str, whole: bool = True, first: int = 0, end: int = 10) -> DataFrame:
     """run, attempt, want, x, y, z: box-safe random places for the background points that runs want (run, want), those of
     attempts first * want to end * want."""
     tried = wanted.withColumn("attempt", F.explode(F.sequence(F.col("want") * first, F.col("want") * end - 1)))
-    room, low = side - box, box // 2
-    place = (lambda a: F.floor(rng.uniform(f"{seed}-{a}", "run", "attempt") * (room + 1)).cast("int") + low) if whole else (lambda a: rng.uniform(f"{seed}-{a}", "run", "attempt") * room + low)
-    return tried.select("run", "attempt", "want", *[place(a).alias(a) for a in XYZ])
+    return tried.select("run", "attempt", "want", *random_place(side, box, seed, whole, F.col("attempt")))
+
+
+def squared(one: list[Column], other: list[Column]) -> Column:
+    """The square of the distance."""
+    return sum(((a - b) * (a - b) for a, b in zip(one, other, strict=True)), F.lit(0.0))
 
 
 def apart_from(places: DataFrame, picks: DataFrame, distance: float) -> DataFrame:
@@ -48,7 +60,7 @@ def apart_from(places: DataFrame, picks: DataFrame, distance: float) -> DataFram
     for a in XYZ:
         near = near.withColumn(f"c{a}", F.explode(F.sequence(cell(F.col(f"p{a}") - distance), cell(F.col(f"p{a}") + distance))))
     placed = places.withColumns({f"c{a}": cell(F.col(a)) for a in XYZ})
-    apart = sum(((F.col(f"f.{a}") - F.col(f"n.p{a}")) * (F.col(f"f.{a}") - F.col(f"n.p{a}")) for a in XYZ), F.lit(0.0))
+    apart = squared([F.col(f"f.{a}") for a in XYZ], [F.col(f"n.p{a}") for a in XYZ])
     same = [F.col(f"f.{c}") == F.col(f"n.{c}") for c in ("run", "cx", "cy", "cz")]
     free = placed.alias("f").join(near.alias("n"), same[0] & same[1] & same[2] & same[3] & (apart < distance * distance), "left_anti")
     return free.drop("cx", "cy", "cz")
@@ -58,6 +70,39 @@ def background(picks: DataFrame, side: int, box: int, distance: float, ratio: fl
     """Places at least `distance` voxels from every pick of the run: the first ones by attempt, as many as wanted, which is
     int(picks * ratio) a run. picks are in voxels.
 
+    Runs of up to FEW picks and points, which are most, are each made where the list of their picks is. Larger ones go by cells."""
+    placed = picks.where("run IS NOT NULL").select("run", *XYZ)
+    sizes = placed.groupBy("run").agg(F.count(F.lit(1)).alias("n"))
+    large = storage.written(sizes.where(F.col("n") * max(ratio, 1.0) > FEW).select("run"), "large")
+    if large.isEmpty():
+        return background_by_list(placed, side, box, distance, ratio, seed, whole, attempts)
+    few, many = placed.join(large, "run", "left_anti"), placed.join(large, "run", "left_semi")
+    return background_by_list(few, side, box, distance, ratio, seed, whole, attempts).unionByName(background_by_cell(many, side, box, distance, ratio, seed, whole, attempts))
+
+
+def background_by_list(picks: DataFrame, side: int, box: int, distance: float, ratio: float, seed: str, whole: bool, attempts: int) -> DataFrame:
+    """background() of runs with few picks each. Picks are shuffled once, by run, and nothing else is: a run's attempts are made
+    beside the list of its picks, in rounds of as many as it wants, until there are enough."""
+    lists = picks.repartition("run").groupBy("run").agg(F.collect_list(F.struct(*XYZ)).alias("near"))
+    wanted = lists.withColumn("want", F.floor(F.size("near") * F.lit(ratio)).cast("int")).where("want > 0")
+
+    def touched(place):
+        at = [place[a] for a in XYZ]
+        return F.coalesce(F.exists("near", lambda p: squared(at, [p[a] for a in XYZ]) < distance * distance), F.lit(False))
+
+    def more(found, k):
+        tries = F.transform(F.sequence(F.col("want") * k, F.col("want") * (k + 1) - 1), lambda i: F.struct(i.alias("attempt"), *random_place(side, box, seed, whole, i)))
+        return F.when(F.size(found) >= F.col("want"), found).otherwise(F.concat(found, F.filter(tries, lambda place: ~touched(place))))
+
+    kind = "int" if whole else "double"
+    none = F.array().cast(f"array<struct<attempt:int,{','.join(f'{a}:{kind}' for a in XYZ)}>>")
+    found = F.aggregate(F.sequence(F.lit(0), F.lit(attempts - 1)), none, more)
+    return wanted.select("run", F.inline(F.slice(found, F.lit(1), F.col("want"))))
+
+
+def background_by_cell(picks: DataFrame, side: int, box: int, distance: float, ratio: float, seed: str, whole: bool, attempts: int) -> DataFrame:
+    """background() of runs of any size, none of which is whole in a task.
+
     Two attempts for each point go first and are written; only runs that lack points after that make the others."""
     want = picks.groupBy("run").agg(F.floor(F.count(F.lit(1)) * F.lit(ratio)).cast("int").alias("want")).where("want > 0")
     early = storage.written(apart_from(candidates(want, side, box, seed, whole, 0, 2), picks, distance), "background")
